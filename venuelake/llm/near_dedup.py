@@ -1,6 +1,6 @@
 r"""Near-duplicate documents: fast similarity sketching, banding, exact verification on full shingle sets.
 
-1. Every text becomes the set of its distinct 4-word shingles (ASCII lower case, words ``[^\x20\x09-\x0D]+``; with
+1. Every text becomes the set of its distinct word shingles (five words unless told otherwise; ASCII lower case, words ``[^\x20\x09-\x0D]+``; with
    fewer words the whole sequence). Texts with equal sets form a class, which one row stands for.
 2. A class is sketched in rounds. In round i < t each element is thrown into one of the t bins; in round t + j all
    go into bin j, so that after 2t rounds at the latest no bin is empty. A bin keeps the least value of the first
@@ -33,7 +33,7 @@ from .bytesops import LOWER, gram_hashes, mix, raw, slices, word_hashes, words
 from .common import content_key, keep_rows, materialize
 from .graph import connected_components
 
-SHINGLE, PERCENT = 4, 80
+SHINGLE, PERCENT = 5, 80
 COORDS, BANDS, ROWS = 256, 24, 4
 #: Least estimated similarity of signatures that a bucket links (t = 256 bits: 0.8 less over six deviations).
 SIGNATURE_FLOOR = 0.56
@@ -43,12 +43,12 @@ BUCKET_PAIRS = 2048
 BLOCK_SHINGLES = 400_000
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the distinct shingle hashes of each row, sorted, and where each row's begin."""
     body, offsets = raw(texts)
     body = LOWER[body]
     start, end, first = words(body, offsets)
-    value, row = gram_hashes(word_hashes(body, start, end), first, SHINGLE)
+    value, row = gram_hashes(word_hashes(body, start, end), first, shingle)
     order = np.lexsort((value, row))
     value, row = value[order], row[order]
     new = np.ones(len(value), bool)
@@ -86,10 +86,10 @@ def sketches(value: np.ndarray, first: np.ndarray, coords: int = COORDS) -> np.n
     return out
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
-            value, first = shingle_sets(batch.column("text"))
+            value, first = shingle_sets(batch.column("text"), shingle)
             sk = sketches(value, first)
             n = np.diff(first)
             scrambled = mix(value)
@@ -223,7 +223,7 @@ def verified_links(value: np.ndarray, first: np.ndarray, left: np.ndarray | None
             yield i, j
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Partitions come sorted by (fam, bi, bj); groups of bounded bytes are verified one after the other."""
     held: list[tuple[int, int, bytes]] = []
     key = None
@@ -232,7 +232,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return None
         ids = [h[0] for h in held]
-        value, first = shingle_sets(pa.array([h[2] for h in held], pa.large_binary()))
+        value, first = shingle_sets(pa.array([h[2] for h in held], pa.large_binary()), shingle)
         blocks = np.array([h[1] for h in held])
         left = blocks == key[1] if key[1] != key[2] else None
         pairs = _forest(len(ids), verified_links(value, first, left))
@@ -253,13 +253,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and the address of its text (_k1, _k2)."""
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), *content_key(F.col("text")))
     sketched = materialize(
-        texts.mapInArrow(_sketch_rows, "doc_id long, _k1 long, _k2 long, n long, s1 long, s2 long, bands array<long>, bits binary"),
+        texts.mapInArrow(lambda it: _sketch_rows(it, shingle), "doc_id long, _k1 long, _k2 long, n long, s1 long, s2 long, bands array<long>, bits binary"),
         "sketches",
     )
     whole = sketched.where("doc_id is not null and n > 0")
@@ -282,7 +282,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         F.col("root").alias("fam"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "cid", "block", "text"
     )
     tasks = tasks.repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "cid")
-    links = tasks.mapInArrow(_verify, "a long, b long")
+    links = tasks.mapInArrow(lambda it: _verify(it, shingle), "a long, b long")
     # ids that stand for several sets, and all copies of a class, are one component
     components = materialize(connected_components(links, "links"), "components")
     by_class = classes.join(components, classes["cid"] == components["node"], "left").select(*same, F.coalesce("root", "cid").alias("root"))
@@ -293,6 +293,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with all columns, without the documents that are linked with one of a smaller id."""
-    return keep_rows(docs, near_groups(docs).where("kept"))
+    return keep_rows(docs, near_groups(docs, shingle).where("kept"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_dedup, decontaminate, near_dedup, secret_scan, substring_dedup
+from . import block_dedup, chat, classify, decontaminate, kneser_ney, near_dedup, pieces, secret_scan, substring_dedup
+from .common import crc_bucket
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,7 +81,7 @@ FROM t"""
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("_k1", "_k2")
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=4).drop("_k1", "_k2")
 
 
 _OP10_SQL = rf"""
@@ -137,11 +138,43 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha2
 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = classify.language(docs, crc_bucket(F.col("doc_id"), 4) != 2)
+    return found.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = crc_bucket(F.col("doc_id"), 3) != 1
+    found = classify.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.default_model())
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.windows(turns.unionByName(extra)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_decontaminate": op2_decontaminate,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_language": op4_language,
+        "op5_pieces": op5_pieces,
+        "op6_chat": op6_chat,
+        "op7_quality": op7_quality,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_near_dedup": op10_near_dedup,
     }
