@@ -75,7 +75,10 @@ def _least(value: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(body: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(row, anchor hash, lo, hi) of the runs: windows lo..hi (first words, in the row's words) have one anchor."""
+    """(row, anchor hash, lo, hi) of the runs: windows lo..hi (first words, in the row's words) have one anchor.
+
+    Repetitive text has the same anchor again and again; it is one run, since only the hash decides.
+    """
     start, end, first = words(body, offsets)
     count = np.diff(first)
     row = np.repeat(np.arange(len(count)), count)
@@ -86,7 +89,7 @@ def window_runs(body: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gra
     g = _fold(word_hashes(body, start, end), gram, 7)
     anchor = _least(g, window - gram + 1)[ok]
     new = np.ones(len(ok), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[ok][1:] != row[ok][:-1])
+    new[1:] = (g[anchor[1:]] != g[anchor[:-1]]) | (row[ok][1:] != row[ok][:-1])
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(ok)) - 1
     return row[ok][begin], g[anchor[begin]].view(np.int64), place[ok][begin], place[ok][last]
@@ -303,7 +306,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = materialize(texts.where("doc_id is not null").mapInArrow(_runs, "doc_id long, _k1 long, _k2 long, runs array<struct<g:long,lo:int,hi:int>>"), "runs")
     each = runs.select(*key, F.explode("runs").alias("r")).select(*key, "r.*")
     shared = each.groupBy("g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-    shared = shared.select("g", (F.col("n") > HOT_RUNS).alias("hot"))
+    # written, so that the join below has plain exchanges and a frequent anchor can be split
+    shared = materialize(shared.select("g", (F.col("n") > HOT_RUNS).alias("hot")), "shared")
     by_doc = each.join(shared, "g").groupBy(*key).agg(F.collect_set(F.struct("g", "lo", "hi", "hot")).alias("shared"))
     placed = texts.join(by_doc, key, "left").select(*key, "text", "shared").mapInArrow(_passages, _OUT_SCHEMA)
     placed = placed.repartition("key").sortWithinPartitions("kind", "key", "w2", "doc_id", "lo")
