@@ -77,6 +77,8 @@ class Pieces:
         self.hash = np.array([self._hash_of(n) for n in self.names], np.uint64)
         sort = np.argsort(self.hash)
         self.keys, self.at = self.hash[sort], sort
+        self.may = np.zeros(1 << 20, bool)
+        self.may[self.keys >> np.uint64(44)] = True
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have the same key")
         self.left = self.right = np.zeros(0, np.int64)
@@ -135,9 +137,14 @@ class Pieces:
 
     def find(self, keys: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Places of pieces with these hashes and lengths, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out = np.full(keys.shape, -1, np.int64)
+        maybe = np.nonzero(self.may[keys >> np.uint64(44)])  # most substrings are no piece, as the top bits tell
+        some = keys[maybe]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
         place = self.at[at]
-        return np.where((self.keys[at] == keys) & (self.length[place] == length), place, -1)
+        long = self.length[place] == (length if np.ndim(length) == 0 else length[maybe])
+        out[maybe] = np.where((self.keys[at] == some) & long, place, -1)
+        return out
 
     def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves the pieces a, b side by side."""
@@ -171,7 +178,7 @@ class Pieces:
         texts = []
         for k, unit in enumerate(units):
             text = unit.decode()
-            if _SPACE in text:  # cut around it: no piece may hold what decoding would turn into a space
+            if not unit.isascii() and _SPACE in text:  # cut around it: no piece may hold what decoding would turn into a space
                 parts = re.split(f"({_SPACE})", text)
                 ids = [i for p in parts if p for i in ([self.byte_ids[b] for b in p.encode()] if p == _SPACE else np.frombuffer(self.encode_units([p.encode()])[0], np.int32).tolist())]
                 out[k] = np.array(ids, np.int32).tobytes()
@@ -190,7 +197,7 @@ class Pieces:
                     out[k] = ids
         return out
 
-    def _search(self, texts: list[str], length: int) -> Iterator[bytes]:
+    def _search(self, texts: list[str], length: int) -> list[bytes]:
         n = len(texts)
         codes = np.array(texts, f"<U{length}").view(np.uint32).reshape(n, length)
         prefix = _hash(codes.astype(np.uint64))
@@ -228,12 +235,12 @@ class Pieces:
         lost = last[:, length] == _NONE
         special = lost | ((tokens == unknown) & (np.arange(length) >= length - count[:, None])).any(axis=1)
         ids = np.append(self.ids, np.int32(0)).astype(np.int32)[np.maximum(tokens, 0)]
-        for r in range(n):
-            if special[r]:
-                parts = self._merge(texts[r])[0]
-                yield np.array([i for p in parts for i in self._spell(p)], np.int32).tobytes()
-            else:
-                yield ids[r, length - count[r] :].tobytes()
+        flat = ids[np.arange(length) >= length - count[:, None]].tobytes()
+        ends = (4 * np.cumsum(count)).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for r in np.flatnonzero(special).tolist():
+            out[r] = np.array([i for p in self._merge(texts[r])[0] for i in self._spell(p)], np.int32).tobytes()
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
