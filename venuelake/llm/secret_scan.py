@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -105,5 +107,6 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
     hits = ledger.where((F.size("spans") > 0) & (F.col("version") == current[F.col("kind")]))
     entry = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("ord"), F.col("kind").alias("kind"), s["end"].alias("end")))
     by_blob = hits.select("blob", entry.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    by_blob = materialize(by_blob, "findings")  # the join below then has plain exchanges, and a hot blob can be split
     empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     return paths.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", empty))
