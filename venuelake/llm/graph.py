@@ -23,9 +23,10 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         before, step = seen, step + 1
         around = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(least, f"{label}-{step}m")  # so that the join has plain exchanges, and a hub can be split
         large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, f"{label}-{step}l")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-{step}n")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         current = materialize(small, f"{label}-{step}")
