@@ -177,7 +177,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a run with its words, for the automaton of its anchor. kind 1: a distinct window of a hot anchor, from
-    the smallest id of this task. kind 2: windows lo..hi of a document that a smaller id of this task has."""
+    the smallest id of this task. kind 2: windows lo..hi of a document that a smaller id of this task has, dealt evenly."""
     hot: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     out: list[tuple] = []
     size = 0
@@ -208,9 +208,9 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             else:
                                 hot[w] = (doc, k1, k2, p)
                     elif doc > held[0]:
-                        out.append((2, k1, 0, doc, k1, k2, p, p, b""))
+                        out.append((2, doc + p, 0, doc, k1, k2, p, p, b""))
                     else:
-                        out.append((2, held[1], 0, held[0], held[1], held[2], held[3], held[3], b""))
+                        out.append((2, held[0] + held[3], 0, *held[:3], held[3], held[3], b""))
                         hot[w] = (doc, k1, k2, p)
             if size > 1 << 20 or len(out) > 20000:
                 yield _rows(out)
