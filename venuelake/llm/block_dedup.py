@@ -114,7 +114,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the address of its text."""
     named = materialize(name_documents(docs, block_bytes), "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    groups = named.groupBy("level", "name").agg(first, F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join has plain exchanges and a large group of copies can be split
+    groups = materialize(named.groupBy("level", "name").agg(first, F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
