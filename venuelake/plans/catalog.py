@@ -628,3 +628,80 @@ def ext_session(spark, sf):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def ext_rollup(spark, sf):
     return table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+# --- geometry kernels and rules -------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS id, CAST(least(p_size, 10)*least(p_partkey%7+1, 4) AS BIGINT) AS area FROM part")
+def clip_to_box(spark, sf):
+    """Rectangles cut by a box."""
+    from ..operators import geometry
+
+    ship_package(spark)
+    w, h, z = F.col("p_size").cast("double"), (F.col("p_partkey") % 7 + 1).cast("double"), F.lit(0.0)
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    ring = F.array(pt(z, z), pt(w, z), pt(w, h), pt(z, h))
+    cut = geometry.clipped(ring, -5.0, -5.0, 10.0, 4.0)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), cut.alias("c")).select("id", F.round(geo.signed_area(F.col("c"))).cast("long").alias("area"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN 3 ELSE 2 END AS points FROM part")
+def simplify_lines(spark, sf):
+    """The middle point stays only if it is further than the tolerance from the line between the ends."""
+    from ..operators import geometry
+
+    ship_package(spark)
+    pt = lambda a, b: F.struct(F.lit(a).alias("x"), b.alias("y"))
+    line = F.array(pt(0.0, F.lit(0.0)), pt(50.0, F.col("p_size").cast("double")), pt(100.0, F.lit(0.0)))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.size(geometry.simplified(line, 5.0)).alias("points"))
+
+
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey%2=0 THEN p_size ELSE p_size*5 END AS BIGINT) AS m FROM part")
+def line_distances(spark, sf):
+    """Points beside a line, and beyond its end on a 3-4-5 triangle."""
+    from ..operators import geometry
+
+    ship_package(spark)
+    line = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(0.0).alias("y")) for x in (0.0, 40.0, 100.0)])
+    s, even = F.col("p_size").cast("double"), F.col("p_partkey") % 2 == 0
+    d = geometry.distance_to_line(line, F.when(even, 30.0).otherwise(100.0 + 3 * s), F.when(even, s).otherwise(4 * s))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(d).cast("long").alias("m"))
+
+
+@query()
+def greedy_clusters(spark, sf):
+    """Order decides which cluster a station joins; no SQL."""
+    from ..operators import geometry
+
+    s = stations(spark, sf).withColumn("p", geo.proj(F.col("slng"), F.col("slat"))).select("sid", "station", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return geometry.cluster_centres(s, "station", "sid", "x", "y", 13000.0).select("name", "cluster", "n")
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey%4 WHEN 0 THEN 24 WHEN 1 THEN 125 WHEN 2 THEN 26 END AS cls, CASE o_orderkey%4 WHEN 0 THEN 11 WHEN 1 THEN 11 WHEN 2 THEN 14 END AS minz FROM orders")
+def road_classes(spark, sf):
+    from ..functions import rules
+
+    k = F.col("o_orderkey") % 4
+    c = rules.road_class(F.when(k == 0, "motorway_link").when(k == 1, "primary").when(k == 2, "residential").otherwise("track"), F.when(k == 1, "yes"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), c["cls"].alias("cls"), c["minz"].alias("minz"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey%5=0 THEN 'manual' WHEN (o_orderkey%900) <= CASE o_orderkey%3 WHEN 0 THEN 150 WHEN 1 THEN 300 ELSE 700 END THEN 'matched' WHEN o_orderkey%3 > 0 AND o_orderkey%1000 < 600 THEN 'pin' WHEN o_orderkey%7 <> 0 THEN 'geocoded' END AS geo FROM orders")
+def position_precedence(spark, sf):
+    from ..functions import rules
+
+    k = F.col("o_orderkey")
+    level = F.when(k % 3 == 0, "number").when(k % 3 == 1, "block").otherwise("town")
+    p = rules.position(F.when(k % 5 == 0, 1), F.when(k % 7 != 0, 1), level, F.lit(2), k % 900, F.lit(3), k % 1000, resolve.gate(level))
+    return table(spark, sf, "orders").select(k.alias("id"), p["geo"].alias("geo"))
+
+
+@query("SELECT c_custkey AS id, CAST(CASE WHEN c_custkey%2=0 THEN 2 ELSE 1 END AS INT) AS links, CASE WHEN c_custkey%4=0 THEN 'shop' WHEN c_custkey%4=1 THEN 'bar' WHEN c_custkey%4=2 THEN 'tavern' ELSE 'food' END AS kind FROM customer")
+def links_and_kinds(spark, sf):
+    from ..functions import rules
+
+    k = F.col("c_custkey")
+    links = rules.link_map(web=F.lit("https://a.example"), insta=F.when(k % 2 == 0, "http://b.example"), x=F.lit("ftp://c"))
+    kind = rules.poi_kind(F.when(k % 4 == 0, "wine"), F.when(k % 4 == 1, "pub"), F.when(k % 4 == 2, "Yakitori;ramen"))
+    return table(spark, sf, "customer").select(k.alias("id"), F.size(links).alias("links"), kind.alias("kind"))
