@@ -329,3 +329,17 @@ def test_words_at_row_borders():
     body, offsets = raw(pa.array([b"ab", b"", None, b"cd e", b"f"], pa.binary()))
     start, end, first = words(body, offsets)
     assert [bytes(body[a:b]) for a, b in zip(start, end)] == [b"ab", b"cd", b"e", b"f"] and first.tolist() == [0, 1, 1, 1, 3, 4]
+
+
+def test_sample_is_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(classify, "SAMPLE", 7)
+    rng = random.Random(8)
+    spread = [(i, rng.choice("abc"), rng.getrandbits(64) - 2**63) for i in range(600)]
+    ties = [(1000 + i, "a", -(2**63)) for i in range(5)] + [(2000 + i, "d", 5) for i in range(30)] + [(3000, "e", 2**63 - 1)]
+    given = spark.createDataFrame(spread + ties, "_id long, _label string, _h long")
+    got = {(r._id, r._label) for r in classify._smallest(given, "_label").select("_id", "_label").collect()}
+    want = set()
+    for label in "abcde":
+        want |= {(i, label) for _, i in sorted((h, i) for i, x, h in spread + ties if x == label)[:7]}
+    assert got == want
+    assert classify._smallest(given.where("false"), "_label").count() == 0

@@ -25,18 +25,36 @@ from .bytesops import raw, slices
 
 SAMPLE, SAMPLE_BYTES = 1000, 32768
 LANGUAGE_WINDOW, QUALITY_CHUNK = 512, 512
-#: At most so many languages are learned, the most frequent ones in the sample's order of ids.
+#: At most so many languages are learned, the most frequent ones; it bounds what is sent to the driver.
 MAX_CLASSES = 256
 SLICE = 128 << 10
 
 
+def _smallest(ids: DataFrame, label: str) -> DataFrame:
+    """Of each label the SAMPLE rows with the smallest (_h, _id).
+
+    Hashes are counted in 4096 ranges first. Only the ranges up to the one that completes the sample are ranked, so
+    the task of a label reads little more than the sample, however many rows and tasks there are.
+    """
+    ranged = ids.withColumn("_range", F.shiftright("_h", 52))
+    counts = ranged.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    last = (
+        counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+        .groupBy(label).agg(F.max(F.when(F.col("_before") < SAMPLE, F.col("_range"))).alias("_last"), F.sum("_n").alias("_all"))
+        .orderBy(F.desc("_all"), label).limit(MAX_CLASSES).select(label, "_last")
+    )
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "_id"))
+    few = ranged.join(F.broadcast(last), label).where(F.col("_range") <= F.col("_last"))
+    return few.withColumn("_r", rank).where(F.col("_r") <= SAMPLE)
+
+
 def _sample(rows: DataFrame, label: str) -> list[tuple[bytes, object]]:
     """(text, label) of a bounded number of rows for each label."""
     ids = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select(
         F.col("doc_id").alias("_id"), F.col(label).alias("_label"), F.xxhash64("doc_id").alias("_h")
     )
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_id"))
-    picked = ids.withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("_id", "_label").limit(SAMPLE * MAX_CLASSES).collect()
+    picked = _smallest(ids, "_label").select("_id", "_label").collect()
     if not picked:
         return []
     wanted = rows.sparkSession.createDataFrame(picked, "_id long, _label string" if label == "lang" else "_id long, _label int")
