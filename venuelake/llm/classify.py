@@ -129,9 +129,8 @@ def language(docs: DataFrame, learn: Column) -> DataFrame:
 
 def train_quality(docs: DataFrame, labels: DataFrame, learn: Column) -> ByteConvNet | None:
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = marks.where(learn).withColumn("_h", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy("_h", "doc_id"))
-    picked = ids.withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select(F.col("doc_id").alias("_id"), "quality").collect()
+    ids = marks.where(learn).select(F.col("doc_id").alias("_id"), "quality", F.xxhash64("doc_id").alias("_h"))
+    picked = _smallest(ids, "quality").select("_id", "quality").collect()
     if len({r.quality for r in picked}) < 2:
         return None
     wanted = docs.sparkSession.createDataFrame(picked, "_id long, quality int")
