@@ -46,3 +46,15 @@ def test_rules(spark):
     assert one(rules.station_rank(F.lit(False), F.lit(3))) == 3 and one(rules.station_rank(F.lit(False), F.lit(1))) == 1
     clean = rules.enrichment({"catch": (F.lit(" a  b "), 60)}, F.array(F.lit("x"), F.lit("不明")), F.array(F.struct(F.lit("").alias("n"), F.lit("1").alias("p"))), F.array(F.lit("https://a"), F.lit("b")))
     assert one(clean["catch"]) == "a b" and one(clean["rules"]) == ["x"] and one(clean["menu"]) == [] and one(clean["sources_add"]) == ["https://a"]
+
+
+def test_pin_gap_and_polygons(spark):
+    assert g.nearest_on_ring(SQUARE, 13, 14) == (10, 10) and g.nearest_on_ring(SQUARE, 4, -3) == (4, 0)
+    rows = [(SQUARE, 5.0, 5.0), (SQUARE, 13.0, 14.0), (None, 1.0, 1.0), (SQUARE, None, 1.0), ([], 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "ring array<struct<x:double,y:double>>, x double, y double")
+    got = [r.at.gap for r in df.select(g.pin_gap(F.col("ring"), F.col("x"), F.col("y")).alias("at")).collect()]
+    assert got == [0.0, 5.0, None, None, None]
+    hole = SQUARE[::-1]
+    lists = spark.createDataFrame([([SQUARE, hole, SQUARE],), ([hole, SQUARE],), ([],), (None,)], "rings array<array<struct<x:double,y:double>>>")
+    got = [None if r.p is None else [len(x) for x in r.p] for r in lists.select(g.polygons(F.col("rings")).alias("p")).collect()]
+    assert got == [[2, 1], [1, 1], [], None]

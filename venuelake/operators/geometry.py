@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geo import signed_area
 from ..session import ship_package
 
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -160,6 +161,54 @@ def distance_to_line(points: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series
     return pd.Series([None if v is None or a != a or b != b else line_distance(_points(v), a, b) for v, a, b in zip(points, x, y)], dtype="float64")
 
 
+def nearest_on_ring(ring: list[Point], x: float, y: float) -> Point:
+    """The point of a ring's border nearest to a point; of equally near ones that on the first side."""
+    a = np.array(ring, float)
+    d = np.roll(a, -1, axis=0) - a
+    p = np.array([x, y])
+    t = np.clip(((p - a) * d).sum(-1) / np.maximum((d * d).sum(-1), 1e-300), 0, 1)
+    on = a + t[:, None] * d
+    px, py = on[np.hypot(*(p - on).T).argmin()]
+    return float(px), float(py)
+
+
+def pin_gap(ring: Column, x: Column, y: Column) -> Column:
+    """struct<x, y, gap>: the nearest point of an outline and how far it is.
+
+    Inside the outline it is the point itself with gap 0. Null without a point or a ring.
+    """
+
+    @F.pandas_udf("x double, y double, gap double")
+    def run(rings: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, a, b in zip(rings, xs, ys):
+            if v is None or not len(v) or pd.isna(a) or pd.isna(b):
+                out.append((None, None, None))
+            elif contains(points := _points(v), a, b):
+                out.append((a, b, 0.0))
+            else:
+                px, py = nearest_on_ring(points, a, b)
+                out.append((px, py, float(np.hypot(px - a, py - b))))
+        return pd.DataFrame(out, columns=["x", "y", "gap"], dtype="float64")
+
+    return run(ring, x, y)
+
+
+def polygons(rings: Column) -> Column:
+    """array<array<ring>>: a ring of positive area begins a polygon, the others are holes of the one before.
+
+    A hole without a polygon before it begins one. Null for null; an empty list has none.
+    """
+    none = F.array().cast("array<array<array<struct<x:double,y:double>>>>")
+
+    def add(done: Column, ring: Column) -> Column:
+        n, own = F.size(done), F.array(F.array(ring))
+        with_hole = F.concat(F.slice(done, 1, n - 1), F.array(F.concat(F.element_at(done, -1), F.array(ring))))
+        return F.when((n == 0) | (signed_area(ring) > 0), F.concat(done, own)).otherwise(with_hole)
+
+    return F.aggregate(rings, none, add)
+
+
 def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius: float) -> DataFrame:
     """(name, cluster, n, cx, cy): in order, a row joins the first cluster of its name whose first member is near.
 

@@ -669,6 +669,33 @@ def line_distances(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(d).cast("long").alias("m"))
 
 
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey%2=0 THEN '2,1' ELSE '1,2' END AS rings FROM part")
+def ring_polygons(spark, sf):
+    """Rings told apart by orientation: two polygons, one with a hole."""
+    from ..operators import geometry
+
+    side, z = F.col("p_size").cast("double"), F.lit(0.0)
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    outer, hole = F.array(pt(z, z), pt(side, z), pt(side, side), pt(z, side)), F.array(pt(z, z), pt(z, side / 2), pt(side / 2, side / 2))
+    made = geometry.polygons(F.when(F.col("p_partkey") % 2 == 0, F.array(outer, hole, outer)).otherwise(F.array(outer, outer, hole)))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(made, lambda p: F.size(p).cast("string")), ",").alias("rings"))
+
+
+@query("SELECT p_partkey AS id, CAST(greatest(p_partkey%20-5, 0) AS BIGINT) AS gap, CAST(p_size*2 + CASE WHEN p_partkey%20-5 > 8 THEN 0 ELSE p_partkey%20-5 END AS BIGINT) AS x FROM part WHERE p_size*2 > 5")
+def outline_gap(spark, sf):
+    """A pin over eight metres outside the outline moves to it."""
+    from ..operators import geometry
+
+    ship_package(spark)
+    side, z = F.col("p_size") * F.lit(2.0), F.lit(0.0)
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    ring = F.array(pt(z, z), pt(side, z), pt(side, side), pt(z, side))
+    x = side + (F.col("p_partkey") % 20 - 5)
+    found = table(spark, sf, "part").where("p_size * 2 > 5").select(F.col("p_partkey").alias("id"), x.alias("x"), geometry.pin_gap(ring, x, side / 2).alias("at"))
+    moved = F.when(F.col("at.gap") > 8, F.col("at.x")).otherwise(F.col("x"))
+    return found.select("id", F.round("at.gap").cast("long").alias("gap"), F.round(moved).cast("long").alias("x"))
+
+
 @query()
 def greedy_clusters(spark, sf):
     """Order decides which cluster a station joins; no SQL."""
