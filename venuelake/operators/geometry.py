@@ -247,3 +247,58 @@ def packed(df: DataFrame, keys: list[str], cx: str, cy: str, order: str, points:
     """Features of a class and cell in one row, in order (G15); a cell bounds how much is gathered."""
     placed = df.withColumns({"bx": F.floor(F.col(cx) / cell), "by": F.floor(F.col(cy) / cell)})
     return placed.groupBy(*keys, "bx", "by").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, points))), lambda s: s[points]).alias("parts"))
+
+
+def ring_segment_distance(ring: list[Point], a: Point, b: Point) -> float:
+    """Distance of a ring's area to a segment; 0 if they meet."""
+    if contains(ring, *a) or contains(ring, *b):
+        return 0.0
+    p = np.array(ring, float)
+    q = np.roll(p, -1, axis=0)
+    s, t = np.array(a, float), np.array(b, float)
+    side = lambda u, v, w: (v[..., 0] - u[..., 0]) * (w[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (w[..., 0] - u[..., 0])
+    if ((side(p, q, s) * side(p, q, t) < 0) & (side(s, t, p) * side(s, t, q) < 0)).any():
+        return 0.0
+    return float(min(segment_distance(s, p, q).min(), segment_distance(t, p, q).min(), segment_distance(p, s[None], t[None]).min()))
+
+
+@F.pandas_udf(T.DoubleType())
+def _to_segment(ring: pd.Series, ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    return pd.Series([ring_segment_distance(_points(r), (a, b), (c, d)) for r, a, b, c, d in zip(ring, ax, ay, bx, by)], dtype=float)
+
+
+def _span(values: Column, pad: float, cell: float) -> Column:
+    """The cells that the padded range of ``values`` touches."""
+    return F.sequence(F.floor((F.array_min(values) - pad) / cell), F.floor((F.array_max(values) + pad) / cell))
+
+
+def fronting(buildings: DataFrame, lines: DataFrame, key: str, reach: float, largest: float, cell: float = 256.0) -> DataFrame:
+    """Rows of ``buildings``(key, points) with an area up to ``largest`` and within ``reach`` of a line of ``lines``(points).
+
+    Segments and padded buildings meet by an equi join on grid cells; the exact distance decides. Keys are distinct;
+    rings and lines of under two points are near nothing.
+    """
+    ship_package(buildings.sparkSession)
+    small = buildings.where((F.size("points") > 2) & (F.abs(signed_area(F.col("points"))) <= largest))
+    placed = small.select(key, F.col("points").alias("_ring"), F.explode(_span(F.col("points.x"), reach, cell)).alias("_cx"), "points").withColumn(
+        "_cy", F.explode(_span(F.col("points.y"), reach, cell))
+    )
+    pairs = F.transform(F.slice("points", 1, F.size("points") - 1), lambda p, i: F.struct(p.alias("a"), F.col("points")[i + 1].alias("b")))
+    segments = lines.where(F.size("points") > 1).select(F.explode(pairs).alias("s")).select("s.a", "s.b").distinct()
+    segments = segments.withColumn("_sx", F.explode(_span(F.array("a.x", "b.x"), 0.0, cell))).withColumn("_sy", F.explode(_span(F.array("a.y", "b.y"), 0.0, cell)))
+    met = placed.join(segments, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
+    near = met.where(_to_segment("_ring", "a.x", "a.y", "b.x", "b.y") <= reach).select(F.col(key).alias("_near")).distinct()
+    return buildings.join(near, buildings[key] == F.col("_near"), "left_semi")
+
+
+def grid_split(df: DataFrame, points: str, cell: float) -> DataFrame:
+    """A row for each grid cell that a ring has a part in, with the part, ``cx`` and ``cy``."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf(POINTS)
+    def part(ring: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        return pd.Series([_structs(clip_ring(_points(r), x * cell, y * cell, (x + 1) * cell, (y + 1) * cell)) for r, x, y in zip(ring, cx, cy)], dtype=object)
+
+    placed = df.where(F.size(points) > 2).withColumn("cx", F.explode(_span(F.col(f"{points}.x"), 0.0, cell))).withColumn("cy", F.explode(_span(F.col(f"{points}.y"), 0.0, cell)))
+    cut = placed.withColumn(points, part(points, "cx", "cy"))
+    return cut.where((F.size(points) > 2) & (F.abs(signed_area(F.col(points))) > 0))

@@ -46,3 +46,34 @@ def same_address(a: Column, b: Column) -> Column:
     """Number arrays agree on their first two parts, or on all that the shorter one has."""
     n = F.least(F.size(a), F.size(b), F.lit(2))
     return (n > 0) & (F.slice(a, 1, n) == F.slice(b, 1, n))
+
+
+def cross_check(df: DataFrame, first: DataFrame, second: DataFrame, first_id: str, second_id: str, take: list[str]) -> DataFrame:
+    """``df`` with the pin columns ``take`` of the first table by ``first_id``, or of the second by ``second_id``.
+
+    Both tables have a row for each id at most. Null ids match nothing, and the columns are null without a pin.
+    """
+    a = first.select(F.col("id").alias("_a"), F.struct(*take).alias("_p"))
+    b = second.select(F.col("id").alias("_b"), F.struct(*take).alias("_q"))
+    joined = df.join(a, df[first_id] == F.col("_a"), "left").join(b, df[second_id] == F.col("_b"), "left")
+    pin = F.coalesce("_p", "_q")
+    return joined.select(*[df[c] for c in df.columns], *[pin[c].alias(c) for c in take])
+
+
+def repaired(df: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` replaced where ``fresh`` has the key and a value (J20); fresh keys are distinct."""
+    new = fresh.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = df.join(new, df[key] == F.col("_k"), "left")
+    return joined.select(*[F.coalesce(f"_{c}", df[c]).alias(c) if c in columns else df[c] for c in df.columns])
+
+
+def direct_else_search(direct: DataFrame, hits: DataFrame, agrees: Column, queries: int = 2, each: int = 4) -> DataFrame:
+    """(key, store): the store a row names itself, else the first search hit whose address agrees.
+
+    ``direct``(key, store); ``hits``(key, store, query, place, ...), numbered from 0: the first ``each`` hits of the
+    first ``queries`` searches are looked at. Each key keeps its least (query, place), without a sort of its hits.
+    """
+    own = direct.where("store is not null").select("key", "store", F.lit(-1).alias("query"), F.lit(0).alias("place"))
+    found = hits.where((F.col("query") < queries) & (F.col("place") < each) & agrees).select("key", "store", F.col("query").cast("int"), F.col("place").cast("int"))
+    every = own.unionByName(found)
+    return every.groupBy("key").agg(F.min_by("store", F.struct("query", "place", "store")).alias("store"))

@@ -732,3 +732,122 @@ def links_and_kinds(spark, sf):
     links = rules.link_map(web=F.lit("https://a.example"), insta=F.when(k % 2 == 0, "http://b.example"), x=F.lit("ftp://c"))
     kind = rules.poi_kind(F.when(k % 4 == 0, "wine"), F.when(k % 4 == 1, "pub"), F.when(k % 4 == 2, "Yakitori;ramen"))
     return table(spark, sf, "customer").select(k.alias("id"), F.size(links).alias("links"), kind.alias("kind"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey%5 WHEN 0 THEN '現金・カード（VISA・JCB）・電子マネー（交通系IC）可' WHEN 1 THEN '現金のみ' WHEN 2 THEN '現金・QR決済（PayPay・d払い）可' END AS pay,
+  CASE p_partkey%5 WHEN 4 THEN NULL ELSE p_partkey%5 = 1 END AS cash_only, CASE p_partkey%3 WHEN 0 THEN '現金・カード・QR決済可' WHEN 1 THEN '現金のみ' END AS pay_b,
+  CASE p_partkey%4 WHEN 0 THEN '全席禁煙' WHEN 1 THEN '分煙・喫煙所あり' WHEN 2 THEN '喫煙可' END AS smoking, CASE p_partkey%3 WHEN 0 THEN 'チャージなし' WHEN 1 THEN '席料300円' END AS charge,
+  CASE p_partkey%4 WHEN 0 THEN '予約不可' WHEN 1 THEN '完全予約制' WHEN 2 THEN '予約可' END AS reserve FROM part""")
+def payment_terms(spark, sf):
+    """Phrases of pages in two languages."""
+    from ..functions import listing
+
+    k = F.col("p_partkey")
+    pick = lambda n, *words: F.get(F.array(*[F.lit(w) for w in words]), (k % n).cast("int"))
+    english = listing.payment_english(pick(
+        5, "Credit card accepted (VISA, JCB) Electronic money accepted (Transportation IC cards (e.g., Suica))", "Credit cards not accepted",
+        "QR code payments accepted (PayPay, d Barai)", "Electronic money not accepted", "Cash",
+    ))
+    japanese = listing.payment_japanese(pick(3, "利用可 QRコード決済可", "カード不可", " "))
+    return table(spark, sf, "part").select(
+        k.alias("id"), english["pay"].alias("pay"), english["cash_only"].alias("cash_only"), japanese["pay"].alias("pay_b"),
+        listing.smoking_english(pick(4, "Non smoking", "Designated Smoking area", "Smoking is allowed", "?")).alias("smoking"),
+        listing.charge_text(pick(3, "なし", "席料300円", "")).alias("charge"),
+        listing.reservation(pick(4, "Reservations unavailable", "Reservations only", "Reservations available", "?")).alias("reserve"),
+    )
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey%2=0 THEN 'first' WHEN c_custkey%3=0 THEN 'second' WHEN c_custkey%5>0 AND c_custkey%7>0 THEN 'text' END AS source,
+  CASE WHEN c_custkey%2=0 THEN CASE WHEN c_custkey%4=0 THEN true ELSE c_custkey%5=0 END WHEN c_custkey%3=0 THEN false ELSE c_custkey%5=0 END AS cash,
+  CASE WHEN c_custkey%3=0 AND c_custkey%2=0 THEN 'closed' END AS note FROM customer""")
+def hours_cascade(spark, sf):
+    """The first listing has an empty week for odd ids, and a null under its key for cash where the id is 2 modulo 4."""
+    from ..functions import listing
+
+    k, week = F.col("c_custkey"), F.create_map(F.lit("mon"), F.lit(1))
+    none = F.create_map().cast("map<string,int>")
+    got = listing.hours_source(F.when(k % 2 == 0, week).otherwise(none), F.when(k % 3 == 0, week), week, k % 5 == 0, k % 7 == 0)
+    cash = listing.cash_only(k % 2 == 0, F.when(k % 4 == 0, True), F.when(k % 3 == 0, False), F.when(k % 5 == 0, "現金のみ").otherwise("カード可"))
+    note = listing.status_note(F.when(k % 2 == 0, "open").otherwise("uncertain"), F.when(k % 3 == 0, "closed").otherwise("fine"))
+    return table(spark, sf, "customer").select(k.alias("id"), got["source"].alias("source"), cash.alias("cash"), note.alias("note"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey%2=0 THEN o_custkey END AS a, CASE WHEN o_orderkey%3=0 THEN o_orderkey%150 END AS b FROM orders)
+SELECT o.id, coalesce(c_nationkey, s_nationkey) AS pin FROM o LEFT JOIN (SELECT * FROM customer WHERE c_custkey%4>0) ON c_custkey = a LEFT JOIN supplier ON s_suppkey = b""")
+def pin_cross_check(spark, sf):
+    """The pin of the first listing a row links to, else of the second."""
+    from ..functions import listing
+
+    k = F.col("o_orderkey")
+    links = F.array_compact(F.array(F.lit("https://other.example/7"), F.when(k % 2 == 0, F.concat(F.lit("https://one.example/"), "o_custkey")), F.when(k % 3 == 0, F.concat(F.lit("https://two.example/s"), k % 150))))
+    rows = table(spark, sf, "orders").select(k.alias("id"), listing.source_id(links, r"one\.example/(\d+)").cast("long").alias("a"), listing.source_id(links, r"two\.example/s(\d+)").cast("long").alias("b"))
+    one = table(spark, sf, "customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("pin"))
+    two = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("pin"))
+    return resolve.cross_check(rows, one, two, "a", "b", ["pin"]).select("id", "pin")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 AND c_acctbal>=0 THEN c_acctbal ELSE CAST(c_nationkey AS DOUBLE) END AS v FROM customer")
+def repair_join(spark, sf):
+    """Read again by key; a row that comes back without a value keeps the old one."""
+    base = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("v"))
+    fresh = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
+    return resolve.repaired(base, fresh, "id", ["v"])
+
+
+@query("""WITH h AS (SELECT l_orderkey AS k, l_partkey AS store, l_linenumber-1 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r
+  FROM lineitem WHERE l_linenumber <= 4 AND l_quantity > 25)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey%5=0 THEN o_custkey ELSE h.store END AS store FROM orders LEFT JOIN h ON k = o_orderkey AND r = 1
+WHERE o_orderkey%5=0 OR h.store IS NOT NULL""")
+def direct_or_search(spark, sf):
+    """A store that the row names, else the first of four hits that agrees."""
+    direct = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("store"))
+    hits = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(
+        F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("store"), F.lit(0).alias("query"), (F.col("l_linenumber") - 1).alias("place"), "l_quantity"
+    )
+    return resolve.direct_else_search(direct, hits, F.col("l_quantity") > 25).withColumnRenamed("key", "id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size*p_size <= 900 AND p_partkey%12 <= 6")
+def fronting_buildings(spark, sf):
+    """Squares beside a street of two segments, 0 to 11 units off it; those over 900 square units don't count."""
+    from ..operators import geometry
+
+    k, side = F.col("p_partkey"), F.col("p_size").cast("double")
+    x, y = (k % 100 * 60).cast("double"), (k % 12).cast("double")
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    squares = table(spark, sf, "part").select(k.alias("id"), F.array(pt(x, y), pt(x + side, y), pt(x + side, y + side), pt(x, y + side)).alias("points"))
+    z = F.lit(0.0)
+    street = spark.range(1).select(F.array(pt(z, z), pt(F.lit(3000.0), z), pt(F.lit(7000.0), z)).alias("points"))
+    return geometry.fronting(squares, street, "id", 6.0, 900.0).select("id")
+
+
+@query("SELECT p_partkey AS id, CAST(pow(ceil(p_size*10/128.0), 2) AS BIGINT) AS cells, CAST(p_size*10*p_size*10 AS BIGINT) AS area FROM part")
+def grid_split_cells(spark, sf):
+    """Squares cut by a grid of 128 units; the parts add up to the whole."""
+    from ..functions.geo import signed_area
+    from ..operators import geometry
+
+    side, z = F.col("p_size") * F.lit(10.0), F.lit(0.0)
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    squares = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(pt(z, z), pt(side, z), pt(side, side), pt(z, side)).alias("points"))
+    cut = geometry.grid_split(squares, "points", 128.0)
+    return cut.groupBy("id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum(F.abs(signed_area(F.col("points"))))).cast("long").alias("area"))
+
+
+@query("""SELECT c_custkey AS id, CAST(CASE c_custkey%3 WHEN 0 THEN 100+10*(c_custkey%4) WHEN 1 THEN 40+15*(c_custkey%4) ELSE 30 END AS BIGINT) AS draw,
+  pow((c_custkey%50+0.5)*64-100, 2)+pow((c_nationkey+0.5)*64-200, 2)+CASE WHEN c_custkey%2=0 THEN 1e12 ELSE 0 END AS tile,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_custkey%7, CASE WHEN c_custkey%5=0 THEN 0 ELSE 1 END, c_custkey) AS place,
+  c_custkey%6 < 2 OR (c_custkey%6 = 3) AS aside FROM customer""")
+def map_orders(spark, sf):
+    """Orders of building, labels and tiles, and which ways are no street."""
+    from ..functions import listing
+
+    k = F.col("c_custkey")
+    order = listing.build_order(["MACHINERY", "BUILDING"], F.col("c_mktsegment"), k % 7, k % 5 == 0, k)
+    kind = F.when(k % 3 == 0, "station").when(k % 3 == 1, "place").otherwise("other")
+    aside = listing.not_a_street(F.when(k % 6 == 0, "sidewalk").when(k % 6 == 1, "crossing"), F.when(k % 6 >= 2, "service"), F.when(k % 6 == 3, "drive-through").when(k % 6 == 4, "driveway"))
+    return table(spark, sf, "customer").select(
+        k.alias("id"), listing.draw_priority(kind, k % 4).cast("long").alias("draw"),
+        listing.tile_priority(k % 50, F.col("c_nationkey"), 64.0, 100.0, 200.0, k % 2 == 0).alias("tile"),
+        F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*order)).cast("long").alias("place"), aside.alias("aside"),
+    )
