@@ -851,3 +851,23 @@ def map_orders(spark, sf):
         listing.tile_priority(k % 50, F.col("c_nationkey"), 64.0, 100.0, 200.0, k % 2 == 0).alias("tile"),
         F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*order)).cast("long").alias("place"), aside.alias("aside"),
     )
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN 'fixed。' WHEN c_custkey%4=0 THEN NULL ELSE concat(c_mktsegment, '。') END AS "desc",
+  CASE WHEN c_custkey%3=0 THEN 'a,b' WHEN c_custkey%2=0 THEN 'a' END AS links, CASE WHEN c_custkey%6=0 THEN NULL WHEN c_custkey%3=0 THEN '18-24' ELSE '17-23' END AS hours,
+  CASE WHEN c_custkey%3=0 THEN 'x,y' END AS menu FROM customer""")
+def site_index(spark, sf):
+    """Facts exist for every third id: corrected text, one link that is new, hours that are empty for even ids."""
+    from . import site
+
+    k = F.col("c_custkey")
+    given = table(spark, sf, "customer").select(
+        k.alias("id"), F.when(k % 4 == 0, "").otherwise(F.concat("c_mktsegment", F.lit("。second part"))).alias("desc"),
+        F.when(k % 2 == 0, F.array(F.lit("a"))).alias("sources"), F.when(k % 6 == 0, "").otherwise("17-23").alias("hours"),
+    )
+    facts = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(
+        k.alias("id"), F.lit("fixed。more").alias("fix_desc"), F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("sources_add"),
+        F.when(k % 2 == 0, "").otherwise("18-24").alias("hours"), F.array(F.struct(F.lit("x").alias("n"), F.lit("¥1").alias("p")), F.struct(F.lit("y").alias("n"), F.lit("¥2").alias("p"))).alias("menu"),
+    )
+    short = site.index(site.published(given, facts), ["id", "sources", "hours"])
+    return short.select("id", "desc", F.array_join("sources", ",").alias("links"), "hours", F.array_join("menu", ",").alias("menu"))
