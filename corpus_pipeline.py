@@ -12,7 +12,7 @@ from venuelake.llm.common import crc_bucket, materialize
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without any letter (``und``) go."""
     found = classify.language(docs, crc_bucket(F.col("doc_id"), 4) != 2)
-    return found.where("_lang_pred <> 'und'").select(*docs.columns)
+    return found.where((F.col("_lang_pred") != "und") | classify.has_letters(F.col("text"))).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

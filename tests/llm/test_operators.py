@@ -343,3 +343,25 @@ def test_sample_is_the_smallest_hashes(spark, monkeypatch):
         want |= {(i, label) for _, i in sorted((h, i) for i, x, h in spread + ties if x == label)[:7]}
     assert got == want
     assert classify._smallest(given.where("false"), "_label").count() == 0
+
+
+def test_long_texts_train(spark):
+    """Languages and qualities whose labelled texts are all long are learned, also where a label's document is missing."""
+    rng = random.Random(5)
+    words = {"en": "the and of with that this from was".split(), "de": "der und ist nicht eine mit von für".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(9000)), k) for i in range(24) for k in [["en", "de"][i % 2]]]
+    assert min(len(t) for _, t, _ in rows) > 32768
+    short = [(100 + i, " ".join(rng.choice(words[k]) for _ in range(60)), k) for i in range(40) for k in [["en", "de"][i % 2]]]
+    given = spark.createDataFrame(rows + short, "doc_id long, text string, lang string").repartition(3)
+    found = classify.language(given, F.col("doc_id") < 100).collect()
+    assert all(r._lang_pred == r.lang and r._lang_score > 0.5 for r in found)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)] + [(10000 + i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    scored = classify.quality(given, labels, F.lit(True)).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in scored)
+
+
+def test_nothing_learned_keeps_texts(spark):
+    import corpus_pipeline
+
+    given = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, given, "").collect()} == {1, 4}

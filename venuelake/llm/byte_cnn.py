@@ -77,18 +77,6 @@ class ByteConvNet:
                     q -= step_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
 
-def training_windows(texts: list[bytes], labels: list[int], length: int, per_text: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``per_text`` windows of each text, at random places; short texts are padded with zeros."""
-    rng = np.random.default_rng(seed)
-    rows, marks = [], []
-    for text, label in zip(texts, labels):
-        data = np.frombuffer(text, np.uint8)
-        whole = max(1, -(-len(data) // length))
-        for _ in range(min(per_text, whole)):
-            begin = int(rng.integers(0, max(1, len(data) - length + 1)))
-            row = np.zeros(length, np.uint8)
-            part = data[begin : begin + length]
-            row[: len(part)] = part
-            rows.append(row)
-            marks.append(label)
-    return np.array(rows), np.array(marks)
+def padded_windows(windows: list[bytes], length: int) -> np.ndarray:
+    """(n, length) bytes; short windows are padded with zeros."""
+    return np.frombuffer(b"".join(w[:length].ljust(length, b"\0") for w in windows), np.uint8).reshape(-1, length)

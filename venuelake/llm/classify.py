@@ -1,7 +1,8 @@
 """Language and quality of whole texts, by byte convolutional networks trained on labelled rows.
 
 A bounded sample of the labelled rows trains the network: up to SAMPLE rows of each class, those with the smallest
-hash of their id, among texts of up to SAMPLE_BYTES bytes. Prediction reads every byte of every text, in windows.
+hash of their id and text, whatever their length. A few windows of each, at hashed places, are cut out by the executors,
+and only those reach the driver. Prediction reads every byte of every text, in windows.
 
 ``language``: windows of LANGUAGE_WINDOW bytes, side by side; the probabilities of the windows are averaged by length.
 Null texts and texts without letters are ``und`` with score 0, and so is all if nothing is labelled.
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .byte_cnn import ByteConvNet, training_windows
+from .byte_cnn import ByteConvNet, padded_windows
 from .bytesops import raw, slices
 
-SAMPLE, SAMPLE_BYTES = 1000, 32768
+SAMPLE = 1000
 LANGUAGE_WINDOW, QUALITY_CHUNK = 512, 512
 #: At most so many languages are learned, the most frequent ones; it bounds what is sent to the driver.
 MAX_CLASSES = 256
@@ -49,19 +50,32 @@ def _smallest(ids: DataFrame, label: str) -> DataFrame:
     return few.withColumn("_r", rank).where(F.col("_r") <= SAMPLE)
 
 
-def _sample(rows: DataFrame, label: str) -> list[tuple[bytes, object]]:
-    """(text, label) of a bounded number of rows for each label."""
-    ids = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select(
-        F.col("doc_id").alias("_id"), F.col(label).alias("_label"), F.xxhash64("doc_id").alias("_h")
-    )
-    picked = _smallest(ids, "_label").select("_id", "_label").collect()
+def has_letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def _cut(text: Column, key: Column, size: int, most: int) -> Column:
+    """Up to ``most`` windows of ``size`` bytes, at places that ``key`` decides; texts of one window give that."""
+    n = F.octet_length(text)
+    count = F.greatest(F.least(F.lit(most), F.ceil(n / size)), F.lit(1)).cast("int")
+    place = lambda k: F.pmod(F.xxhash64(key, k), F.greatest(n - size + 1, F.lit(1)).cast("long")).cast("int") + 1
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(text.cast("binary"), place(k), F.lit(size)))
+
+
+def _sample(keyed: DataFrame, ids: DataFrame, kind: str, size: int, most: int) -> list[tuple[bytes, object]]:
+    """(window, label) of a bounded number of rows for each label.
+
+    ``keyed``(_id, _h, text): the rows; ``ids``(_id, _h, _label): their labels, of SQL type ``kind``.
+    """
+    picked = _smallest(ids, "_label").select("_id", "_h", "_label").distinct().collect()
     if not picked:
         return []
-    wanted = rows.sparkSession.createDataFrame(picked, "_id long, _label string" if label == "lang" else "_id long, _label int")
-    found = rows.join(F.broadcast(wanted), (F.col("doc_id") == F.col("_id")) & (F.col(label) == F.col("_label"))).where(
-        F.octet_length("text") <= SAMPLE_BYTES
+    wanted = keyed.sparkSession.createDataFrame(picked, f"_id {dict(ids.dtypes)['_id']}, _h long, _label {kind}")
+    same = (keyed["_h"] == wanted["_h"]) & keyed["_id"].eqNullSafe(wanted["_id"])
+    found = keyed.join(F.broadcast(wanted), same).select(
+        wanted["_id"], wanted["_h"], "_label", _cut(keyed["text"], wanted["_h"], size, most).alias("_windows")
     )
-    return sorted((bytes(r.text), r._label) for r in found.select(F.col("text").cast("binary").alias("text"), "_label").collect())
+    return sorted((bytes(w), r._label) for r in found.dropDuplicates(["_id", "_h", "_label"]).collect() for w in r._windows)
 
 
 def _cells(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +96,14 @@ def _padded(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_language(docs: DataFrame, learn: Column) -> tuple[ByteConvNet | None, list[str]]:
-    sample = _sample(docs.where(learn).select("doc_id", "text", "lang"), "lang")
+    labelled = docs.where(learn).where("lang is not null and text is not null")
+    keyed = labelled.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), "text", F.col("lang").alias("_label"))
+    sample = _sample(keyed.select("_id", "_h", "text"), keyed.select("_id", "_h", "_label"), "string", LANGUAGE_WINDOW, 3)
     names = sorted({label for _, label in sample})
     if not names:
         return None, []
     net = ByteConvNet(len(names))
-    net.fit(*training_windows([t for t, _ in sample], [names.index(x) for _, x in sample], LANGUAGE_WINDOW, 3), epochs=4)
+    net.fit(padded_windows([w for w, _ in sample], LANGUAGE_WINDOW), np.array([names.index(x) for _, x in sample]), epochs=4)
     return net, names
 
 
@@ -96,8 +112,7 @@ def language(docs: DataFrame, learn: Column) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(train_language(docs, learn))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    given = docs.withColumn("_letters", letters)
+    given = docs.withColumn("_letters", has_letters(F.col("text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang_pred string, _lang_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,17 +144,15 @@ def language(docs: DataFrame, learn: Column) -> DataFrame:
 
 def train_quality(docs: DataFrame, labels: DataFrame, learn: Column) -> ByteConvNet | None:
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = marks.where(learn).select(F.col("doc_id").alias("_id"), "quality", F.xxhash64("doc_id").alias("_h"))
-    picked = _smallest(ids, "quality").select("_id", "quality").collect()
-    if len({r.quality for r in picked}) < 2:
-        return None
-    wanted = docs.sparkSession.createDataFrame(picked, "_id long, quality int")
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = sorted((bytes(r.text), r.quality) for r in found.join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("text", "quality").collect())
+    marks = marks.where(learn).select(F.col("doc_id").alias("_of"), F.col("quality").alias("_label"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", text).alias("_h"), text.alias("text"))
+    ids = keyed.select("_id", "_h").join(marks, F.col("_id") == F.col("_of")).select("_id", "_h", "_label")
+    sample = _sample(keyed, ids, "int", QUALITY_CHUNK, 4)
     if len({q for _, q in sample}) < 2:
         return None
     net = ByteConvNet(2)
-    net.fit(*training_windows([t for t, _ in sample], [q for _, q in sample], QUALITY_CHUNK, 4), epochs=8)
+    net.fit(padded_windows([w for w, _ in sample], QUALITY_CHUNK), np.array([q for _, q in sample]), epochs=8)
     return net
 
 
