@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from venuelake.functions import rules
 from venuelake.operators import geometry as g
+from venuelake.operators import spatial
 
 SQUARE = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
 
@@ -58,3 +59,29 @@ def test_pin_gap_and_polygons(spark):
     lists = spark.createDataFrame([([SQUARE, hole, SQUARE],), ([hole, SQUARE],), ([],), (None,)], "rings array<array<struct<x:double,y:double>>>")
     got = [None if r.p is None else [len(x) for x in r.p] for r in lists.select(g.polygons(F.col("rings")).alias("p")).collect()]
     assert got == [[2, 1], [1, 1], [], None]
+
+
+def test_nearest_of_any_size(spark):
+    """More known rows than could be broadcast, far and polar rows, ties and missing coordinates, against brute force."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    known = pd.DataFrame({"sid": np.arange(120_000), "slat": rng.normal(35.6, 0.2, 120_000), "slng": rng.normal(139.6, 0.3, 120_000)})
+    known.loc[1, ["slat", "slng"]] = known.loc[0, ["slat", "slng"]].values
+    known.loc[2, ["slat", "slng"]] = [89.9, 10.0]
+    left = pd.DataFrame({"id": np.arange(60), "lat": rng.normal(35.6, 0.3, 60), "lng": rng.normal(139.6, 0.5, 60)})
+    left.loc[0, ["lat", "lng"]] = known.loc[1, ["slat", "slng"]].values
+    for i, at in enumerate([(-60.0, -170.0), (90.0, -179.0), (88.0, 100.0), (0.0, 0.0), (37.5, 139.6)]):
+        left.loc[1 + i, ["lat", "lng"]] = at
+    want = {}
+    for r in left.itertuples():
+        x = np.radians(known.slng - r.lng) * np.cos(np.radians((known.slat + r.lat) / 2))
+        want[r.id] = int(np.hypot(x, np.radians(known.slat - r.lat)).values.argmin())
+    given = spark.createDataFrame(left).union(spark.createDataFrame([(99, None, 1.0)], "id long, lat double, lng double"))
+    stations = spark.createDataFrame(known).union(spark.createDataFrame([(-1, None, None)], "sid long, slat double, slng double"))
+    near = spatial.nearest_one(given, stations, ("lat", "lng"), ("slat", "slng"), "sid", ["sid"], ["id"])
+    assert {r.id: r.sid for r in near.collect()} == want and want[0] == 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert spatial.nearest_one(given, stations.limit(0), ("lat", "lng"), ("slat", "slng"), "sid", ["sid"], ["id"]).count() == 0

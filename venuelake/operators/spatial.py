@@ -51,19 +51,41 @@ def nearest_k(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> D
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def nearest_one(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], order: str, take: list[str], key: list[str], most_rows: int = 100_000) -> DataFrame:
+#: Radii in metres of the levels that nearest_one searches on; the last one covers any two points.
+LEVELS = [100.0 * 4**i for i in range(11)]
+
+
+def nearest_one(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], order: str, take: list[str], key: list[str], widest_lat: float | None = None) -> DataFrame:
     """Each left row with the nearest right row at any distance (J04); ties go to the smallest ``order``.
 
-    Without a radius every pair has to be looked at, so the right side is counted first and must be a dimension of
-    at most ``most_rows`` rows, which is broadcast; the best partner is kept by an aggregate, not a sort. For larger
-    sides use ``within`` with a growing radius.
+    On each level one right row of a cell stands for it: the nearest of those around a left row bounds its distance.
+    All right rows are then looked at on the first level whose radius holds that bound, by an equi join on cells.
+    Rows without coordinates are left out. ``widest_lat``: no latitude is further from the equator; else it is looked up.
     """
-    n = right.limit(most_rows + 1).count()
-    if n > most_rows:
-        raise ValueError(f"the known side has over {most_rows} rows; search with a radius instead")
-    d = metres(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
-    best = F.min_by(F.struct(*take), F.struct(d.alias("d"), F.col(order).alias("o"))).alias("_best")
-    return left.crossJoin(F.broadcast(right)).groupBy(*key).agg(best).select(*key, "_best.*")
+    if widest_lat is None:
+        most = [df.agg(F.max(F.abs(F.col(at[0])))).first()[0] for df, at in ((left, left_at), (right, right_at))]
+        widest_lat = min(max([x for x in most if x is not None], default=0.0), 89.9999)
+    around = lambda cell: F.explode(F.array(*[F.struct(cell["_l"].alias("_l"), (cell["_a"] + i).alias("_a"), (cell["_o"] + j).alias("_o")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+    def cells(lat: Column, lng: Column) -> Column:
+        parts = []
+        for n, radius in enumerate(LEVELS):
+            a, o = _cells(lat, lng, radius, widest_lat)
+            parts.append(F.struct(F.lit(n).alias("_l"), a.alias("_a"), o.alias("_o")))
+        return F.array(*parts)
+
+    at = left.select(*key, F.col(left_at[0]).alias("_lat"), F.col(left_at[1]).alias("_lng")).where("_lat is not null and _lng is not null")
+    known = right.select(F.col(right_at[0]).alias("_rlat"), F.col(right_at[1]).alias("_rlng"), F.col(order).alias("_order"), F.struct(*take).alias("_take"))
+    known = known.where("_rlat is not null and _rlng is not null").withColumn("_cell", F.explode(cells(F.col("_rlat"), F.col("_rlng"))))
+    d = metres(F.col("_lat"), F.col("_lng"), F.col("_rlat"), F.col("_rlng"))
+
+    one = known.groupBy("_cell").agg(F.min(F.struct("_rlat", "_rlng")).alias("_p")).select(around(F.col("_cell")).alias("_cell"), "_p._rlat", "_p._rlng")
+    bound = at.withColumn("_cell", F.explode(cells(F.col("_lat"), F.col("_lng")))).join(one, "_cell").groupBy(*key, "_lat", "_lng").agg(F.min(d).alias("_bound"))
+    # a little wider, so that rounding can't put a partner outside
+    level = F.coalesce(*[F.when(F.col("_bound") * 1.000001 <= r, F.lit(n)) for n, r in enumerate(LEVELS)], F.lit(len(LEVELS) - 1))
+    probing = bound.withColumn("_cell", around(F.get(cells(F.col("_lat"), F.col("_lng")), level)))
+    best = F.min_by("_take", F.struct(d.alias("d"), F.col("_order").alias("o"))).alias("_best")
+    return probing.join(known, "_cell").groupBy(*key).agg(best).select(*key, "_best.*")
 
 
 def grid_anti(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], cell: float, d_lat: float, d_lng: float) -> DataFrame:
