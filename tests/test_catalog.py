@@ -41,3 +41,8 @@ def test_flagship_plan_prunes_columns(spark):
     plan = catalog.flagship_open_nearby(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "c_name" not in plan.split("ReadSchema")[1]
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_no_row_is_left_out(spark):
+    for name, source in (("nearest_known_all", "customer"), ("normal_forms_all", "nation")):
+        assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()

@@ -141,6 +141,12 @@ def nearest_known_region(spark, sf):
     return spatial.nearest_one(lacking, stations(spark, sf), ("lat", "lng"), ("slat", "slng"), "sid", ["station"], ["id"])
 
 
+@query(f"WITH {_V}, {_S}, p AS (SELECT id, station, row_number() OVER (PARTITION BY id ORDER BY {_EQ.format(a='lat', b='slat', c='lng', d='slng')}, sid) AS n FROM venues, stations) SELECT id, station FROM p WHERE n = 1")
+def nearest_known_all(spark, sf):
+    """nearest_known_region for every venue."""
+    return spatial.nearest_one(venues(spark, sf).select("id", "lat", "lng"), stations(spark, sf), ("lat", "lng"), ("slat", "slng"), "sid", ["station"], ["id"])
+
+
 @query(f"WITH {_V}, {_S} SELECT id FROM venues WHERE NOT EXISTS (SELECT 1 FROM stations WHERE sqrt(pow((slng-lng)*111320.0*cos(radians(lat)),2)+pow((slat-lat)*111320.0,2)) <= 1500)")
 def range_left_anti(spark, sf):
     left = venues(spark, sf).select("id", "lat", "lng")
@@ -509,6 +515,14 @@ def normal_forms(spark, sf):
     return n.select(F.col("n_nationkey").alias("id"), text.norm_search(c).alias("search"), text.norm_name(c).alias("name"), text.norm_ledger(c).alias("ledger"))
 
 
+@query("SELECT n_nationkey AS id, 'らーめん' || replace(lower(n_name), ' ', '') AS search, 'らめん' || replace(replace(lower(n_name), ' ', ''), '_', '') AS name, 'らめん' || replace(lower(n_name), ' ', '') AS ledger FROM nation")
+def normal_forms_all(spark, sf):
+    """normal_forms for every nation: all forms drop blanks, the name form drops the underscore too."""
+    ship_package(spark)
+    c = F.concat(F.lit("ﾗｰﾒﾝ・"), F.col("n_name"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.norm_search(c).alias("search"), text.norm_name(c).alias("name"), text.norm_ledger(c).alias("ledger"))
+
+
 @query("SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey%20 = b.c_custkey%20 AND a.c_custkey < b.c_custkey AND (a.c_custkey%3 = b.c_custkey%3 OR a.c_custkey%2 = 0 OR b.c_custkey%2 = 0)")
 def address_prefix_match(spark, sf):
     """Odd ids have two numbers in their address, even ones one; the prefix has to agree."""
