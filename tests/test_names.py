@@ -25,3 +25,21 @@ def test_columns(spark):
     c = one(names.contact(F.lit('rating: 3.52 tel 03-1234-5678 <a href="https://own.example/x"><a href="https://shop.example">'), "own.example"))
     assert tuple(c) == ("03-1234-5678", 3.52, "https://shop.example")
     assert spark.range(1).where(F.lit("山・田 屋").rlike(names.loose("山田屋"))).count() == 1
+
+
+def test_reconcile(spark):
+    """All seven outcomes and all matches; the name's normal form, aliases, area or ward, the address key."""
+    from venuelake.operators import resolve
+
+    spots = [("a", "モツ焼 一", "北", "北区", "東京都北区赤羽1丁目2番3号 ビル", None), ("b", "もつ焼一", "西", "北区", "東京都北区赤羽１－２－３", "closed"), ("c", "別", None, None, "東京都北区赤羽1-2", None)]
+    given = [
+        (1, "もつ焼・一", None, "北", None, "a"), (2, "x", ["もつ焼一", None], "", None, "b"), (3, "別", None, "北", None, "c"), (4, "別", None, None, None, "zz"), (5, "違", None, None, None, "a"),
+        (6, "もつ焼一", ["モツ焼一"], "北区", None, ""), (7, "もつ焼一", None, "西", None, None), (8, "もつ焼一", None, "南", "東京都北区赤羽1-2-3号室", None), (9, "無", None, None, "大阪府1-2", None), (10, None, None, None, None, None),
+    ]
+    c = spark.createDataFrame(given, "n int, name string, aliases array<string>, area string, address string, spot_id string")
+    s = spark.createDataFrame(spots, "id string, name string, area string, ward string, address string, status string")
+    got = {r.n: (r.state, r.matches) for r in resolve.reconcile(c, s, "n").collect()}
+    assert got == {
+        1: ("掲載あり", ["a"]), 2: ("閉店掲載", ["b"]), 3: ("参照不一致", ["c"]), 4: ("参照先なし", []), 5: ("参照不一致", ["a"]),
+        6: ("候補一致・要確認", ["a", "b"]), 7: ("候補一致・要確認", ["b"]), 8: ("住所候補・要確認", ["a", "b"]), 9: ("一致未確認", []), 10: ("一致未確認", []),
+    }

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..session import ship_package
+
 
 def cores_match(a: Column, b: Column) -> Column:
     """Two core arrays agree: one equal, or one of at least three characters inside the other."""
@@ -77,3 +80,50 @@ def direct_else_search(direct: DataFrame, hits: DataFrame, agrees: Column, queri
     found = hits.where((F.col("query") < queries) & (F.col("place") < each) & agrees).select("key", "store", F.col("query").cast("int"), F.col("place").cast("int"))
     every = own.unionByName(found)
     return every.groupBy("key").agg(F.min_by("store", F.struct("query", "place", "store")).alias("store"))
+
+
+def ledger_address(c: Column) -> Column:
+    """The address up to its numbers, from the prefecture on, or the empty string."""
+    flat = F.regexp_replace(text.nfkc(F.coalesce(c, F.lit(""))), r"(?U)(?<=\d)号.*$", "")
+    flat = F.regexp_replace(flat, r"(?U)(?<=\D)\s+(?=\d)|\s+(?=\D)", "")
+    for old, new in (("丁目", "-"), ("番地", "-"), ("番", "-"), ("号", "")):
+        flat = F.replace(flat, F.lit(old), F.lit(new))
+    return F.regexp_extract(F.regexp_replace(flat, "[−－‐–—]", "-"), r"(?U)^(東京都.+?[区市町村].*?\d+(?:-\d+){1,2})", 1)
+
+
+def reconcile(candidates: DataFrame, spots: DataFrame, key: str) -> DataFrame:
+    """``key``, state (7 labels) and ``matches``, the sorted ids of all spots that agree.
+
+    ``candidates``(key, name, aliases, area, address, spot_id), keys distinct; ``spots``(id, name, area, ward, address,
+    status), ids distinct strings. A candidate with an id is held against that spot only, its name and area checked.
+    Others match by name and area; an area that is empty agrees with all. Without such a match the address decides.
+    """
+    ship_package(candidates.sparkSession)
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    given = F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: F.coalesce(n, F.lit("")) != "")
+    c = candidates.select(F.col(key).alias("_key"), some("spot_id").alias("_sid"), F.explode_outer(given).alias("_n"), text.norm_ledger(F.col("area")).alias("_area"), ledger_address(F.col("address")).alias("_addr"))
+    c = c.withColumn("_n", F.when(F.col("_n").isNotNull(), text.norm_ledger(F.col("_n"))))
+    s = spots.select(F.col("id").alias("_id"), text.norm_ledger(some("name")).alias("_name"), text.norm_ledger(some("area")).alias("_sarea"), text.norm_ledger(some("ward")).alias("_ward"), ledger_address(F.col("address")).alias("_saddr"), (some("status") == "closed").alias("_closed"))
+    places = F.array_distinct(F.array(F.lit(""), "_sarea", "_ward"))
+
+    with_id = c.where("_sid <> ''").join(s, F.col("_sid") == F.col("_id"), "left").groupBy("_key").agg(
+        F.first("_id").alias("_id"), F.first("_closed").alias("_closed"),
+        F.max(F.coalesce((F.col("_n") == F.col("_name")) & F.array_contains(places, F.col("_area")), F.lit(False))).alias("_ok"),
+    )
+    by_id = with_id.select(
+        "_key", F.when(F.col("_id").isNull(), "参照先なし").when(~F.col("_ok"), "参照不一致").when(F.col("_closed"), "閉店掲載").otherwise("掲載あり").alias("state"),
+        F.when(F.col("_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("_id")).alias("matches"),
+    )
+
+    c = c.where("_sid = ''")
+    placed = s.select("_id", "_name", F.explode(places).alias("_place"))
+    named = c.select("_key", "_n", "_area").distinct().join(placed, (F.col("_n") == F.col("_name")) & (F.col("_area") == F.col("_place")))
+    named = named.groupBy("_key").agg(F.sort_array(F.collect_set("_id")).alias("_named"))
+    rest = c.select("_key", "_addr").distinct().join(named, "_key", "left")
+    at = rest.where("_named is null and _addr <> ''").join(s.select("_id", "_saddr"), F.col("_addr") == F.col("_saddr"))
+    at = at.groupBy("_key").agg(F.sort_array(F.collect_set("_id")).alias("_at"))
+    others = rest.join(at, "_key", "left").select(
+        "_key", F.when(F.col("_named").isNotNull(), "候補一致・要確認").when(F.col("_at").isNotNull(), "住所候補・要確認").otherwise("一致未確認").alias("state"),
+        F.coalesce("_named", "_at", F.array().cast("array<string>")).alias("matches"),
+    )
+    return by_id.unionByName(others).withColumnRenamed("_key", key)

@@ -404,6 +404,27 @@ def candidate_reconcile(spark, sf):
     return j.select("id", state.alias("state"))
 
 
+@query("""WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey AS k, c_name AS name, c_nationkey AS area, c_custkey // 3 AS block, c_acctbal < 0 AS closed, c_mktsegment AS seg FROM customer),
+r AS (SELECT a.k AS id, a.seg, b.id AS hit, b.k = a.k AS own, b.closed FROM s a LEFT JOIN s b ON b.k = CASE a.seg WHEN 'BUILDING' THEN a.k ELSE 2 * a.k END WHERE a.seg IN ('BUILDING', 'MACHINERY')),
+m AS (SELECT a.k AS id, string_agg(b.id, ',' ORDER BY b.id) AS hits FROM s a JOIN s b ON a.block = b.block WHERE a.seg = 'HOUSEHOLD' GROUP BY 1)
+SELECT id, CASE WHEN hit IS NULL THEN '参照先なし' WHEN NOT own THEN '参照不一致' WHEN closed THEN '閉店掲載' ELSE '掲載あり' END AS state, coalesce(hit, '') AS matches FROM r
+UNION ALL SELECT k, '候補一致・要確認', id FROM s WHERE seg = 'AUTOMOBILE' UNION ALL SELECT id, '住所候補・要確認', hits FROM m
+UNION ALL SELECT k, '一致未確認', '' FROM s WHERE seg NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE', 'HOUSEHOLD')""")
+def candidate_cascade(spark, sf):
+    """Every customer against every customer: the segment decides what a candidate says of itself."""
+    c = table(spark, sf, "customer").withColumn("k", F.col("c_custkey")).withColumn("seg", F.col("c_mktsegment"))
+    area = F.concat(F.lit("Ｎ"), F.col("c_nationkey").cast("string"))
+    address = F.concat(F.lit("東京都 北区本町"), F.floor(F.col("k") / 3).cast("string"), F.lit("丁目1番2号"))
+    spots = c.select(F.col("k").cast("string").alias("id"), F.col("c_name").alias("name"), area.alias("area"), F.lit("北区").alias("ward"), address.alias("address"), F.when(F.col("c_acctbal") < 0, "closed").alias("status"))
+    given = c.select(
+        F.col("k").alias("id"), F.when(F.col("seg") == "HOUSEHOLD", F.concat(F.lit("x"), "c_name")).otherwise(F.col("c_name")).alias("name"), F.array(F.lit("別名")).alias("aliases"),
+        F.when(F.col("seg").isin("BUILDING", "AUTOMOBILE"), F.lower(area)).when(F.col("seg") == "FURNITURE", "南区").alias("area"),
+        F.when(F.col("seg") == "HOUSEHOLD", F.concat(F.lit("東京都北区本町"), F.floor(F.col("k") / 3).cast("string"), F.lit("-１－2 ビル3F"))).alias("address"),
+        F.when(F.col("seg") == "BUILDING", F.col("k")).when(F.col("seg") == "MACHINERY", 2 * F.col("k")).cast("string").alias("spot_id"),
+    )
+    return resolve.reconcile(given, spots, "id").select("id", "state", F.array_join("matches", ",").alias("matches"))
+
+
 @query("SELECT n_nationkey AS id, array_to_string(list_filter(['ALG','AND','CHI','STAN','XX'], lambda m: NOT contains(n_name, m)), ',') AS missing FROM nation")
 def member_not_on_map(spark, sf):
     members = F.array(*[F.lit(x) for x in ("ALG", "AND", "CHI", "STAN", "XX")])
