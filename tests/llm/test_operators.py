@@ -365,3 +365,24 @@ def test_nothing_learned_keeps_texts(spark):
 
     given = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language(spark, given, "").collect()} == {1, 4}
+
+
+def test_chat_windows_keep_the_budget(spark):
+    rng = random.Random(6)
+    size = lambda c: rng.choice([0, 5, 20, 45, 90, 120]) if c % 2 else rng.randint(0, 40)
+    rows = [(c, t, "system" if t == 0 and c % 3 == 0 else ["user", "assistant"][t % 2], "w " * size(c)) for c in range(30) for t in range(14)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=100).collect()
+    repeats = 0
+    for r in made:
+        turns = chat.parse(r.formatted)
+        repeats += sum(seen for seen, *_ in turns)
+        own = [chat.tokens_of(x) for seen, _, x in turns if not seen]
+        repeated = [(role, chat.tokens_of(x)) for seen, role, x in turns if seen]
+        if len(own) == 1 and own[0] > 100:  # too long in itself
+            assert all(role == "system" and n <= 100 for role, n in repeated) and len(repeated) <= 1
+        else:
+            assert sum(own) + sum(n for _, n in repeated) <= 100
+    assert repeats > 100
+    assert sum(not seen for r in made for seen, *_ in chat.parse(r.formatted)) == len(rows)
+    numbers = Counter(r.conv_id for r in made)
+    assert all(sorted(r.window for r in made if r.conv_id == c) == list(range(n)) for c, n in numbers.items())

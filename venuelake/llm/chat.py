@@ -1,9 +1,11 @@
 r"""Chat formatting in budgeted windows.
 
-A conversation's turns, in order of ``turn``, are numbered by the prefix sums of their tokens: a turn belongs to
-window floor(tokens before it / BUDGET), so windows begin and end with turns and no turn is ever cut. A window
-repeats the system turn, if the conversation opens with one, and up to HISTORY turns before its own; repeated turns
-have their own mark and are masked, so each assistant text is a target exactly once.
+A conversation's turns, in order of ``turn``, fill windows of up to BUDGET tokens, repeated turns included: a turn
+that no longer fits opens the next window, so windows begin and end with turns and no turn is ever cut. A window
+repeats the system turn, if the conversation opens with one, and up to HISTORY turns before its own, the latest
+first, as far as they fit beside its first turn; repeated turns have their own mark and are masked, so each assistant
+text is a target exactly once. Only a turn of over BUDGET tokens makes a larger window: it
+stands there alone, after the system turn if that one is within BUDGET.
 
     <|turn|>role<|body|>text<|end|>     a turn of this window
     <|seen|>role<|body|>text<|end|>     a repeated turn
@@ -57,12 +59,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Ite
 class _Open:
     """The window that is being filled."""
 
-    def __init__(self, number: int, repeated: list[tuple[str, str]]):
-        self.number, self.parts, self.size, self.loss = number, [], 0, []
-        for role, text in repeated:
-            self.put("seen", role, text)
+    def __init__(self, number: int, repeated: list[tuple[str, str, int]]):
+        self.number, self.parts, self.size, self.loss, self.tokens = number, [], 0, [], 0
+        for role, text, tokens in repeated:
+            self.put("seen", role, text, tokens)
 
-    def put(self, mark: str, role: str, text: str) -> None:
+    def put(self, mark: str, role: str, text: str, tokens: int) -> None:
+        self.tokens += tokens
         head = f"<|{mark}|>{escape(role)}<|body|>"
         body = escape(text)
         if mark == "turn" and role == "assistant":
@@ -72,14 +75,26 @@ class _Open:
         self.size += len(self.parts[-1])
 
 
+def _repeated(system: tuple[str, str, int] | None, recent: deque[tuple[str, str, int]], room: int) -> list[tuple[str, str, int]]:
+    """The system turn and the latest turns that fit into ``room`` tokens, in order."""
+    first = [system] if system and system[2] <= room else []
+    room -= sum(x[2] for x in first)
+    found: list[tuple[str, str, int]] = []
+    for x in reversed(recent):
+        if x[2] > room:
+            break
+        room -= x[2]
+        found.insert(0, x)
+    return first + found
+
+
 def _format(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     held = 0
     conv = object()
     window: _Open | None = None
-    system: tuple[str, str] | None = None
-    recent: deque[tuple[str, str]] = deque(maxlen=history)
-    before = 0
+    system: tuple[str, str, int] | None = None
+    recent: deque[tuple[str, str, int]] = deque(maxlen=history)
 
     def emit() -> pa.RecordBatch:
         ids, numbers, texts, losses = zip(*rows)
@@ -91,27 +106,28 @@ def _format(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Ite
 
     for c, role, text in _grouped(batches, ("conv_id", "role", "text")):
         role, text = role or "", text or ""
+        tokens = tokens_of(text)
         if c != conv or window is None:
             if window is not None:
                 rows.append((conv, window.number, "".join(window.parts), window.loss))
-            conv, before, window = c, 0, _Open(0, [])
-            system = (role, text) if role == "system" else None
+                held += window.size
+            conv, window = c, _Open(0, [])
+            system = (role, text, tokens) if role == "system" else None
             recent.clear()
             first = True
         else:
             first = False
-            if before // budget != window.number:
+            if window.tokens + tokens > budget:
                 rows.append((conv, window.number, "".join(window.parts), window.loss))
-                window = _Open(before // budget, [*([system] if system else []), *recent])
+                held += window.size
+                window = _Open(window.number + 1, _repeated(system, recent, budget - tokens) if tokens <= budget else _repeated(system, deque(), budget))
         if len(rows) >= 500 or held > 4 << 20:
             if rows:
                 yield emit()
             rows, held = [], 0
-        window.put("turn", role, text)
-        held += len(text)
-        before += tokens_of(text)
+        window.put("turn", role, text, tokens)
         if not (first and system):
-            recent.append((role, text))
+            recent.append((role, text, tokens))
     if window is not None:
         rows.append((conv, window.number, "".join(window.parts), window.loss))
     if rows:
