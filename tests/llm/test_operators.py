@@ -386,3 +386,17 @@ def test_chat_windows_keep_the_budget(spark):
     assert sum(not seen for r in made for seen, *_ in chat.parse(r.formatted)) == len(rows)
     numbers = Counter(r.conv_id for r in made)
     assert all(sorted(r.window for r in made if r.conv_id == c) == list(range(n)) for c, n in numbers.items())
+
+
+def test_op5_returns_the_ids(spark):
+    from venuelake.llm.queries import op5_pieces, table
+
+    pytest.importorskip("sentencepiece")
+    sf = "/root/testdata/sf0.001"
+    found = op5_pieces(spark, sf)
+    rows = found.collect()
+    assert all(r.n_pieces == len(r.ids) and sha(b"".join(i.to_bytes(4, "little") for i in r.ids)) == r.ids_sha256 for r in rows)
+    path = pieces.default_model()
+    docs = table(spark, sf, "documents")
+    assert sorted((r.doc_id, r.ids) for r in rows) == sorted((r.doc_id, r.ids) for r in pieces.encode(docs, path).collect())
+    assert sorted(tuple(r) for r in pieces.decode(found, path).collect()) == sorted((r.doc_id, r.text or "") for r in docs.collect())

@@ -290,13 +290,16 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _lists(found: list[bytes]) -> pa.Array:
+    size = np.array([len(x) // 4 for x in found], np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ``ids``, the piece ids of each text."""
 
     def finish(batch: pa.RecordBatch, texts: list[bytes], found: list[bytes], pieces: Pieces) -> pa.RecordBatch:
-        size = np.array([len(x) // 4 for x in found], np.int64)
-        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(found)], names=["doc_id", "ids"])
 
     return _encoded(docs.select("doc_id", "text"), path, finish, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
@@ -316,20 +319,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of int32, little-endian), decoded_sha256, round_trip (decoding gave the text)."""
+    """doc_id, ids (as of ``encode``), n_pieces, ids_sha256 (of int32, little-endian), decoded_sha256, round_trip (decoding gave the text)."""
 
     def finish(batch: pa.RecordBatch, texts: list[bytes], found: list[bytes], pieces: Pieces) -> pa.RecordBatch:
         decoded = [pieces.decode(np.frombuffer(x, np.int32).tolist()) for x in found]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()),
+                batch.column("doc_id"), _lists(found), pa.array([len(x) // 4 for x in found], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
                 pa.array([a == b for a, b in zip(texts, decoded)], pa.bool_()),
             ],
-            names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"],
+            names=["doc_id", "ids", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"],
         )
 
     return _encoded(
         docs.select("doc_id", "text"), path, finish,
-        f"doc_id {dict(docs.dtypes)['doc_id']}, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean",
+        f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean",
     )
