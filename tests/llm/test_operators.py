@@ -400,3 +400,18 @@ def test_op5_returns_the_ids(spark):
     docs = table(spark, sf, "documents")
     assert sorted((r.doc_id, r.ids) for r in rows) == sorted((r.doc_id, r.ids) for r in pieces.encode(docs, path).collect())
     assert sorted(tuple(r) for r in pieces.decode(found, path).collect()) == sorted((r.doc_id, r.text or "") for r in docs.collect())
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, f"w{i % 300} x{i % 300} y{i % 300}", f"l{i % 300:03}") for i in range(1200)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(classify, "TOTAL", 600)  # two rows each
+    net, names = classify.train_language(given, F.lit(True))
+    assert names == sorted({x for *_, x in rows}) and net.out.shape[1] == 300
+    monkeypatch.setattr(classify, "HELD", 700)  # a few cells at once
+    assert {r._lang_pred for r in classify.language(given.limit(50), F.lit(True)).collect()} <= set(names)
+    taken = []
+    fit = classify.ByteConvNet.fit
+    monkeypatch.setattr(classify.ByteConvNet, "fit", lambda self, windows, labels, **k: (taken.append(len(windows)), fit(self, windows, labels, **k)))
+    classify.train_language(given, F.lit(True))
+    assert taken == [600]

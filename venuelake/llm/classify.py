@@ -1,6 +1,6 @@
 """Language and quality of whole texts, by byte convolutional networks trained on labelled rows.
 
-A bounded sample of the labelled rows trains the network: up to SAMPLE rows of each class, those with the smallest
+A bounded sample of the labelled rows trains the network: up to SAMPLE rows of each class (TOTAL in all, or one each), those with the smallest
 hash of their id and text, whatever their length. A few windows of each, at hashed places, are cut out by the executors,
 and only those reach the driver. Prediction reads every byte of every text, in windows.
 
@@ -26,28 +26,30 @@ from .bytesops import raw, slices
 
 SAMPLE = 1000
 LANGUAGE_WINDOW, QUALITY_CHUNK = 512, 512
-#: At most so many languages are learned, the most frequent ones; it bounds what is sent to the driver.
-MAX_CLASSES = 256
+#: All languages are learned; beyond TOTAL / SAMPLE of them the sample of each shrinks, to one row at least.
+TOTAL = 256_000
+#: Probabilities (cells x languages) that are held together.
+HELD = 1 << 20
 SLICE = 128 << 10
 
 
-def _smallest(ids: DataFrame, label: str) -> DataFrame:
-    """Of each label the SAMPLE rows with the smallest (_h, _id).
+def _smallest(ids: DataFrame, label: str, each: int | None = None) -> DataFrame:
+    """Of each label the ``each`` (SAMPLE) rows with the smallest (_h, _id).
 
     Hashes are counted in 4096 ranges first. Only the ranges up to the one that completes the sample are ranked, so
     the task of a label reads little more than the sample, however many rows and tasks there are.
     """
+    each = SAMPLE if each is None else each
     ranged = ids.withColumn("_range", F.shiftright("_h", 52))
     counts = ranged.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     last = (
         counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .groupBy(label).agg(F.max(F.when(F.col("_before") < SAMPLE, F.col("_range"))).alias("_last"), F.sum("_n").alias("_all"))
-        .orderBy(F.desc("_all"), label).limit(MAX_CLASSES).select(label, "_last")
+        .groupBy(label).agg(F.max(F.when(F.col("_before") < each, F.col("_range"))).alias("_last"))
     )
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "_id"))
     few = ranged.join(F.broadcast(last), label).where(F.col("_range") <= F.col("_last"))
-    return few.withColumn("_r", rank).where(F.col("_r") <= SAMPLE)
+    return few.withColumn("_r", rank).where(F.col("_r") <= each)
 
 
 def has_letters(text: Column) -> Column:
@@ -62,12 +64,12 @@ def _cut(text: Column, key: Column, size: int, most: int) -> Column:
     return F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(text.cast("binary"), place(k), F.lit(size)))
 
 
-def _sample(keyed: DataFrame, ids: DataFrame, kind: str, size: int, most: int) -> list[tuple[bytes, object]]:
+def _sample(keyed: DataFrame, ids: DataFrame, kind: str, size: int, most: int, each: int | None = None) -> list[tuple[bytes, object]]:
     """(window, label) of a bounded number of rows for each label.
 
     ``keyed``(_id, _h, text): the rows; ``ids``(_id, _h, _label): their labels, of SQL type ``kind``.
     """
-    picked = _smallest(ids, "_label").select("_id", "_h", "_label").distinct().collect()
+    picked = _smallest(ids, "_label", each).select("_id", "_h", "_label").distinct().collect()
     if not picked:
         return []
     wanted = keyed.sparkSession.createDataFrame(picked, f"_id {dict(ids.dtypes)['_id']}, _h long, _label {kind}")
@@ -98,12 +100,14 @@ def _padded(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
 def train_language(docs: DataFrame, learn: Column) -> tuple[ByteConvNet | None, list[str]]:
     labelled = docs.where(learn).where("lang is not null and text is not null")
     keyed = labelled.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), "text", F.col("lang").alias("_label"))
-    sample = _sample(keyed.select("_id", "_h", "text"), keyed.select("_id", "_h", "_label"), "string", LANGUAGE_WINDOW, 3)
+    each = max(1, min(SAMPLE, TOTAL // max(1, labelled.select("lang").distinct().count())))
+    sample = _sample(keyed.select("_id", "_h", "text"), keyed.select("_id", "_h", "_label"), "string", LANGUAGE_WINDOW, 3, each)
     names = sorted({label for _, label in sample})
     if not names:
         return None, []
+    number = {x: n for n, x in enumerate(names)}
     net = ByteConvNet(len(names))
-    net.fit(padded_windows([w for w, _ in sample], LANGUAGE_WINDOW), np.array([names.index(x) for _, x in sample]), epochs=4)
+    net.fit(padded_windows([w for w, _ in sample], LANGUAGE_WINDOW), np.array([number[x] for _, x in sample]), epochs=4)
     return net, names
 
 
@@ -125,10 +129,13 @@ def language(docs: DataFrame, learn: Column) -> DataFrame:
                     pad = max(net.widths) - 1
                     data, size = _padded(batch.column("text"), pad)
                     start, row = _cells(size, LANGUAGE_WINDOW)
-                    p = net.probabilities(net.pooled(data, start))
+                    pooled = net.pooled(data, start)
                     weight = np.diff(np.append(start, len(data))).astype(float)
                     total = np.zeros((rows, len(names)))
-                    np.add.at(total, row, p * weight[:, None])
+                    step = max(1, HELD // len(names))
+                    for at in range(0, len(row), step):
+                        part = slice(at, at + step)
+                        np.add.at(total, row[part], net.probabilities(pooled[part]) * weight[part, None])
                     total /= size[:, None]
                     ok = batch.column("_letters").to_numpy(zero_copy_only=False)
                     best = total.argmax(axis=1)
