@@ -199,6 +199,66 @@ def test_near_groups(docs, texts, none, shingle, monkeypatch):
     assert near_dedup.near_dedup(docs, shingle).columns == docs.columns
 
 
+def components_of(rows, shingle):
+    """doc_id -> smallest id reachable, by comparing all pairs of sets."""
+    sets, up = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i], up[i] = frozenset(tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset(), i
+    root = lambda x: x if up[x] == x else root(up[x])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def equal_hash_words():
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_of_equal_hash_stay_apart(spark):
+    import numpy as np
+    from venuelake.llm.bytesops import raw, word_hashes, words
+
+    x, y = equal_hash_words()
+    body, offsets = raw(pa.array([x.encode(), y.encode()], pa.binary()))
+    start, end, _ = words(body, offsets)
+    assert len(np.unique(word_hashes(body, start, end))) == 1
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, x), (2, y), (3, f"{x} {long}"), (4, f"{y} {long}"), (5, f"{x} {x} {y} {y} {x}"), (6, f"{x} {y} {x} {y} {x}")]
+    found = {r.doc_id: r for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    want = components_of(rows, 1)
+    assert {i: r.component_id for i, r in found.items()} == want and want[1] != want[2]
+    assert found[5].n_shingles == found[6].n_shingles == 2
+
+
+@pytest.mark.parametrize("pairs", [1, 2048])
+def test_links_across_parts_of_a_family(spark, monkeypatch, pairs):
+    """Candidates that hold a family together, but not its links; also ids that are texts."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(near_dedup, "BUCKET_PAIRS", pairs)
+    ran = []
+    across = near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda members, *a: (ran.append(members.count()), across(members, *a))[1])
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        g = i % 5
+        w[:44] = [f"g{g}x{k}" for k in range(44)]  # about 0.63 alike between groups
+        for _ in range(i // 10):
+            w[rng.randrange(44, 200)] = f"e{rng.randrange(10**6)}"
+        rows.append((f"d{i:03}", " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id string, text string"), 4).collect()}
+    want = components_of(rows, 4)
+    assert got == want and len(set(want.values())) > 4 and ran and ran[0] > 40
+
+
 def test_sketch_estimates():
     import numpy as np
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Bytes of text that a kernel looks at together; a longer text is a slice of its own.
@@ -115,3 +117,49 @@ def gram_hashes(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray
         use = n > k
         value[use] = mix(value[use] * np.uint64(0xD6E8FEB86659FD93) + h[at[use] + k] + np.uint64(k + 1))
     return value, row_of[ok]
+
+
+def word_codes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(code of each byte span, the distinct spans): codes are equal exactly if the bytes are."""
+    if not len(start):
+        return np.zeros(0, np.int64), []
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    inside = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    packed = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body[inside])])
+    found = packed.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def digests(spans: list[bytes]) -> np.ndarray:
+    """(n, 2) 64-bit halves of a cryptographic 128-bit digest of each span."""
+    data = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in spans])
+    return np.frombuffer(data, np.uint64).reshape(-1, 2)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An integer for each pair (a, b) of small integers, equal exactly for equal pairs."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return pd.factorize(a * (int(b.max()) + 1) + b)[0].astype(np.int64)
+
+
+def run_names(codes: np.ndarray, size: int) -> np.ndarray:
+    """An integer for the run of ``size`` codes from each place on, equal exactly for equal runs.
+
+    Pairs of names are named again, by doubling. Runs that would pass the end have no meaning.
+    """
+    name, width, parts = codes, 1, []
+    todo = size
+    while True:
+        if todo & 1:
+            parts.append((name, width))
+        todo >>= 1
+        if not todo:
+            break
+        name, width = _joined(name, np.append(name[width:], np.zeros(min(width, len(name)), np.int64))), width * 2
+    (out, at), *rest = parts
+    for part, width in rest:
+        out = _joined(out, np.append(part[at:], np.zeros(min(at, len(part)), np.int64)))
+        at += width
+    return out

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step sends a row for each edge, and hubs are met by joins that adaptive execution can split, never by
-gathering the neighbours of a node. Each round is written to the shared folder.
+gathering the neighbours of a node. Each round is written to the shared folder, and the one before is deleted.
+Nodes may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -29,6 +30,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-{step}n")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        current = materialize(small, f"{label}-{step}")
+        done, current = current, materialize(small, f"{label}-{step}")
+        release(done, least, large, low)
     roots = current.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -1,36 +1,46 @@
 r"""Near-duplicate documents: fast similarity sketching, banding, exact verification on full shingle sets.
 
-1. Every text becomes the set of its distinct word shingles (five words unless told otherwise; ASCII lower case, words ``[^\x20\x09-\x0D]+``; with
-   fewer words the whole sequence). Texts with equal sets form a class, which one row stands for.
+1. Every text becomes the set of its distinct word shingles (five words unless told otherwise; ASCII lower case, words
+   ``[^\x20\x09-\x0D]+``; with fewer words the whole sequence). Texts with the same words in the same order form a
+   class, named by the SHA-256 of the words, and one row stands for it.
 2. A class is sketched in rounds. In round i < t each element is thrown into one of the t bins; in round t + j all
    go into bin j, so that after 2t rounds at the latest no bin is empty. A bin keeps the least value of the first
    round that reached it. Equal coordinates estimate the similarity with the concentration of t samples.
 3. BANDS bands of ROWS coordinates each put classes into buckets. A bucket links each member to another one that
    has a similar size and whose 1-bit signature (all t coordinates) is not far off, as a spanning forest, so a
-   bucket gives fewer rows than it has members. The components of these links are families.
-4. A family is verified on full sets: overlaps with all other members are counted exactly through an inverted
-   index, and links with 100 * intersection >= 80 * union are reduced to a spanning forest. A large family is cut
-   into blocks by bytes and each pair of blocks is a task, so nothing is capped and memory stays bounded.
-5. The components of the verified links are the result.
+   bucket gives fewer rows than it has members. The components of these candidates are families.
+4. The candidates are verified, a row each, on the two full texts: links have 100 * intersection >= 80 * union.
+   A family that the links hold together is done; a hot family of near copies ends here, after as many comparisons
+   as it has candidates.
+5. In other families members may still be linked across the parts that the links make. They are cut into blocks, a
+   large part into its own and small parts into common ones, and pairs of blocks are verified through an inverted
+   index, except inside one part. Nothing is capped, and a task holds two blocks.
+6. The components of all links are the result.
+
+Sketches work on 64-bit hashes, which only decide what is compared. Sets and their sizes are exact: shingles are
+compared by their words, or by names that are equal exactly for equal words (``run_names``).
 
 A link at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6; the signature cut is over
-five standard deviations below. Null or empty texts and texts without words are linked with nothing. Rows with a
-null id are given their own component (null) and are kept; repeated rows with one id share its component, and
-all count as kept if it is the smallest.
+five standard deviations below. Null or empty texts and texts without words are linked with nothing. Ids may be of
+any type that can be ordered; a component is called by its smallest id. Rows with a null id take no part: they
+have their own component (null) and are kept. Of repeated rows with one id all count as kept if it is the smallest;
+rows that share an id but not the text are documents of their own. Columns other than doc_id and text are not used.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .bytesops import LOWER, gram_hashes, mix, raw, slices, word_hashes, words
-from .common import content_key, keep_rows, materialize
+from .bytesops import LOWER, digests, gram_hashes, mix, raw, run_names, slices, word_codes, words
+from .common import content_key, keep_rows, materialize, release
 from .graph import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -41,20 +51,45 @@ SIGNATURE_FLOOR = 0.56
 BUCKET_PAIRS = 2048
 #: Shingles of a family in one block; a pair of blocks is verified in one task.
 BLOCK_SHINGLES = 400_000
+_LOWER = bytes(LOWER)
 
 
-def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the distinct shingle hashes of each row, sorted, and where each row's begin."""
+def folded(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return text.translate(_LOWER).split()
+
+
+def shingle_set(found: list[bytes], shingle: int = SHINGLE) -> frozenset[tuple[bytes, ...]]:
+    if len(found) < shingle:
+        return frozenset([tuple(found)] if found else [])
+    return frozenset(zip(*(found[k:] for k in range(shingle))))
+
+
+def linked(a: frozenset, b: frozenset) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, hashes, first): the distinct shingles of each row, and where each row's begin.
+
+    A name is equal in two rows exactly if the words of the shingle are; hashes of equal shingles are equal anywhere.
+    """
     body, offsets = raw(texts)
     body = LOWER[body]
     start, end, first = words(body, offsets)
-    value, row = gram_hashes(word_hashes(body, start, end), first, shingle)
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    value, row = value[new], row[new]
-    return value, np.searchsorted(row, np.arange(len(texts) + 1))
+    codes, distinct = word_codes(body, start, end)
+    rows, count = len(first) - 1, np.diff(first)
+    hashes, row = gram_hashes(digests(distinct)[:, 0][codes], first, shingle)
+    place = np.arange(len(codes)) - np.repeat(first[:-1], count)
+    at = np.flatnonzero(place + np.repeat(np.minimum(count, shingle), count) <= np.repeat(count, count))
+    name = run_names(codes, shingle)[at] if len(codes) else np.zeros(0, np.int64)
+    few = count[row] < shingle  # the whole sequence: equal in two rows only if the rows are of one class
+    name = np.where(few, -1 - row, name) + rows
+    new = ~pd.Series(row * (int(name.max(initial=0)) + 1) + name).duplicated().to_numpy()
+    return name[new], hashes[new], np.searchsorted(row[new], np.arange(rows + 1))
 
 
 def sketches(value: np.ndarray, first: np.ndarray, coords: int = COORDS) -> np.ndarray:
@@ -86,32 +121,30 @@ def sketches(value: np.ndarray, first: np.ndarray, coords: int = COORDS) -> np.n
     return out
 
 
+_SKETCHED = "_k1 long, _k2 long, text binary, rid long, class binary, n long, bands array<long>, bits binary"
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
-            value, first = shingle_sets(batch.column("text"), shingle)
+            _, value, first = shingle_sets(batch.column("text"), shingle)
             sk = sketches(value, first)
-            n = np.diff(first)
-            scrambled = mix(value)
-            sums = [np.zeros(len(value) + 1, np.uint64) for _ in range(2)]
-            np.cumsum(scrambled, out=sums[0][1:])
-            np.cumsum(mix(scrambled ^ np.uint64(0x5DEECE66D)), out=sums[1][1:])
-            s1, s2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
-            band = np.zeros((batch.num_rows, BANDS), np.uint64)
+            rows = batch.num_rows
+            band = np.zeros((rows, BANDS), np.uint64)
             for b in range(BANDS):
-                k = np.full(batch.num_rows, b + 1, np.uint64)
+                k = np.full(rows, b + 1, np.uint64)
                 for c in range(b * ROWS, (b + 1) * ROWS):
                     k = mix(k * np.uint64(0xD6E8FEB86659FD93) + sk[:, c])
                 band[:, b] = k
             bits = np.packbits((sk & np.uint64(1)).astype(bool), axis=1)
+            named = [hashlib.sha256(b" ".join(folded(x.as_py()))).digest() for x in batch.column("text")]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(n.astype(np.int64)),
-                    pa.array(s1), pa.array(s2),
-                    pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64))),
-                    pa.array([x.tobytes() for x in bits], pa.binary()),
+                    *(batch.column(c) for c in ("doc_id", "_k1", "_k2", "text", "rid")), pa.array(named, pa.binary()),
+                    pa.array(np.diff(first).astype(np.int64)), bands, pa.array([x.tobytes() for x in bits], pa.binary()),
                 ],
-                names=["doc_id", "_k1", "_k2", "n", "s1", "s2", "bands", "bits"],
+                names=["doc_id", "_k1", "_k2", "text", "rid", "class", "n", "bands", "bits"],
             )
 
 
@@ -145,14 +178,18 @@ def _similar(bits: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
             yield i, i + 1 + j
 
 
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary())], names=["a", "b"])
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partitions come sorted by key; a bucket may go on in the next batch. At most BUCKET_PAIRS rows are held."""
     key = None
-    ids: list[int] = []
+    ids: list[bytes] = []
     bits: list[bytes] = []
     size: list[int] = []
     hub = None  # of a bucket that has outgrown the pairs
-    out: list[tuple[int, int]] = []
+    out: list[tuple[bytes, bytes]] = []
 
     def close() -> None:
         if len(ids) == 2 and not (100 * min(size) >= PERCENT * max(size)):
@@ -168,7 +205,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         alone = ~same[:-1] & ~same[1:]
         if len(keys):
             alone[0] = alone[-1] = False
-        c, b, s = batch.column("cid"), batch.column("bits"), batch.column("n")
+        c, b, s = batch.column("class"), batch.column("bits"), batch.column("n")
         for i in np.flatnonzero(~alone).tolist():
             if keys[i] != key:
                 if hub is None:
@@ -186,18 +223,30 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 out.extend((hub, x) for x in ids[1:])
                 ids, bits, size = [], [], []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield _pairs(out)
             out.clear()
     if hub is None:
         close()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        yield _pairs(out)
 
 
-def verified_links(value: np.ndarray, first: np.ndarray, left: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def _verify_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Of candidates (a, b, left, right: the texts) those that are links. Rows with one ``a`` mostly follow each other."""
+    last, mine = None, frozenset()
+    for batch in batches:
+        good = []
+        for a, left, right in zip(*(batch.column(c) for c in ("a", "left", "right"))):
+            if a.as_py() != last:
+                last, mine = a.as_py(), shingle_set(folded(left.as_py()), shingle)
+            good.append(linked(mine, shingle_set(folded(right.as_py()), shingle)))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def verified_links(value: np.ndarray, first: np.ndarray, *apart: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs (i > j) of rows with 100 * intersection >= PERCENT * union, counted through an inverted index.
 
-    ``left``: with two blocks, which rows are in the first; only pairs across are given.
+    ``apart``: numbers of the rows; pairs of rows with the same number in any of them are left out.
     """
     rows = len(first) - 1
     n = np.diff(first)
@@ -217,80 +266,98 @@ def verified_links(value: np.ndarray, first: np.ndarray, left: np.ndarray | None
         at = np.repeat(spans[:, 0] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         overlap = np.bincount(holders[at], minlength=rows)[:i]
         good = 100 * overlap >= PERCENT * (n[i] + n[:i] - overlap)
-        if left is not None:
-            good &= left[:i] != left[i]
+        for number in apart:
+            good &= number[:i] != number[i]
         for j in np.flatnonzero(good & (overlap > 0)).tolist():
             yield i, j
 
 
-def _verify(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _verify_blocks(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Partitions come sorted by (fam, bi, bj); groups of bounded bytes are verified one after the other."""
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[bytes, bytes, bool, bytes]] = []
     key = None
 
-    def close() -> pa.RecordBatch | None:
-        if len(held) < 2:
-            return None
-        ids = [h[0] for h in held]
-        value, first = shingle_sets(pa.array([h[2] for h in held], pa.large_binary()), shingle)
-        blocks = np.array([h[1] for h in held])
-        left = blocks == key[1] if key[1] != key[2] else None
-        pairs = _forest(len(ids), verified_links(value, first, left))
-        if not pairs:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in pairs], pa.int64()), pa.array([ids[b] for _, b in pairs], pa.int64())], names=["a", "b"])
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            names, _, first = shingle_sets(pa.array([h[3] for h in held], pa.large_binary()), shingle)
+            apart = [np.unique([h[1].hex() for h in held], return_inverse=True)[1]]
+            if key[1] != key[2]:  # pairs inside one block are another task's
+                apart.append(np.array([h[2] for h in held]))
+            pairs = _forest(len(held), verified_links(names, first, *apart))
+            if pairs:
+                yield _pairs([(held[a][0], held[b][0]) for a, b in pairs])
 
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("fam", "bi", "bj"))))
-        cid, block, text = batch.column("cid"), batch.column("block"), batch.column("text")
-        for i, k in enumerate(keys):
+        for *k, node, part, left, text in zip(*(batch.column(c) for c in ("fam", "bi", "bj", "node", "part", "left", "text"))):
+            k = [x.as_py() for x in k]
             if k != key:
-                if (done := close()) is not None:
-                    yield done
+                yield from close()
                 key, held = k, []
-            held.append((cid[i].as_py(), block[i].as_py(), text[i].as_py()))
-    if (done := close()) is not None:
-        yield done
+            held.append((node.as_py(), part.as_py(), left.as_py(), text.as_py()))
+    yield from close()
+
+
+def _across(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Links of families in several parts. ``members``: node, fam, part, n."""
+    whole = members.groupBy("fam", "part").agg(F.sum("n").alias("weight"))
+    whole = whole.withColumn("own", F.when(F.col("weight") > BLOCK_SHINGLES, F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES)).cast("int")).otherwise(0))
+    common = whole.where("own = 0").groupBy("fam").agg(F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES)).cast("int").alias("common"))
+    # a block: the part that has it for itself, or none, and a number
+    alone = whole.where("own > 0").select("fam", F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("number"))
+    shared = common.select("fam", F.lit(b"").alias("of"), F.explode(F.sequence(F.lit(0), F.col("common") - 1)).alias("number"))
+    blocks = materialize(alone.unionByName(shared).select("fam", F.struct("of", "number").alias("block")), "blocks")
+    placed = members.join(whole, ["fam", "part"]).join(common, "fam", "left")
+    number = F.pmod(F.xxhash64("node"), F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("common"))).cast("int")
+    of = F.when(F.col("own") > 0, F.col("part")).otherwise(F.lit(b""))
+    placed = materialize(placed.select("node", "fam", "part", F.struct(of.alias("of"), number.alias("number")).alias("block")), "placed")
+    tasks = placed.join(blocks.withColumnRenamed("block", "other"), "fam").where(
+        "block.of != other.of or length(block.of) = 0"  # pairs of blocks of one part are left out
+    )
+    tasks = tasks.select(
+        "node", "fam", "part", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") <= F.col("other")).alias("left")
+    )
+    tasks = tasks.join(texts, "node").repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "node")
+    tasks = tasks.select("fam", F.to_json("bi").alias("bi"), F.to_json("bj").alias("bj"), "node", "part", "left", "text")
+    return tasks.mapInArrow(lambda it: _verify_blocks(it, shingle), "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and the address of its text (_k1, _k2)."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), *content_key(F.col("text")))
-    sketched = materialize(
-        texts.mapInArrow(lambda it: _sketch_rows(it, shingle), "doc_id long, _k1 long, _k2 long, n long, s1 long, s2 long, bands array<long>, bits binary"),
-        "sketches",
-    )
-    whole = sketched.where("doc_id is not null and n > 0")
-    same = ["n", "s1", "s2"]
-    classes = materialize(whole.groupBy(*same).agg(F.min("doc_id").alias("cid")), "classes")
-    # the row that stands for a class carries its sketch; rows that repeat an id and a set are the same
-    stands = whole.join(classes, same).where("doc_id = cid").dropDuplicates(["cid", *same])
-    # two sets may share an id (repeated ids); they are linked through it later
-    buckets = stands.select(F.explode("bands").alias("key"), "cid", "n", "bits").repartition("key").sortWithinPartitions("key", "cid")
-    near = buckets.mapInArrow(_bucket_links, "a long, b long")
-    families = materialize(connected_components(near, "families").withColumnRenamed("node", "cid"), "families")
-    members = stands.select("cid", "n", "_k1", "_k2").join(families, "cid")
-    weight = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    placed = members.join(
-        texts.withColumnsRenamed({"_k1": "_t1", "_k2": "_t2"}),
-        (F.col("cid") == F.col("doc_id")) & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")),
-    ).select("root", "cid", "block", "blocks", "text")
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("root").alias("fam"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "cid", "block", "text"
+    ship_package(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    given = docs.select(
+        "doc_id", *content_key(F.col("text")), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.monotonically_increasing_id().alias("rid")
     )
-    tasks = tasks.repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "cid")
-    links = tasks.mapInArrow(lambda it: _verify(it, shingle), "a long, b long")
-    # ids that stand for several sets, and all copies of a class, are one component
-    components = materialize(connected_components(links, "links"), "components")
-    by_class = classes.join(components, classes["cid"] == components["node"], "left").select(*same, F.coalesce("root", "cid").alias("root"))
-    named = sketched.select("doc_id", "_k1", "_k2", *same).join(by_class, same, "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
-    return named.select(
-        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "_k1", "_k2"
+    rows = materialize(
+        given.mapInArrow(lambda it: _sketch_rows(it, shingle), f"doc_id {kind}, {_SKETCHED}"), "sketches"
     )
+    whole = rows.where("doc_id is not null and n > 0")
+    # the written row that stands for a class, and its smallest id
+    classes = materialize(whole.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid")), "classes")
+    stands = rows.join(classes.select("rid"), "rid")
+    buckets = stands.select(F.explode("bands").alias("key"), "class", "n", "bits").repartition("key").sortWithinPartitions("key", "class")
+    near = materialize(buckets.mapInArrow(_bucket_links, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    families = materialize(connected_components(near, "families"), "families")
+    texts = materialize(stands.join(families, F.col("class") == F.col("node")).select("node", "text", "n"), "texts")
+    # the hub of a hot bucket is met last, by a join that can be split
+    right = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    pairs = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    links = materialize(pairs.select("a", "b", "left", "right").mapInArrow(lambda it: _verify_rows(it, shingle), "a binary, b binary"), "links")
+    parts = materialize(connected_components(links, "parts").withColumnRenamed("root", "part"), "parts")
+    members = families.withColumnRenamed("root", "fam").join(parts, "node", "left").select("node", "fam", F.coalesce("part", "node").alias("part"))
+    open_families = members.groupBy("fam").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("fam")
+    members = materialize(members.join(materialize(open_families, "open"), "fam").join(texts.select("node", "n"), "node"), "members")
+    if not members.isEmpty():
+        links = links.unionByName(_across(members, texts.select("node", "text"), shingle))
+    components = materialize(connected_components(links, "components"), "components")
+    named = classes.join(components, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    # written, so that the join has plain exchanges and a large class can be split
+    smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    by_class = materialize(named.join(smallest, "root").select("class", "component_id"), "by-class")
+    release(near, families, texts, links, parts, members, components, smallest, classes)
+    found = rows.select("doc_id", "_k1", "_k2", "class", "n").join(by_class, "class", "left")
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "_k1", "_k2")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
