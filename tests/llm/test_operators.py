@@ -105,6 +105,7 @@ def test_contamination(spark, docs, texts, none, monkeypatch):
     _, v = texts
     items = [(1, " ".join(v[:12])), (2, " ".join(v[:12])), (10, "A, B"), (None, "same text"), (3, None), (4, ""), (5, "absentword other"), (6, "hunter22")]
     items.append((7, " ".join((texts[0][20][1]).split()[50:75])))
+    items += [(8, "hunter22 " + " ".join(v[3:20])), (9, "no id"), (9, "no id")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = defaultdict(set)
     for i, t in items:
@@ -129,7 +130,9 @@ def test_contamination(spark, docs, texts, none, monkeypatch):
 
     assert got() == want
     assert sum(n for k, n in want.items() if k[2]) >= 5
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)  # several blocks
+    monkeypatch.setattr(decontaminate, "PLACES", 2)  # several rows of a document
+    assert got() == want
+    monkeypatch.setattr(decontaminate, "BITMAP_BITS", 16)  # a bitmap that lets others through
     assert got() == want
     clean = decontaminate.decontaminated(docs, bench)
     assert clean.count() == sum(n for k, n in want.items() if not k[2]) and clean.columns == docs.columns

@@ -73,24 +73,29 @@ def content_key(text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(salt), text.isNull(), text).alias(name) for salt, name in ((11, "_k1"), (12, "_k2"))]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, content) is in ``kept``(doc_id, _k1, _k2); of repeated rows one stays.
 
     All columns of ``docs`` come back. ``kept`` may repeat a key.
     """
     names = docs.columns
-    keyed = docs.select("*", *content_key(F.col("text")))
-    counts = (
-        keyed.select(F.col("doc_id").alias("_d"), F.col("_k1").alias("_a"), F.col("_k2").alias("_b"))
-        .groupBy("_d", "_a", "_b").count()
-    )
+    k1, k2, d, a, b, times = unused(docs, "_k1", "_k2", "_d", "_a", "_b", "_times")
+    keyed = docs.withColumns(dict(zip((k1, k2), content_key(F.col("text")))))
+    counts = keyed.groupBy(F.col("doc_id").alias(d), F.col(k1).alias(a), F.col(k2).alias(b)).agg(F.count(F.lit(1)).alias(times))
     wanted = kept.select(F.col("doc_id").alias("_e"), F.col("_k1").alias("_x"), F.col("_k2").alias("_y")).distinct()
-    wanted = counts.join(
-        wanted, F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y"))
-    ).select("_d", "_a", "_b", F.col("count").alias("_times"))
-    found = keyed.join(
-        wanted, keyed["doc_id"].eqNullSafe(wanted["_d"]) & (keyed["_k1"] == wanted["_a"]) & (keyed["_k2"] == wanted["_b"])
-    )
-    once = found.where("_times = 1").select(*names)
-    again = found.where("_times > 1").dropDuplicates(["doc_id", "_k1", "_k2"]).select(*names)
+    wanted = counts.join(wanted, F.col(d).eqNullSafe(F.col("_e")) & (F.col(a) == F.col("_x")) & (F.col(b) == F.col("_y"))).select(d, a, b, times)
+    found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted[d]) & (keyed[k1] == wanted[a]) & (keyed[k2] == wanted[b]))
+    once = found.where(F.col(times) == 1).select(*names)
+    again = found.where(F.col(times) > 1).dropDuplicates(["doc_id", k1, k2]).select(*names)
     return once.unionByName(again)
