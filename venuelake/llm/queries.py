@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import block_dedup, chat, classify, decontaminate, kneser_ney, near_dedup, pieces, secret_scan, substring_dedup
-from .common import crc_bucket
+from .common import crc_bucket, new_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,8 +28,7 @@ def _count(kind: str) -> Column:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select("doc_id", "text")
-    paths, new = secret_scan.scan(versions)
-    found = secret_scan.findings(paths, new)
+    found = secret_scan.findings(*secret_scan.update(versions, new_path(spark, "blob-ledger")))
     base = F.filter("found", lambda s: s["ord"] < len(secret_scan.BASE_RULES))
     count = {r.kind: _count(r.kind) for r in secret_scan.BASE_RULES}
     return found.select(
@@ -48,8 +47,13 @@ def _op1_sql() -> str:
             for word in ("password", "passwd", "secret", "token", "api_?key"):
                 pattern = pattern.replace(word, "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word), 1)
             pattern = pattern.replace("(?i:", "(?:")
+        lead = "''"
+        if "(?<!" in pattern:  # the SQL engine has no look-behind: the character in front is matched, and taken off the span
+            front, _, rest = pattern.removeprefix("(?<!").partition(")")
+            pattern = f"(^|[^{front[1:-1]}]){rest.replace('++', '+')}"
+            lead = f"unnest(regexp_extract_all(text, '{pattern}', 1))"
         parts.append(f"""
-  SELECT doc_id, {i} AS ord, '{r.kind}' AS kind,
+  SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, {lead} AS lead,
          unnest(regexp_split_to_array(text, '{pattern}')[1:len(regexp_extract_all(text, '{pattern}', 0))]) AS gap,
          unnest(regexp_extract_all(text, '{pattern}', 0)) AS whole,
          unnest(regexp_extract_all(text, '{pattern}', {r.group})) AS part,
@@ -59,7 +63,7 @@ def _op1_sql() -> str:
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS ({' UNION ALL '.join(parts)}),
 p AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS e FROM m),
-s AS (SELECT doc_id, ord, kind, CAST(e - length(whole) AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM p WHERE length(part) >= least),
+s AS (SELECT doc_id, ord, kind, CAST(e - length(whole) + length(lead) AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM p WHERE length(part) - length(lead) >= least),
 a AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
              string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) FILTER (ord < 3) AS base,
              string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) AS spans

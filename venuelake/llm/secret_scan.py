@@ -1,14 +1,17 @@
 r"""Secret scans over an incremental blob ledger, with DataFrame functions only.
 
-Every version of a text is a blob, addressed by the SHA-256 of its content. The ledger says which (blob, rule
-version) pairs were scanned and what they held. A run scans only the pairs that the ledger lacks, each blob once
-however many paths hold it, and joins the findings back to all paths.
+Every version of a text is a blob, addressed by the SHA-256 of its content. The ledger, a folder of Parquet files,
+says which (blob, rule version) pairs were scanned and what they held. A run compares addresses with the ledger
+first; only the texts of blobs with unseen pairs move, each blob once however many paths hold it. Their findings are
+appended, and those of all blobs are joined back to all paths. Rows that the ledger has twice, as after a retried
+append, count once.
 
 A rule is a Java pattern, the group whose length counts, and the least length; matches are leftmost and do not
 overlap, and those that are too short are dropped after matching. Offsets are code points, end exclusive: the
 pieces between the matches (``split``) and the matches (``regexp_extract_all``) are measured and summed up.
 
-Null texts count as empty. Rows with null ids and repeated rows keep a row each.
+Patterns take time in proportion to the text. Null texts count as empty. Rows with null ids and repeated rows keep a
+row each. Path columns called ``blob`` or ``found`` are replaced by the operator's own.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import exists, materialize
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,7 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 1),
     Rule("repo_token", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("web_token", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0, 40),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -48,13 +51,10 @@ LEDGER = "blob string, kind string, version int, spans array<struct<start int, e
 
 def _spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of a rule's matches that are long enough."""
-    # A pattern for ``hex`` may skip short runs at once: a shorter run can't hold a longer match.
-    pattern = F.lit(rule.pattern)
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
-        F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(F.regexp_extract_all(text, pattern, F.lit(0)))).alias("gap"),
-    )
+    every = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else every
+    # one more piece than there are matches; the last lies behind them
+    found = F.arrays_zip(every.alias("all"), part.alias("part"), F.split(text, rule.pattern, -1).alias("gap"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -82,22 +82,41 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     ``new`` has a row for each unseen blob and rule version, with or without spans, so that appending it to the
     ledger makes the next run skip them.
     """
-    paths = versions.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.sha2("text", 256))
-    blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
-    every = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]
+    path = [c for c in versions.columns if c.lower() not in ("text", "blob", "found")]
+    text = F.coalesce("text", F.lit(""))
+    keyed = versions.select(*path, text.alias("text"), F.sha2(text, 256).alias("blob"))
+    # any one path of a blob can give its text; rows that share an address give the same result and are made one below
+    address = F.xxhash64(*path) if path else F.lit(0).cast("long")
+    blobs = keyed.select("blob", address.alias("at")).groupBy("blob").agg(F.min("at").alias("at"))
+    every = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is not None:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(F.array(*every), F.coalesce("seen", F.array().cast("array<struct<kind:string,version:int>>"))))
-        blobs = blobs.where(F.size("due") > 0)
-        due = [F.array_contains("due", e) for e in every]
+        none = F.array().cast("array<struct<kind:string,version:int>>")
+        blobs = blobs.join(seen, "blob", "left").select("blob", "at", F.array_except(every, F.coalesce("seen", none)).alias("due"))
     else:
-        due = [F.lit(True)] * len(rules)
+        blobs = blobs.withColumn("due", every)
+    # written, so that few unseen blobs are broadcast, and many are met by plain exchanges
+    blobs = materialize(blobs.where(F.size("due") > 0).withColumnRenamed("blob", "of"), "due")
+    texts = keyed.join(blobs, (F.col("blob") == F.col("of")) & (address == F.col("at"))).select("blob", "due", "text")
     entries = F.array_compact(F.array(*[
-        F.when(d, F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("text"), r).alias("spans")))
-        for d, r in zip(due, rules)
+        F.when(
+            F.array_contains("due", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))),
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("text"), r).alias("spans")),
+        )
+        for r in rules
     ]))
-    new = blobs.select("blob", F.explode(entries).alias("e")).select("blob", "e.kind", "e.version", "e.spans")
-    return paths.drop("text"), new
+    scanned = texts.select("blob", entries.alias("entries")).groupBy("blob").agg(F.first("entries").alias("entries"))
+    new = scanned.select("blob", F.explode("entries").alias("e")).select("blob", "e.kind", "e.version", "e.spans")
+    return keyed.drop("text"), new
+
+
+def update(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger): scans what the ledger in ``folder`` lacks, appends it there, and reads the whole ledger back."""
+    spark = versions.sparkSession
+    known = spark.read.schema(LEDGER).parquet(folder) if exists(spark, folder) else None
+    paths, new = scan(versions, known, rules)
+    new.write.mode("append").parquet(folder)
+    return paths, spark.read.schema(LEDGER).parquet(folder)
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,7 +125,7 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
     current = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
     hits = ledger.where((F.size("spans") > 0) & (F.col("version") == current[F.col("kind")]))
     entry = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("ord"), F.col("kind").alias("kind"), s["end"].alias("end")))
-    by_blob = hits.select("blob", entry.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    by_blob = hits.select("blob", entry.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("found"))).alias("found"))
     by_blob = materialize(by_blob, "findings")  # the join below then has plain exchanges, and a hot blob can be split
     empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     return paths.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", empty))
