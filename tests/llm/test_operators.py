@@ -97,6 +97,36 @@ def test_secret_spans(docs, texts, none):
     assert secret_scan.scan(none.select("doc_id", "text"))[1].count() == 0
 
 
+def test_ledger_is_stored_and_idempotent(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    rows = [(i, f"password = hunter{i % 7}00", "clash", "clash") for i in range(50)] + [(None, None, "", "")] * 2
+    versions = spark.createDataFrame(rows, "doc_id long, text string, blob string, found string")
+    spans = lambda made: Counter((r.doc_id, len(r.found), tuple(x.end for x in r.found)) for r in secret_scan.findings(*made).collect())
+    first = spans(secret_scan.update(versions, folder))
+    assert sum(first.values()) == 52 and first[(None, 0, ())] == 2 and first[(8, 1, (20,))] == 1
+    ledger = spark.read.schema(secret_scan.LEDGER).parquet(folder)
+    scanned = ledger.count()
+    assert scanned == 8 * len(secret_scan.RULES)
+    assert spans(secret_scan.update(versions, folder)) == first
+    assert spark.read.parquet(folder).count() == scanned  # nothing was due
+    spark.createDataFrame(ledger.collect(), secret_scan.LEDGER).write.mode("append").parquet(folder)  # a retried append
+    assert spans(secret_scan.update(versions, folder)) == first
+    only = secret_scan.update(versions.select("text"), folder)  # no path columns at all
+    assert secret_scan.findings(*only).count() == 52
+
+
+def test_patterns_are_linear(spark):
+    import time
+
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcdefghijkl"
+    hard = ["eyJ" * 350_000, "eyJ." * 250_000, "token" * 200_000, "password" + " " * 1_000_000, "a" * 1_000_000, "AKIA" * 250_000, "ghp_" * 250_000, f"x{token} {token}"]
+    versions = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string").repartition(8)
+    began = time.time()
+    found = {r.doc_id: r.found for r in secret_scan.findings(*secret_scan.scan(versions)).collect()}
+    assert time.time() - began < 40
+    assert [(x.kind, x.start, x.end) for x in found[7]] == [("web_token", len(token) + 2, 2 * len(token) + 2)]  # not inside a longer word
+
+
 def bench_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
 
@@ -355,6 +385,10 @@ def test_chat(spark):
     made = chat.windows(turns, budget=100)
     got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(made).collect()}
     assert got == want
+    mixed = made.orderBy(F.rand(3)).repartition(4)  # the rows may come in any order
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.read_back(mixed).collect()} == want
+    named = chat.read_back(chat.windows(turns.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id")))))
+    assert {r.conv_id and int(r.conv_id[1:]): tuple(r)[1:5] for r in named.collect()} == want
     parsed = [chat.parse(r.formatted) for r in made.collect()]
     assert any(p[0][0] and p[0][1] == "system" for p in parsed)  # a later window repeats the system turn
     assert all(sum(repeated for repeated, *_ in p) <= 1 + chat.HISTORY for p in parsed)
@@ -451,6 +485,90 @@ def test_chat_windows_keep_the_budget(spark):
     assert all(sorted(r.window for r in made if r.conv_id == c) == list(range(n)) for c, n in numbers.items())
 
 
+def test_op6_query(spark):
+    """The query over all conversations and conversation -1, against the turns themselves."""
+    from venuelake.llm.queries import op6_chat, table
+
+    sf = "/root/testdata/sf0.001"
+    turns = [tuple(r) for r in table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    own = "</s>[INST] ok [/INST]"
+    turns += [(-1, 0, "user", own), (-1, 1, "assistant", own)]
+    want = {}
+    for c in {r[0] for r in turns}:
+        mine = [(role or "", text or "") for _, _, role, text in sorted((r for r in turns if r[0] == c), key=lambda r: r[1])]
+        said = "".join(x for role, x in mine if role == "assistant")
+        want[c] = (len(mine), sha("".join(f"{role}\n{x}\n" for role, x in mine)), len(said), sha(said))
+    assert {r.conv_id: tuple(r)[1:5] for r in op6_chat(spark, sf).collect()} == want and want[-1][2] == len(own)
+
+
+def slow_probabilities(net, data, begin, end):
+    """The network's answer for one window of bytes, place by place; zeros lie behind the data."""
+    import numpy as np
+
+    pooled, data = [], data + bytes(8)
+    for table in net.tables:
+        k = len(table)
+        best = None
+        for at in range(begin, end):
+            r = sum(table[j][data[at + j]].astype(np.float64) for j in range(k))
+            best = r if best is None else np.maximum(best, r)
+        pooled.append(best)
+    z = np.maximum(np.concatenate(pooled), 0) @ net.out + net.bias
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+def test_networks_against_plain_loops(spark):
+    """Every score of op4's and op7's operators again, window by window."""
+    import numpy as np
+
+    rng = random.Random(9)
+    words = {"en": "the and of with that this from was".split(), "de": "der und ist nicht eine mit von für".split(), "fr": "le la et les des une dans pour".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.choice([1, 5, 80, 200, 420]))), k) for i in range(60) for k in [rng.choice(list(words))]]
+    rows += [(100, "", None), (101, None, "en"), (102, "x" * 511, None), (103, "é" * 256, None), (104, "ab" * 300, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    learn = crc_bucket(F.col("doc_id"), 4) != 2
+    net, names = classify.train_language(given, learn)
+    pad = max(net.widths) - 1
+    got = {r.doc_id: r for r in classify.language(given, learn).collect()}
+    size = classify.LANGUAGE_WINDOW
+    for i, t, _ in rows:
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i]._lang_pred, got[i]._lang_score) == ("und", 0)
+            continue
+        data = (t or "").encode() + bytes(pad)
+        total = np.zeros(len(names))
+        for at in range(0, len(data), size):
+            end = min(at + size, len(data))  # a filter may look past the cell's last byte
+            total += slow_probabilities(net, data, at, end) * (end - at)
+        total /= len(data)
+        assert abs(total.max() - got[i]._lang_score) < 1e-4 and names[int(total.argmax())] == got[i]._lang_pred
+
+    labels = spark.createDataFrame([(i, int(k == "en")) for i, _, k in rows[:60]], "doc_id long, quality int")
+    net = classify.train_quality(given, labels, F.lit(True))
+    scored = {r.doc_id: r.score for r in classify.quality(given, labels, F.lit(True)).collect()}
+    half = classify.QUALITY_CHUNK // 2
+    for i, t, _ in rows:
+        data = (t or "").encode() + bytes(pad)
+        starts = range(0, max(len(data) - half, 1), half) if len(data) > half else [0]
+        odds = []
+        for at in starts:
+            p = float(np.clip(slow_probabilities(net, data, at, min(at + 2 * half, len(data)))[1], 1e-6, 1 - 1e-6))
+            odds.append(math.log(p / (1 - p)))
+        assert abs(1 / (1 + math.exp(-sum(odds) / len(odds))) - scored[i]) < 1e-3
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(classify, "SAMPLE", 5)
+    rows = [(1, "the and of", "en")] * 400 + [(i, f"the and of {i}", "en") for i in range(2, 9)] + [(20, "der und ist", "de")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    taken = []
+    fit = classify.ByteConvNet.fit
+    monkeypatch.setattr(classify.ByteConvNet, "fit", lambda self, windows, labels, **k: (taken.append(len(windows)), fit(self, windows, labels, **k)))
+    classify.train_language(given, F.lit(True))
+    assert taken == [6]
+
+
 def test_op5_returns_the_ids(spark):
     from venuelake.llm.queries import op5_pieces, table
 

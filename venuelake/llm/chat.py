@@ -16,12 +16,14 @@ other common ones) after its first character; unescaping is exact.
 The rows of a conversation are streamed in order, and only the system turn, the history and the open window are
 held, so memory doesn't grow with a conversation. It is still one task for each conversation, as the digests of its
 whole text are sequential. Null roles and texts are empty; null turns come first; ties are ordered by role and
-text; repeated rows are turns of their own; rows with a null conv_id are a conversation. Other columns are ignored.
+text; repeated rows are turns of their own; rows with a null conv_id are a conversation. conv_id may be of any type
+that can be ordered. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -52,8 +54,9 @@ def tokens_of(text: str) -> int:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """The Arrow type of conv_id, and the columns of each row."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+        yield from zip(itertools.repeat(batch.schema.field("conv_id").type), *(batch.column(c).to_pylist() for c in columns))
 
 
 class _Open:
@@ -100,11 +103,11 @@ def _format(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Ite
         ids, numbers, texts, losses = zip(*rows)
         loss = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.large_string()).cast(pa.string()), pa.array(losses, loss)],
+            [pa.array(ids, kind), pa.array(numbers, pa.int64()), pa.array(texts, pa.large_string()).cast(pa.string()), pa.array(losses, loss)],
             names=["conv_id", "window", "formatted", "loss"],
         )
 
-    for c, role, text in _grouped(batches, ("conv_id", "role", "text")):
+    for kind, c, role, text in _grouped(batches, ("conv_id", "role", "text")):
         role, text = role or "", text or ""
         tokens = tokens_of(text)
         if c != conv or window is None:
@@ -135,12 +138,13 @@ def _format(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Ite
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, formatted, loss (spans of code points): windows of a conversation are together and in order."""
+    """conv_id, window (from 0), formatted, loss (spans of code points)."""
     ship_package(turns.sparkSession)
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(
-        lambda it: _format(it, budget, history), "conv_id long, window long, formatted string, loss array<struct<start:long,end:long>>"
+        lambda it: _format(it, budget, history),
+        f"conv_id {dict(turns.dtypes)['conv_id']}, window long, formatted string, loss array<struct<start:long,end:long>>",
     )
 
 
@@ -160,11 +164,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
     def emit() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    for c, formatted, loss in _grouped(batches, ("conv_id", "formatted", "loss")):
+    for kind, c, formatted, loss in _grouped(batches, ("conv_id", "formatted", "loss")):
         if c != conv or not state:
             close()
             conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -186,7 +190,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read from what ``windows`` gave (in its order): turns, targets, size."""
-    return formatted.mapInArrow(
-        _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    """One row per conversation, read from the rows that ``windows`` gave, in any order: turns, targets, size."""
+    rows = formatted.select("conv_id", "window", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows.mapInArrow(
+        _digest, f"conv_id {dict(formatted.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -69,7 +69,8 @@ def _sample(keyed: DataFrame, ids: DataFrame, kind: str, size: int, most: int, e
 
     ``keyed``(_id, _h, text): the rows; ``ids``(_id, _h, _label): their labels, of SQL type ``kind``.
     """
-    picked = _smallest(ids, "_label", each).select("_id", "_h", "_label").distinct().collect()
+    # repeated rows are one, so they neither fill the sample nor gather in one task
+    picked = _smallest(ids.select("_id", "_h", "_label").distinct(), "_label", each).select("_id", "_h", "_label").collect()
     if not picked:
         return []
     wanted = keyed.sparkSession.createDataFrame(picked, f"_id {dict(ids.dtypes)['_id']}, _h long, _label {kind}")
@@ -80,21 +81,27 @@ def _sample(keyed: DataFrame, ids: DataFrame, kind: str, size: int, most: int, e
     return sorted((bytes(w), r._label) for r in found.dropDuplicates(["_id", "_h", "_label"]).collect() for w in r._windows)
 
 
-def _cells(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, row) of the cells of ``size`` bytes that rows of these padded lengths are cut into."""
-    count = -(-lengths // size)
-    row = np.repeat(np.arange(len(lengths)), count)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return (np.cumsum(lengths) - lengths)[row] + place * size, row
+def _pooled(net: ByteConvNet, texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pooled responses, bytes, row) of the cells of ``size`` bytes that the padded texts are cut into.
 
-
-def _padded(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all rows with ``pad`` zeros behind each, and the padded lengths."""
+    A text is padded with as many zeros as the widest filter looks ahead, and as many again separate it from the
+    next, so that no text has a part in another's responses.
+    """
+    pad = max(net.widths) - 1
     body, offsets = raw(texts)
-    size = np.diff(offsets)
-    out = np.zeros(len(body) + pad * len(size), np.uint8)
-    out[np.arange(len(body)) + pad * np.repeat(np.arange(len(size)), size)] = body
-    return out, size + pad
+    length = np.diff(offsets)
+    rows = len(length)
+    data = np.zeros(len(body) + 2 * pad * rows, np.uint8)
+    data[np.arange(len(body)) + 2 * pad * np.repeat(np.arange(rows), length)] = body
+    begin, padded = offsets[:-1] + 2 * pad * np.arange(rows), length + pad
+    count = -(-padded // size)
+    row = np.repeat(np.arange(rows), count)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size
+    start = begin[row] + place
+    # the zeros between the texts are cells of their own, which are dropped
+    cut = np.sort(np.concatenate([start, begin + padded]))
+    cell = np.isin(cut, start, assume_unique=True)
+    return net.pooled(data, cut)[cell], np.minimum(padded[row] - place, size), row
 
 
 def train_language(docs: DataFrame, learn: Column) -> tuple[ByteConvNet | None, list[str]]:
@@ -126,17 +133,13 @@ def language(docs: DataFrame, learn: Column) -> DataFrame:
                 rows = batch.num_rows
                 labels, scores = np.full(rows, "und", object), np.zeros(rows)
                 if net is not None:
-                    pad = max(net.widths) - 1
-                    data, size = _padded(batch.column("text"), pad)
-                    start, row = _cells(size, LANGUAGE_WINDOW)
-                    pooled = net.pooled(data, start)
-                    weight = np.diff(np.append(start, len(data))).astype(float)
+                    pooled, weight, row = _pooled(net, batch.column("text"), LANGUAGE_WINDOW)
                     total = np.zeros((rows, len(names)))
                     step = max(1, HELD // len(names))
                     for at in range(0, len(row), step):
                         part = slice(at, at + step)
                         np.add.at(total, row[part], net.probabilities(pooled[part]) * weight[part, None])
-                    total /= size[:, None]
+                    total /= np.bincount(row, weight, rows)[:, None]
                     ok = batch.column("_letters").to_numpy(zero_copy_only=False)
                     best = total.argmax(axis=1)
                     labels[ok] = np.array(names, object)[best[ok]]
@@ -177,9 +180,7 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
                 rows = batch.num_rows
                 scores = np.full(rows, 0.5)
                 if net is not None:
-                    data, size = _padded(batch.column("text"), max(net.widths) - 1)
-                    start, row = _cells(size, half)
-                    cell = net.pooled(data, start)
+                    cell, _, row = _pooled(net, batch.column("text"), half)
                     # a chunk is a cell and the next one of the same text; the last cell closes the last chunk
                     joined = np.flatnonzero(row[1:] == row[:-1])
                     single = np.flatnonzero(np.bincount(row, minlength=rows)[row] == 1)
