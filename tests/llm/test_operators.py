@@ -170,11 +170,10 @@ def test_contamination(spark, docs, texts, none, monkeypatch):
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == docs.count()
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_substring(docs, texts, none, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
+def cut_by_windows(rows):
+    """Counter of (id, words, removed, digest), by a table of all windows."""
     first = {}
-    split = [(i, re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t in texts[0]]
+    split = [(i, re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
     for i, w in split:
         if i is not None:
             for k in range(len(w) - 49):
@@ -187,6 +186,29 @@ def test_substring(docs, texts, none, monkeypatch, hot):
             if first[tuple(w[k : k + 50])] < i:
                 gone.update(range(k, k + 50))
         want[(i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))] += 1
+    return want
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeats_are_compared_by_words(spark, monkeypatch, hot):
+    """Windows that differ in words of equal hash only; ids at the end of their range, and ids that are texts."""
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_HELD", 30)
+    x, y = equal_hash_words()
+    head = [f"w{i}" for i in range(45)]
+    top = 2**63 - 1
+    rows = [(top - k, " ".join([*head, w, *head[:20], f"end{k % 3}"])) for k, w in enumerate([x, y, x, y, "other", x, x])]
+    got = Counter(tuple(r) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == cut_by_windows(rows) and {k[2] for k in got} == {0, 66, 67}
+    named = [(f"d{i}", t) for i, t in rows]
+    got = Counter(tuple(r) for r in substring_dedup.substring_dedup(spark.createDataFrame(named, "doc_id string, text string")).collect())
+    assert got == cut_by_windows(named)
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_substring(docs, texts, none, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
+    want = cut_by_windows(texts[0])
     got = Counter(tuple(r) for r in substring_dedup.substring_dedup(docs).collect())
     assert got == want and sum(k[2] for k in want) >= 140
     assert substring_dedup.substring_dedup(none).count() == 0

@@ -11,12 +11,14 @@ the reference are not broadcast: they are cut by content, and each meets exactly
    doc_id through a suffix automaton of all runs from smaller ids; wherever the matching length is WINDOW or more the
    window has occurred before. Then the document's own runs extend the automaton, unless they are in it as a whole.
 4. An anchor with more than HOT_RUNS runs has no automaton, as it would grow with the corpus: its windows are dealt
-   by their own 128-bit content hash instead. Each task first settles the windows of its own documents and sends
-   on one row for each distinct window, so a passage in a third of all documents gives a row for each task.
+   one by one instead, with their words, which decide what is equal. Each task first settles the windows of its own
+   documents, HOT_HELD distinct ones at a time, and sends on one row for each, so a passage in a third of all
+   documents gives a row for each task.
 5. The spans are cut out of the texts, which are shuffled by doc_id once and read twice.
 
-Null texts have no words. Rows with a null doc_id are neither cut nor a reference. Rows that repeat an id are
-not cut against each other. Texts with fewer than WINDOW words stay whole.
+Hashes only choose anchors and places; words are compared as they are. Null texts have no words. Rows with a null
+doc_id are neither cut nor a reference. Rows that repeat an id are not cut against each other. Texts with fewer than
+WINDOW words stay whole. Ids may be of any type that can be ordered. Other columns are not used.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .common import content_key, materialize
 
 WINDOW, GRAM = 50, 8
 HOT_RUNS = 2000
+#: Distinct windows of hot anchors that a task holds.
+HOT_HELD = 100_000
 
 
 def _fold(h: np.ndarray, size: int, salt: int) -> np.ndarray:
@@ -166,88 +170,102 @@ class Automaton:
         return out
 
 
-_OUT = ["kind", "key", "w2", "doc_id", "_k1", "_k2", "lo", "hi", "seq"]
-_OUT_SCHEMA = "kind int, key long, w2 long, doc_id long, _k1 long, _k2 long, lo int, hi int, seq binary"
+_OUT = ["kind", "key", "seq", "doc_id", "_k1", "_k2", "lo", "hi"]
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_OUT)
+def _out_schema(kind: str) -> str:
+    return f"kind int, key long, seq binary, doc_id {kind}, _k1 long, _k2 long, lo int, hi int"
+
+
+def _signed(x: int) -> int:
+    return (x + 2**63) % 2**64 - 2**63
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a run with its words, for the automaton of its anchor. kind 1: a distinct window of a hot anchor, from
     the smallest id of this task. kind 2: windows lo..hi of a document that a smaller id of this task has, dealt evenly."""
-    hot: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    hot: dict[bytes, tuple] = {}
     out: list[tuple] = []
     size = 0
+    ids = None
+
+    def rows(some: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.binary(), ids, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names=_OUT)
+
+    def window(seq: bytes, place: tuple) -> tuple:
+        key = int.from_bytes(hashlib.blake2b(seq, digest_size=8).digest(), "little", signed=True)
+        return (1, key, seq, *place, place[-1])
+
+    def settled(place: tuple) -> tuple:
+        return (2, _signed(place[1] + place[-1] * 0x9E3779B97F4A7C15), b"", *place, place[-1])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        out.extend(window(seq, place) for seq, place in hot.items())
+        hot.clear()
+        for at in range(0, len(out), 20000):
+            yield rows(out[at : at + 20000])
+        out.clear()
+
     for batch in batches:
+        ids = batch.schema.field("doc_id").type
         for i, runs in enumerate(batch.column("shared").to_pylist()):
             if not runs:
                 continue
             doc, k1, k2, text = (batch.column(c)[i].as_py() for c in ("doc_id", "_k1", "_k2", "text"))
             found = text.split()
-            hashes = None
             for r in runs:
                 if not r["hot"]:
                     seq = b" ".join(found[r["lo"] : r["hi"] + WINDOW])
-                    out.append((0, r["g"], 0, doc, k1, k2, r["lo"], r["hi"], seq))
+                    out.append((0, r["g"], seq, doc, k1, k2, r["lo"], r["hi"]))
                     size += len(seq)
                     continue
-                if hashes is None:
-                    h = word_hashes(*_spans(text))
-                    hashes = [_fold(h, WINDOW, s).view(np.int64) for s in (21, 22)]
                 for p in range(r["lo"], r["hi"] + 1):
-                    w = (int(hashes[0][p]), int(hashes[1][p]))
-                    held = hot.get(w)
-                    if held is None or held[0] == doc:
-                        # the same id again: each row that carries it needs the answer
-                        if held is None or held[1:] != (k1, k2, p):
-                            if held is not None:
-                                out.append((1, *w, doc, k1, k2, p, p, b""))
-                            else:
-                                hot[w] = (doc, k1, k2, p)
+                    seq = b" ".join(found[p : p + WINDOW])
+                    place, held = (doc, k1, k2, p), hot.get(seq)
+                    if held is None:
+                        hot[seq] = place
+                    elif held[0] == doc:
+                        if held != place:  # the same id again: each row that carries it needs the answer
+                            out.append(window(seq, place))
+                            size += len(seq)
                     elif doc > held[0]:
-                        out.append((2, doc + p, 0, doc, k1, k2, p, p, b""))
+                        out.append(settled(place))
                     else:
-                        out.append((2, held[0] + held[3], 0, *held[:3], held[3], held[3], b""))
-                        hot[w] = (doc, k1, k2, p)
+                        out.append(settled(held))
+                        hot[seq] = place
+                if len(hot) > HOT_HELD:
+                    yield from flush()
+                    size = 0
             if size > 1 << 20 or len(out) > 20000:
-                yield _rows(out)
+                yield rows(out)
                 out, size = [], 0
-    out.extend((1, *w, d, a, b, p, p, b"") for w, (d, a, b, p) in hot.items())
-    for at in range(0, len(out), 20000):
-        yield _rows(out[at : at + 20000])
-
-
-def _spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    body = np.frombuffer(text, np.uint8)
-    start, end, _ = words(body, np.array([0, len(body)]))
-    return body, start, end
+    yield from flush()
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions come sorted by (kind, key, w2, doc_id). Gives (doc_id, _k1, _k2, lo, hi): covered words [lo, hi)."""
+    """Partitions come sorted: runs by (key, doc_id), windows by (key, seq, doc_id). Gives (doc_id, _k1, _k2, lo, hi): covered words [lo, hi)."""
     out: list[tuple] = []
     key = doc = None
     automaton = Automaton()
     waiting: list[list[bytes]] = []
-    least = window = None
+    least = window = ids = None
 
     def flush() -> pa.RecordBatch:
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+        kinds = [ids, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "_k1", "_k2", "lo", "hi"])
         out.clear()
         return batch
 
     for batch in batches:
+        ids = batch.schema.field("doc_id").type
         columns = [batch.column(c).to_pylist() for c in _OUT]
-        for kind, k, w2, d, k1, k2, lo, hi, seq in zip(*columns):
+        for kind, k, seq, d, k1, k2, lo, hi in zip(*columns):
             if kind == 2:
                 out.append((d, k1, k2, lo, hi + WINDOW))
             elif kind == 1:
-                if (k, w2) != window:
-                    window, least = (k, w2), d
+                if seq != window:
+                    window, least = seq, d
                 elif d > least:
                     out.append((d, k1, k2, lo, hi + WINDOW))
             else:
@@ -301,17 +319,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, cuts): doc_id, _k1, _k2 with the text as bytes, and with ``cuts``, the word spans to remove."""
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *content_key(F.col("text")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = docs.select("doc_id", *content_key(F.col("text")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     key = ["doc_id", "_k1", "_k2"]
-    runs = materialize(texts.where("doc_id is not null").mapInArrow(_runs, "doc_id long, _k1 long, _k2 long, runs array<struct<g:long,lo:int,hi:int>>"), "runs")
+    runs = materialize(texts.where("doc_id is not null").mapInArrow(_runs, f"doc_id {kind}, _k1 long, _k2 long, runs array<struct<g:long,lo:int,hi:int>>"), "runs")
     each = runs.select(*key, F.explode("runs").alias("r")).select(*key, "r.*")
     shared = each.groupBy("g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
     # written, so that the join below has plain exchanges and a frequent anchor can be split
     shared = materialize(shared.select("g", (F.col("n") > HOT_RUNS).alias("hot")), "shared")
     by_doc = each.join(shared, "g").groupBy(*key).agg(F.collect_set(F.struct("g", "lo", "hi", "hot")).alias("shared"))
-    placed = texts.join(by_doc, key, "left").select(*key, "text", "shared").mapInArrow(_passages, _OUT_SCHEMA)
-    placed = placed.repartition("key").sortWithinPartitions("kind", "key", "w2", "doc_id", "lo")
-    cuts = placed.mapInArrow(_shards, "doc_id long, _k1 long, _k2 long, lo int, hi int")
+    placed = texts.join(by_doc, key, "left").select(*key, "text", "shared").mapInArrow(_passages, _out_schema(kind))
+    # runs of an anchor by id; windows with the same words together, by id
+    window = F.when(F.col("kind") == 1, F.col("seq"))
+    placed = placed.repartition("key").sortWithinPartitions("kind", "key", window, "doc_id", "lo")
+    cuts = placed.mapInArrow(_shards, f"doc_id {kind}, _k1 long, _k2 long, lo int, hi int")
     return texts, cuts.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
 
 
@@ -319,5 +340,5 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     texts, cuts = repeated_spans(docs)
     return texts.join(cuts, ["doc_id", "_k1", "_k2"], "left").select("doc_id", "text", "cuts").mapInArrow(
-        _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        _cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string"
     )
