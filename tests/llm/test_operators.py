@@ -442,6 +442,40 @@ def test_language_and_quality(spark, docs, none):
     assert classify.quality(none, labels, learn).count() == 0
 
 
+def test_scrambling_is_undone_and_names_are_exact():
+    import numpy as np
+    from venuelake.llm import bytesops
+
+    x = np.random.default_rng(1).integers(0, 2**64, 10000, dtype=np.uint64)
+    assert (bytesops.unmix(bytesops.mix(x)) == x).all()
+    rng = random.Random(2)
+    codes = np.array([rng.randrange(3) for _ in range(300)])
+    for size in (1, 2, 3, 4, 5, 7, 8):
+        names = bytesops.run_names(codes, size)[: 301 - size]
+        runs = [tuple(codes[i : i + size].tolist()) for i in range(301 - size)]
+        assert len(set(zip(names.tolist(), runs))) == len(set(runs)) == len(set(names.tolist()))
+
+
+def test_a_word_of_equal_key_makes_a_new_salt(spark, monkeypatch):
+    """Keys that two words share are noticed, and the model is made with other keys."""
+    tokens = kneser_ney._tokens
+
+    def short(batch, salt):
+        codes, first, digest = tokens(batch, salt)
+        digest = digest.copy()
+        if salt == 0:
+            digest[:, 0] &= 0xF000000000000000
+        return codes, first, digest
+
+    monkeypatch.setattr(kneser_ney, "_tokens", short)
+    given = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(40))) for i in range(4)], "doc_id long, text string")
+    seen = []
+    train = kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda docs, salt=0: (seen.append(salt), train(docs, salt))[1])
+    model = kneser_ney.train(given)
+    assert seen == [0, 1] and model.salt == 1 and model.size == 41 and model.tokens == 4 * 41
+
+
 def test_words_at_row_borders():
     from venuelake.llm.bytesops import raw, words
 

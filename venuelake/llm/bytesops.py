@@ -77,6 +77,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` made ``x`` of."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 
@@ -131,9 +140,15 @@ def word_codes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
 
 
-def digests(spans: list[bytes]) -> np.ndarray:
+def digests(spans: list[bytes], salt: int = 0) -> np.ndarray:
     """(n, 2) 64-bit halves of a cryptographic 128-bit digest of each span."""
-    data = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in spans])
+    of = hashlib.blake2b(digest_size=16, salt=salt.to_bytes(8, "little")).copy
+    out = []
+    for x in spans:
+        h = of()
+        h.update(x)
+        out.append(h.digest())
+    data = b"".join(out)
     return np.frombuffer(data, np.uint64).reshape(-1, 2)
 
 

@@ -1,16 +1,19 @@
 r"""LM scoring with an interpolated modified Kneser-Ney bigram model, counted in Spark.
 
-Tokens are words ``[^\x20\x09-\x0D]+`` after lowering A-Z, and one end of text. The model is made in three counts of
-the same kind. Each task counts its own texts, and sends its sorted keys, cut at fixed borders and delta-coded, as
-one binary row per part (a map-side combine); each part is then merged and written as sorted arrays:
+Tokens are words ``[^\x20\x09-\x0D]+`` after lowering A-Z, and one end of text. A task counts its own texts, a few
+million keys at a time, and sends on a row for each key; rows are dealt by the top bits of the key, sorted, and summed up
+while they are written, so that memory follows neither the keys of a task nor the size of a file:
 
-1. word hash -> count; the place of a hash in all parts is the id of the word (the end of text is a word too);
-2. bigram (context id, word id) -> count, cut by context, with totals and back-off weights of each context;
-3. word id -> number of distinct contexts, for the lower order.
+1. words: 64 bits of a cryptographic digest are the key, 64 more prove that equal keys are equal words (else all is
+   done again with another salt). The place of a word in all files is its id; the end of text is a word too.
+2. bigrams: (context id, word id) in one integer, scrambled one to one, so that the bigrams of a frequent context are
+   dealt as evenly as all others.
+3. ids: the total and the counts of counts of each context, and the number of contexts of each word, in arrays by id.
 
 The arrays lie in the shared folder and are memory-mapped by the workers, so a worker holds only the pages that it
 touches, and scoring looks sorted distinct keys up by binary search. Lost tasks write the same files again. The
-shared folder has to be mounted on the executors (a ``file:`` path), as usual for memory mapping.
+shared folder has to be mounted on the executors (a ``file:`` path), as usual for memory mapping. There is a file for each
+PART_BYTES of text, MAX_PARTS of them at most (they grow from there), and the driver is sent a row for each.
 
     p(w|u) = max(c(uw) - D(c(uw)), 0) / c(u.) + g(u) p(w)
     p(w)   = max(N(.w) - D'(N(.w)), 0) / N(..) + g' / (V + 1)
@@ -18,6 +21,7 @@ shared folder has to be mounted on the executors (a ``file:`` path), as usual fo
 D are the three discounts of each order, from the counts of counts; g gives what they take. V + 1 counts unknown
 words as one. The context of the first token is the start of text. Null texts count as empty and have the end only.
 Rows with a null id are held out. Without training texts, all is uniform over the one unknown word: scores are 0.
+Ids are 32 bits in a bigram; a vocabulary that needs more is refused. Other columns are not used.
 """
 
 from __future__ import annotations
@@ -27,87 +31,110 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .bytesops import LOWER, raw, slices, word_hashes, words
+from .bytesops import LOWER, digests, mix, raw, slices, unmix, word_codes, words
 from .common import crc_bucket, new_path
 
-#: Bytes of text for each part of the model; the number of parts follows the input.
-PART_BYTES = 16 << 20
+#: Bytes of text for each part of the model, and the most parts; powers of two.
+PART_BYTES, MAX_PARTS = 16 << 20, 4096
 #: Distinct keys that a task gathers before it sends them on.
 FLUSH_KEYS = 1 << 21
-END = np.uint64(0x2545F4914F6CDD1D)  # stands for the hash of the end of text
+ROWS = 1 << 16
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys and counts."""
-    delta = np.diff(keys, prepend=keys[:1])
-    planes = delta.view(np.uint8).reshape(-1, 8).T  # the high bytes are mostly zero
-    head = np.array([len(keys), keys[0] if len(keys) else 0], np.uint64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + planes.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n, first = (int(x) for x in np.frombuffer(data, np.uint64, 2))
-    body = np.frombuffer(data, np.uint8, offset=16)
-    delta = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    counts = np.ascontiguousarray(body[8 * n :].reshape(4, n).T).view(np.uint32).ravel()
-    return np.cumsum(delta, dtype=np.uint64) + np.uint64(first), counts.astype(np.int64)
-
-
-def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+def _sum(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums by key of sorted rows; ``keys`` may have several columns."""
+    if not len(keys):
+        return keys, values
+    new = keys[1:] != keys[:-1]
+    at = np.flatnonzero(np.concatenate([[True], new.any(axis=1) if new.ndim > 1 else new]))
+    return keys[at], [np.add.reduceat(v, at) for v in values]
 
 
 class _Gather:
-    """Counts of keys in a task, sent on in packed parts whose borders are given."""
+    """Counts of keys (one or two columns) in a task, sent on as rows."""
 
-    def __init__(self, borders: np.ndarray):
-        self.borders, self.held, self.size = borders, [], 0
+    def __init__(self, names: list[str]):
+        self.names, self.held, self.size = names, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((keys, counts))
         self.size += len(keys)
         if self.size > FLUSH_KEYS:
-            merged = _sum(*(np.concatenate(x) for x in zip(*self.held)))
-            self.held, self.size = [merged], len(merged[0])
+            self._merge()
             if self.size > FLUSH_KEYS // 2:
                 yield from self.flush()
 
+    def _merge(self) -> None:
+        keys, counts = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort(keys.T[::-1]) if keys.ndim > 1 else np.argsort(keys, kind="stable")
+        keys, (counts,) = _sum(keys[order], [counts[order]])
+        self.held, self.size = [(keys, counts)], len(keys)
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            keys, counts = _sum(*(np.concatenate(x) for x in zip(*self.held)))
-            cut = np.searchsorted(keys, self.borders)
-            cut = np.append(cut, len(keys))
-            rows = [(p, _pack(keys[a:b], counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
+            self._merge()
+            keys, counts = self.held[0]
+            columns = [*np.ascontiguousarray(keys.reshape(len(keys), -1).T).view(np.int64), counts]
+            for at in range(0, len(counts), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS]) for c in columns], names=self.names)
         self.held, self.size = [], 0
 
 
-def _borders(parts: int) -> np.ndarray:
-    return np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+def _dealt(rows: DataFrame, bits: int, *order: str) -> DataFrame:
+    """Rows by the top bits of ``key``, sorted; inside a part the order is that of unsigned keys."""
+    return rows.repartition(F.shiftrightunsigned("key", 64 - bits)).sortWithinPartitions("key", *order)
 
 
-def _text_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens, first token of each row and the end); each row ends with END."""
-    body, offsets = raw(batch.column("text"))
-    body = LOWER[body]
-    start, end, first = words(body, offsets)
-    h = word_hashes(body, start, end)
-    rows = batch.num_rows
-    out = np.empty(len(h) + rows, np.uint64)
-    at = np.arange(len(h)) + np.repeat(np.arange(rows), np.diff(first))
-    out[at] = h
-    ends = first[1:] + np.arange(rows)
-    out[ends] = END
-    return out, np.append(first[:-1] + np.arange(rows), len(out))
+def _chunks(batches: Iterator[pa.RecordBatch], bits: int, keyed: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(part, distinct keys, sums): sorted rows summed up; no key goes on in the next chunk, and no chunk has two parts.
+
+    The first ``keyed`` columns are the key; there is a part for each value of the top bits of the first.
+    """
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns)]
+        keys = np.stack([c.view(np.uint64) for c in columns[:keyed]], axis=1)
+        keys, sums = _sum(keys, columns[keyed:])
+        rest = [keys[-1:, k].view(np.int64) for k in range(keyed)] + [s[-1:] for s in sums]
+        yield from _by_part(keys[:-1], [s[:-1] for s in sums], bits)
+    if rest is not None:
+        yield from _by_part(np.stack([c.view(np.uint64) for c in rest[:keyed]], axis=1), rest[keyed:], bits)
+
+
+def _by_part(keys: np.ndarray, sums: list[np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    part = (keys[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)]):
+        if b > a:
+            yield int(part[a]), keys[a:b], [s[a:b] for s in sums]
+
+
+class _Files:
+    """The arrays of one part. Whole files only: a second attempt at a task puts the same content in their place."""
+
+    def __init__(self, folder: str, part: int):
+        self.folder, self.part, self.own = folder, part, f"{os.getpid()}-{os.urandom(4).hex()}"
+        self.open: dict[str, object] = {}
+
+    def put(self, **arrays: np.ndarray) -> None:
+        for name, array in arrays.items():
+            if name not in self.open:
+                os.makedirs(self.folder, exist_ok=True)
+                self.open[name] = open(f"{self.folder}/.{name}{self.part}-{self.own}", "wb")
+            self.open[name].write(np.ascontiguousarray(array).tobytes())
+
+    def close(self) -> None:
+        for name, file in self.open.items():
+            file.close()
+            os.replace(file.name, f"{self.folder}/{name}{self.part}")
 
 
 def _local(path: str) -> str:
@@ -118,43 +145,28 @@ def _local(path: str) -> str:
     return path
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Whole files only: a second attempt at a task puts the same content in their place."""
-    os.makedirs(folder, exist_ok=True)
-    own = f"{folder}/.{name}-{os.getpid()}-{os.urandom(4).hex()}.npy"
-    np.save(own, array)
-    os.replace(own, f"{folder}/{name}.npy")
+def _written(rows: DataFrame, bits: int, keyed: int, folder: str, put: Callable, width: int) -> dict[int, tuple[int, ...]]:
+    """``put(files, keys, sums)`` writes a chunk and gives its statistics, which are summed up for each part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, total, done = None, None, []
 
-def _merged(batches: Iterator[pa.RecordBatch], finish: Callable) -> Iterator[pa.RecordBatch]:
-    """Partitions come sorted by part; ``finish(part, keys, counts)`` gives the statistics of a part."""
-    part, held = None, []
-    stats = []
+        def close() -> None:
+            files.close()
+            done.append((files.part, *total))
 
-    def close() -> None:
-        if part is not None:
-            keys, counts = _sum(*(np.concatenate(x) for x in zip(*held)))
-            stats.append((part, *finish(part, keys, counts)))
+        for part, keys, sums in _chunks(batches, bits, keyed):
+            if files is None or files.part != part:
+                if files is not None:
+                    close()
+                files, total = _Files(folder, part), [0] * width
+            total = [a + int(b) for a, b in zip(total, put(files, keys, sums))]
+        if files is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names=["part", *(f"s{i}" for i in range(width))])
 
-    for batch in batches:
-        for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob")):
-            if p != part:
-                close()
-                part, held = p, []
-            held.append(_unpack(blob.as_py()))
-            if len(held) > 8:
-                held = [_sum(*(np.concatenate(x) for x in zip(*held)))]
-    close()
-    if stats:
-        columns = list(zip(*stats))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["part", *(f"s{i}" for i in range(len(columns) - 1))])
-
-
-def _merge(packed: DataFrame, finish: Callable, width: int) -> list[tuple]:
-    """A row (part, statistics) for each part: as many as the model has parts."""
-    schema = "part int, " + ", ".join(f"s{i} long" for i in range(width))
-    placed = packed.repartition("part").sortWithinPartitions("part")
-    return sorted(tuple(r) for r in placed.mapInArrow(lambda it: _merged(it, finish), schema).collect())
+    schema = "part long, " + ", ".join(f"s{i} long" for i in range(width))
+    return {r.part: tuple(r)[1:] for r in rows.mapInArrow(run, schema).collect()}
 
 
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
@@ -174,182 +186,211 @@ def taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
-class Vocabulary:
-    """Sorted hashes of all parts, memory-mapped; the id of a hash is its place."""
+def _tokens(batch: pa.RecordBatch, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each token, first token of each row and the end, digests by code); the last code is the end of text."""
+    body, offsets = raw(batch.column("text"))
+    body = LOWER[body]
+    start, end, first = words(body, offsets)
+    codes, distinct = word_codes(body, start, end)
+    rows = batch.num_rows
+    out = np.full(len(codes) + rows, len(distinct))
+    out[np.arange(len(codes)) + np.repeat(np.arange(rows), np.diff(first))] = codes
+    # a space, which no word has, stands for the end
+    return out, np.append(first[:-1] + np.arange(rows), len(out)), digests([*distinct, b" "], salt)
 
-    def __init__(self, folder: str, offsets: list[int], parts: int):
-        self.folder, self.offsets, self.borders = folder, offsets, _borders(parts)
-        self.maps: dict[tuple[str, int], np.ndarray] = {}
 
-    def map(self, name: str, part: int) -> np.ndarray:
-        if (name, part) not in self.maps:
-            self.maps[name, part] = np.load(f"{self.folder}/{name}{part}.npy", mmap_mode="r")
-        return self.maps[name, part]
+class Model:
+    """What workers need to open the arrays, and the numbers that hold for the whole model."""
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of sorted distinct hashes."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        cut = np.append(np.searchsorted(h, self.borders), len(h))
-        for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if b > a and self.offsets[p + 1] > self.offsets[p]:
-                keys = self.map("word", p)
-                at = np.minimum(np.searchsorted(keys, h[a:b]), len(keys) - 1)
-                hit = keys[at] == h[a:b]
-                ids[a:b] = np.where(hit, at + self.offsets[p], -1)
-                counts[a:b] = np.where(hit, self.map("count", p)[at], 0)
-        return ids, counts
+    def __init__(self, folder: str, bits: int, salt: int):
+        self.folder, self.bits, self.salt = folder, bits, salt
+        self.parts = 1 << bits
+        self.offsets, self.tokens = [0] * (self.parts + 1), 0
+        self.d1 = self.d2 = (0.5, 0.5, 0.5)
+        self.pairs, self.floor = 0, 1.0
+        self.maps: dict[tuple[str, int], np.ndarray] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"maps": {}}
 
+    @property
+    def size(self) -> int:
+        """Words; also the id of the context at the start of a text."""
+        return self.offsets[-1]
 
-class Model:
-    """What workers need to open the arrays, and the numbers that hold for the whole model."""
-
-    def __init__(self, vocabulary: Vocabulary, tokens: int):
-        self.vocabulary, self.tokens = vocabulary, tokens
-        self.size = vocabulary.offsets[-1]
-        parts = len(vocabulary.borders)
-        #: first context id of each part; the start of text is the context ``size``
-        self.contexts = [(self.size + 1) * p // parts for p in range(parts + 1)]
-        self.d2 = self.d1 = (0.5, 0.5, 0.5)
-        self.pairs = 0
-        self.filled: list[int] = []
-        self.floor = 1.0
+    def range_bits(self) -> int:
+        """Ids are cut into ranges by their top bits among this many."""
+        return max(self.size.bit_length(), self.bits)
 
-    def borders(self) -> np.ndarray:
-        return np.array(self.contexts[:-1], np.uint64) << np.uint64(32)
+    def map(self, name: str, part: int, kind: str, columns: int = 1) -> np.ndarray:
+        if (name, part) not in self.maps:
+            path = f"{self.folder}/{name}{part}"
+            there = os.path.exists(path) and os.path.getsize(path)
+            array = np.memmap(path, kind, "r") if there else np.zeros(0, kind)
+            self.maps[name, part] = array.reshape(-1, columns) if columns > 1 else array
+        return self.maps[name, part]
 
-    def lower(self, ids: np.ndarray) -> np.ndarray:
-        """p(w) of word ids, -1 for unknown words; ids are sorted."""
-        out = np.full(len(ids), self.floor)
-        cut = np.searchsorted(ids, self.vocabulary.offsets)
+    def _parts_of(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        borders = np.arange(self.parts, dtype=np.uint64) << np.uint64(64 - self.bits)
+        cut = np.append(np.searchsorted(keys, borders), len(keys)).tolist()
         for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
             if b > a:
-                n = self.vocabulary.map("from", p)[ids[a:b] - self.vocabulary.offsets[p]].astype(np.int64)
-                out[a:b] += np.maximum(n - taken(n, self.d1), 0) / max(self.pairs, 1)
-        return out
-
-    def upper(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted share of the bigram, back-off weight of its context) of sorted distinct keys."""
-        share, weight = np.zeros(len(keys)), np.ones(len(keys))
-        cut = np.append(np.searchsorted(keys, self.borders()), len(keys))
-        for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if b == a or not self.filled[p]:
-                continue
-            mine = keys[a:b]
-            u = (mine >> np.uint64(32)).astype(np.int64) - self.contexts[p]
-            total = self.vocabulary.map("total", p)[u]
-            table = self.vocabulary.map("pair", p)
-            at = np.minimum(np.searchsorted(table, mine), len(table) - 1)
-            c = np.where(table[at] == mine, self.vocabulary.map("times", p)[at], 0).astype(np.int64)
-            seen = total > 0
-            some = np.maximum(total, 1)
-            share[a:b] = np.where(seen, np.maximum(c - taken(c, self.d2), 0) / some, 0.0)
-            kinds = self.vocabulary.map("kinds", p)[u]
-            weight[a:b] = np.where(seen, kinds @ np.array(self.d2) / some, 1.0)
-        return share, weight
-
-
-def _count_words(borders: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(borders)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                tokens, _ = _text_tokens(batch)
-                yield from gather.add(*np.unique(tokens, return_counts=True))
-        yield from gather.flush()
+                yield p, slice(a, b)
 
-    return run
+    def find(self, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, count) of words by their digests."""
+        order = np.argsort(digest[:, 0], kind="stable")
+        h, check = digest[order, 0], digest[order, 1]
+        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        for p, some in self._parts_of(h):
+            keys = self.map("word", p, "u8")
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h[some]), len(keys) - 1)
+                hit = (keys[at] == h[some]) & (self.map("check", p, "u8")[at] == check[some])
+                ids[some] = np.where(hit, at + self.offsets[p], -1)
+                counts[some] = np.where(hit, self.map("count", p, "i8")[at], 0)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return ids[back], counts[back]
+
+    def times(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct bigram keys."""
+        out = np.zeros(len(keys), np.int64)
+        for p, some in self._parts_of(keys):
+            table = self.map("pair", p, "u8")
+            if len(table):
+                at = np.minimum(np.searchsorted(table, keys[some]), len(table) - 1)
+                out[some] = np.where(table[at] == keys[some], self.map("times", p, "i8")[at], 0)
+        return out
 
+    def by_id(self, name: str, ids: np.ndarray, kind: str, columns: int = 1) -> np.ndarray:
+        """Rows of sorted ids; zeros for those that have none."""
+        out = np.zeros((len(ids), columns), np.int64)
+        shift = self.range_bits() - self.bits
+        part = ids >> shift
+        cut = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]):
+            if b > a:
+                p = int(part[a])
+                known, table = self.map(name + "_id", p, "i8"), self.map(name, p, kind, columns).reshape(-1, columns)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, ids[a:b]), len(known) - 1)
+                    out[a:b] = np.where((known[at] == ids[a:b])[:, None], table[at], 0)
+        return out
 
-def _ids(tokens: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(tokens, return_inverse=True)
-    ids, counts = vocabulary.find(distinct)
-    return ids[place], counts[place]
+    def lower(self, ids: np.ndarray) -> np.ndarray:
+        """p(w) of sorted distinct word ids, -1 for unknown words."""
+        out = np.full(len(ids), self.floor)
+        known = ids >= 0
+        n = self.by_id("id", ids[known], "i8", 5)[:, 4]
+        out[known] += np.maximum(n - taken(n, self.d1), 0) / max(self.pairs, 1)
+        return out
 
+    def context(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, back-off weight) of sorted distinct context ids; an unknown context has total 0 and weight 1."""
+        found = np.zeros((len(ids), 5), np.int64)
+        known = ids >= 0
+        found[known] = self.by_id("id", ids[known], "i8", 5)
+        total = found[:, 0]
+        return total, np.where(total > 0, found[:, 1:4] @ np.array(self.d2) / np.maximum(total, 1), 1.0)
 
-def _pair_keys(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
-    """Context and word in one key; an unknown context is one past the start, so that it is never found."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[first[:-1]] = start
-    return before
 
+def _pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
 
-def _count_pairs(model: Model) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(model.borders())
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                tokens, first = _text_tokens(batch)
-                ids, _ = _ids(tokens, model.vocabulary)
-                before = _pair_keys(ids, first, model.size)
-                keys = (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-                yield from gather.add(*np.unique(keys, return_counts=True))
-        yield from gather.flush()
 
-    return run
+def _before(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    out = np.empty(len(ids), np.int64)
+    out[1:] = ids[:-1]
+    out[first[:-1]] = start
+    return out
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, salt: int = 0) -> Model:
     """The model of all texts of ``docs``."""
     spark = docs.sparkSession
     ship_package(spark)
-    folder = _local(new_path(spark, "kneser-ney"))
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // PART_BYTES) or 1
-
-    def words_done(part: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, ...]:
-        _save(folder, f"word{part}", keys)
-        _save(folder, f"count{part}", counts)
-        return len(keys), int(counts.sum())
-
-    sized = {p: (n, s) for p, n, s in _merge(texts.mapInArrow(_count_words(_borders(parts)), "part int, blob binary"), words_done, 2)}
-    offsets = np.concatenate([[0], np.cumsum([sized.get(p, (0, 0))[0] for p in range(parts)])]).tolist()
-    model = Model(Vocabulary(folder, offsets, parts), sum(s for _, s in sized.values()))
-
-    def pairs_done(part: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, ...]:
-        _save(folder, f"pair{part}", keys)
-        _save(folder, f"times{part}", np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
-        lo, hi = model.contexts[part], model.contexts[part + 1]
-        u = (keys >> np.uint64(32)).astype(np.int64) - lo
-        _save(folder, f"total{part}", np.bincount(u, weights=counts, minlength=hi - lo).astype(np.int64))
-        kinds = np.stack([np.bincount(u[m], minlength=hi - lo) for m in (counts == 1, counts == 2, counts > 2)], axis=1)
-        _save(folder, f"kinds{part}", kinds.astype(np.float32))
-        return len(keys), *_counts_of_counts(counts)
+    bits = min(max((total // PART_BYTES).bit_length(), 1), MAX_PARTS.bit_length() - 1)
+    model = Model(_local(new_path(spark, "kneser-ney")), bits, salt)
+    folder = model.folder
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gather = _Gather(["key", "check", "n"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                codes, _, digest = _tokens(batch, salt)
+                n = np.bincount(codes, minlength=len(digest))
+                yield from gather.add(digest[n > 0], n[n > 0])
+        yield from gather.flush()
 
+    def put_words(files: _Files, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[int, ...]:
+        files.put(word=keys[:, 0], check=keys[:, 1], count=sums[0])
+        again = (keys[1:, 0] == keys[:-1, 0]).sum() + (keys[0, 0] == getattr(files, "last", None))
+        files.last = keys[-1, 0]
+        return len(keys), sums[0].sum(), again
+
+    rows = _dealt(texts.mapInArrow(count_words, "key long, check long, n long"), bits, "check")
+    sized = _written(rows, bits, 2, folder, put_words, 3)
+    if any(again for _, _, again in sized.values()):
+        return train(docs, salt + 1)
+    model.offsets = np.concatenate([[0], np.cumsum([sized.get(p, (0, 0, 0))[0] for p in range(model.parts)])]).tolist()
+    model.tokens = sum(n for _, n, _ in sized.values())
+    if model.size + 1 >= 1 << 32:
+        raise ValueError(f"{model.size} different words need more than 32 bits")
+    if not model.tokens:
+        return model
     shared = spark.sparkContext.broadcast(model)
-    filled = _merge(texts.mapInArrow(lambda it: _count_pairs(shared.value)(it), "part int, blob binary"), pairs_done, 5)
-    sizes = {r[0]: r[1] for r in filled}
-    model.filled = [sizes.get(p, 0) for p in range(parts)]
-    model.pairs = sum(model.filled)
-    model.d2 = discounts(*(sum(r[i] for r in filled) for i in (2, 3, 4, 5)))
-    id_borders = np.array(offsets[:-1], np.uint64)
-
-    def contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(id_borders)
-        for batch in batches:
-            for p in batch.column("id").to_pylist():
-                word = np.load(f"{folder}/pair{p}.npy", mmap_mode="r") & np.uint64(0xFFFFFFFF)
-                yield from gather.add(*np.unique(word, return_counts=True))
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, gather = shared.value, _Gather(["key", "n"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                codes, first, digest = _tokens(batch, m.salt)
+                ids = m.find(digest)[0][codes]
+                yield from gather.add(*np.unique(_pair_keys(_before(ids, first, m.size), ids), return_counts=True))
         yield from gather.flush()
 
-    def from_done(part: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, ...]:
-        dense = np.zeros(offsets[part + 1] - offsets[part], np.uint32)
-        dense[keys.astype(np.int64) - offsets[part]] = counts
-        _save(folder, f"from{part}", dense)
-        return _counts_of_counts(counts) + [int((counts > 2).sum())]
-
-    has = [p for p in range(parts) if model.filled[p]]
-    if has:
-        which = spark.range(parts, numPartitions=min(parts, 4096)).where(F.col("id").isin(has) if len(has) < parts else F.lit(True))
-        low = _merge(which.mapInArrow(contexts_of, "part int, blob binary"), from_done, 5)
-        n1, n2, n3, n4, more = (sum(r[i] for r in low) for i in (1, 2, 3, 4, 5))
-        model.d1 = discounts(n1, n2, n3, n4)
-        mass = (model.d1[0] * n1 + model.d1[1] * n2 + model.d1[2] * more) / model.pairs
-        model.floor = mass / (model.size + 1)
+    def put_pairs(files: _Files, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[int, ...]:
+        files.put(pair=keys[:, 0], times=sums[0])
+        return len(keys), *_counts_of_counts(sums[0])
+
+    filled = _written(_dealt(texts.mapInArrow(count_pairs, "key long, n long"), bits), bits, 1, folder, put_pairs, 5)
+    model.pairs, *coc = (sum(x) for x in zip(*filled.values()))
+    model.d2 = discounts(*coc)
+    shift = 64 - model.range_bits()
+
+    def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the bigrams of each part: key (the id, in the top bits), total, three counts of counts, contexts."""
+        m = shared.value
+        for batch in batches:
+            for p in batch.column("id").to_pylist():
+                keys, times = m.map("pair", p, "u8"), m.map("times", p, "i8")
+                for at in range(0, len(keys), FLUSH_KEYS):
+                    both, n = unmix(keys[at : at + FLUSH_KEYS]), times[at : at + FLUSH_KEYS]
+                    u, place = np.unique(both >> np.uint64(32), return_inverse=True)
+                    w, contexts = np.unique(both & np.uint64(0xFFFFFFFF), return_counts=True)
+                    few = [np.bincount(place, x, len(u)).astype(np.int64) for x in (n == 1, n == 2, n > 2)]
+                    totals = np.zeros(len(u), np.int64)
+                    np.add.at(totals, place, n)
+                    none = np.zeros(len(w), np.int64)
+                    columns = [
+                        (np.concatenate([u, w]) << np.uint64(shift)).view(np.int64), np.concatenate([totals, none]),
+                        *(np.concatenate([x, none]) for x in few), np.concatenate([np.zeros(len(u), np.int64), contexts]),
+                    ]
+                    for k in range(0, len(columns[0]), ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in columns], names=["key", "total", "n1", "n2", "n3", "contexts"])
+
+    def put_ids(files: _Files, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[int, ...]:
+        files.put(id_id=(keys[:, 0] >> np.uint64(shift)).astype(np.int64), id=np.stack(sums, axis=1))
+        return *_counts_of_counts(sums[4]), (sums[4] > 2).sum()
+
+    which = spark.range(model.parts, numPartitions=model.parts)
+    rows = _dealt(which.mapInArrow(by_id, "key long, total long, n1 long, n2 long, n3 long, contexts long"), bits)
+    n1, n2, n3, n4, more = (sum(x) for x in zip(*_written(rows, bits, 1, folder, put_ids, 5).values()))
+    model.d1 = discounts(n1, n2, n3, n4)
+    model.floor = (model.d1[0] * n1 + model.d1[1] * n2 + model.d1[2] * more) / model.pairs / (model.size + 1)
     return model
 
 
@@ -362,21 +403,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                tokens, first = _text_tokens(batch)
-                ids, counts = _ids(tokens, m.vocabulary)
+                codes, first, digest = _tokens(batch, m.salt)
+                by_code = m.find(digest)
+                ids, counts = (x[codes] for x in by_code)
                 base = np.log10((counts + 0.1) / (m.tokens + 0.1 * (m.size + 1)))
-                before = _pair_keys(ids, first, m.size)
+                before = _before(ids, first, m.size)
                 distinct, place = np.unique(ids, return_inverse=True)
-                p = m.lower(distinct)[place]
+                low = m.lower(distinct)[place]
+                distinct, place = np.unique(before, return_inverse=True)
+                total, weight = (x[place] for x in m.context(distinct))
+                c = np.zeros(len(ids), np.int64)
                 both = (ids >= 0) & (before >= 0)
-                keys = (before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64)
-                keys, place = np.unique(keys, return_inverse=True)
-                share, weight = (x[place] for x in m.upper(keys))
-                p[both] = share + weight * p[both]
-                lone = (ids < 0) & (before >= 0)  # an unknown word after a known one: only the weight of the context
-                if lone.any():
-                    contexts, place = np.unique(before[lone].astype(np.uint64) << np.uint64(32), return_inverse=True)
-                    p[lone] *= m.upper(contexts)[1][place]
+                keys, place = np.unique(_pair_keys(before[both], ids[both]), return_inverse=True)
+                c[both] = m.times(keys)[place]
+                p = np.maximum(c - taken(c, m.d2), 0) / np.maximum(total, 1) + weight * low
                 sums = [np.add.reduceat(x, first[:-1]) for x in (base, np.log10(p), counts > 0)]
                 yield pa.RecordBatch.from_arrays(
                     [
