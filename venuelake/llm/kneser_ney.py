@@ -1,8 +1,8 @@
 r"""LM scoring with an interpolated modified Kneser-Ney bigram model, counted in Spark.
 
 Tokens are words ``[^\x20\x09-\x0D]+`` after lowering A-Z, and one end of text. A task counts its own texts, a few
-million keys at a time, and sends on a row for each key; rows are dealt by the top bits of the key, sorted, and summed up
-while they are written, so that memory follows neither the keys of a task nor the size of a file:
+million keys at a time, and sends on its sorted keys, cut into cells by their top bits and packed as differences. Cells
+are summed up and written one by one, so that memory follows neither the keys of a task nor the size of a file:
 
 1. words: 64 bits of a cryptographic digest are the key, 64 more prove that equal keys are equal words (else all is
    done again with another salt). The place of a word in all files is its id; the end of text is a word too.
@@ -12,8 +12,8 @@ while they are written, so that memory follows neither the keys of a task nor th
 
 The arrays lie in the shared folder and are memory-mapped by the workers, so a worker holds only the pages that it
 touches, and scoring looks sorted distinct keys up by binary search. Lost tasks write the same files again. The
-shared folder has to be mounted on the executors (a ``file:`` path), as usual for memory mapping. There is a file for each
-PART_BYTES of text, MAX_PARTS of them at most (they grow from there), and the driver is sent a row for each.
+shared folder has to be mounted on the executors (a ``file:`` path), as usual for memory mapping. There is a cell for
+each PART_BYTES of text. A file holds one cell, or several beyond MAX_PARTS of them, and the driver is sent a row for each file.
 
     p(w|u) = max(c(uw) - D(c(uw)), 0) / c(u.) + g(u) p(w)
     p(w)   = max(N(.w) - D'(N(.w)), 0) / N(..) + g' / (V + 1)
@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,28 +41,54 @@ from .common import crc_bucket, new_path
 
 #: Bytes of text for each part of the model, and the most parts; powers of two.
 PART_BYTES, MAX_PARTS = 16 << 20, 4096
+#: Bigrams that occur so often have their counts in a list of their own.
+MOST = (1 << 32) - 1
 #: Distinct keys that a task gathers before it sends them on.
 FLUSH_KEYS = 1 << 21
-ROWS = 1 << 16
+ROWS = 1000
 
 
-def _sum(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums by key of sorted rows; ``keys`` may have several columns."""
-    if not len(keys):
+def _sum(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct rows of ``keys``, and the sums of their ``values``."""
+    if len(keys) < 2:
         return keys, values
-    new = keys[1:] != keys[:-1]
-    at = np.flatnonzero(np.concatenate([[True], new.any(axis=1) if new.ndim > 1 else new]))
-    return keys[at], [np.add.reduceat(v, at) for v in values]
+    order = np.lexsort(keys.T[::-1]) if keys.shape[1] > 1 else np.argsort(keys[:, 0], kind="stable")
+    keys, values = keys[order], values[order]
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    return keys[at], np.add.reduceat(values, at, axis=0)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, by place: the high ones are mostly zero."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted rows, the first key as differences."""
+    columns = [np.diff(keys[:, 0], prepend=np.uint64(0)), *keys.T[1:], *values.T]
+    data = b"".join(map(_planes, columns))
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(data) if len(keys) > 32 else b"\0" + data
+
+
+def _unpack(blob: bytes, keyed: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[0] else blob[1:]
+    first, *rest = (_numbers(x) for x in np.frombuffer(data, np.uint8).reshape(keyed + width, -1))
+    columns = [np.cumsum(first, dtype=np.uint64), *rest]
+    return np.stack(columns[:keyed], axis=1), np.stack(columns[keyed:], axis=1).view(np.int64)
 
 
 class _Gather:
-    """Counts of keys (one or two columns) in a task, sent on as rows."""
+    """Sums by key in a task, sent on as a packed row for each cell: the top ``bits`` of the first key."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.size = names, [], 0
+    def __init__(self, bits: int):
+        self.bits, self.held, self.size = bits, [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((keys, counts))
+    def add(self, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, values))
         self.size += len(keys)
         if self.size > FLUSH_KEYS:
             self._merge()
@@ -69,52 +96,39 @@ class _Gather:
                 yield from self.flush()
 
     def _merge(self) -> None:
-        keys, counts = (np.concatenate(x) for x in zip(*self.held))
-        order = np.lexsort(keys.T[::-1]) if keys.ndim > 1 else np.argsort(keys, kind="stable")
-        keys, (counts,) = _sum(keys[order], [counts[order]])
-        self.held, self.size = [(keys, counts)], len(keys)
+        self.held = [_sum(*(np.concatenate(x) for x in zip(*self.held)))]
+        self.size = len(self.held[0][0])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             self._merge()
-            keys, counts = self.held[0]
-            columns = [*np.ascontiguousarray(keys.reshape(len(keys), -1).T).view(np.int64), counts]
-            for at in range(0, len(counts), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS]) for c in columns], names=self.names)
+            keys, values = self.held[0]
+            cells = (keys[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
+            cut = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]]).tolist()
+            for at in range(0, len(cut) - 1, ROWS):
+                spans = list(zip(cut[at : at + ROWS], cut[at + 1 : at + ROWS + 1]))
+                blobs = [_pack(keys[a:b], values[a:b]) for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(cells[[a for a, _ in spans]]), pa.array(blobs, pa.binary())], names=["cell", "blob"])
         self.held, self.size = [], 0
 
 
-def _dealt(rows: DataFrame, bits: int, *order: str) -> DataFrame:
-    """Rows by the top bits of ``key``, sorted; inside a part the order is that of unsigned keys."""
-    return rows.repartition(F.shiftrightunsigned("key", 64 - bits)).sortWithinPartitions("key", *order)
+_CELLS = "cell long, blob binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], bits: int, keyed: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """(part, distinct keys, sums): sorted rows summed up; no key goes on in the next chunk, and no chunk has two parts.
-
-    The first ``keyed`` columns are the key; there is a part for each value of the top bits of the first.
-    """
-    rest: list[np.ndarray] | None = None
+def _merged(batches: Iterator[pa.RecordBatch], keyed: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cell, keys, sums) of rows sorted by cell; one cell is held at a time."""
+    cell, held = None, []
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if not len(columns[0]):
-            continue
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns)]
-        keys = np.stack([c.view(np.uint64) for c in columns[:keyed]], axis=1)
-        keys, sums = _sum(keys, columns[keyed:])
-        rest = [keys[-1:, k].view(np.int64) for k in range(keyed)] + [s[-1:] for s in sums]
-        yield from _by_part(keys[:-1], [s[:-1] for s in sums], bits)
-    if rest is not None:
-        yield from _by_part(np.stack([c.view(np.uint64) for c in rest[:keyed]], axis=1), rest[keyed:], bits)
-
-
-def _by_part(keys: np.ndarray, sums: list[np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    part = (keys[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
-    cut = np.flatnonzero(part[1:] != part[:-1]) + 1
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)]):
-        if b > a:
-            yield int(part[a]), keys[a:b], [s[a:b] for s in sums]
+        for c, blob in zip(batch.column("cell").to_pylist(), batch.column("blob")):
+            if c != cell:
+                if held:
+                    yield cell, *_sum(*(np.concatenate(x) for x in zip(*held)))
+                cell, held = c, []
+            held.append(_unpack(blob.as_py(), keyed, width))
+            if len(held) > 8:
+                held = [_sum(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        yield cell, *_sum(*(np.concatenate(x) for x in zip(*held)))
 
 
 class _Files:
@@ -123,6 +137,7 @@ class _Files:
     def __init__(self, folder: str, part: int):
         self.folder, self.part, self.own = folder, part, f"{os.getpid()}-{os.urandom(4).hex()}"
         self.open: dict[str, object] = {}
+        self.rows = 0
 
     def put(self, **arrays: np.ndarray) -> None:
         for name, array in arrays.items():
@@ -145,8 +160,12 @@ def _local(path: str) -> str:
     return path
 
 
-def _written(rows: DataFrame, bits: int, keyed: int, folder: str, put: Callable, width: int) -> dict[int, tuple[int, ...]]:
-    """``put(files, keys, sums)`` writes a chunk and gives its statistics, which are summed up for each part."""
+def _written(rows: DataFrame, model: Model, keyed: int, width: int, put: Callable, stats: int) -> dict[int, tuple[int, ...]]:
+    """Cells of ``rows`` in the file of their part, one after the other.
+
+    ``put(files, keys, sums)`` writes a cell and gives its statistics, which are summed up for each part.
+    """
+    folder, shift = model.folder, model.cell_bits - model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, total, done = None, None, []
@@ -155,18 +174,19 @@ def _written(rows: DataFrame, bits: int, keyed: int, folder: str, put: Callable,
             files.close()
             done.append((files.part, *total))
 
-        for part, keys, sums in _chunks(batches, bits, keyed):
-            if files is None or files.part != part:
+        for cell, keys, sums in _merged(batches, keyed, width):
+            if files is None or files.part != cell >> shift:
                 if files is not None:
                     close()
-                files, total = _Files(folder, part), [0] * width
+                files, total = _Files(folder, cell >> shift), [0] * stats
             total = [a + int(b) for a, b in zip(total, put(files, keys, sums))]
         if files is not None:
             close()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names=["part", *(f"s{i}" for i in range(width))])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names=["part", *(f"s{i}" for i in range(stats))])
 
-    schema = "part long, " + ", ".join(f"s{i} long" for i in range(width))
-    return {r.part: tuple(r)[1:] for r in rows.mapInArrow(run, schema).collect()}
+    schema = "part long, " + ", ".join(f"s{i} long" for i in range(stats))
+    dealt = rows.repartition(F.shiftright("cell", shift)).sortWithinPartitions("cell")
+    return {r.part: tuple(r)[1:] for r in dealt.mapInArrow(run, schema).collect()}
 
 
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
@@ -202,9 +222,10 @@ def _tokens(batch: pa.RecordBatch, salt: int) -> tuple[np.ndarray, np.ndarray, n
 class Model:
     """What workers need to open the arrays, and the numbers that hold for the whole model."""
 
-    def __init__(self, folder: str, bits: int, salt: int):
-        self.folder, self.bits, self.salt = folder, bits, salt
-        self.parts = 1 << bits
+    def __init__(self, folder: str, cell_bits: int, salt: int):
+        self.folder, self.cell_bits, self.salt = folder, cell_bits, salt
+        self.bits = min(cell_bits, MAX_PARTS.bit_length() - 1)
+        self.parts = 1 << self.bits
         self.offsets, self.tokens = [0] * (self.parts + 1), 0
         self.d1 = self.d2 = (0.5, 0.5, 0.5)
         self.pairs, self.floor = 0, 1.0
@@ -219,8 +240,8 @@ class Model:
         return self.offsets[-1]
 
     def range_bits(self) -> int:
-        """Ids are cut into ranges by their top bits among this many."""
-        return max(self.size.bit_length(), self.bits)
+        """Ids are dealt by their top bits among this many."""
+        return max(self.size.bit_length(), self.cell_bits)
 
     def map(self, name: str, part: int, kind: str, columns: int = 1) -> np.ndarray:
         if (name, part) not in self.maps:
@@ -260,39 +281,43 @@ class Model:
             table = self.map("pair", p, "u8")
             if len(table):
                 at = np.minimum(np.searchsorted(table, keys[some]), len(table) - 1)
-                out[some] = np.where(table[at] == keys[some], self.map("times", p, "i8")[at], 0)
+                c = np.where(table[at] == keys[some], self.map("times", p, "u4")[at], 0).astype(np.int64)
+                if (c == MOST).any():  # those that need more bits are listed apart
+                    over, counts = self.map("over", p, "u8", 2).T
+                    place = np.minimum(np.searchsorted(over, keys[some]), len(over) - 1)
+                    c = np.where(over[place] == keys[some], counts[place].astype(np.int64), c)
+                out[some] = c
         return out
 
-    def by_id(self, name: str, ids: np.ndarray, kind: str, columns: int = 1) -> np.ndarray:
-        """Rows of sorted ids; zeros for those that have none."""
-        out = np.zeros((len(ids), columns), np.int64)
+    def by_id(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, [n1, n2, n3, contexts]) of sorted ids."""
+        total, kinds = np.zeros(len(ids), np.int64), np.zeros((len(ids), 4), np.int64)
         shift = self.range_bits() - self.bits
         part = ids >> shift
         cut = np.flatnonzero(part[1:] != part[:-1]) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]):
             if b > a:
                 p = int(part[a])
-                known, table = self.map(name + "_id", p, "i8"), self.map(name, p, kind, columns).reshape(-1, columns)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, ids[a:b]), len(known) - 1)
-                    out[a:b] = np.where((known[at] == ids[a:b])[:, None], table[at], 0)
-        return out
+                at = ids[a:b] - (p << shift)
+                there = at < len(self.map("total", p, "i8"))
+                total[a:b][there] = self.map("total", p, "i8")[at[there]]
+                kinds[a:b][there] = self.map("kinds", p, "u4", 4)[at[there]]
+        return total, kinds
 
     def lower(self, ids: np.ndarray) -> np.ndarray:
         """p(w) of sorted distinct word ids, -1 for unknown words."""
         out = np.full(len(ids), self.floor)
         known = ids >= 0
-        n = self.by_id("id", ids[known], "i8", 5)[:, 4]
+        n = self.by_id(ids[known])[1][:, 3]
         out[known] += np.maximum(n - taken(n, self.d1), 0) / max(self.pairs, 1)
         return out
 
     def context(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(total, back-off weight) of sorted distinct context ids; an unknown context has total 0 and weight 1."""
-        found = np.zeros((len(ids), 5), np.int64)
+        total, kinds = np.zeros(len(ids), np.int64), np.zeros((len(ids), 4), np.int64)
         known = ids >= 0
-        found[known] = self.by_id("id", ids[known], "i8", 5)
-        total = found[:, 0]
-        return total, np.where(total > 0, found[:, 1:4] @ np.array(self.d2) / np.maximum(total, 1), 1.0)
+        total[known], kinds[known] = self.by_id(ids[known])
+        return total, np.where(total > 0, kinds[:, :3] @ np.array(self.d2) / np.maximum(total, 1), 1.0)
 
 
 def _pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -312,27 +337,23 @@ def train(docs: DataFrame, salt: int = 0) -> Model:
     ship_package(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max((total // PART_BYTES).bit_length(), 1), MAX_PARTS.bit_length() - 1)
-    model = Model(_local(new_path(spark, "kneser-ney")), bits, salt)
-    folder = model.folder
+    model = Model(_local(new_path(spark, "kneser-ney")), max((total // PART_BYTES).bit_length(), 1), salt)
+    cells = model.cell_bits
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(["key", "check", "n"])
+        gather = _Gather(cells)
         for whole in batches:
             for batch in slices(whole, "text"):
                 codes, _, digest = _tokens(batch, salt)
                 n = np.bincount(codes, minlength=len(digest))
-                yield from gather.add(digest[n > 0], n[n > 0])
+                yield from gather.add(digest[n > 0], n[n > 0, None])
         yield from gather.flush()
 
-    def put_words(files: _Files, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[int, ...]:
-        files.put(word=keys[:, 0], check=keys[:, 1], count=sums[0])
-        again = (keys[1:, 0] == keys[:-1, 0]).sum() + (keys[0, 0] == getattr(files, "last", None))
-        files.last = keys[-1, 0]
-        return len(keys), sums[0].sum(), again
+    def put_words(files: _Files, keys: np.ndarray, sums: np.ndarray) -> tuple[int, ...]:
+        files.put(word=keys[:, 0], check=keys[:, 1], count=sums)
+        return len(keys), sums.sum(), (keys[1:, 0] == keys[:-1, 0]).sum()
 
-    rows = _dealt(texts.mapInArrow(count_words, "key long, check long, n long"), bits, "check")
-    sized = _written(rows, bits, 2, folder, put_words, 3)
+    sized = _written(texts.mapInArrow(count_words, _CELLS), model, 2, 1, put_words, 3)
     if any(again for _, _, again in sized.values()):
         return train(docs, salt + 1)
     model.offsets = np.concatenate([[0], np.cumsum([sized.get(p, (0, 0, 0))[0] for p in range(model.parts)])]).tolist()
@@ -344,51 +365,55 @@ def train(docs: DataFrame, salt: int = 0) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, gather = shared.value, _Gather(["key", "n"])
+        m, gather = shared.value, _Gather(cells)
         for whole in batches:
             for batch in slices(whole, "text"):
                 codes, first, digest = _tokens(batch, m.salt)
                 ids = m.find(digest)[0][codes]
-                yield from gather.add(*np.unique(_pair_keys(_before(ids, first, m.size), ids), return_counts=True))
+                keys, n = np.unique(_pair_keys(_before(ids, first, m.size), ids), return_counts=True)
+                yield from gather.add(keys[:, None], n[:, None])
         yield from gather.flush()
 
-    def put_pairs(files: _Files, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[int, ...]:
-        files.put(pair=keys[:, 0], times=sums[0])
-        return len(keys), *_counts_of_counts(sums[0])
+    def put_pairs(files: _Files, keys: np.ndarray, sums: np.ndarray) -> tuple[int, ...]:
+        files.put(pair=keys, times=np.minimum(sums, MOST).astype(np.uint32))
+        if (many := sums[:, 0] >= MOST).any():
+            files.put(over=np.concatenate([keys[many], sums[many].view(np.uint64)], axis=1))
+        return len(keys), *_counts_of_counts(sums)
 
-    filled = _written(_dealt(texts.mapInArrow(count_pairs, "key long, n long"), bits), bits, 1, folder, put_pairs, 5)
+    filled = _written(texts.mapInArrow(count_pairs, _CELLS), model, 1, 1, put_pairs, 5)
     model.pairs, *coc = (sum(x) for x in zip(*filled.values()))
     model.d2 = discounts(*coc)
-    shift = 64 - model.range_bits()
+    top = np.uint64(64 - model.range_bits())
+    base = model.range_bits() - model.bits
 
     def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the bigrams of each part: key (the id, in the top bits), total, three counts of counts, contexts."""
-        m = shared.value
+        """Of the bigrams of each part, by id (in the top bits): total and counts of counts as a context, contexts as a word."""
+        m, gather = shared.value, _Gather(cells)
         for batch in batches:
             for p in batch.column("id").to_pylist():
-                keys, times = m.map("pair", p, "u8"), m.map("times", p, "i8")
-                for at in range(0, len(keys), FLUSH_KEYS):
-                    both, n = unmix(keys[at : at + FLUSH_KEYS]), times[at : at + FLUSH_KEYS]
-                    u, place = np.unique(both >> np.uint64(32), return_inverse=True)
-                    w, contexts = np.unique(both & np.uint64(0xFFFFFFFF), return_counts=True)
-                    few = [np.bincount(place, x, len(u)).astype(np.int64) for x in (n == 1, n == 2, n > 2)]
-                    totals = np.zeros(len(u), np.int64)
-                    np.add.at(totals, place, n)
-                    none = np.zeros(len(w), np.int64)
-                    columns = [
-                        (np.concatenate([u, w]) << np.uint64(shift)).view(np.int64), np.concatenate([totals, none]),
-                        *(np.concatenate([x, none]) for x in few), np.concatenate([np.zeros(len(u), np.int64), contexts]),
-                    ]
-                    for k in range(0, len(columns[0]), ROWS):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in columns], names=["key", "total", "n1", "n2", "n3", "contexts"])
-
-    def put_ids(files: _Files, keys: np.ndarray, sums: list[np.ndarray]) -> tuple[int, ...]:
-        files.put(id_id=(keys[:, 0] >> np.uint64(shift)).astype(np.int64), id=np.stack(sums, axis=1))
-        return *_counts_of_counts(sums[4]), (sums[4] > 2).sum()
+                table = m.map("pair", p, "u8")
+                for at in range(0, len(table), FLUSH_KEYS):
+                    keys = table[at : at + FLUSH_KEYS]
+                    both, n = unmix(keys), m.times(keys)
+                    ids, place = np.unique(np.concatenate([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)]), return_inverse=True)
+                    values = np.zeros((len(ids), 5), np.int64)
+                    np.add.at(values[:, 0], place[: len(n)], n)
+                    for k, some in enumerate((n == 1, n == 2, n > 2), 1):
+                        values[:, k] = np.bincount(place[: len(n)][some], minlength=len(ids))
+                    values[:, 4] = np.bincount(place[len(n) :], minlength=len(ids))
+                    yield from gather.add((ids << top)[:, None], values)
+        yield from gather.flush()
+
+    def put_ids(files: _Files, keys: np.ndarray, sums: np.ndarray) -> tuple[int, ...]:
+        at = (keys[:, 0] >> top).astype(np.int64) - (files.part << base) - files.rows
+        dense = np.zeros((at[-1] + 1, 5), np.int64)
+        dense[at] = sums
+        files.rows += len(dense)
+        files.put(total=dense[:, 0], kinds=dense[:, 1:].astype(np.uint32))
+        return *_counts_of_counts(sums[:, 4]), (sums[:, 4] > 2).sum()
 
     which = spark.range(model.parts, numPartitions=model.parts)
-    rows = _dealt(which.mapInArrow(by_id, "key long, total long, n1 long, n2 long, n3 long, contexts long"), bits)
-    n1, n2, n3, n4, more = (sum(x) for x in zip(*_written(rows, bits, 1, folder, put_ids, 5).values()))
+    n1, n2, n3, n4, more = (sum(x) for x in zip(*_written(which.mapInArrow(by_id, _CELLS), model, 1, 5, put_ids, 5).values()))
     model.d1 = discounts(n1, n2, n3, n4)
     model.floor = (model.d1[0] * n1 + model.d1[1] * n2 + model.d1[2] * more) / model.pairs / (model.size + 1)
     return model
