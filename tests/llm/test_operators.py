@@ -333,7 +333,9 @@ def lm_tokens(t):
 
 
 def test_kneser_ney(docs, texts, none, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "PART_BYTES", 20000)  # several parts
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 20000)  # several cells
+    monkeypatch.setattr(kneser_ney, "MAX_PARTS", 4)  # in one file
+    monkeypatch.setattr(kneser_ney, "FLUSH_KEYS", 3000)
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     uni, pair = Counter(), Counter()
     for i, t in texts[0]:

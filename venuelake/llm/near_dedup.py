@@ -50,7 +50,7 @@ SIGNATURE_FLOOR = 0.56
 #: Members of a bucket compared with each other; a larger bucket links all of them to one, which only adds candidates.
 BUCKET_PAIRS = 2048
 #: Shingles of a family in one block; a pair of blocks is verified in one task.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 50_000
 _LOWER = bytes(LOWER)
 
 
@@ -301,7 +301,9 @@ def _across(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Links of families in several parts. ``members``: node, fam, part, n."""
     whole = members.groupBy("fam", "part").agg(F.sum("n").alias("weight"))
     whole = whole.withColumn("own", F.when(F.col("weight") > BLOCK_SHINGLES, F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES)).cast("int")).otherwise(0))
-    common = whole.where("own = 0").groupBy("fam").agg(F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES)).cast("int").alias("common"))
+    # written, so that a large family is met by plain exchanges
+    whole = materialize(whole, "whole")
+    common = materialize(whole.where("own = 0").groupBy("fam").agg(F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES)).cast("int").alias("common")), "common")
     # a block: the part that has it for itself, or none, and a number
     alone = whole.where("own > 0").select("fam", F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("number"))
     shared = common.select("fam", F.lit(b"").alias("of"), F.explode(F.sequence(F.lit(0), F.col("common") - 1)).alias("number"))
@@ -316,7 +318,7 @@ def _across(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     tasks = tasks.select(
         "node", "fam", "part", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") <= F.col("other")).alias("left")
     )
-    tasks = tasks.join(texts, "node").repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "node")
+    tasks = tasks.join(texts.hint("merge"), "node").repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "node")
     tasks = tasks.select("fam", F.to_json("bi").alias("bi"), F.to_json("bj").alias("bj"), "node", "part", "left", "text")
     return tasks.mapInArrow(lambda it: _verify_blocks(it, shingle), "a binary, b binary")
 
@@ -334,14 +336,17 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     whole = rows.where("doc_id is not null and n > 0")
     # the written row that stands for a class, and its smallest id
     classes = materialize(whole.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid")), "classes")
-    stands = rows.join(classes.select("rid"), "rid")
+    # texts and sketches are joined by sort and merge at any size, as they have to be where it counts
+    stands = rows.join(classes.select("rid").hint("merge"), "rid")
     buckets = stands.select(F.explode("bands").alias("key"), "class", "n", "bits").repartition("key").sortWithinPartitions("key", "class")
     near = materialize(buckets.mapInArrow(_bucket_links, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
     families = materialize(connected_components(near, "families"), "families")
-    texts = materialize(stands.join(families, F.col("class") == F.col("node")).select("node", "text", "n"), "texts")
+    # by the number of the row, so that only texts of members move if they are few
+    member = materialize(families.join(classes.select(F.col("class").alias("node"), "rid"), "node").select("node", "rid"), "member")
+    texts = materialize(rows.select("rid", "text", "n").join(member.hint("merge"), "rid").select("node", "text", "n"), "texts")
     # the hub of a hot bucket is met last, by a join that can be split
-    right = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    pairs = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    right = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
+    pairs = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
     links = materialize(pairs.select("a", "b", "left", "right").mapInArrow(lambda it: _verify_rows(it, shingle), "a binary, b binary"), "links")
     parts = materialize(connected_components(links, "parts").withColumnRenamed("root", "part"), "parts")
     members = families.withColumnRenamed("root", "fam").join(parts, "node", "left").select("node", "fam", F.coalesce("part", "node").alias("part"))
@@ -354,7 +359,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # written, so that the join has plain exchanges and a large class can be split
     smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     by_class = materialize(named.join(smallest, "root").select("class", "component_id"), "by-class")
-    release(near, families, texts, links, parts, members, components, smallest, classes)
+    release(near, families, member, texts, links, parts, members, components, smallest, classes)
     found = rows.select("doc_id", "_k1", "_k2", "class", "n").join(by_class, "class", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "_k1", "_k2")
