@@ -17,9 +17,9 @@ def test_days():
     assert hours_parse.day_set("土〜月") == ["sat", "sun", "mon"]
     assert hours_parse.day_set("平日") == ["mon", "tue", "wed", "thu", "fri"]
     assert hours_parse.day_set("祝前日") == ["prehol"]
-    assert hours_parse.day_set("月曜日") == ["mon"]
-    assert hours_parse.day_set("月曜日", strict=False) == ["mon", "sun"]
-    assert hours_parse.day_set("祝日", strict=False) == ["hol", "sun"]
+    assert hours_parse.day_set("月曜日") == ["mon", "sun"] and hours_parse.day_set("月曜日", strict=True) == ["mon"]
+    assert hours_parse.day_set("祝日") == ["hol", "sun"] and hours_parse.day_set("月曜") == ["mon"]
+    assert hours_parse.day_set("毎日") == hours.DAYS
 
 
 def test_ranges():
@@ -36,16 +36,33 @@ def test_free_hours():
     week = hours_parse.free_hours("月〜金 17:00〜23:00、土 15:00〜22:00", "日")
     assert week["mon"] == [[1020, 1380, None]] and week["sat"] == [[900, 1320, None]] and week["sun"] == []
     assert "sun" not in hours_parse.free_hours("月 17:00〜23:00", "第2日")
+    assert hours_parse.free_hours("日により 17:00〜23:00", None) is None
+    late = hours_parse.free_hours("17:00〜23:00（金・土は翌4:00まで）", "正月")
+    assert late["mon"] == late["hol"] == [[1020, 1380, None]] and late["fri"] == late["sat"] == [[1020, 1680, None]]
+    both = hours_parse.free_hours("17:00〜23:00、日 15:00〜21:00", None)
+    assert both["mon"] == [[1020, 1380, None]] and both["sun"] == [[900, 1260, None]] and set(both) == {*hours.DAYS, "hol"}
+    assert hours_parse.free_hours("月 17:00〜23:00（火14:00〜）", None) == {"mon": [[1020, 1380, None]]}
+    assert hours_parse.free_hours("17時頃〜翌朝（2019年時点の記事）", None)["mon"] == [[1020, 1740, None]]
 
 
 def test_english_hours():
     week = hours_parse.english_hours("Mon, Tue 12:30 AM - 12:00 PM Sun Closed")
     assert week == {"mon": [[30, 720, None]], "tue": [[30, 720, None]], "sun": []}
+    week = hours_parse.english_hours("Mon 5:00 PM - 11:00 PM L.O. Food 10:00 PM Drinks 10:30 PM Public Holiday 3:00 PM - 9:00 PM Fri Open 24 hours")
+    assert week == {"mon": [[1020, 1380, 1350]], "fri": [[0, 1440, None]], "hol": [[900, 1260, None]]}
 
 
 def test_listing_appends():
-    week = hours_parse.listing_hours("月 17:00-23:00 月 11:00-14:00")
-    assert week["mon"] == [[1020, 1380, None], [660, 840, None]]
+    week, dormant = hours_parse.listing_hours("月 17:00-23:00 月 11:00-14:00")
+    assert not dormant and week["mon"] == [[1020, 1380, None], [660, 840, None]]
+
+
+def test_listing_forms():
+    week, _ = hours_parse.listing_hours("16:00～23:00", "日")
+    assert week["sun"] == [] and week["mon"] == week["hol"] == [[960, 1380, None]]
+    week, _ = hours_parse.listing_hours("火～金: 16:30～22:30 （料理L.O. 22:00） 土: 12:00～翌0:00", "月")
+    assert week["tue"] == week["fri"] == [[990, 1350, 1320]] and week["sat"] == [[720, 1440, None]] and week["mon"] == [] and "sun" not in week
+    assert hours_parse.listing_hours("日: 00:00～00:30", "月") == (None, True) and hours_parse.listing_hours("", "月") == (None, False)
 
 
 def week_of(**days):
@@ -89,7 +106,14 @@ def test_numbers(spark):
 def test_texts(spark):
     assert one(spark, text.clean_text(F.lit("　 あ　"))) == "あ" and one(spark, text.clean_text(F.lit("　"))) is None
     assert one(spark, text.slug(F.lit("Hello, World!"))) == "hello-world"
-    assert one(spark, text.clean_address(F.lit("〒100-0001 北区赤羽1ー2−3 ビル5F"))) == "北区赤羽1-2-3"
+    assert one(spark, text.clean_address(F.lit("〒100-0001 北区赤羽１ー2−3 ビル5F"))) == "北区赤羽1-2-3"
+    assert one(spark, text.clean_address(F.lit("赤羽1丁目2番3号 ビル"))) == "赤羽1丁目2"
+    assert tuple(one(spark, text.address_key(F.lit("東京都八王子市旭町1-2")))) == ("八王子市", "旭町", ["1", "2"])
+    assert tuple(one(spark, text.address_key(F.lit("東京都北区上十条２丁目30番13号")))) == ("北区", "上十条", ["2", "30", "13"])
+    assert one(spark, text.address_key(F.lit("東京都北区"))) is None
+    assert tuple(one(spark, text.yen_range(F.lit("JPY 2,000")))) == (2000, None) and tuple(one(spark, text.yen_range(F.lit("- JPY 999")))) == (None, 999)
+    assert one(spark, text.short_label(F.lit("三千円（税込）から"))) == "三千円から" and one(spark, text.opening_text(F.lit("2010.4.1"))) == "2010年4月開店"
+    assert one(spark, text.has_all_tokens(text.search_document(F.lit("ﾋﾞｰﾙ Ｂar")), "ビール ＢＡＲ")) is True
     assert one(spark, text.stale_note(F.lit("2019年と2021年"), 2024)) is True
     assert one(spark, text.split_top(F.lit("a、b（c、d）、e"))) == ["a", "b（c、d）", "e"]
 
@@ -110,6 +134,7 @@ def test_greedy_dedup(spark):
 
 
 def test_precedence_keeps_zero(spark):
+    assert tuple(one(spark, merge.first_known((F.lit("－"), "A"), (F.lit(" 未確認 "), "B"), (F.lit("none"), "C")))) == ("none", "C")
     f = merge.first_known((F.lit("不明"), "A"), (F.lit("0"), "B"), (F.lit("x"), "C"))
     assert tuple(one(spark, f)) == ("0", "B")
 

@@ -44,7 +44,7 @@ def test_rules(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     reasons = rules.review_reasons(F.lit(1), F.lit(900.0), F.lit(700.0), F.lit(130.0), F.lit("town"), F.lit(False))
     assert one(reasons) == ["match too far", "pin 130m", "address only to town"]
-    assert one(rules.station_rank(F.lit(False), F.lit(3))) == 3 and one(rules.station_rank(F.lit(False), F.lit(1))) == 1
+    assert [tuple(one(rules.station_rank(F.lit(h), F.lit(n)))) for h, n in ((True, 1), (False, 3), (False, 2), (False, 1))] == [(11, 3), (12, 2), (13, 1), (13, 0)]
     clean = rules.enrichment({"catch": (F.lit(" a  b "), 60)}, F.array(F.lit("x"), F.lit("不明")), F.array(F.struct(F.lit("").alias("n"), F.lit("1").alias("p"))), F.array(F.lit("https://a"), F.lit("b")))
     assert one(clean["catch"]) == "a b" and one(clean["rules"]) == ["x"] and one(clean["menu"]) == [] and one(clean["sources_add"]) == ["https://a"]
 

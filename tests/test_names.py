@@ -5,20 +5,26 @@ from venuelake.session import ship_package
 
 
 def test_cores():
-    assert names.cores("立ち飲み 山田屋 新橋店", [])[-1] == "山田屋"
-    assert "山田屋" in names.cores("新橋山田屋", ["新橋"])
-    assert names.cores("BAR", []) == [] and names.cores(None, []) == []
-    assert names.cores("カクウチ（Kakuuchi Base）", [])[0] == "かくうち"
-    assert "鈴木酒店" in names.cores("鈴木酒店", [])
+    assert names.cores("立ち飲み 山田屋 新橋店", []) == ["立ち飲み山田屋新橋店", "立ち飲み山田屋", "山田屋"]
+    assert names.cores("新橋山田屋", ["新橋"]) == ["新橋山田屋", "山田屋"]
+    assert names.cores("BAR", []) == [] and names.cores(None, []) == [] and names.cores("新橋", ["新橋"]) == []
+    assert names.cores("カクウチ（Kakuuchi Base）", []) == ["カクウチ", "KakuuchiBase"]
+    assert names.cores("鈴木酒店", []) == ["鈴木酒店", "鈴木"]
+    assert names.cores("のんべい横丁") == ["のんべい横丁", "のんべい"]
+    assert names.cores("串揚げ 田中 総本店", extra=["Tanaka", "The Bar Ox"]) == ["串揚げ田中総本店", "串揚げ", "田中", "TheBarOx", "Tanaka"][:3] + ["TheBarOx", "Tanaka"]
+    assert names.cores("HAMAMATSUCHO", romaji={"hamamatsucho"}) == [] and names.cores("ABC") == []
+    assert names.romaji_place("Hamamatsuchō Station") == "hamamatsucho" and names.romaji_place("Eki") is None
 
 
 def test_columns(spark):
     ship_package(spark)
     df = spark.createDataFrame([("新橋 山田屋", "新橋"), (None, None)], "n string, p string")
-    got = df.select(names.name_cores("n", F.array("p")).alias("c")).collect()
+    got = df.select(names.name_cores("n", F.array("p"), F.array().cast("array<string>")).alias("c")).collect()
     assert "山田屋" in got[0].c and got[1].c == []
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert one(names.place_words(F.lit("烏森"), F.lit("港区"), F.lit("新橋駅"), F.lit("港区新橋2-1"))) == ["烏森", "港区", "新橋"]
+    words = names.place_words(F.lit("烏森"), F.lit(None).cast("string"), F.lit("港区"), F.lit("JR新橋駅・内幸町駅"), F.lit("東京都港区新橋三丁目２-1"))
+    assert one(words) == ["烏森", "港区", "新橋", "内幸町", "港区", "新橋"]
+    assert one(names.station_reading(F.lit("シンバシえき"))) == "しんばし"
     assert one(names.canon_area(F.lit("新橋（東口）"), {"新橋": "しんばし"})) == "しんばし"
     assert one(names.station_name(F.lit("新橋（JR）駅"))) == "新橋"
     assert one(names.original_text(F.lit("Original text 立ち飲み Translated standing"))) == "立ち飲み"

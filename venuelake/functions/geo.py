@@ -68,10 +68,45 @@ def min_zoom(area: Column, pixels: float = 1.0, low: int = 10, high: int = 17) -
     return F.when(area <= 0, high).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), z))).cast("int")
 
 
-def building_height(height: Column, levels: Column, kind: Column, defaults: dict[str, int]) -> Column:
-    """Metres from a height, else levels, else the kind, else 8; within 3 and 300."""
-    by_kind = F.coalesce(*[F.when(kind == k, F.lit(float(v))) for k, v in defaults.items()], F.lit(8.0))
-    return F.bround(F.greatest(F.lit(3.0), F.least(F.lit(300.0), F.coalesce(height, levels * 3.3 + 1, by_kind)))).cast("int")
+#: Fixed heights in metres of kinds of building; others are 8.
+HEIGHTS = {
+    "house": 7, "detached": 7, "residential": 10, "apartments": 14, "commercial": 14, "retail": 9, "office": 24, "hotel": 30, "public": 12,
+    "school": 14, "warehouse": 8, "industrial": 9, "temple": 9, "shrine": 6, "roof": 4, "garage": 3, "shed": 3, "train_station": 12,
+}
+
+
+def building_height(height: Column, levels: Column, kind: Column) -> Column:
+    """Metres from a height (2 to 300), else levels (3 to 300), else the kind."""
+    by_kind = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in HEIGHTS.items()], F.lit(8))
+    # greatest and least pass nulls over
+    within = lambda c, low: F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(300), F.bround(c).cast("int"))))
+    return F.coalesce(within(height.cast("double"), 2), within(levels.cast("int") * F.lit(3.3) + 1, 3), by_kind).cast("int")
+
+
+def lerp(a: Column, b: Column, u: Column) -> Column:
+    """From a to b by a share."""
+    return a + (b - a) * u
+
+
+def ease(u: Column) -> Column:
+    """Cubic, slow at both ends."""
+    return F.when(u < 0.5, 4 * u * u * u).otherwise(1 - F.pow(2 - 2 * u, F.lit(3)) / 2)
+
+
+def ease_out(u: Column) -> Column:
+    return 1 - F.pow(1 - u, F.lit(3))
+
+
+def to_pixels(x: Column, y: Column, lat: float, lng: float, half_metres: float, size: int) -> Column:
+    """struct<px, py> in a square sheet around a place."""
+    centre, scale = proj(F.lit(lng), F.lit(lat)), size / 2 / half_metres * metres_per_unit(F.lit(lat))
+    return F.struct(((x - centre["x"]) * scale + size / 2).alias("px"), ((y - centre["y"]) * scale + size / 2).alias("py"))
+
+
+def from_pixels(px: Column, py: Column, lat: float, lng: float, half_metres: float, size: int) -> Column:
+    """struct<x, y> in world units of a place on the sheet."""
+    centre, scale = proj(F.lit(lng), F.lit(lat)), size / 2 / half_metres * metres_per_unit(F.lit(lat))
+    return F.struct(((px - size / 2) / scale + centre["x"]).alias("x"), ((py - size / 2) / scale + centre["y"]).alias("y"))
 
 
 def polar_offset(lat: Column, lng: Column, angle: Column, radius: Column) -> Column:
@@ -96,3 +131,20 @@ def signed_area(ring: Column) -> Column:
     """Shoelace sum over an array of struct<x, y>, closed by itself."""
     moved = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.aggregate(F.zip_with(ring, moved, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, x: s + x) / 2
+
+
+def ring_centre(ring: Column) -> Column:
+    """struct<x, y>: the centre of area of a ring (G11); of its points where it has none."""
+    moved = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    # from the first point on, so that large coordinates don't cancel
+    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
+    cross = lambda a, b: (a["x"] - x0) * (b["y"] - y0) - (b["x"] - x0) * (a["y"] - y0)
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, t: s + t)
+    twice = add(F.zip_with(ring, moved, cross))
+    part = lambda n, o: add(F.zip_with(ring, moved, lambda a, b: (a[n] + b[n] - 2 * o) * cross(a, b)))
+    mean = lambda n: add(ring[n]) / F.size(ring)
+    flat = F.abs(twice) < 1e-12
+    return F.struct(
+        F.when(flat, mean("x")).otherwise(x0 + part("x", x0) / (3 * twice)).alias("x"),
+        F.when(flat, mean("y")).otherwise(y0 + part("y", y0) / (3 * twice)).alias("y"),
+    )

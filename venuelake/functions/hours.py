@@ -84,10 +84,15 @@ def state_label(state: Column) -> Column:
 
 
 def clock(minutes: Column) -> Column:
-    """h:mm; past midnight marked with +1 (ST27)."""
+    """h:mm; past midnight marked as the next day (ST27)."""
     m = minutes % 1440
     text = F.concat(F.floor(m / 60).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
-    return F.when(minutes >= 1440, F.concat(F.lit("+1 "), text)).otherwise(text)
+    return F.when(minutes >= 1440, F.concat(F.lit("翌"), text)).otherwise(text)
+
+
+def minute_of(now: Column) -> Column:
+    """The minute that a state holds for; states may be kept by it."""
+    return F.date_trunc("minute", now)
 
 
 def week_minutes(week: Column) -> Column:
@@ -111,28 +116,39 @@ def ordered_week(week: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: week[k]))
 
 
+#: Fixed signs of the days, in order, and words of the summary.
+SIGNS = ["月", "火", "水", "木", "金", "土", "日", "祝", "祝前日", "祝後日"]
+CLOSED, LAST_ORDER = "定休", "L.O."
+
+
 def hours_text(week: Column) -> Column:
-    """Days with equal hours in one group: runs of three or more as ``first-last``, else joined.
+    """``月〜土 17:00〜23:00（L.O.22:30）／日 定休``: days with equal hours, last orders included, in one group.
 
-    A fold over the days: struct<from, to, count, key> runs of neighbours with the same hours.
+    A fold over the days: runs of neighbouring weekdays; a holiday joins the weekday listed before it.
     """
-    keys = F.array(*[F.lit(k) for k in KEYS])
-    place = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    text = lambda r: F.array_join(F.transform(r, lambda x: F.concat(clock(x["o"]), F.lit("-"), clock(x["c"]))), ",")
-    empty = F.array().cast("array<struct<first:string,last:string,n:int,i:int,t:string>>")
+    plain = lambda m: F.concat(F.floor(m / 60).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
+    last = lambda r: F.when(r["lo"].isNull(), "").otherwise(F.concat(F.lit(f"（{LAST_ORDER}"), plain(r["lo"]), F.lit("）")))
+    text = lambda r: F.array_join(F.transform(r, lambda x: F.concat(plain(x["o"]), F.lit("〜"), plain(x["c"]), last(x))), "・")
+    days = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, k in enumerate(KEYS)])
+    empty = F.array().cast("array<struct<first:int,n:int,last:int,t:string>>")
 
     def step(acc: Column, d: Column) -> Column:
-        mine = F.when(F.size(week[d["k"]]) == 0, F.lit("closed")).otherwise(text(week[d["k"]]))
+        mine = F.when(F.size(week[d["k"]]) == 0, F.lit(CLOSED)).otherwise(text(week[d["k"]]))
         prev = F.get(acc, F.size(acc) - 1)
-        near = (prev["t"] == mine) & (prev["i"] + 1 == d["i"]) & (d["i"] <= 7)
-        longer = F.struct(prev["first"].alias("first"), d["k"].alias("last"), (prev["n"] + 1).cast("int").alias("n"), d["i"].cast("int").alias("i"), prev["t"].alias("t"))
-        alone = F.struct(d["k"].alias("first"), d["k"].alias("last"), F.lit(1).alias("n"), d["i"].cast("int").alias("i"), mine.alias("t"))
+        near = (prev["t"] == mine) & (prev["last"] < 7) & ((d["i"] == 7) | ((d["i"] < 7) & (prev["last"] + 1 == d["i"])))
+        longer = F.struct(prev["first"].alias("first"), (prev["n"] + (d["i"] < 7).cast("int")).alias("n"), d["i"].alias("last"), prev["t"].alias("t"))
+        alone = F.struct(d["i"].alias("first"), (d["i"] < 7).cast("int").alias("n"), d["i"].alias("last"), mine.alias("t"))
         joined = F.when(F.coalesce(near, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(alone)))
         return F.when(F.map_contains_key(week, d["k"]), joined).otherwise(acc)
 
-    runs = F.aggregate(place, empty, step)
-    days = lambda r: F.when(r["n"] == 1, r["first"]).when(r["n"] == 2, F.concat_ws("/", r["first"], r["last"])).otherwise(F.concat_ws("-", r["first"], r["last"]))
-    return F.array_join(F.transform(runs, lambda r: F.concat_ws(" ", days(r), r["t"])), "; ")
+    sign = lambda i: F.element_at(F.array(*map(F.lit, SIGNS)), i + 1)
+
+    def label(r: Column) -> Column:
+        end = r["first"] + r["n"] - 1
+        weekdays = F.when(r["n"] > 2, F.concat(sign(r["first"]), F.lit("〜"), sign(end))).when(r["n"] == 2, F.concat(sign(r["first"]), F.lit("・"), sign(end))).when(r["n"] == 1, sign(r["first"]))
+        return F.concat_ws("・", weekdays, F.when(r["last"] >= 7, sign(r["last"])))
+
+    return F.array_join(F.transform(F.aggregate(days, empty, step), lambda r: F.concat_ws(" ", label(r), r["t"])), "／")
 
 
 def clock12(c: Column) -> Column:

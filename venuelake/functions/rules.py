@@ -41,35 +41,124 @@ def review_reasons(base: Column, match_m: Column, gate: Column, pin_m: Column, l
     ))
 
 
-#: Fixed classes and first zooms of ways.
-ROADS = {"motorway": (24, 9), "trunk": (24, 10), "primary": (25, 11), "secondary": (25, 12), "tertiary": (26, 13), "residential": (26, 14), "footway": (27, 16)}
+#: Fixed classes of ways, and the first zoom of each class.
+ROADS = {
+    "motorway": 20, "trunk": 21, "primary": 22, "secondary": 23, "tertiary": 24, "residential": 25, "unclassified": 25, "living_street": 25,
+    "pedestrian": 26, "service": 27, "footway": 28, "path": 28, "cycleway": 28, "track": 28, "corridor": 28, "steps": 29,
+}
+ROAD_ZOOMS = {20: 10, 21: 10, 22: 11, 23: 12, 24: 13, 25: 15, 26: 15, 27: 16, 28: 16, 29: 16}
+#: Fixed classes of green areas and of railways.
+PARK, FOREST, CEMETERY, GRASS = 2, 3, 4, 5
+RAIL_NATIONAL, RAIL, SUBWAY, LIGHT = 40, 41, 42, 43
+#: Fixed first zoom and rank of places.
+PLACES = {"city": (10, 3), "town": (11, 2), "suburb": (12, 2)}
+
+
+def _of(c: Column, values: dict) -> Column:
+    return F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in values.items()])
 
 
 def road_class(highway: Column, tunnel: Column) -> Column:
     """struct<cls, minz>: links show two zooms later, tunnels are 100 classes up (C06); null for other ways."""
-    base, link = F.regexp_replace(highway, "_link$", ""), highway.endswith("_link")
-    cls = F.coalesce(*[F.when(base == k, F.lit(c)) for k, (c, _) in ROADS.items()])
-    zoom = F.coalesce(*[F.when(base == k, F.lit(z)) for k, (_, z) in ROADS.items()])
+    cls = _of(F.regexp_replace(highway, "_link$", ""), ROADS)
+    zoom = _of(cls, ROAD_ZOOMS) + F.when(highway.endswith("_link"), 2).otherwise(0)
     hidden = F.coalesce(tunnel, F.lit("no")) != "no"
-    return F.when(cls.isNotNull(), F.struct((cls + F.when(hidden, 100).otherwise(0)).alias("cls"), (zoom + F.when(link, 2).otherwise(0)).alias("minz")))
+    return F.when(cls.isNotNull(), F.struct((cls + F.when(hidden, 100).otherwise(0)).alias("cls"), zoom.alias("minz")))
 
 
 def poi_kind(shop: Column, amenity: Column, cuisine: Column) -> Column:
-    """Shop, bar, beer garden, cuisine, else the default."""
-    return first_rule((shop.isNotNull(), "shop"), (amenity.isin("bar", "pub"), "bar"), (amenity == "biergarten", "garden"), (F.lower(cuisine).rlike("izakaya|yakitori|oden"), "tavern"), default="food")
+    """Shop, bar, beer garden, grill by its cuisine, else a tavern."""
+    return first_rule(
+        (F.coalesce(shop, F.lit("")) != "", "酒屋"), (amenity == "bar", "バー"), (amenity == "biergarten", "ビアガーデン"),
+        (cuisine.rlike("yakitori|yakiton|motsu"), "焼き鳥・もつ焼き"), default="居酒屋",
+    )
+
+
+def green_class(leisure: Column, landuse: Column) -> Column:
+    """Class of a green area."""
+    return first_rule((leisure.isin("park", "garden") | (landuse == "recreation_ground"), PARK), (landuse == "cemetery", CEMETERY), (landuse == "grass", GRASS), default=FOREST)
+
+
+def rail_class(railway: Column, operator: Column) -> Column:
+    """Class of a railway: by its kind, then by the operator's name, goods traffic apart."""
+    national = operator.rlike("JR|東日本旅客鉄道|東海旅客鉄道|Japan Railway") & ~operator.contains("貨物")
+    return first_rule((railway == "subway", SUBWAY), (railway.isin("light_rail", "monorail", "tram", "narrow_gauge"), LIGHT), (national, RAIL_NATIONAL), default=RAIL)
+
+
+def place_rank(place: Column) -> Column:
+    """struct<minz, rank> of a city, town or suburb, else null."""
+    zoom, rank = _of(place, {k: z for k, (z, _) in PLACES.items()}), _of(place, {k: r for k, (_, r) in PLACES.items()})
+    return F.when(zoom.isNotNull(), F.struct(zoom.alias("minz"), rank.alias("rank")))
 
 
 def station_rank(is_hub: Column, operators: Column) -> Column:
-    """3 for hubs and three operators, 2 for two, else 1."""
-    return first_rule((is_hub | (operators >= 3), 3), (operators == 2, 2), default=1)
+    """struct<minz, rank>: hubs, three operators, two, one."""
+    entry = lambda z, r: F.struct(F.lit(z).alias("minz"), F.lit(r).alias("rank"))
+    return first_rule((is_hub, entry(11, 3)), (operators >= 3, entry(12, 2)), (operators == 2, entry(13, 1)), default=entry(13, 0))
+
+
+def label_visible(zoom_of: Column, zoom: Column | float) -> Column:
+    """A label is drawn from a third of a zoom before its own on."""
+    return zoom_of <= F.floor(F.lit(zoom) + 0.35 if not isinstance(zoom, Column) else zoom + 0.35)
+
+
+def fallback_area(area: Column, nearest: Column, ward: Column, city: str) -> Column:
+    """The area, else the nearest station, else the ward, else the city (C04); empty texts count as none."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(area), some(nearest), some(ward), F.lit(city))
+
+
+def pinned(official: Column, own: Column) -> Column:
+    """struct<at, pinned> of an operator's pin, else a listing's (P07); null without either."""
+    return first_rule(
+        (official.isNotNull(), F.struct(official.alias("at"), F.lit("official").alias("pinned"))),
+        (own.isNotNull(), F.struct(own.alias("at"), F.lit("listing").alias("pinned"))),
+    )
+
+
+#: Fixed attributes of map elements that are kept.
+KEPT_TAGS = ["amenity", "shop", "highway", "landuse", "place", "building", "name:en", "tourism", "leisure"]
+
+
+def kept_tags(tags: Column) -> Column:
+    """The attributes that matter for a match."""
+    return F.map_filter(tags, lambda k, v: k.isin(KEPT_TAGS))
+
+
+#: Fixed kinds of business that a name may be matched with.
+AMENITIES = ["bar", "pub", "restaurant", "izakaya", "biergarten", "cafe", "fast_food", "nightclub", "food_court", "karaoke_box"]
+SHOPS = ["alcohol", "wine", "beverages", "butcher", "seafood", "deli", "convenience", "general", "confectionery"]
+STAYS = ["hostel", "guest_house", "hotel", "motel"]
+
+
+def is_business(amenity: Column, shop: Column, tourism: Column) -> Column:
+    """Not a clinic, a street or an office of the same name."""
+    return F.coalesce(amenity.isin(AMENITIES), F.lit(False)) | F.coalesce(shop.isin(SHOPS), F.lit(False)) | F.coalesce(tourism.isin(STAYS), F.lit(False))
+
+
+#: Fixed lengths of enrichment texts, and how many of each list are kept.
+SHORT, LONG, RULE, DISH, PRICE = 60, 400, 80, 60, 40
+RULES, DISHES, LINKS = 8, 6, 4
+
+
+def is_link(c: Column) -> Column:
+    return F.coalesce(F.trim(c).rlike(r"^https?://\S+$"), F.lit(False))
 
 
-def enrichment(fields: dict[str, tuple[Column, int]], rules: Column, menu: Column, links: Column) -> dict[str, Column]:
-    """Cleaned enrichment columns (P10): limits for each text, eight rules, six dishes with a name, four links."""
+def enrichment(fields: dict[str, tuple[Column, int]], rules: Column, menu: Column, links: Column, urls: dict[str, Column] | None = None,
+               fix: Column | None = None, status: Column | None = None) -> dict[str, Column]:
+    """Cleaned enrichment columns (P10): texts within their limits, rules, dishes with a name, whole links, fixes, known states."""
     out = {k: scrub(c, n) for k, (c, n) in fields.items()}
-    out["rules"] = F.slice(F.filter(F.transform(rules, lambda r: scrub(r, 60)), lambda r: r.isNotNull()), 1, 8)
-    out["menu"] = F.slice(F.filter(menu, lambda m: scrub(m["n"], 60).isNotNull()), 1, 6)
-    out["sources_add"] = F.slice(F.filter(links, lambda u: u.rlike("^https?://")), 1, 4)
+    out["rules"] = F.slice(F.filter(F.transform(rules, lambda r: scrub(r, RULE)), lambda r: r.isNotNull()), 1, RULES)
+    dishes = F.transform(menu, lambda m: F.struct(scrub(m["n"], DISH).alias("n"), scrub(m["p"], PRICE).alias("p")))
+    out["menu"] = F.slice(F.filter(dishes, lambda m: m["n"].isNotNull()), 1, DISHES)
+    out["sources_add"] = F.slice(F.transform(F.filter(links, is_link), lambda u: F.trim(u)), 1, LINKS)
+    for k, c in (urls or {}).items():
+        out[k] = F.when(is_link(c), F.trim(c))
+    if fix is not None:
+        out["fix"] = F.map_filter(F.transform_values(fix, lambda _, v: scrub(v, LONG)), lambda _, v: v.isNotNull())
+    if status is not None:
+        out["status"] = F.when(status.isin("open", "closed", "uncertain"), status)
     return out
 
 

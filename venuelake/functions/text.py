@@ -1,8 +1,9 @@
-"""Text expressions: cleaning, folding, keys and extraction. All but ``nfkc`` and ``unescape_html`` stay in the JVM."""
+"""Text expressions: cleaning, folding, keys and extraction. All but the NFKC forms and ``unescape_html`` stay in the JVM."""
 
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -82,57 +83,89 @@ def kana_fold(c: Column) -> Column:
     return F.translate(c, _KATAKANA, _HIRAGANA)
 
 
-def norm_search(c: Column, fold_width: bool = True) -> Column:
+@F.pandas_udf(T.StringType())
+def nfkc_casefold(s: pd.Series) -> pd.Series:
+    """Unicode NFKC, then case folding, which also writes the sharp s as two; null becomes empty."""
+    return s.fillna("").map(lambda x: unicodedata.normalize("NFKC", x).casefold())
+
+
+#: Fixed characters that the forms of a name drop; blanks are dropped too.
+SEARCH_DROPS = r"[\s・･·,、。.]"
+NAME_DROPS = r"[\s・･\-‐ー−~〜'\"’”“「」『』()（）【】\[\]!！?？.,、。&＆]"
+LEDGER_DROPS = r"[\s・･（）()\-－ー]"
+CORE_DROPS = r"[\s・･'\"’”“「」『』()（）【】\[\]!！?？.,、。]"
+
+
+def norm_search(c: Column) -> Column:
     """Search form: width and case folded, blanks and separators dropped, the long mark kept (ST03)."""
-    base = nfkc(c) if fold_width else F.coalesce(c, F.lit(""))
-    return F.regexp_replace(kana_fold(F.lower(base)), r"(?U)[\s・･·,、。.]", "")
+    return F.regexp_replace(kana_fold(F.lower(nfkc(c))), "(?U)" + SEARCH_DROPS, "")
 
 
-def norm_name(c: Column, fold_width: bool = True) -> Column:
-    """Name form: all punctuation and the long mark dropped (ST02)."""
-    base = nfkc(c) if fold_width else F.coalesce(c, F.lit(""))
-    return kana_fold(F.regexp_replace(F.lower(base), r"(?U)[\s\p{Punct}・･ー〜～「」『』（）、。’]", ""))
+def search_token(token: str) -> str:
+    """The search form of a word of a query."""
+    flat = unicodedata.normalize("NFKC", token).lower().translate(str.maketrans(_KATAKANA, _HIRAGANA))
+    return re.sub(SEARCH_DROPS, "", flat)
 
 
-def norm_ledger(c: Column, fold_width: bool = True) -> Column:
+def norm_name(c: Column) -> Column:
+    """Name form: punctuation and the long mark dropped (ST02)."""
+    return kana_fold(F.regexp_replace(F.lower(nfkc(c)), "(?U)" + NAME_DROPS, ""))
+
+
+def norm_ledger(c: Column) -> Column:
     """Ledger form: separators, brackets, hyphens and the long mark dropped (ST04)."""
-    base = nfkc(c) if fold_width else F.coalesce(c, F.lit(""))
-    return F.regexp_replace(kana_fold(F.lower(base)), r"(?U)[\s・･（）()－ー-]", "")
+    return F.regexp_replace(kana_fold(nfkc_casefold(c)), "(?U)" + LEDGER_DROPS, "")
 
 
 def raw_core(c: Column) -> Column:
-    """Quotes, brackets and blanks dropped, script kept (ST06)."""
-    return F.regexp_replace(c, "(?U)[\\s\"'“”‘’「」『』\\[\\]]", "")
+    """Width folded; punctuation, brackets and blanks dropped, script and long mark kept (ST06)."""
+    return F.regexp_replace(nfkc(c), "(?U)" + CORE_DROPS, "")
 
 
 def search_document(*fields: Column) -> Column:
     """All fields in one; as blanks go, a word may match across two fields."""
-    return norm_search(F.concat_ws(" ", *fields), fold_width=False)
+    return norm_search(F.concat_ws(" ", *fields))
 
 
 def has_all_tokens(document: Column, query: str) -> Column:
-    """Each blank-separated token of the query is in the document (F09); no token matches all."""
-    tokens = F.array(*[F.lit(t) for t in query.split()]) if query.split() else None
-    if tokens is None:
-        return F.lit(True)
-    return F.forall(tokens, lambda t: F.contains(document, norm_search(t, fold_width=False)))
+    """Each blank-separated token of the query is in the document (F09); no token matches all.
+
+    Tokens are folded here, once; the document is a column that should be made once too.
+    """
+    found = F.lit(True)
+    for token in filter(None, map(search_token, query.split())):
+        found &= F.contains(document, F.lit(token))
+    return found
+
+
+#: Fixed signs of Japanese addresses.
+DASHES = ["−", "ー", "―", "‐"]
+BLOCK_SIGNS = [("丁目", "-"), ("番地", "-"), ("番", "-"), ("号", ""), ("−", "-"), ("ー", "-")]
+POST_CODE = r"^〒?\d{3}-?\d{4}"
+UP_TO_BLOCK = r"^(.*?\d+(?:丁目)?(?:[-の]\d+){0,3}(?:番地?)?(?:\d+号?)?)"
+WARD_TOWN_NUMBER = r"([^都道府県]+?[区市町村])(.+?)(\d+(?:-\d+){0,2})"
 
 
 def clean_address(c: Column) -> Column:
-    """Dashes unified, post code dropped, cut behind the block number (ST12)."""
-    flat = F.regexp_replace(F.regexp_replace(c, "[‐-―−－ー]", "-"), r"^〒?\s*\d{3}-\d{4}\s*", "")
-    found = F.regexp_extract(flat, r"^(.*?\d+(?:-\d+)*)", 1)
+    """Width folded, dashes unified, blanks and post code dropped, cut behind the block or house number (ST12)."""
+    flat = F.translate(nfkc(c), "".join(DASHES), "-" * len(DASHES))
+    flat = F.regexp_replace(F.regexp_replace(flat, r"(?U)\s+", ""), POST_CODE, "")
+    found = F.regexp_extract(flat, UP_TO_BLOCK, 1)
     return F.when(found != "", found).otherwise(flat)
 
 
 def address_key(c: Column) -> Column:
-    """struct<ward, town, numbers> of an address (ST13)."""
-    flat = clean_address(c)
-    return F.struct(
-        F.regexp_extract(flat, r"([^\d\s]{1,4}区)", 1).alias("ward"),
-        F.regexp_extract(flat, r"区([^\d]{1,6})", 1).alias("town"),
-        F.transform(F.regexp_extract_all(flat, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("numbers"),
-    )
+    """struct<ward, town, numbers> of an address (ST13), null without a number.
+
+    The last four characters of the ward and the last six of the town; numbers as they are written.
+    """
+    flat = nfkc(c)
+    for sign, dash in BLOCK_SIGNS:
+        flat = F.replace(flat, F.lit(sign), F.lit(dash))
+    part = lambda k: F.regexp_extract(flat, WARD_TOWN_NUMBER, k)
+    town = F.regexp_replace(part(2), r"(?U)\s", "")
+    key = F.struct(F.right(part(1), F.lit(4)).alias("ward"), F.right(town, F.lit(6)).alias("town"), F.split(part(3), "-").alias("numbers"))
+    return F.when(part(3) != "", key)
 
 
 def html_to_text(c: Column, entities: bool = True) -> Column:
@@ -168,12 +201,12 @@ def anchor_ids(page: Column, pattern: str) -> Column:
 
 
 def yen_range(c: Column) -> Column:
-    """struct<low, high> of one or two amounts; a leading dash leaves the low end open (ST18)."""
+    """struct<low, high> of one or two amounts (ST18): one alone is the low end, or the high one behind a leading dash."""
     amounts = F.transform(F.regexp_extract_all(c, F.lit(r"(\d[\d,]*)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("int"))
     two, opened = F.size(amounts) >= 2, c.rlike(r"^\s*[-–~〜～]")
     return F.struct(
         F.when(two | ((F.size(amounts) == 1) & ~opened), F.get(amounts, F.lit(0))).alias("low"),
-        F.when(two, F.get(amounts, F.lit(1))).when(F.size(amounts) == 1, F.get(amounts, F.lit(0))).alias("high"),
+        F.when(two, F.get(amounts, F.lit(1))).when((F.size(amounts) == 1) & opened, F.get(amounts, F.lit(0))).alias("high"),
     )
 
 
@@ -182,6 +215,22 @@ def host_name(url: Column) -> Column:
     return F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^www\.", "")
 
 
+def host_label(url: Column, names: dict[str, str]) -> Column:
+    """The name of the first entry that the host ends with, else the host (ST22)."""
+    host = host_name(url)
+    return F.coalesce(*[F.when((host == k) | host.endswith("." + k), F.lit(v)) for k, v in names.items()], host)
+
+
+def short_label(c: Column, most: int = 16) -> Column:
+    """Without notes in brackets, cut to a length."""
+    return F.substring(F.regexp_replace(c, "（.*?）", ""), 1, most)
+
+
+def opening_text(c: Column) -> Column:
+    """``2010.4...`` as year and month of opening; other texts as they are."""
+    return F.regexp_replace(c, r"^(\d{4})\.(\d{1,2}).*$", "$1年$2月開店")
+
+
 def escape_html(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -209,10 +209,11 @@ def polygons(rings: Column) -> Column:
     return F.aggregate(rings, none, add)
 
 
-def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius: float) -> DataFrame:
-    """(name, cluster, n, cx, cy): in order, a row joins the first cluster of its name whose first member is near.
+def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius: float, below: str | None = None) -> DataFrame:
+    """(name, cluster, n, cx, cy): in order, a row joins the first cluster of its name whose first member is nearer than ``radius``.
 
-    Names are streamed in order, so only the clusters of one name are held.
+    The centre is that of the members for which ``below`` is not true, if there are any, else of all. Names are
+    streamed in order, so only the clusters of one name are held.
     """
     ship_package(df.sparkSession)
 
@@ -220,29 +221,104 @@ def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius
         current, clusters = None, []
 
         def close():
-            rows = [(current, i, len(c), sum(p[0] for p in c) / len(c), sum(p[1] for p in c) / len(c)) for i, c in enumerate(clusters)]
+            rows = []
+            for i, c in enumerate(clusters):
+                top = [p for p in c if not p[2]] or c
+                rows.append((current, i, len(c), sum(p[0] for p in top) / len(top), sum(p[1] for p in top) / len(top)))
             return pd.DataFrame(rows, columns=["name", "cluster", "n", "cx", "cy"])
 
         for f in frames:
-            for n, a, b in zip(f["name"], f["x"], f["y"]):
+            for n, a, b, low in zip(f["name"], f["x"], f["y"], f["below"]):
                 if n != current:
                     if clusters:
                         yield close()
                     current, clusters = n, []
                 for c in clusters:
-                    if (c[0][0] - a) ** 2 + (c[0][1] - b) ** 2 <= radius * radius:
-                        c.append((a, b))
+                    if (c[0][0] - a) ** 2 + (c[0][1] - b) ** 2 < radius * radius:
+                        c.append((a, b, low))
                         break
                 else:
-                    clusters.append([(a, b)])
+                    clusters.append([(a, b, low)])
         if clusters:
             yield close()
 
-    rows = df.select(F.col(name).cast("string").alias("name"), F.col(order).alias("ord"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(order).alias("ord"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(below, F.lit(False)).alias("below") if below else F.lit(False).alias("below"))
     rows = rows.where("name is not null").repartition("name").sortWithinPartitions("name", "ord")
     return rows.mapInPandas(run, "name string, cluster int, n int, cx double, cy double")
 
 
+def way_line(points: Column) -> Column:
+    """The points of a way that are there."""
+    return F.filter(points, lambda p: p.isNotNull())
+
+
+def way_ring(points: Column) -> Column:
+    """A closed way of four points or more as a ring without its repeated end, else null."""
+    line = way_line(points)
+    closed = (F.size(line) >= 4) & (F.element_at(line, 1) == F.element_at(line, -1))
+    return F.when(closed, F.slice(line, 1, F.size(line) - 1))
+
+
+def assembled(outer: list[list[Point]], inner: list[list[Point]]) -> list[list[list[Point]]]:
+    """Polygons of a relation's ways (G02): closed runs of outer ways, each with the closed inner runs that lie in it.
+
+    Runs that stay open bound nothing.
+    """
+    rings = lambda ways: [r[:-1] for r in stitch([w for w in ways if len(w) > 1]) if len(r) > 3 and r[0] == r[-1]]
+    found = [[r] for r in rings(outer)]
+    for hole in rings(inner):
+        holders = [p for p in found if contains(p[0], *centroid(hole))]
+        if holders:  # the smallest, where rings lie in each other
+            min(holders, key=lambda p: abs(area_of(p[0]))).append(hole)
+    return found
+
+
+def area_of(ring: list[Point]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
+
+
+def relation_polygons(outer: Column, inner: Column) -> Column:
+    """array<polygon> of arrays of ways; null if there is no outer way, or a point of any way is missing."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(POINTS)))
+    def run(outers: pd.Series, inners: pd.Series) -> pd.Series:
+        out = []
+        for o, i in zip(outers, inners):
+            o, i = ([] if v is None else [list(w) for w in v if w is not None] for v in (o, i))
+            broken = any(p is None for w in o + i for p in w)
+            found = None if broken or not o else assembled([_points(w) for w in o], [_points(w) for w in i])
+            out.append([[_structs(r) for r in p] for p in found] if found else None)
+        return pd.Series(out, dtype=object)
+
+    return run(outer, inner)
+
+
+def flattened(df: DataFrame, shapes: str) -> DataFrame:
+    """A row for each shape of a list, in order, with its place ``part`` (G03); rows without any are gone."""
+    others = [c for c in df.columns if c != shapes]
+    return df.select(*others, F.posexplode(shapes).alias("part", shapes))
+
+
+#: Fixed least areas in world units, and in square metres for outlines (F16).
+LEAST_AREA, LEAST_OUTLINE_M2, LEAST_SHAPE = 40.0, 30.0, 20.0
+
+
+def large_enough(ring: Column, least: float = LEAST_AREA, simplified: bool = False) -> Column:
+    """The area counts; after simplification a quarter of it is enough (F16)."""
+    return F.abs(signed_area(ring)) >= (least / 4 if simplified else least)
+
+
+def element_class(kind: Column, tags: Column) -> Column:
+    """building, area, way, poi or null of a map element by its kind and tags."""
+    has = lambda k: F.coalesce(tags[k], F.lit("")) != ""
+    return (
+        F.when(has("building") | (kind == "relation"), "building")
+        .when(has("landuse") | F.coalesce(tags["amenity"] == "marketplace", F.lit(False)) | F.coalesce(tags["man_made"] == "bridge", F.lit(False)), "area")
+        .when(has("highway") | has("railway"), "way")
+        .when((kind == "node") | has("amenity"), "poi")
+    )
+
+
 def packed(df: DataFrame, keys: list[str], cx: str, cy: str, order: str, points: str, cell: int = 512) -> DataFrame:
     """Features of a class and cell in one row, in order (G15); a cell bounds how much is gathered."""
     placed = df.withColumns({"bx": F.floor(F.col(cx) / cell), "by": F.floor(F.col(cy) / cell)})

@@ -15,18 +15,32 @@ def cores_match(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: (x == y) | (shorter(x, y) & (F.contains(x, y) | F.contains(y, x)))))
 
 
-def name_score(a: Column, b: Column) -> Column:
-    """3 for equal names, 2 if one holds the other, else 0."""
-    return F.when(a == b, 3).when(F.contains(a, b) | F.contains(b, a), 2).otherwise(0)
+def match_score(cores: Column, name: Column) -> Column:
+    """struct<score, hit> of a candidate's folded name (J08): 3 if it is the first core, 2 if it holds a core or, from three
+    characters on, the first core holds it, else 0. ``hit`` is the length of the longest core that it holds."""
+    hit = F.coalesce(F.array_max(F.transform(F.filter(cores, lambda c: F.contains(name, c)), lambda c: F.length(c))), F.lit(0))
+    first = F.get(cores, F.lit(0))
+    inside = (F.length(name) >= 3) & F.contains(first, name)
+    score = F.when((name == "") | first.isNull(), 0).when(name == first, 3).when((hit > 0) | inside, 2).otherwise(0)
+    return F.struct(score.alias("score"), hit.alias("hit"))
 
 
-def best_match(pairs: DataFrame, key: str, score: Column, distance: Column, hit_length: Column, close: float, take: list[str], tie: str) -> DataFrame:
+#: Fixed metres: a candidate is at the address itself; a short hit counts up to here.
+AT_ADDRESS, SHORT_HIT_WITHIN = 40, 80
+
+
+def is_close(level: Column, distance: Column) -> Column:
+    """With a position good to the house, a candidate right at it beats a better name further away."""
+    return (level == "number") & (distance <= AT_ADDRESS)
+
+
+def best_match(pairs: DataFrame, key: str, score: Column, distance: Column, hit: Column, close: Column, take: list[str], tie: str) -> DataFrame:
     """The best candidate of each key by (close, nearer if close, score, nearer).
 
-    Short hits must be near: up to three characters count within 80 m only. Ties go to the smallest ``tie``.
+    A hit of up to three characters counts nearby only, unless the whole name agrees. Ties go to the smallest ``tie``.
     """
-    ok = (score > 0) & ~((hit_length <= 3) & (distance > 80))
-    near = distance <= close
+    ok = (score > 0) & ~((score == 2) & (hit > 0) & (hit <= 3) & (distance > SHORT_HIT_WITHIN))
+    near = F.coalesce(close, F.lit(False))
     rank = F.struct(near.cast("int").alias("a"), F.when(near, -distance).otherwise(0.0).alias("b"), score.alias("c"), (-distance).alias("d"), (-F.col(tie)).alias("e"))
     return pairs.where(ok).groupBy(key).agg(F.max_by(F.struct(*take), rank).alias("_m")).select(key, "_m.*")
 
@@ -45,6 +59,17 @@ def address_level(title: Column) -> Column:
     return F.when(title.contains("号"), "number").when(title.contains("番"), "block").when(title.contains("丁目"), "district").otherwise("town")
 
 
+def same_place(a: Column, b: Column) -> Column:
+    """Two ``text.address_key``: ward and town agree, and the numbers as in ``same_address`` (J13); false without a key."""
+    return F.coalesce((a["ward"] == b["ward"]) & (a["town"] == b["town"]) & same_address(a["numbers"], b["numbers"]), F.lit(False))
+
+
+def not_on_map(members: Column, children: Column) -> Column:
+    """Members that no child's name holds, and that hold no child's name up to its bracket."""
+    short = lambda c: F.regexp_replace(c, "[（(].*$", "")
+    return F.filter(members, lambda m: ~F.exists(children, lambda c: F.contains(c, m) | F.contains(m, short(c))))
+
+
 def same_address(a: Column, b: Column) -> Column:
     """Number arrays agree on their first two parts, or on all that the shorter one has."""
     n = F.least(F.size(a), F.size(b), F.lit(2))
@@ -63,6 +88,18 @@ def cross_check(df: DataFrame, first: DataFrame, second: DataFrame, first_id: st
     return joined.select(*[df[c] for c in df.columns], *[pin[c].alias(c) for c in take])
 
 
+def labelled_ids(choices: DataFrame, key: str, labels: str, lookup: DataFrame) -> DataFrame:
+    """(key, ids): the ids of an array of labels, in its order (J22). ``lookup``(key, label, id); unknown labels are left out."""
+    each = choices.select(key, F.posexplode(labels).alias("_pos", "label"))
+    return each.join(lookup, [key, "label"]).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def on_sheet(px: Column, py: Column, size: int, own: Column, parent: Column) -> Column:
+    """``member`` or ``other`` for rows on a sheet of ``size`` pixels, else null."""
+    inside = (px >= 0) & (px < size) & (py >= 0) & (py < size)
+    return F.when(inside, F.when(F.coalesce(parent == own, F.lit(False)), "member").otherwise("other"))
+
+
 def repaired(df: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``df`` with ``columns`` replaced where ``fresh`` has the key and a value (J20); fresh keys are distinct."""
     new = fresh.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geo import tile_of_units
+from ..functions.geo import ring_centre, tile_of_units
 from ..session import ship_package
 
 
@@ -33,6 +33,36 @@ def tile_index(df: DataFrame, x: str, y: str, size: int, payload: list[str]) ->
     return placed.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*payload)))).alias("bytes"))
 
 
+def tile_totals(index: DataFrame, layer: str) -> DataFrame:
+    """(layer, tiles, total, biggest) of a tile index."""
+    return index.groupBy(layer).agg(F.count(F.lit(1)).alias("tiles"), F.sum("bytes").alias("total"), F.max("bytes").alias("biggest"))
+
+
+#: Share of a tile by which its clip box is larger on each side.
+MARGIN = 0.25
+
+
+def assigned(df: DataFrame, points: str, size: int, area: bool = False) -> DataFrame:
+    """``df`` with tx, ty and the clip box x0, y0, x1, y1 of its tile (G16): lines by the middle of their box, areas by their centre."""
+    x, y = F.col(points)["x"], F.col(points)["y"]
+    middle = lambda v: (F.array_min(v) + F.array_max(v)) / 2
+    at = ring_centre(F.col(points)) if area else F.struct(middle(x).alias("x"), middle(y).alias("y"))
+    placed = df.withColumn("_at", at).withColumns({"tx": tile_of_units(F.col("_at.x"), size), "ty": tile_of_units(F.col("_at.y"), size)}).drop("_at")
+    bound = lambda t, k: F.col(t) * size + k * size
+    return placed.withColumns({"x0": bound("tx", -MARGIN), "y0": bound("ty", -MARGIN), "x1": bound("tx", 1 + MARGIN), "y1": bound("ty", 1 + MARGIN)})
+
+
+def tile_contents(features: DataFrame, labels: DataFrame, pois: DataFrame, size: int) -> DataFrame:
+    """(tx, ty, ox, oy, f, l, p): what each tile holds, features by class; tiles without anything have no row.
+
+    ``features``(tx, ty, cls, ord, feature), ``labels`` and ``pois``(tx, ty, ord, item).
+    """
+    key = ["tx", "ty"]
+    listed = lambda df, name, by, item: df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*by, item))), lambda s: s[item]).alias(name))
+    f, l, p = listed(features, "f", ["cls", "ord"], "feature"), listed(labels, "l", ["ord"], "item"), listed(pois, "p", ["ord"], "item")  # noqa: E741
+    return f.join(l, key, "full").join(p, key, "full").select(*key, (F.col("tx") * size).alias("ox"), (F.col("ty") * size).alias("oy"), "f", "l", "p")
+
+
 def viewport_tiles(x0: float, y0: float, x1: float, y1: float, size: int) -> list[tuple[int, int]]:
     """Tiles that a box of world units meets, for pruning partitions by literals."""
     return [(i, j) for i in range(int(x0 // size), int(x1 // size) + 1) for j in range(int(y0 // size), int(y1 // size) + 1)]
@@ -94,6 +124,29 @@ def decode_line(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [{"x": a, "y": b} for a, b in decode_points(t)])
 
 
+def chained(parts: list[list[tuple[float, float]]], least: int, origin: tuple[int, int] = (0, 0)) -> list[str]:
+    """Polylines of parts, each beginning where the last one kept ended (G15); parts with fewer points are left out."""
+    out, at = [], origin
+    for part in parts:
+        text = encode_points(part, at)
+        points = decode_points(text, at)
+        if len(points) >= least:
+            out.append(text)
+            at = points[-1]
+    return out
+
+
+def chain(parts: Column, least: int, ox: Column, oy: Column) -> Column:
+    """array<string> of array<array<struct<x, y>>>, from the origin of a tile."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(lists: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        flat = lambda v: [[(q["x"], q["y"]) for q in part] for part in v]
+        return pd.Series([None if v is None else chained(flat(v), least, (int(a), int(b))) for v, a, b in zip(lists, xs, ys)], dtype=object)
+
+    return run(parts, ox, oy)
+
+
 def round_trip(df: DataFrame, points: str) -> DataFrame:
     ship_package(df.sparkSession)
     return df.withColumn("decoded", decode_line(encode_line(F.col(points))))

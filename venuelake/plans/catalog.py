@@ -11,7 +11,7 @@ from ..functions import geo, hours, hours_parse, text
 from ..operators import merge, resolve, spatial, tiles, windows
 from ..session import ship_package
 from ..streaming import events as streams
-from .query import VenueQuery, cheap_key, close_key, open_rank
+from .query import VenueQuery, cheap_key, close_key, open_rank, social_keys
 from .views import HOLIDAYS, NOW, STATIONS_SQL, VENUES_SQL, stations, table, venues, with_week
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,8 +70,9 @@ def filter_flags_3vl(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE contains(regexp_replace(lower(text), '[ \\t\\n\\r\\x0B\\x0C.,]', '', 'g'), 'the') AND contains(regexp_replace(lower(text), '[ \\t\\n\\r\\x0B\\x0C.,]', '', 'g'), 'tion')")
 def token_search(spark, sf):
-    doc = text.search_document(F.col("text"))
-    return table(spark, sf, "documents").where(text.has_all_tokens(doc, "THE tion")).select("doc_id")
+    ship_package(spark)
+    folded = table(spark, sf, "documents").select("doc_id", text.search_document(F.col("text")).alias("q"))
+    return folded.where(text.has_all_tokens(F.col("q"), "ＴＨＥ tion")).select("doc_id")
 
 
 @query(f"WITH {_V} SELECT id, segment FROM venues WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = id AND o_totalprice > 400000) AND segment IN ('BUILDING','MACHINERY')")
@@ -86,10 +87,11 @@ def area_or_region(spark, sf):
     return VenueQuery(v).in_area("r:ASIA", "n_name", "r_name").df.select("id", "n_name", "r_name")
 
 
-@query(f"WITH {_V}, {_OPEN_SQL} SELECT id, social, CASE WHEN rule IN (1,2) THEN 2 WHEN rule = 3 THEN 1 ELSE 0 END AS rank, row_number() OVER (ORDER BY social DESC, CASE WHEN rule IN (1,2) THEN 2 WHEN rule = 3 THEN 1 ELSE 0 END DESC, id) AS n FROM op QUALIFY n <= 60")
+@query(f"WITH {_V}, {_OPEN_SQL} SELECT id, social, CASE WHEN rule IN (1,2) THEN 2 WHEN rule = 3 THEN 1 ELSE 0 END AS rank, row_number() OVER (ORDER BY social DESC, id%3 DESC, CASE WHEN rule IN (1,2) THEN 2 WHEN rule = 3 THEN 1 ELSE 0 END DESC, id) AS n FROM op QUALIFY n <= 60")
 def sort_social(spark, sf):
-    page = _state(spark, sf).withColumn("rank", open_rank(F.col("state"))).orderBy(F.desc("social"), F.desc("rank"), "id").limit(60)
-    return page.select("id", "social", "rank").withColumn("n", F.row_number().over(Window.orderBy(F.desc("social"), F.desc("rank"), "id")).cast("long"))
+    s = _state(spark, sf).withColumns({"rank": open_rank(F.col("state")), "solo": F.col("id") % 3})
+    keys = [*social_keys(F.col("social"), F.col("solo"), F.col("state")), F.col("id")]
+    return s.orderBy(*keys).limit(60).withColumn("n", F.row_number().over(Window.orderBy(*keys)).cast("long")).select("id", "social", "rank", "n")
 
 
 @query(f"WITH {_V}, {_OPEN_SQL} SELECT id, CAST(CASE WHEN rule = 1 THEN 2000 + c - 1440 WHEN rule = 2 THEN 2000 + c WHEN rule = 3 THEN 1000 + o ELSE 0 END AS INT) AS k FROM op ORDER BY k DESC, social DESC, id LIMIT 60")
@@ -97,9 +99,10 @@ def sort_open(spark, sf):
     return _state(spark, sf).withColumn("k", close_key(F.col("state"))).orderBy(F.desc("k"), F.desc("social"), "id").limit(60).select("id", "k")
 
 
-@query(f"WITH {_V} SELECT id, CAST(coalesce(nullif(budget_max,0),9000) AS INT) AS k FROM venues ORDER BY k, id LIMIT 60")
+@query(f"WITH {_V} SELECT id, CAST(id%4*500 AS INT) AS low, CAST(coalesce(nullif(budget_max,0),9000) AS INT) AS k FROM venues ORDER BY coalesce(nullif(id%4*500,0),9000), k, id LIMIT 60")
 def sort_cheap(spark, sf):
-    return venues(spark, sf).select("id", cheap_key(F.col("budget_max")).alias("k")).orderBy("k", "id").limit(60)
+    v = venues(spark, sf).select("id", (F.col("id") % 4 * 500).cast("int").alias("low"), cheap_key(F.col("budget_max")).alias("k"))
+    return v.orderBy(cheap_key(F.col("low")), "k", "id").limit(60)
 
 
 @query(f"WITH {_V} SELECT id FROM venues ORDER BY social DESC, id LIMIT 60 OFFSET 60")
@@ -168,12 +171,12 @@ def fuzzy_member_link(spark, sf):
 
 @query(f"""WITH {_V}, {_S}, p AS (SELECT id, sid, {_EQ.format(a='lat', b='slat', c='lng', d='slng')} AS d, concat('ST', CAST(id%40 AS VARCHAR)) AS a, station AS b FROM venues, stations WHERE abs(lat-slat)<0.05 AND abs(lng-slng)<0.05),
 s AS (SELECT *, CASE WHEN a = b THEN 3 WHEN contains(a,b) OR contains(b,a) THEN 2 ELSE 0 END AS score, least(length(a), length(b)) AS hit FROM p WHERE d <= 3000)
-SELECT id, sid, score, CAST(floor(d) AS BIGINT) AS m, d <= (CASE WHEN id%3=0 THEN 150 WHEN id%3=1 THEN 300 ELSE 700 END) AS within FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (d <= 300) DESC, CASE WHEN d <= 300 THEN d ELSE 0 END, score DESC, d, sid) AS n FROM s WHERE score > 0 AND NOT (hit <= 3 AND d > 80)) WHERE n = 1""")
+SELECT id, sid, score, CAST(floor(d) AS BIGINT) AS m, d <= (CASE WHEN id%3=0 THEN 150 WHEN id%3=1 THEN 300 ELSE 700 END) AS within FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (d <= 300) DESC, CASE WHEN d <= 300 THEN d ELSE 0 END, score DESC, d, sid) AS n FROM s WHERE score > 0 AND NOT (score = 2 AND hit <= 3 AND d > 80)) WHERE n = 1""")
 def entity_match_rank(spark, sf):
     pairs = spatial.within(venues(spark, sf).select("id", "lat", "lng"), stations(spark, sf), 3000.0, ("lat", "lng"), ("slat", "slng"), widest_lat=36.0)
     a, b = F.concat(F.lit("ST"), (F.col("id") % 40).cast("string")), F.col("station")
-    pairs = pairs.withColumns({"score": resolve.name_score(a, b), "hit": F.least(F.length(a), F.length(b))})
-    best = resolve.best_match(pairs, "id", F.col("score"), F.col("distance"), F.col("hit"), 300.0, ["sid", "score", "distance"], "sid")
+    pairs = pairs.withColumn("m", resolve.match_score(F.array(a), b)).withColumns({"score": F.col("m.score"), "hit": F.least(F.length(a), F.length(b))})
+    best = resolve.best_match(pairs, "id", F.col("score"), F.col("distance"), F.col("hit"), F.col("distance") <= 300, ["sid", "score", "distance"], "sid")
     level = F.when(F.col("id") % 3 == 0, "number").when(F.col("id") % 3 == 1, "block").otherwise("town")
     return best.select("id", "sid", "score", F.floor("distance").alias("m"), (F.col("distance") <= resolve.gate(level)).alias("within"))
 
@@ -234,7 +237,7 @@ def children_any_open(spark, sf):
     return _state(spark, sf).groupBy("nation").agg(F.bool_or(is_open).alias("lit"), F.count_if(is_open).alias("n"))
 
 
-@query("SELECT 'budget' AS field, count(*) FILTER (c_acctbal >= 0) AS n FROM customer UNION ALL SELECT 'name', count(*) FILTER (trim(c_name) NOT IN ('','null','none','不明')) FROM customer")
+@query("SELECT 'budget' AS field, count(*) FILTER (c_acctbal >= 0) AS n FROM customer UNION ALL SELECT 'name', count(*) FILTER (trim(c_name) NOT IN ('','不明','未確認','要確認','—','-','－')) FROM customer")
 def coverage_stats(spark, sf):
     c = table(spark, sf, "customer").select(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("budget"), F.col("c_name").alias("name"))
     return merge.coverage(c, ["budget", "name"])
@@ -276,14 +279,14 @@ def week_minutes(spark, sf):
     return _week(spark, sf).select("id", hours.week_minutes(w).alias("minutes"), hours.dormant(w, 1000).alias("dormant"))
 
 
-_CLOCK = "CASE WHEN {x} >= 1440 THEN '+1 ' ELSE '' END || CAST(({x}%1440)//60 AS VARCHAR) || ':' || lpad(CAST({x}%60 AS VARCHAR),2,'0')"
+_CLOCK = "CAST({x}//60 AS VARCHAR) || ':' || lpad(CAST({x}%60 AS VARCHAR),2,'0')"
 
 
-@query(f"""WITH {_V}, d(i, k) AS (VALUES (0,'mon'),(1,'tue'),(2,'wed'),(3,'thu'),(4,'fri'),(5,'sat'),(6,'sun'),(7,'hol')),
-x AS (SELECT id, i, k, CASE WHEN i = off_dow OR i = 7 THEN 'closed' ELSE {_CLOCK.format(x='o')} || '-' || {_CLOCK.format(x='c')} END AS t FROM venues, d WHERE i < 7 OR id%11 = 0),
+@query(f"""WITH {_V}, d(i, k) AS (VALUES (0,'月'),(1,'火'),(2,'水'),(3,'木'),(4,'金'),(5,'土'),(6,'日'),(7,'祝')),
+x AS (SELECT id, i, k, CASE WHEN i = off_dow OR i = 7 THEN '定休' ELSE {_CLOCK.format(x='o')} || '〜' || {_CLOCK.format(x='c')} END AS t FROM venues, d WHERE i < 7 OR id%11 = 0),
 y AS (SELECT *, i - row_number() OVER (PARTITION BY id, t ORDER BY i) AS g FROM x),
-z AS (SELECT id, t, min(i) AS a, count(*) AS n, min_by(k, i) AS f, max_by(k, i) AS l FROM y GROUP BY id, t, g)
-SELECT id, string_agg(CASE WHEN n = 1 THEN f WHEN n = 2 THEN f || '/' || l ELSE f || '-' || l END || ' ' || t, '; ' ORDER BY a) AS line FROM z GROUP BY id""")
+z AS (SELECT id, t, min(i) AS a, count(*) FILTER (i < 7) AS n, min_by(k, i) AS f, max_by(k, i) FILTER (i < 7) AS l, bool_or(i = 7) AS hol FROM y GROUP BY id, t, g)
+SELECT id, string_agg(concat_ws('・', CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN f WHEN n = 2 THEN f || '・' || l ELSE f || '〜' || l END, CASE WHEN hol THEN '祝' END) || ' ' || t, '／' ORDER BY a) AS line FROM z GROUP BY id""")
 def hours_text_islands(spark, sf):
     return _week(spark, sf).select("id", hours.hours_text(F.col("week")).alias("line"))
 
@@ -323,7 +326,7 @@ def parse_hours_en(spark, sf):
 def parse_hours_b(spark, sf):
     """A day that is named again is appended to."""
     ship_package(spark)
-    one = f"{_HM.format(x='o')}, '-', CASE WHEN c >= 1440 THEN '翌' ELSE '' END, {_HM.format(x='(c%1440)')}"
+    one = f"{_HM.format(x='o')}, '-', {_HM.format(x='(c%1440)')}"
     v = venues(spark, sf).withColumn("w", hours_parse.parse_listing(F.expr(f"concat('月・火 ', {one}, ' 月 ', {one})"), F.lit(None).cast("string")))
     return v.select("id", F.size(F.col("w")["mon"]).alias("ranges"), F.col("w")["mon"][1]["o"].alias("mo"), F.col("w")["tue"][0]["c"].alias("mc"))
 
@@ -425,10 +428,11 @@ def candidate_cascade(spark, sf):
     return resolve.reconcile(given, spots, "id").select("id", "state", F.array_join("matches", ",").alias("matches"))
 
 
-@query("SELECT n_nationkey AS id, array_to_string(list_filter(['ALG','AND','CHI','STAN','XX'], lambda m: NOT contains(n_name, m)), ',') AS missing FROM nation")
+@query("SELECT n_nationkey AS id, array_to_string(list_filter(['ALG','AND','CHI','STAN','XX', n_name || ' 2'], lambda m: NOT contains(n_name || '（x）', m) AND NOT contains(m, n_name)), ',') AS missing FROM nation")
 def member_not_on_map(spark, sf):
-    members = F.array(*[F.lit(x) for x in ("ALG", "AND", "CHI", "STAN", "XX")])
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(F.filter(members, lambda m: ~F.contains(F.col("n_name"), m)), ",").alias("missing"))
+    members = F.array(*[F.lit(x) for x in ("ALG", "AND", "CHI", "STAN", "XX")], F.concat("n_name", F.lit(" 2")))
+    children = F.array(F.concat("n_name", F.lit("（x）")))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(resolve.not_on_map(members, children), ",").alias("missing"))
 
 
 @query("WITH r AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_partkey AS way, l_orderkey AS route, n FROM (SELECT l_partkey, l_orderkey, n, row_number() OVER (PARTITION BY l_partkey ORDER BY n, l_orderkey) AS k FROM lineitem JOIN r USING (l_orderkey)) WHERE k = 1")
@@ -527,20 +531,12 @@ def kana_fold(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.kana_fold(F.concat(F.lit("カラオケ"), F.col("n_name"))).alias("t"))
 
 
-@query("SELECT n_nationkey AS id, 'らーめん' || lower(n_name) AS search, 'らめん' || lower(n_name) AS name, 'らめん' || lower(n_name) AS ledger FROM nation WHERE NOT contains(n_name, ' ') AND NOT contains(n_name, '_')")
+@query("""WITH n AS (SELECT n_nationkey AS id, replace(lower(n_name), ' ', '') AS n FROM nation)
+SELECT id, 'らーめんabß「」_' || n AS search, 'らめんabß_' || n AS name, 'らめんabss「」_' || n AS ledger FROM n""")
 def normal_forms(spark, sf):
-    """Full-width letters and half-width kana are folded; the search form keeps the long mark, the others don't."""
+    """Width, case and kana are folded; the search form keeps the long mark, the ledger form writes the sharp s as two."""
     ship_package(spark)
-    c = F.concat(F.lit("ﾗｰﾒﾝ・"), F.col("n_name"))
-    n = table(spark, sf, "nation").where("NOT contains(n_name, ' ') AND NOT contains(n_name, '_')")
-    return n.select(F.col("n_nationkey").alias("id"), text.norm_search(c).alias("search"), text.norm_name(c).alias("name"), text.norm_ledger(c).alias("ledger"))
-
-
-@query("SELECT n_nationkey AS id, 'らーめん' || replace(lower(n_name), ' ', '') AS search, 'らめん' || replace(replace(lower(n_name), ' ', ''), '_', '') AS name, 'らめん' || replace(lower(n_name), ' ', '') AS ledger FROM nation")
-def normal_forms_all(spark, sf):
-    """normal_forms for every nation: all forms drop blanks, the name form drops the underscore too."""
-    ship_package(spark)
-    c = F.concat(F.lit("ﾗｰﾒﾝ・"), F.col("n_name"))
+    c = F.concat(F.lit("ﾗｰﾒﾝ・Ａｂ ß「」_"), F.col("n_name"))
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.norm_search(c).alias("search"), text.norm_name(c).alias("name"), text.norm_ledger(c).alias("ledger"))
 
 
@@ -549,6 +545,7 @@ def address_prefix_match(spark, sf):
     """Odd ids have two numbers in their address, even ones one; the prefix has to agree."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("ward"))
     a = F.concat(F.lit("北区本町"), (F.col("id") % 20).cast("string"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("−"), (F.col("id") % 3).cast("string"))).otherwise(""))
+    ship_package(spark)
     keyed = c.select("id", "ward", text.address_key(a)["numbers"].alias("n")).withColumn("first", F.get("n", F.lit(0)))
     other = keyed.selectExpr("id AS b", "ward AS ward2", "n AS n2", "first AS first2")
     pairs = keyed.join(other, (F.col("ward") == F.col("ward2")) & (F.col("first") == F.col("first2")) & (F.col("id") < F.col("b")) & resolve.same_address(F.col("n"), F.col("n2")))
@@ -596,10 +593,10 @@ def min_zoom(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), geo.min_zoom(area).alias("z"))
 
 
-@query("SELECT p_partkey AS id, CAST(round_even(greatest(3.0, least(300.0, CASE WHEN p_partkey%3=0 THEN p_size*1.0 WHEN p_partkey%3=1 THEN (p_partkey%50)*3.3+1 WHEN p_partkey%2=0 THEN 12.0 ELSE 8.0 END)), 0) AS INT) AS h FROM part")
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey%3=0 THEN greatest(2.0, p_size) WHEN p_partkey%3=1 THEN greatest(3.0, round_even((p_partkey%50)*3.3+1, 0)) WHEN p_partkey%2=0 THEN 12.0 ELSE 8.0 END AS INT) AS h FROM part")
 def building_height(spark, sf):
     p = F.col("p_partkey")
-    h = geo.building_height(F.when(p % 3 == 0, F.col("p_size") * F.lit(1.0)), F.when(p % 3 == 1, p % 50), F.when(p % 2 == 0, "hall"), {"hall": 12})
+    h = geo.building_height(F.when(p % 3 == 0, F.col("p_size") * F.lit(1.0)), F.when(p % 3 == 1, p % 50), F.when(p % 2 == 0, "public"))
     return table(spark, sf, "part").select(p.alias("id"), h.alias("h"))
 
 
@@ -740,12 +737,12 @@ def greedy_clusters(spark, sf):
     return geometry.cluster_centres(s, "station", "sid", "x", "y", 13000.0).select("name", "cluster", "n")
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey%4 WHEN 0 THEN 24 WHEN 1 THEN 125 WHEN 2 THEN 26 END AS cls, CASE o_orderkey%4 WHEN 0 THEN 11 WHEN 1 THEN 11 WHEN 2 THEN 14 END AS minz FROM orders")
+@query("SELECT o_orderkey AS id, CASE o_orderkey%4 WHEN 0 THEN 20 WHEN 1 THEN 122 WHEN 2 THEN 25 END AS cls, CASE o_orderkey%4 WHEN 0 THEN 12 WHEN 1 THEN 11 WHEN 2 THEN 15 END AS minz FROM orders")
 def road_classes(spark, sf):
     from ..functions import rules
 
     k = F.col("o_orderkey") % 4
-    c = rules.road_class(F.when(k == 0, "motorway_link").when(k == 1, "primary").when(k == 2, "residential").otherwise("track"), F.when(k == 1, "yes"))
+    c = rules.road_class(F.when(k == 0, "motorway_link").when(k == 1, "primary").when(k == 2, "residential").otherwise("raceway"), F.when(k == 1, "yes"))
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), c["cls"].alias("cls"), c["minz"].alias("minz"))
 
 
@@ -759,13 +756,13 @@ def position_precedence(spark, sf):
     return table(spark, sf, "orders").select(k.alias("id"), p["geo"].alias("geo"))
 
 
-@query("SELECT c_custkey AS id, CAST(CASE WHEN c_custkey%2=0 THEN 2 ELSE 1 END AS INT) AS links, CASE WHEN c_custkey%4=0 THEN 'shop' WHEN c_custkey%4=1 THEN 'bar' WHEN c_custkey%4=2 THEN 'tavern' ELSE 'food' END AS kind FROM customer")
+@query("SELECT c_custkey AS id, CAST(CASE WHEN c_custkey%2=0 THEN 2 ELSE 1 END AS INT) AS links, CASE WHEN c_custkey%4=0 THEN '酒屋' WHEN c_custkey%4=1 THEN 'バー' WHEN c_custkey%4=2 THEN '焼き鳥・もつ焼き' ELSE '居酒屋' END AS kind FROM customer")
 def links_and_kinds(spark, sf):
     from ..functions import rules
 
     k = F.col("c_custkey")
     links = rules.link_map(web=F.lit("https://a.example"), insta=F.when(k % 2 == 0, "http://b.example"), x=F.lit("ftp://c"))
-    kind = rules.poi_kind(F.when(k % 4 == 0, "wine"), F.when(k % 4 == 1, "pub"), F.when(k % 4 == 2, "Yakitori;ramen"))
+    kind = rules.poi_kind(F.when(k % 4 == 0, "wine"), F.when(k % 4 == 1, "bar").otherwise("pub"), F.when(k % 4 == 2, "yakitori;ramen"))
     return table(spark, sf, "customer").select(k.alias("id"), F.size(links).alias("links"), kind.alias("kind"))
 
 

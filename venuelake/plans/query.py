@@ -85,13 +85,19 @@ def open_rank(state: Column) -> Column:
     return F.when(F.coalesce(state["open"], F.lit(False)), 2).when(state["opens_at"].isNotNull(), 1).otherwise(0)
 
 
+def social_keys(social: Column, solo: Column, state: Column) -> list[Column]:
+    """Talkative first, then good alone, then by ``open_rank`` (T02); null counts as 0."""
+    some = lambda c: F.coalesce(c, F.lit(0)).desc()
+    return [some(social), some(solo), open_rank(state).desc()]
+
+
 def close_key(state: Column) -> Column:
     """2000 + until, 1000 + opening, 0."""
     return F.when(F.coalesce(state["open"], F.lit(False)), 2000 + state["until"]).when(state["opens_at"].isNotNull(), 1000 + state["opens_at"]).otherwise(0)
 
 
 def cheap_key(c: Column) -> Column:
-    """No budget sorts last."""
+    """No budget sorts last (T05); the low end decides before the high one."""
     return F.coalesce(F.nullif(c, F.lit(0)), F.lit(9000))
 
 

@@ -40,13 +40,15 @@ def stem_lookup(stem: Column, lookup: dict[str, str], default: str) -> Column:
 
 
 def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, or no rows where the file is missing."""
-    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    """The one object of a file, or the objects of its lines; no rows where the file is missing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
     """(id, record) of files that hold one object keyed by id (S04); records are variants, so sparse keys keep apart."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).where("v is not null")
     return whole.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("id"), F.col("value").alias("record"))
 
 
@@ -58,6 +60,24 @@ def json_any(spark: SparkSession, path: str, key: str, slug) -> DataFrame:
     return each.select(F.coalesce(F.col("key"), slug(own)).alias("id"), F.col("value").alias("record"))
 
 
+def geocoded(responses: DataFrame, query: str, body: str) -> DataFrame:
+    """(query, lat, lng, title, level) of stored answers of a geocoder, the first hit of each (S09); no hit gives null columns."""
+    hits = F.from_json(body, "array<struct<geometry:struct<coordinates:array<double>>,properties:struct<title:string>>>")
+    hit = F.get(hits, F.lit(0))
+    title = hit["properties"]["title"]
+    level = F.when(title.contains("号"), "号").when(title.contains("番"), "番").when(title.contains("丁目"), "丁目").when(title.isNotNull(), "町")
+    at = hit["geometry"]["coordinates"]
+    return responses.select(query, F.get(at, F.lit(1)).alias("lat"), F.get(at, F.lit(0)).alias("lng"), title.alias("title"), level.alias("level"))
+
+
+LEDGER_SCHEMA = "name string, aliases array<string>, area string, address string, spot_id string"
+
+
+def candidate_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of candidates, with ``ord``."""
+    return json_rows(spark, path, LEDGER_SCHEMA).drop("stem")
+
+
 def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("nullValue", "None").csv(path)
 
