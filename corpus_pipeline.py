@@ -1,4 +1,10 @@
-"""Five stages from raw documents to token ids. Each stage gets what the one before it kept, written as Parquet."""
+"""Five stages from raw documents to token ids. Each stage gets what the one before it kept, written as Parquet.
+
+All columns of the documents come through the first four stages, whatever else they are called. Empty tables stay
+empty. Null texts and texts without letters go in the first stage. Rows with a null doc_id are kept by language, lose
+to rows with an id among equal texts, take no part in near dedup, and go if they hold a window of the benchmark.
+Of rows that repeat an id and a text one is left. Texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuelake.llm import block_dedup, classify, decontaminate, near_dedup, pieces
-from venuelake.llm.common import crc_bucket, materialize
+from venuelake.llm.common import crc_bucket, materialize, release
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without any letter (``und``) go."""
+    """Documents in a language: those without any letter (``und``), null and empty ones go. Repeated rows stay."""
     found = classify.language(docs, crc_bucket(F.col("doc_id"), 4) != 2)
     return found.where((F.col("_lang_pred") != "und") | classify.has_letters(F.col("text"))).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id."""
+    """Of texts that are equal but for white space, the document with the smallest id, once."""
     return block_dedup.exact_dedup(docs)
 
 
@@ -37,12 +43,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact dedup", exact), ("near dedup", near), ("decontamination", clean), ("pieces", encode)]
 
-#: Learned languages and merges can't be stated in SQL; the stages are tested against brute force.
+#: Learned languages and merges can't be stated in SQL; each stage is tested against a plain version of its own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
