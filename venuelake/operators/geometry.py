@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,15 +281,17 @@ def area_of(ring: list[Point]) -> float:
 def relation_polygons(outer: Column, inner: Column) -> Column:
     """array<polygon> of arrays of ways; null if there is no outer way, or a point of any way is missing."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(POINTS)))
-    def run(outers: pd.Series, inners: pd.Series) -> pd.Series:
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(POINTS)))  # lists of lists, which pandas can't hold
+    def run(outers: pa.Array, inners: pa.Array) -> pa.Array:
         out = []
-        for o, i in zip(outers, inners):
-            o, i = ([] if v is None else [list(w) for w in v if w is not None] for v in (o, i))
+        for o, i in zip(outers.to_pylist(), inners.to_pylist()):
+            o, i = ([w for w in v or [] if w is not None] for v in (o, i))
             broken = any(p is None for w in o + i for p in w)
             found = None if broken or not o else assembled([_points(w) for w in o], [_points(w) for w in i])
             out.append([[_structs(r) for r in p] for p in found] if found else None)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.list_(pa.list_(pa.list_(point))))
 
     return run(outer, inner)
 

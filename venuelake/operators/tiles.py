@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,10 +140,11 @@ def chained(parts: list[list[tuple[float, float]]], least: int, origin: tuple[in
 def chain(parts: Column, least: int, ox: Column, oy: Column) -> Column:
     """array<string> of array<array<struct<x, y>>>, from the origin of a tile."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(lists: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.StringType()))  # lists of lists, which pandas can't hold
+    def run(lists: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
         flat = lambda v: [[(q["x"], q["y"]) for q in part] for part in v]
-        return pd.Series([None if v is None else chained(flat(v), least, (int(a), int(b))) for v, a, b in zip(lists, xs, ys)], dtype=object)
+        rows = zip(lists.to_pylist(), xs.to_pylist(), ys.to_pylist())
+        return pa.array([None if v is None else chained(flat(v), least, (int(a), int(b))) for v, a, b in rows], pa.list_(pa.string()))
 
     return run(parts, ox, oy)
 
