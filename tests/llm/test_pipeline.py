@@ -1,34 +1,91 @@
-"""The pipeline's stages against what each operator says of the stage's own input, and run() as a whole."""
+"""Each stage of the pipeline against a plain version of its own, on the small tables and on rows with every oddity."""
 
-import os
+import re
+from collections import defaultdict
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from venuelake.llm import block_dedup, near_dedup, pieces
+from venuelake.llm import pieces
+
+from .test_operators import bench_words, components_of, norm
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
-def test_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before, texts = docs.columns, docs.count(), {r.doc_id: r.text for r in docs.collect()}
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        if name == "exact dedup":
-            want = {r.doc_id for r in block_dedup.exact_groups(docs).where("kept").collect()}
-        if name == "near dedup":
-            want = {r.doc_id for r in near_dedup.near_groups(docs).where("kept").collect()}
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The table, with copies, near copies, passages of the benchmark, nulls, repeats and columns of clashing names."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(bench_words(r.text)) >= 10)
+    long = " ".join(f"word{i % 900} and{i}" for i in range(60000))
+    words = [f"w{i}" for i in range(120)]
+    odd = [
+        (10001, " ".join(words)), (10002, "  " + "\n".join(words)), (10003, " ".join([*words[:119], "edit"])), (10004, " ".join(words[:60])), (10005, f"some words {item} more"),
+        (10006, None), (10007, ""), (10008, "12 34 !"), (10009, long), (10010, long + " end"), (10011, "é"), (10012, "é"), (10012, "é"), (None, "no id"), (None, "no id"), (None, "é"), (None, None),
+    ]
+    rows = spark.createDataFrame([(i, t, None, "odd", len(t or "")) for i, t in odd], base.schema)
+    return base.unionByName(rows).withColumns({c: F.lit(k) for k, c in enumerate(["_k1", "_d", "_letters", "_lang_pred", "rid", "class", "_times", "row"])}).repartition(3)
+
+
+def language(rows):
+    return [r for r in rows if re.search(r"[^\W\d_]", r.text or "")]
+
+
+def exact(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[norm(r.text)].append(r)
+    return [min(g, key=lambda r: (r.doc_id is None, r.doc_id or 0)) for g in groups.values()]
+
+
+def near(rows):
+    root = components_of([(r.doc_id, r.text) for r in rows if r.doc_id is not None], 5)
+    return [r for r in rows if r.doc_id is None or root[r.doc_id] == r.doc_id]
+
+
+def clean(rows, items):
+    windows = set()
+    for t in items:
+        w = bench_words(t)
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if w else 0)}
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+    return [r for r in rows if not hit(bench_words(r.text))]
+
+
+def test_stages(spark, docs, tmp_path):
+    columns, items = docs.columns, [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    plain = {"language": language, "exact dedup": exact, "near dedup": near, "decontamination": lambda rows: clean(rows, items)}
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = docs.collect()
+        want = sorted(plain[name](before), key=key)
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
-        if "dedup" in name:
-            assert {r.doc_id for r in docs.select("doc_id").collect()} == want
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns
-    after = docs.count()
-    assert 0 < after < before
-    decoded = pieces.decode(docs, pieces.default_model()).collect()
-    assert all(texts[r.doc_id] == r.text for r in decoded)
+        got = sorted(docs.collect(), key=key)
+        assert docs.columns == columns and got == want and len(want) < len(before), name
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = sorted((r.doc_id is not None, r.doc_id or 0, sp.encode(r.text)) for r in got)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in encoded.collect()) == want
+    assert sorted(t.text for t in pieces.decode(encoded, pieces.default_model()).collect()) == sorted(r.text for r in got)
+
+
+def test_run_is_all_stages(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = clean(near(exact(language(rows))), items)
     whole = corpus_pipeline.run(spark, SF)
-    assert whole.count() == after and whole.agg(F.sum(F.size("ids"))).first() == docs.agg(F.sum(F.size("ids"))).first()
+    assert sorted(r.doc_id for r in whole.select("doc_id").collect()) == sorted(r.doc_id for r in want)
+
+
+def test_empty_table(spark, docs):
+    left = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, SF)
+        assert left.count() == 0, name
+        assert left.columns == (["doc_id", "ids"] if name == "pieces" else docs.columns)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .byte_cnn import ByteConvNet, padded_windows
 from .bytesops import raw, slices
+from .common import unused
 
 SAMPLE = 1000
 LANGUAGE_WINDOW, QUALITY_CHUNK = 512, 512
@@ -119,11 +120,12 @@ def train_language(docs: DataFrame, learn: Column) -> tuple[ByteConvNet | None,
 
 
 def language(docs: DataFrame, learn: Column) -> DataFrame:
-    """``docs`` with all columns, and _lang_pred, _lang_score. ``learn``: which rows may train."""
+    """``docs`` with all columns, and _lang_pred, _lang_score, which it has not itself. ``learn``: which rows may train."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(train_language(docs, learn))
-    given = docs.withColumn("_letters", has_letters(F.col("text")))
+    (letters,) = unused(docs, "_letters")
+    given = docs.withColumn(letters, has_letters(F.col("text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang_pred string, _lang_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +142,13 @@ def language(docs: DataFrame, learn: Column) -> DataFrame:
                         part = slice(at, at + step)
                         np.add.at(total, row[part], net.probabilities(pooled[part]) * weight[part, None])
                     total /= np.bincount(row, weight, rows)[:, None]
-                    ok = batch.column("_letters").to_numpy(zero_copy_only=False)
+                    ok = batch.column(letters).to_numpy(zero_copy_only=False)
                     best = total.argmax(axis=1)
                     labels[ok] = np.array(names, object)[best[ok]]
                     scores[ok] = np.clip(total[np.arange(rows), best], 0, 1)[ok]
-                kept = [batch.column(c) for c in batch.schema.names if c != "_letters"]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(labels, pa.string()), pa.array(scores)], names=[*(c for c in batch.schema.names if c != "_letters"), "_lang_pred", "_lang_score"]
-                )
+                kept = [c for c in batch.schema.names if c != letters]
+                columns = [*map(batch.column, kept), pa.array(labels, pa.string()), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "_lang_pred", "_lang_score"])
 
     return given.mapInArrow(run, schema)
 

@@ -95,11 +95,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     All columns of ``docs`` come back. ``kept`` may repeat a key.
     """
     names = docs.columns
-    k1, k2, d, a, b, times = unused(docs, "_k1", "_k2", "_d", "_a", "_b", "_times")
+    k1, k2, d, a, b, times, *other = unused(docs, "_k1", "_k2", "_d", "_a", "_b", "_times", "_e", "_x", "_y")
     keyed = docs.withColumns(dict(zip((k1, k2), content_key(F.col("text")))))
     counts = keyed.groupBy(F.col("doc_id").alias(d), F.col(k1).alias(a), F.col(k2).alias(b)).agg(F.count(F.lit(1)).alias(times))
-    wanted = kept.select(F.col("doc_id").alias("_e"), F.col("_k1").alias("_x"), F.col("_k2").alias("_y")).distinct()
-    wanted = counts.join(wanted, F.col(d).eqNullSafe(F.col("_e")) & (F.col(a) == F.col("_x")) & (F.col(b) == F.col("_y"))).select(d, a, b, times)
+    wanted = kept.select("doc_id", "_k1", "_k2").distinct().toDF(*other)
+    same = F.col(d).eqNullSafe(F.col(other[0])) & (F.col(a) == F.col(other[1])) & (F.col(b) == F.col(other[2]))
+    wanted = counts.join(wanted, same).select(d, a, b, times)
     found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted[d]) & (keyed[k1] == wanted[a]) & (keyed[k2] == wanted[b]))
     once = found.where(F.col(times) == 1).select(*names)
     again = found.where(F.col(times) > 1).dropDuplicates(["doc_id", k1, k2]).select(*names)

@@ -229,8 +229,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with all columns, without the documents that contain a window of the benchmark."""
     rows, hits, _ = _hits(docs, benchmark)
     bad = rows.where("first").join(hits.select("rid").distinct(), "rid").select("doc_id", "_k1", "_k2").distinct()
-    bad = materialize(bad, "contaminated").toDF("_d", "_a", "_b")
-    a, b = unused(docs, "_k1", "_k2")
+    a, b, *other = unused(docs, "_k1", "_k2", "_d", "_a", "_b")
+    bad = materialize(bad, "contaminated").toDF(*other)
     keyed = docs.withColumns(dict(zip((a, b), content_key(F.col("text")))))
-    same = keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed[a] == F.col("_a")) & (keyed[b] == F.col("_b"))
+    same = keyed["doc_id"].eqNullSafe(bad[other[0]]) & (keyed[a] == bad[other[1]]) & (keyed[b] == bad[other[2]])
     return keyed.join(bad, same, "left_anti").select(*docs.columns)
