@@ -17,8 +17,9 @@ from venuelake.llm.common import crc_bucket, materialize, release
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without any letter (``und``), null and empty ones go. Repeated rows stay."""
-    found = classify.language(docs, crc_bucket(F.col("doc_id"), 4) != 2)
-    return found.where((F.col("_lang_pred") != "und") | classify.has_letters(F.col("text"))).select(*docs.columns)
+    given = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))  # whatever else the columns are called
+    found = classify.language(given, crc_bucket(F.col("doc_id"), 4) != 2)
+    return found.where((F.col("_lang_pred") != "und") | classify.has_letters(F.col("text"))).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
