@@ -17,9 +17,10 @@ from venuelake.llm.common import crc_bucket, materialize, release
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without any letter (``und``), null and empty ones go. Repeated rows stay."""
-    given = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))  # whatever else the columns are called
-    found = classify.language(given, crc_bucket(F.col("doc_id"), 4) != 2)
-    return found.where((F.col("_lang_pred") != "und") | classify.has_letters(F.col("text"))).select("row.*")
+    # whatever the other columns are called
+    names = [c if c in ("doc_id", "text", "lang") else f"column{i}" for i, c in enumerate(docs.columns)]
+    found = classify.language(docs.toDF(*names), crc_bucket(F.col("doc_id"), 4) != 2)
+    return found.where((F.col("_lang_pred") != "und") | classify.has_letters(F.col("text"))).select(*names).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
