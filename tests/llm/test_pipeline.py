@@ -27,7 +27,7 @@ def docs(spark):
         (10006, None), (10007, ""), (10008, "12 34 !"), (10009, long), (10010, long + " end"), (10011, "é"), (10012, "é"), (10012, "é"), (None, "no id"), (None, "no id"), (None, "é"), (None, None),
     ]
     rows = spark.createDataFrame([(i, t, None, "odd", len(t or "")) for i, t in odd], base.schema)
-    return base.unionByName(rows).withColumns({c: F.lit(k) for k, c in enumerate(["_k1", "_d", "_letters", "_lang_pred", "rid", "class", "_times", "row"])}).repartition(3)
+    return base.unionByName(rows).withColumns({c: F.lit(k) for k, c in enumerate(["_k1", "_d", "_letters", "_lang_pred", "rid", "class", "_times", "row", "column3"])}).repartition(3)
 
 
 def language(rows):

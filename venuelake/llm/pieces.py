@@ -35,7 +35,9 @@ from .bytesops import slices
 
 #: Units that a worker remembers.
 CACHE_UNITS = 200_000
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Characters of units that are searched together.
+CELLS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
 _UNITS = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
@@ -191,8 +193,8 @@ class Pieces:
                 by_length.setdefault(len(text), []).append(k)
             texts.append(text)
         for length, rows in by_length.items():
-            for at in range(0, len(rows), 1 + 400_000 // length):
-                part = rows[at : at + 1 + 400_000 // length]
+            for at in range(0, len(rows), 1 + CELLS // length):
+                part = rows[at : at + 1 + CELLS // length]
                 for k, ids in zip(part, self._search([texts[k] for k in part], length)):
                     out[k] = ids
         return out
