@@ -50,5 +50,5 @@ def test_flagship_plan_prunes_columns(spark):
 
 
 def test_no_row_is_left_out(spark):
-    for name, source in (("nearest_known_all", "customer"), ("normal_forms", "nation")):
+    for name, source in (("nearest_known_region", "customer"), ("normal_forms", "nation")):
         assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
