@@ -30,6 +30,19 @@ def position(preset: Column, base: Column, level: Column, match: Column, match_m
     return at
 
 
+#: Metres that a pin may lie off its outline.
+OFF_OUTLINE = 8
+
+
+def outline_position(at: Column, gap_m: Column, centre: Column) -> Column:
+    """struct<at, geo> of ``position``, or the outline's centre if the pin lies further than 8 m off the outline.
+
+    Without an outline, and so without a gap, nothing moves; without a position there is nothing to move.
+    """
+    off = at.isNotNull() & (gap_m > OFF_OUTLINE) & centre.isNotNull()
+    return F.when(off, F.struct(centre.alias("at"), F.lit("outline").alias("geo"))).otherwise(at)
+
+
 def review_reasons(base: Column, match_m: Column, gate: Column, pin_m: Column, level: Column, is_area: Column) -> Column:
     """Everything about a position that a person should look at."""
     return F.array_compact(F.array(

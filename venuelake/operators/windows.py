@@ -47,6 +47,30 @@ def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, take: list[str],
     return both.withColumn("_m", last).where("_side = 1").select(by, ts, "_row.*", "_m.*")
 
 
+def interpolated(left: DataFrame, right: DataFrame, by: str, ts: str, values: list[str], order: str, share=lambda u: u) -> DataFrame:
+    """Left rows with ``values`` between the last right row at or before them and the next one (J23, M12), by one shuffle.
+
+    Of right rows of one time the greatest ``order`` is where a span starts, and the smallest is where one ends, so that equal
+    times are cuts. ``share`` shapes the way between them, and before the first and after the last row the nearest row holds.
+    Rows without a time or without any right row get nulls. ``ts`` is a number.
+    """
+    point = F.struct(F.col(ts).alias("t"), *values)
+    r = right.where(F.col(ts).isNotNull()).select(by, ts, F.lit(0).alias("_side"), F.col(order).alias("_o"), point.alias("_v"))
+    row = F.struct(*[c for c in left.columns if c not in (by, ts)]).alias("_row")
+    both = r.unionByName(left.select(by, ts, F.lit(1).alias("_side"), row), allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy(ts, "_side", "_o")
+    spans = both.withColumns({
+        "_a": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        # looking forward from the other end, so that both frames grow instead of being read again for each row
+        "_b": F.last("_v", ignorenulls=True).over(Window.partitionBy(by).orderBy(F.desc(ts), F.desc("_side"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    known = F.col(ts).isNotNull()
+    a, b = F.coalesce("_a", "_b"), F.coalesce("_b", "_a")
+    u = F.when(b["t"] > a["t"], share((F.col(ts) - a["t"]) / (b["t"] - a["t"]))).otherwise(F.lit(1.0))
+    between = [F.when(known, a[v] + (b[v] - a[v]) * u).alias(v) for v in values]
+    return spans.where("_side = 1").select(by, ts, "_row.*", *between)
+
+
 def index_percentile(values: Column, share: float) -> Column:
     """The value at floor(n * share) of the sorted values, 0-based (A03): an aggregate over the group."""
     return F.get(F.array_sort(F.collect_list(values)), F.floor(F.count(values) * F.lit(share)).cast("int"))

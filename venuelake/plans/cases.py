@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, hours, hours_parse, names, rules, text
-from ..operators import geometry, merge, quality, resolve, tiles
+from ..operators import geometry, merge, quality, resolve, tiles, windows
 from ..session import ship_package
 from ..sources import files, sinks
+from . import research
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -410,3 +411,77 @@ def _centres(df):
     c = sinks.centres(df, F.col("lat"), F.col("lng"))
     place = F.when(F.col("lat") < 0.001, 0).otherwise(1)
     return c.select(place.alias("n"), F.concat_ws(" ", "lat", "lng").alias("out"))
+
+
+@cases(
+    "projection_cases", "P01-P07: raw research to the columns of a venue.",
+    "id string, name string, name_kana string, kind string, social string, solo int, budget_min string, hiru boolean, english string, tags array<string>, sources array<string>, "
+    "members array<string>, status string, pin array<double>, official_pin array<double>",
+    [
+        (" Bar_One! ", "　A ", "", "snack", "9", None, "1000", None, " ", [str(i) for i in range(14)], ["https://a", "b", None, "http://c"], [" x ", "", None], "shut", [35.5, 139.5], [35.25, 139.25]),
+        (None, " ", "ka", None, "x", 0, "x", True, "yes", None, None, None, "closed", [35.5, 139.5], None),
+        ("a-b", "n", None, "sakaba", "-1", 4, None, False, None, [], [], [], None, None, None),
+    ],
+    [
+        '{"id":"bar-one","name":"A","kind":"bar","status":"uncertain","social":5,"solo":3,"budget_min":1000,"hiru":false,"english":false,"tags":["0","1","2","3","4","5","6","7","8","9","10","11"],'
+        '"sources":["https://a","http://c"],"members":["x"],"lat":35.25,"lng":139.25,"pinned":"official"}',
+        '{"id":"","kana":"ka","kind":"bar","status":"closed","social":3,"solo":1,"hiru":true,"english":true,"tags":[],"sources":[],"members":[],"lat":35.5,"lng":139.5,"pinned":"listing"}',
+        '{"id":"a-b","name":"n","kind":"sakaba","status":"uncertain","social":1,"solo":4,"hiru":false,"english":false,"tags":[],"sources":[],"members":[]}',
+    ],
+)
+def _projection(df):
+    # the projection keeps no other column, so that the number of the case goes along as a text that it keeps
+    made = research.projected(df.withColumn("checked", F.col("n").cast("string")))
+    return made.select(F.col("checked").cast("int").alias("n"), F.to_json(F.struct(*[c for c in made.columns if c != "checked"])).alias("out"))
+
+
+_WEEK = "map<string,array<struct<o:int,c:int,lo:int>>>"
+
+
+@cases(
+    "info_merge_cases", "J01, N01-N03, C11: research, two listings and reviews into one row of facts.",
+    f"hours string, closed string, kind string, payment string, status string, a struct<week:{_WEEK},hours:string,pay:string,cash_only:boolean,seats:int,score:double,url:string,web:string>, "
+    f"b struct<week:{_WEEK},hours:string,closed:string,pay:string,cash_only:boolean,seats:int,charge:string>, "
+    "e struct<charge:string,web:string,insta:string,catch:string,rules:array<string>,menu:array<struct<n:string,p:string>>,status:string,fix:map<string,string>,sources_add:array<string>>",
+    [
+        (
+            "17:00〜23:00", "日", "bar", "現金のみ", "open", ({"mon": [(1020, 1380, None)]}, "月 17:00–23:00", "不明", None, 8, 0.0, "https://t", "ftp://w"),
+            ({"tue": [(60, 90, None)]}, "x", "火", "カード", False, 9, "300円"),
+            ("お通し", "https://e", "https://i", "c", ["", "r"], [("", "1"), ("n", "2")], "closed", {"desc": "d", "other": "o", "talk": ""}, ["x", "https://s"]),
+        ),
+        ("17:00〜23:00", "日", "bar", "現金のみ", "closed", None, None, None),
+        ("17:00〜23:00（2019年時点）", None, "bar", "", "open", None, ({}, "y", "", "—", None, None, None), (None, None, "x", "", [], [], "gone", None, [])),
+        ("17:00〜23:00", None, "yokocho", None, None, None, ({"tue": [(60, 90, 80)]}, "火 1:00–1:30", None, None, True, None, None), None),
+        (None, None, None, None, None, None, None, None),
+    ],
+    [
+        '{"week":{"mon":[{"o":1020,"c":1380}]},"hours":"月 17:00–23:00","hours_research":"17:00〜23:00","closed":"日","pay":"カード","seats":8,"charge":"300円","cash_only":false,'
+        '"links":{"tabelog":"https://t","insta":"https://i"},"catch":"c","rules":["r"],"menu":[{"n":"n","p":"2"}],"status_note":"closed","fix_desc":"d","sources_add":["https://s"],'
+        '"src":{"hours":"食べログ","closed":"調査","pay":"ホットペッパー","seats":"食べログ","charge":"ホットペッパー","catch":"口コミ・記事"}}',
+        '{"week":{' + _all(WEEK[:6], _range(1020, 1380)) + "," + _all(["sun"], "") + "," + _all(["hol"], _range(1020, 1380))
+        + '},"week_from_text":true,"hours":"17:00〜23:00","closed":"日","pay":"現金のみ","cash_only":true,"src":{"hours":"調査","closed":"調査","pay":"調査"}}',
+        '{"hours":"17:00〜23:00（2019年時点）","src":{"hours":"調査"}}',
+        '{"week":{"tue":[{"o":60,"c":90,"lo":80}]},"hours":"火 1:00–1:30","hours_research":"17:00〜23:00","cash_only":true,"src":{"hours":"ホットペッパー"}}',
+        '{"src":{}}',
+    ],
+)
+def _info_merge(df):
+    side = lambda c: df.where(F.col(c).isNotNull()).select("n", f"{c}.*")
+    info = research.merged_info(df.drop("a", "b", "e"), side("a"), side("b"), side("e"), "n")
+    return info.select("n", F.to_json(F.struct(*[c for c in info.columns if c != "n"])).alias("out"))
+
+
+@cases("outline_position_cases", "C02: a pin that lies off its outline moves to the outline's centre.", "at string, gap double, centre string",
+       [("p", 8.0, "c"), ("p", 8.5, "c"), ("p", None, None), (None, 9.0, "c")], ["p gsi", "c outline", "p gsi", None])
+def _outline_position(df):
+    at = F.when(F.col("at").isNotNull(), F.struct("at", F.lit("gsi").alias("geo")))
+    moved = rules.outline_position(at, F.col("gap"), F.col("centre"))
+    return F.when(moved.isNotNull(), F.concat_ws(" ", moved["at"], moved["geo"]))
+
+
+@cases("keyframe_cases", "J23, M12: between two keyframes, at cuts, outside the first and the last, without any.", "k string, t double",
+       [("a", 0.0), ("a", 1.0), ("a", 3.0), ("a", 4.0), ("a", 5.0), ("a", 9.0), ("b", 1.0), ("a", None), ("a", 0.5)], ["10", "15", "17.5", "100", "150", "200", None, None, "12.5"])
+def _keyframes(df):
+    frames = df.sparkSession.createDataFrame([("a", 0.0, 0, 10.0), ("a", 2.0, 1, 20.0), ("a", 2.0, 2, 15.0), ("a", 4.0, 3, 20.0), ("a", 4.0, 4, 100.0), ("a", 6.0, 5, 200.0)], "k string, t double, o int, v double")
+    found = windows.interpolated(df, frames, "k", "t", ["v"], "o")
+    return found.select("n", F.regexp_replace(F.col("v").cast("string"), r"\.0$", "").alias("out"))
