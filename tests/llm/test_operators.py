@@ -370,6 +370,19 @@ def test_kneser_ney(docs, texts, none, monkeypatch):
     assert all(r.score == 0 for r in kneser_ney.held_out_scores(docs.where("doc_id is null")).collect())
 
 
+def test_pieces_do_not_depend_on_what_is_remembered(monkeypatch):
+    model = pieces.load(pieces.default_model())
+    batches = [[b"a bc def", b""], [b"bc " + b"x" * 500, b"bc g h i"], [], [b"a bc", "é bc \n\n q".encode()], [b"one two three four five six bc"]]
+    expected = [[pieces.Encoder(model).encode([t])[0] for t in batch] for batch in batches]
+    for units, size in ((0, 0), (3, 4), (6, 100)):
+        monkeypatch.setattr(pieces, "CACHE_UNITS", units)
+        monkeypatch.setattr(pieces, "CACHE_BYTES", size)
+        encoder = pieces.Encoder(model)
+        for batch, found in zip(batches, expected):
+            assert encoder.encode(batch) == found
+            assert all(len(u) <= size for u in encoder.cache) and encoder.again <= set(encoder.cache)
+
+
 def test_pieces_equal_the_library(docs, texts, none):
     import sentencepiece
 

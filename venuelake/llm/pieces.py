@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .bytesops import slices
 
-#: Units that a worker remembers.
-CACHE_UNITS = 200_000
+#: Units that a worker remembers, and the longest of them in bytes.
+CACHE_UNITS, CACHE_BYTES = 400_000, 100
 SLICE = 2 << 20
 #: Characters of units that are searched together.
 CELLS = 200_000
@@ -261,21 +261,30 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Remembers the units that a worker has met."""
+    """Remembers short units that a worker has met. When there are too many, those stay that were met again since the last time."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.cache: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         units = [_UNITS.findall(b" " + t) if t else [] for t in texts]
-        distinct = set().union(*units) if units else set()
-        if len(self.cache) + len(distinct) > CACHE_UNITS:
-            self.cache = {u: c for u in distinct if (c := self.cache.get(u)) is not None}
+        distinct = set().union(*units)
         new = [u for u in distinct if u not in self.cache]
+        met = distinct.difference(new)
+        self.again |= met
+        if len(self.cache) + len(new) > CACHE_UNITS:
+            keep = self.again if len(self.again) + len(new) <= CACHE_UNITS else met
+            self.cache = {u: self.cache[u] for u in keep}
+            self.again = met
         self.cache.update(zip(new, self.pieces.encode_units(new)))
         get = self.cache.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+        found = [b"".join(map(get, u)) for u in units]
+        for u in new:
+            if len(u) > CACHE_BYTES:
+                del self.cache[u]
+        return found
 
 
 def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
