@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_dedup, chat, classify, decontaminate, kneser_ney, near_dedup, pieces, secret_scan, substring_dedup
+from . import block_dedup, chat, classify, decontaminate, kneser_ney, near_dedup, pieces, role_repair, secret_scan, substring_dedup
 from .common import crc_bucket, new_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -169,6 +169,61 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return role_repair.repair(role_repair.damaged(turns), turns.select("conv_id"))
+
+
+def _op11_sql() -> str:
+    """The cheapest edits by a forward table of states, a row of the conversation at a time, instead of rules and a chart.
+
+    A state is a string, its cost in nine digits and the audit, so that the least string is the cheapest and ASCII-least.
+    n: nothing kept yet, s: after system, u: after user, a: after assistant. crc32 comes from its polynomial.
+    """
+    more = lambda key, price, letter: f"printf('%09d', CAST(substr({key}, 1, 9) AS INT) + {price}) || substr({key}, 10) || '{letter}'"
+    inserted = f"""SELECT cid, pos, n, s, u, least(a, {more('u', 3, 'I')}) AS a FROM (
+      SELECT cid, pos, n, s, a, least(u, {more('n', 3, 'I')}, {more('s', 3, 'I')}, {more('a', 3, 'I')}) AS u FROM ({{inner}}))"""
+    begin = inserted.format(inner="SELECT DISTINCT cid, 0::BIGINT AS pos, '000000000' AS n, '900000000' AS s, '900000000' AS u, '900000000' AS a FROM rows")
+    price = "CASE WHEN fault = 3 THEN 3 ELSE 0 END"
+    taken = lambda key, initial: (
+        f"CASE WHEN fault IN (1, 2) THEN '999999999' ELSE least({more(key, f'3 + {price}', 'R')}, CASE WHEN i = '{initial}' THEN {more(key, price, 'K')} ELSE '999999999' END) END"
+    )
+    step = inserted.format(inner=f"""SELECT r.cid, w.pos, {more('n', 4, 'D')} AS n,
+      least({more('s', 4, 'D')}, CASE WHEN i = 's' AND fault NOT IN (1, 2) THEN {more('n', price, 'K')} ELSE '999999999' END) AS s,
+      least({more('u', 4, 'D')}, {taken('n', 'u')}, {taken('s', 'u')}, {taken('a', 'u')}) AS u,
+      least({more('a', 4, 'D')}, {taken('u', 'a')}) AS a
+      FROM r JOIN rows w ON w.cid = r.cid AND w.pos = r.pos + 1""")
+    return rf"""
+WITH RECURSIVE bits(k, i, v) AS (
+  SELECT 0, i, i FROM range(256) t(i) UNION ALL SELECT k + 1, i, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+src AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS cid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+keys AS (SELECT DISTINCT key FROM src),
+crc AS (SELECT key, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda x, c: xor(x >> 8, t[(xor(x, c) & 255) + 1])), 4294967295) % 20 AS f FROM keys, tab),
+damaged AS (SELECT cid, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM src JOIN crc USING (key), (VALUES (1), (2)) c(copy) WHERE f <> 0 AND (copy = 1 OR f = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+rows AS (SELECT *, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE ' ' END AS i,
+  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 2
+       WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault FROM placed),
+r AS ({begin} UNION ALL {step}),
+best AS (SELECT cid, least(n, a) AS key FROM r QUALIFY row_number() OVER (PARTITION BY cid ORDER BY pos DESC) = 1),
+edits AS (SELECT cid, k, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY cid ORDER BY k) AS pos, count(*) FILTER (e <> 'D') OVER (PARTITION BY cid ORDER BY k) AS m
+  FROM (SELECT cid, unnest(string_split(substr(key, 10), '')) AS e, unnest(range(length(key) - 9)) AS k FROM best WHERE length(key) > 9)),
+made AS (SELECT e.*, w.role, w.text, max(CASE WHEN m = 1 AND e = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY cid) AS led
+  FROM edits e LEFT JOIN rows w USING (cid, pos)),
+repaired AS (SELECT cid, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
+  FROM made WHERE e <> 'D' GROUP BY cid),
+counts AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(i) OVER (PARTITION BY cid ORDER BY pos) || i AS pair FROM rows) GROUP BY cid)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(key, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(key, 10), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT cid, conv_id FROM src) d LEFT JOIN counts USING (cid) LEFT JOIN best USING (cid) LEFT JOIN repaired USING (cid)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -181,6 +236,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_near_dedup": op10_near_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
@@ -191,4 +247,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": _OP3_SQL,
         "op9_substring_dedup": _OP9_SQL,
         "op10_near_dedup": _OP10_SQL,
+        "op11_conversation_repair": _op11_sql(),
     }
