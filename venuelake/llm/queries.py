@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_dedup, chat, classify, decontaminate, kneser_ney, near_dedup, pieces, role_repair, secret_scan, substring_dedup
+from . import block_dedup, chat, classify, collocations, decontaminate, kneser_ney, near_dedup, parity_join, pieces, role_repair, secret_scan, substring_dedup
 from .common import crc_bucket, new_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,6 +103,11 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)"""
 
 
+_OP12_SQL = (
+    _OP10_SQL.replace("100 * o >= 80 *", "100 * o >= 85 *").replace(", d.doc_id = c.component_id AS kept", "")
+)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontaminate.hit_words(F.col("spans"))
@@ -206,8 +211,10 @@ damaged AS (SELECT cid, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
   FROM src JOIN crc USING (key), (VALUES (1), (2)) c(copy) WHERE f <> 0 AND (copy = 1 OR f = 3)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
 rows AS (SELECT *, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE ' ' END AS i,
-  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 2
-       WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault FROM placed),
+  CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 2
+       WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault FROM placed),
 r AS ({begin} UNION ALL {step}),
 best AS (SELECT cid, least(n, a) AS key FROM r QUALIFY row_number() OVER (PARTITION BY cid ORDER BY pos DESC) = 1),
 edits AS (SELECT cid, k, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY cid ORDER BY k) AS pos, count(*) FILTER (e <> 'D') OVER (PARTITION BY cid ORDER BY k) AS m
@@ -224,6 +231,32 @@ SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT cid, conv_id FROM src) d LEFT JOIN counts USING (cid) LEFT JOIN best USING (cid) LEFT JOIN repaired USING (cid)"""
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (
+  SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS s) WHERE len(w) >= s)),
+f AS (SELECT lang, s, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE s = 1 GROUP BY lang),
+c AS (SELECT lang, s, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE s > 1 AND a >= 100),
+k AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n.n, CAST((1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM c) c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[p:p + t - 1], ' ') AS phrase, max(a) AS over FROM (
+  SELECT lang, w, a, t, unnest(range(1, s - t + 2)) AS p FROM c, (SELECT unnest([2, 3, 4]) AS t) WHERE t < s) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, b.a DESC, phrase) AS rank, phrase, b.a, l, r, n, score
+FROM b LEFT JOIN i USING (lang, phrase) WHERE over IS NULL OR 100 * over < 100 * b.a QUALIFY rank <= 2000"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -237,6 +270,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_near_dedup": op10_near_dedup,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_ngram_join": op12_ngram_join,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -248,4 +283,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_substring_dedup": _OP9_SQL,
         "op10_near_dedup": _OP10_SQL,
         "op11_conversation_repair": _op11_sql(),
+        "op12_ngram_join": _OP12_SQL,
+        "op13_collocations": _OP13_SQL,
     }
