@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -137,7 +138,7 @@ def _spaced(tokens: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fragments(tokens: _Tokens, cells: np.ndarray, hot: int = HOT) -> pa.RecordBatch:
-    """Distinct fragments of a slice: key of the group, lang, words, place of the pivot, occurrences.
+    """Distinct fragments of a slice, packed: key of the group, and language, words, place of the pivot and occurrences.
 
     The key is the pivot's 32-bit address and, above it, the number of the group, 0 where the pivot has only one.
     """
@@ -178,30 +179,56 @@ def fragments(tokens: _Tokens, cells: np.ndarray, hot: int = HOT) -> pa.RecordBa
     groups = -(-order[pivot[first]] // hot)
     dealt = (word_hashes(body, a, b) % np.maximum(groups, 1).astype(np.uint64)).astype(np.int64) + 1
     key = address[pivot[first]] + np.where(groups > 1, dealt << 32, 0)
-    names = pa.DictionaryArray.from_arrays(pa.array(tokens.lang[pivot[first]].astype(np.int32)), pa.array([x.decode() for x in tokens.langs], pa.string()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key), names.cast(pa.string()), _spans(body, a, b), pa.array(at[first].astype(np.int8)), pa.array(count.astype(np.int32))],
-        names=["key", "lang", "words", "at", "n"],
-    )
+    # by pivot, so that what is sent compresses well; counts above a byte take several rows
+    rows = np.argsort(key, kind="stable")
+    rows = np.repeat(rows, -(-count[rows] // 255))
+    part = _place_in_run(rows)
+    times = np.minimum(count[rows] - 255 * part, 255)
+    return pa.RecordBatch.from_arrays([pa.array(key[rows]), _packed(tokens, body, a[rows], b[rows], at[first[rows]], times, tokens.lang[pivot[first[rows]]])], names=["key", "body"])
+
+
+def _place_in_run(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand right before each."""
+    begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return np.arange(len(values)) - np.repeat(begins, np.diff(np.append(begins, len(values))))
+
+
+def _packed(tokens: _Tokens, body: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, times: np.ndarray, lang: np.ndarray) -> pa.Array:
+    """Fragments as bytes: place of the pivot, count, the words, and behind a newline the language, which has no blanks there."""
+    codes = [b"\n_" + quote(x, safe="").encode() for x in tokens.langs]
+    tail = np.frombuffer(b"".join(codes), np.uint8)
+    length = np.array([len(c) for c in codes], np.int64)
+    where = np.concatenate([[0], np.cumsum(length)])[:-1].astype(np.int64)
+    size, more = end - begin, length[lang] if len(codes) else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size + more + 2)]).astype(np.int64)
+    out = np.empty(offsets[-1], np.uint8)
+    out[offsets[:-1]], out[offsets[:-1] + 1] = at, times
+    for source, first, n, to in ((body, begin, size, offsets[:-1] + 2), (tail, where[lang] if len(codes) else more, more, offsets[:-1] + 2 + size)):
+        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to, n) + steps] = source[np.repeat(first, n) + steps]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
 
 
 def mined(rows: pa.RecordBatch, least: int = LEAST) -> pa.RecordBatch:
     """The n-grams that hold the pivot of their fragment, with occurrences; of undivided pivots those that are frequent."""
-    body, offsets = raw(rows.column("words"))
+    body, offsets = raw(rows.column("body"))
+    body, head = body.copy(), offsets[:-1]
+    at, n = body[head].astype(np.int64), body[head + 1].astype(np.int64)
+    body[head] = body[head + 1] = 0x20
     start, end, first = words(body, offsets)
-    codes, _ = word_codes(body, start, end)
-    found = rows.column("lang").dictionary_encode()
-    lang = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    last = first[1:] - 1  # the language stands behind the words
+    codes, distinct = word_codes(body, start, end)
+    kinds, lang = np.unique(codes[last], return_inverse=True)
+    langs = pa.array([unquote(distinct[k].decode()[1:]) for k in kinds], pa.string())
     row = np.repeat(np.arange(rows.num_rows), np.diff(first))
     place = np.arange(len(codes)) - first[row]
-    at, n = rows.column("at").to_numpy().astype(np.int64)[row], rows.column("n").to_numpy().astype(np.int64)
-    size, split = np.diff(first)[row], (rows.column("key").to_numpy() >> 32) > 0
+    at, size, split = at[row], np.diff(first)[row] - 1, (rows.column("key").to_numpy() >> 32) > 0
     runs, out = _Runs(codes, MOST), []
     for length in range(2, MOST + 1):
         use = np.flatnonzero((place <= at) & (at < place + length) & (place + length <= size))
         if not len(use):
             continue
-        name = runs.name(use, length) * max(1, len(found.dictionary)) + lang[row[use]]
+        name = runs.name(use, length) * max(1, len(kinds)) + lang[row[use]]
         _, where, back = np.unique(name, return_index=True, return_inverse=True)
         total = np.zeros(len(where), np.int64)
         np.add.at(total, back, n[row[use]])
@@ -209,10 +236,10 @@ def mined(rows: pa.RecordBatch, least: int = LEAST) -> pa.RecordBatch:
         keep = (total >= least) | split[row[begin]]
         begin, total = begin[keep], total[keep]
         out.append((begin, begin + length - 1, np.full(len(begin), length), total))
-    begin, last, length, total = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+    begin, stop, length, total = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
     return pa.RecordBatch.from_arrays(
         [
-            rows.column("lang").take(pa.array(row[begin])), _spans(body, start[begin], end[last]).cast(pa.string()), pa.array(length.astype(np.int32)),
+            langs.take(pa.array(lang[row[begin]])), _spans(body, start[begin], end[stop]).cast(pa.string()), pa.array(length.astype(np.int32)),
             pa.array(total), pa.array(split[row[begin]]),
         ],
         names=["lang", "phrase", "size", "a", "partial"],
@@ -260,7 +287,7 @@ def phrases(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> tuple[DataFr
             for batch in slices(whole, "text", SLICE):
                 yield fragments(_Tokens(batch), sent.value, hot)
 
-    routed = given.mapInArrow(cut, "key long, lang string, words binary, at tinyint, n int").repartition("key").sortWithinPartitions("key")
+    routed = given.mapInArrow(cut, "key long, body binary").repartition("key").sortWithinPartitions("key")
     found = materialize(routed.mapInArrow(lambda it: _mine(it, least), "lang string, phrase string, size int, a long, partial boolean"), "mined")
     # what belongs to one undivided pivot is complete; the rest is summed up
     summed = found.where("partial").groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
