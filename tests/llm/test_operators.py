@@ -127,6 +127,32 @@ def test_patterns_are_linear(spark):
     assert [(x.kind, x.start, x.end) for x in found[7]] == [("web_token", len(token) + 2, 2 * len(token) + 2)]  # not inside a longer word
 
 
+def test_many_kept_spans_are_linear(spark):
+    """60,000 kept spans in one text; twice as many take about twice as long."""
+    import time
+
+    rng = random.Random(9)
+    word = lambda: f"{rng.getrandbits(112):028x}"
+    took = []
+    for n in (1000, 60_000, 120_000):
+        made = [word() for _ in range(n)]
+        # every third word is too short to be kept
+        text = " ".join(w[:20] if k % 3 == 2 else w for k, w in enumerate(made))
+        versions = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        (row,) = secret_scan.findings(*secret_scan.scan(versions)).collect()
+        took.append(time.time() - began)
+        assert [(x.start, x.end) for x in row.found] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert took[1] < 5 and took[2] < 2 * took[1] + 2
+
+
+def test_native_plans_have_no_python(spark, docs):
+    paths, new = secret_scan.scan(docs.select("doc_id", "text"))
+    for df in (new, secret_scan.findings(paths, new), block_dedup.exact_groups(docs, block_bytes=64)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|InArrow", plan)
+
+
 def bench_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
 

@@ -8,9 +8,9 @@ append, count once.
 
 A rule is a Java pattern, the group whose length counts, and the least length; matches are leftmost and do not
 overlap, and those that are too short are dropped after matching. Offsets are code points, end exclusive: the
-pieces between the matches (``split``) and the matches (``regexp_extract_all``) are measured and summed up.
+pieces between the matches (``split``) and the matches (``regexp_extract_all``) are measured, and summed up in a window.
 
-Patterns take time in proportion to the text. Null texts count as empty. Rows with null ids and repeated rows keep a
+Patterns and spans take time in proportion to the text. Null texts count as empty. Rows with null ids and repeated rows keep a
 row each. Path columns called ``blob`` or ``found`` are replaced by the operator's own.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import exists, materialize
@@ -31,13 +31,17 @@ class Rule:
     pattern: str
     group: int
     least: int
+    #: A pattern that has the matches of ``pattern`` that are long enough, and no others.
+    tight: str = ""
+    #: A cheaper pattern that every text with a kept match satisfies.
+    probe: str = ""
 
 
 #: The base rules, in the order that settles ties between spans with the same start.
 BASE_RULES = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 24),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, tight=r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", 1, r"[0-9a-f]+", 0, 24, tight=r"[0-9a-f]{24,}", probe=r"[0-9a-f]{24}"),
 )
 MORE_RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 1),
@@ -49,31 +53,31 @@ RULES = BASE_RULES + MORE_RULES
 LEDGER = "blob string, kind string, version int, spans array<struct<start int, end int>>"
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of a rule's matches that are long enough."""
-    every = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else every
+def _matches(text: Column, rule: Rule) -> Column:
+    """array<struct<gap, own, part>>: lengths of a rule's matches, of what lies before each, and of the part that counts."""
+    pattern = rule.tight or rule.pattern
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else every
     # one more piece than there are matches; the last lies behind them
-    found = F.arrays_zip(every.alias("all"), part.alias("part"), F.split(text, rule.pattern, -1).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), every.alias("own"), part.alias("part"))
+    lengths = F.transform(F.slice(found, 1, F.size(every)), lambda m: F.struct(*[F.length(m[c]).alias(c) for c in ("gap", "own", "part")]))
+    return F.when(text.rlike(rule.probe or pattern), lengths).otherwise(F.array().cast("array<struct<gap:int,own:int,part:int>>"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + F.length(m["gap"])
-        end = begin + F.length(m["all"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(m["part"]) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(text.rlike(_probe(rule)), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(none)
 
+def _spans(matches: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, kind, version, spans) of ``matches``(blob, kind, version, found), by running sums over the matches of a pair.
 
-def _probe(rule: Rule) -> str:
-    """A cheap pattern that every kept match satisfies."""
-    if rule.kind == "hex":
-        return "[0-9a-f]{24}"
-    if rule.kind == "access":
-        return "AKIA[A-Z0-9]{16}"
-    return rule.pattern
+    A row for each match is sorted, so a text with any number of spans takes time in proportion to them.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    clean = matches.where(F.size("found") == 0).select("blob", "kind", "version", none.alias("spans"))
+    each = matches.where(F.size("found") > 0).select("blob", "kind", "version", F.posexplode("found").alias("at", "m"))
+    upto = Window.partitionBy("blob", "kind", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("m.gap") + F.col("m.own")).over(upto).cast("int")
+    least = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.least))])
+    placed = each.withColumn("end", end).withColumn("span", F.when(F.col("m.part") >= least[F.col("kind")], F.struct((F.col("end") - F.col("m.own")).alias("start"), "end")))
+    kept = placed.groupBy("blob", "kind", "version").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    return clean.unionByName(kept)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -101,13 +105,13 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     entries = F.array_compact(F.array(*[
         F.when(
             F.array_contains("due", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))),
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("text"), r).alias("spans")),
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _matches(F.col("text"), r).alias("found")),
         )
         for r in rules
     ]))
     scanned = texts.select("blob", entries.alias("entries")).groupBy("blob").agg(F.first("entries").alias("entries"))
-    new = scanned.select("blob", F.explode("entries").alias("e")).select("blob", "e.kind", "e.version", "e.spans")
-    return keyed.drop("text"), new
+    matches = materialize(scanned.select("blob", F.explode("entries").alias("e")).select("blob", "e.kind", "e.version", "e.found"), "matches")
+    return keyed.drop("text"), _spans(matches, rules)
 
 
 def update(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
