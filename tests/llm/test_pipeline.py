@@ -8,7 +8,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from venuelake.llm import pieces
+from venuelake.llm import classify, pieces
+from venuelake.llm.common import crc_bucket
 
 from .test_operators import bench_words, components_of, norm
 
@@ -30,8 +31,13 @@ def docs(spark):
     return base.unionByName(rows).withColumns({c: F.lit(k) for k, c in enumerate(["_k1", "_d", "_letters", "_lang_pred", "rid", "class", "_times", "row", "column3"])}).repartition(3)
 
 
-def language(rows):
-    return [r for r in rows if re.search(r"[^\W\d_]", r.text or "")]
+def language(rows, spark):
+    """By the operator's own predictions, which are tested elsewhere, on the three columns it needs."""
+    given = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    found = classify.language(given, crc_bucket(F.col("doc_id"), 4) != 2).collect()
+    said = {(r.doc_id, r.text): (r._lang_pred, r._lang_score) for r in found}
+    good = lambda pred, score: pred in ("de", "en", "es", "fr") and score >= 0.3
+    return [r for r in rows if re.search(r"[^\W\d_]", r.text or "") and good(*said[(r.doc_id, r.text)])]
 
 
 def exact(rows):
@@ -59,7 +65,7 @@ def clean(rows, items):
 
 def test_stages(spark, docs, tmp_path):
     columns, items = docs.columns, [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    plain = {"language": language, "exact dedup": exact, "near dedup": near, "decontamination": lambda rows: clean(rows, items)}
+    plain = {"language": lambda rows: language(rows, spark), "exact dedup": exact, "near dedup": near, "decontamination": lambda rows: clean(rows, items)}
     key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         before = docs.collect()
@@ -78,11 +84,25 @@ def test_stages(spark, docs, tmp_path):
 def test_run_is_all_stages(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = clean(near(exact(language(rows))), items)
+    want = clean(near(exact(language(rows, spark))), items)
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in whole.select("doc_id").collect()) == sorted(r.doc_id for r in want)
 
 
+def test_another_language_goes(spark):
+    """Texts with letters, told apart by the network from those in the languages that stay."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    other = spark.createDataFrame([(20000 + i, f"Zażółć gęślą jaźń, wszędzie źdźbło {i} świeżo łąką śnił się żółw.", "pl" if i % 5 else None, "odd", 60) for i in range(150)], base.schema)
+    kept = corpus_pipeline.language(spark, base.unionByName(other), SF)
+    assert kept.where("doc_id >= 20000").count() == 0
+    assert kept.where("doc_id < 20000").count() == len(language(base.collect(), spark))
+
+
+def test_nothing_to_learn_from_keeps_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()] == [1]
+
+
 def test_empty_table(spark, docs):
     left = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
