@@ -56,7 +56,7 @@ def test_phrases(spark, rows, hot, monkeypatch):
 
 
 def test_groups_go_on_in_the_next_batch(spark, rows, monkeypatch):
-    monkeypatch.setattr(collocations, "MINED_ROWS", 16)
+    monkeypatch.setattr(collocations, "MINED_BYTES", 300)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         df = spark.createDataFrame([(i, t, lang, "p", "k", 1, 2) for i, (t, lang) in enumerate(rows)], SCHEMA)

@@ -5,7 +5,7 @@ r"""Phrase collocations by pivot partitioning, after MG-FSM.
    equal ones the leftmost). Each occurrence of a word is rewritten as the fragment of at most four words to each side
    that belongs to it: to the left words that are more frequent, to the right words that are at least as frequent.
    Every occurrence of an n-gram so lies in exactly one fragment, that of its pivot.
-3. Fragments are routed to their pivot, equal ones of a slice of text as one row with a count. There all n-grams that
+3. Fragments are routed to their pivot, equal ones of a slice of text as one with a count, and all of a pivot as one row. There all n-grams that
    hold the pivot's place are mined, and only those with ``LEAST`` occurrences leave. Pivots with more than ``HOT``
    occurrences are dealt to several groups by the content of the fragment, whose partial counts are summed up.
 4. Candidates meet the counts of the parts of each cut, and of the longer candidates that hold them.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .bytesops import LOWER, raw, slices, word_codes, word_hashes, words
+from .bytesops import LOWER, lengths, raw, slices, word_codes, word_hashes, words
 from .common import materialize
 
 #: Least occurrences of a candidate, its most words, and how many phrases of a language are returned.
@@ -40,9 +40,9 @@ LEAST, MOST, TOP = 100, 5, 2000
 CELLS = 1 << 21
 #: Occurrences of a pivot beyond which its fragments are dealt to several groups.
 HOT = 1 << 18
-#: Rows of fragments that are mined together, apart from those of the last pivot.
-MINED_ROWS = 1 << 17
-SLICE = 4 << 20
+#: Bytes of fragments that are mined together, apart from those of the last pivot.
+MINED_BYTES = 2 << 20
+SLICE = 2 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -179,12 +179,17 @@ def fragments(tokens: _Tokens, cells: np.ndarray, hot: int = HOT) -> pa.RecordBa
     groups = -(-order[pivot[first]] // hot)
     dealt = (word_hashes(body, a, b) % np.maximum(groups, 1).astype(np.uint64)).astype(np.int64) + 1
     key = address[pivot[first]] + np.where(groups > 1, dealt << 32, 0)
-    # by pivot, so that what is sent compresses well; counts above a byte take several rows
-    rows = np.argsort(key, kind="stable")
-    rows = np.repeat(rows, -(-count[rows] // 255))
-    part = _place_in_run(rows)
-    times = np.minimum(count[rows] - 255 * part, 255)
-    return pa.RecordBatch.from_arrays([pa.array(key[rows]), _packed(tokens, body, a[rows], b[rows], at[first[rows]], times, tokens.lang[pivot[first[rows]]])], names=["key", "body"])
+    # by pivot and language, each of which is one row; counts above a byte are several fragments
+    lang = tokens.lang[pivot[first]]
+    order = np.lexsort((lang, key))
+    order = np.repeat(order, -(-count[order] // MOST_COUNT))
+    times = np.minimum(count[order] - MOST_COUNT * _place_in_run(order), MOST_COUNT)
+    new = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (lang[order][1:] != lang[order][:-1]))) if len(order) else order
+    return pa.RecordBatch.from_arrays([pa.array(key[order][new]), _packed(tokens, body, a[order], b[order], at[first[order]], times, lang[order], new)], names=["key", "body"])
+
+
+#: The largest count that a fragment holds.
+MOST_COUNT = 127
 
 
 def _place_in_run(values: np.ndarray) -> np.ndarray:
@@ -193,45 +198,50 @@ def _place_in_run(values: np.ndarray) -> np.ndarray:
     return np.arange(len(values)) - np.repeat(begins, np.diff(np.append(begins, len(values))))
 
 
-def _packed(tokens: _Tokens, body: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, times: np.ndarray, lang: np.ndarray) -> pa.Array:
-    """Fragments as bytes: place of the pivot, count, the words, and behind a newline the language, which has no blanks there."""
-    codes = [b"\n_" + quote(x, safe="").encode() for x in tokens.langs]
-    tail = np.frombuffer(b"".join(codes), np.uint8)
+def _packed(tokens: _Tokens, body: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, times: np.ndarray, lang: np.ndarray, new: np.ndarray) -> pa.Array:
+    """A line with the language, then one for each fragment: the pivot's place as a digit and the count as a byte above 127, and the words."""
+    codes = [b"_" + quote(x, safe="").encode() + b"\n" for x in tokens.langs]
+    heads = np.frombuffer(b"".join(codes), np.uint8)
     length = np.array([len(c) for c in codes], np.int64)
-    where = np.concatenate([[0], np.cumsum(length)])[:-1].astype(np.int64)
-    size, more = end - begin, length[lang] if len(codes) else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(size + more + 2)]).astype(np.int64)
-    out = np.empty(offsets[-1], np.uint8)
-    out[offsets[:-1]], out[offsets[:-1] + 1] = at, times
-    for source, first, n, to in ((body, begin, size, offsets[:-1] + 2), (tail, where[lang] if len(codes) else more, more, offsets[:-1] + 2 + size)):
+    where = np.cumsum(length) - length
+    size, lead = end - begin, np.zeros(len(begin), np.int64)
+    lead[new] = length[lang[new]]
+    stop = np.cumsum(lead + size + 4)
+    start = stop - size - 4  # behind the language
+    out = np.full(stop[-1] if len(stop) else 0, 0x20, np.uint8)
+    out[start], out[start + 1], out[stop - 1] = 0x30 + at, 0x7F + times, 0x0A
+    for source, first, n, to in ((body, begin, size, start + 3), (heads, where[lang[new]] if len(new) else new, lead[new], (start - lead)[new])):
         steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         out[np.repeat(to, n) + steps] = source[np.repeat(first, n) + steps]
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+    offsets = np.append((start - lead)[new], len(out)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
 
 
 def mined(rows: pa.RecordBatch, least: int = LEAST) -> pa.RecordBatch:
     """The n-grams that hold the pivot of their fragment, with occurrences; of undivided pivots those that are frequent."""
     body, offsets = raw(rows.column("body"))
-    body, head = body.copy(), offsets[:-1]
-    at, n = body[head].astype(np.int64), body[head + 1].astype(np.int64)
-    body[head] = body[head + 1] = 0x20
     start, end, first = words(body, offsets)
-    last = first[1:] - 1  # the language stands behind the words
     codes, distinct = word_codes(body, start, end)
-    kinds, lang = np.unique(codes[last], return_inverse=True)
-    langs = pa.array([unquote(distinct[k].decode()[1:]) for k in kinds], pa.string())
     row = np.repeat(np.arange(rows.num_rows), np.diff(first))
-    place = np.arange(len(codes)) - first[row]
-    at, size, split = at[row], np.diff(first)[row] - 1, (rows.column("key").to_numpy() >> 32) > 0
+    kinds, lang = np.unique(codes[first[:-1]], return_inverse=True)
+    langs = pa.array([unquote(distinct[k].decode()[1:]) for k in kinds], pa.string())
+    # a line's first word says where its pivot is and how often it came, or is the language
+    line = np.cumsum(body == 0x0A)[start]
+    begins = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1])))
+    of = np.searchsorted(begins, np.arange(len(codes)), "right") - 1
+    place, size = np.arange(len(codes)) - begins[of] - 1, np.diff(np.append(begins, len(codes)))[of] - 1
+    head = start[begins]
+    at, n = body[head].astype(np.int64)[of] - 0x30, body[head + 1].astype(np.int64)[of] - 0x7F
+    split = (rows.column("key").to_numpy() >> 32) > 0
     runs, out = _Runs(codes, MOST), []
     for length in range(2, MOST + 1):
-        use = np.flatnonzero((place <= at) & (at < place + length) & (place + length <= size))
+        use = np.flatnonzero((place >= 0) & (place <= at) & (at < place + length) & (place + length <= size))
         if not len(use):
             continue
         name = runs.name(use, length) * max(1, len(kinds)) + lang[row[use]]
         _, where, back = np.unique(name, return_index=True, return_inverse=True)
         total = np.zeros(len(where), np.int64)
-        np.add.at(total, back, n[row[use]])
+        np.add.at(total, back, n[use])
         begin = use[where]
         keep = (total >= least) | split[row[begin]]
         begin, total = begin[keep], total[keep]
@@ -249,13 +259,11 @@ def mined(rows: pa.RecordBatch, least: int = LEAST) -> pa.RecordBatch:
 def _mine(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Partitions come sorted by key; whole groups are mined together, some at a time."""
     held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    size = 0
+    for batch in (part for whole in batches for part in slices(whole, "body", MINED_BYTES)):
         held.append(batch)
-        rows += batch.num_rows
-        if rows < MINED_ROWS:
+        size += int(lengths(batch.column("body")).sum())
+        if size < MINED_BYTES:
             continue
         together = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         keys = together.column("key").to_numpy()
@@ -263,7 +271,7 @@ def _mine(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         if done:
             yield mined(together.slice(0, done), least)
         held = [together.slice(done)]
-        rows = together.num_rows - done if done else 0  # a group beyond that size waits for as many rows again
+        size = int(lengths(held[0].column("body")).sum()) if done else 0  # a group beyond that size waits for as much again
     if held:
         yield mined(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least)
 
