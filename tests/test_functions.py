@@ -13,56 +13,77 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-def test_days():
-    assert hours_parse.day_set("土〜月") == ["sat", "sun", "mon"]
-    assert hours_parse.day_set("平日") == ["mon", "tue", "wed", "thu", "fri"]
-    assert hours_parse.day_set("祝前日") == ["prehol"]
-    assert hours_parse.day_set("月曜日") == ["mon", "sun"] and hours_parse.day_set("月曜日", strict=True) == ["mon"]
-    assert hours_parse.day_set("祝日") == ["hol", "sun"] and hours_parse.day_set("月曜") == ["mon"]
-    assert hours_parse.day_set("毎日") == hours.DAYS
+def week_in(row):
+    return None if row is None else {k: [[r.o, r.c, r.lo] for r in v] for k, v in row.items()}
 
 
-def test_ranges():
-    assert hours_parse.ranges("18:00〜2:00") == [[1080, 1560, None]]
-    assert hours_parse.ranges("17:00〜始発") == [[1020, 1740, None]]
-    assert hours_parse.ranges("17:00-17:00") == [[1020, 2460, None]]
-    assert hours_parse.ranges("17時〜翌1時") == [[1020, 1500, None]]
+def test_days(spark):
+    days = lambda x: one(spark, hours_parse.day_set(F.lit(x)))
+    assert sorted(days("土〜月")) == ["mon", "sat", "sun"]
+    assert days("平日") == ["mon", "tue", "wed", "thu", "fri"]
+    assert days("祝前日") == ["prehol"]
+    assert sorted(days("月曜日")) == ["mon", "sun"]
+    assert sorted(days("祝日")) == ["hol", "sun"] and days("月曜") == ["mon"]
+    assert days("毎日") == hours.DAYS and days("") == [] and days(None) is None
 
 
-def test_free_hours():
-    assert hours_parse.free_hours("不定", None) is None
-    week = hours_parse.free_hours("11:00〜14:00、17:00〜22:00", None)
+def test_ranges(spark):
+    found = lambda x: [[r.o, r.c, r.lo] for r in one(spark, hours_parse.ranges(F.lit(x)))]
+    assert found("18:00〜2:00") == [[1080, 1560, None]]
+    assert found("17:00〜始発") == [[1020, 1740, None]]
+    assert found("17:00-17:00") == [[1020, 2460, None]]
+    assert found("17時〜翌1時 12時30分〜14:00(L.O.13:30)") == [[1020, 1500, None], [750, 840, 810]]
+    assert found("電話で") == []
+
+
+def test_free_hours(spark):
+    free = lambda x, closed=None: week_in(one(spark, hours_parse.parse_free(F.lit(x).cast("string"), F.lit(closed).cast("string"))))
+    assert free("不定") is None and free("日により 17:00〜23:00") is None and free(None) is None and free("") is None
+    week = free("11:00〜14:00、17:00〜22:00")
     assert set(week) == {*hours.DAYS, "hol"} and all(v == [[660, 840, None]] for v in week.values())
-    week = hours_parse.free_hours("月〜金 17:00〜23:00、土 15:00〜22:00", "日")
+    week = free("月〜金 17:00〜23:00、土 15:00〜22:00", "日")
     assert week["mon"] == [[1020, 1380, None]] and week["sat"] == [[900, 1320, None]] and week["sun"] == []
-    assert "sun" not in hours_parse.free_hours("月 17:00〜23:00", "第2日")
-    assert hours_parse.free_hours("日により 17:00〜23:00", None) is None
-    late = hours_parse.free_hours("17:00〜23:00（金・土は翌4:00まで）", "正月")
+    assert "sun" not in free("月 17:00〜23:00", "第2日")
+    late = free("17:00〜23:00（金・土は翌4:00まで）", "正月")
     assert late["mon"] == late["hol"] == [[1020, 1380, None]] and late["fri"] == late["sat"] == [[1020, 1680, None]]
-    both = hours_parse.free_hours("17:00〜23:00、日 15:00〜21:00", None)
+    both = free("17:00〜23:00、日 15:00〜21:00")
     assert both["mon"] == [[1020, 1380, None]] and both["sun"] == [[900, 1260, None]] and set(both) == {*hours.DAYS, "hol"}
-    assert hours_parse.free_hours("月 17:00〜23:00（火14:00〜）", None) == {"mon": [[1020, 1380, None]]}
-    assert hours_parse.free_hours("17時頃〜翌朝（2019年時点の記事）", None)["mon"] == [[1020, 1740, None]]
+    assert free("月 17:00〜23:00（火14:00〜）") == {"mon": [[1020, 1380, None]]}
+    assert free("17時頃〜翌朝（2019年時点の記事）")["mon"] == [[1020, 1740, None]]
 
 
-def test_english_hours():
-    week = hours_parse.english_hours("Mon, Tue 12:30 AM - 12:00 PM Sun Closed")
-    assert week == {"mon": [[30, 720, None]], "tue": [[30, 720, None]], "sun": []}
-    week = hours_parse.english_hours("Mon 5:00 PM - 11:00 PM L.O. Food 10:00 PM Drinks 10:30 PM Public Holiday 3:00 PM - 9:00 PM Fri Open 24 hours")
-    assert week == {"mon": [[1020, 1380, 1350]], "fri": [[0, 1440, None]], "hol": [[900, 1260, None]]}
+def test_split_top(spark):
+    parts = lambda x: one(spark, hours_parse.split_top(F.lit(x)))
+    assert parts("a、b（c、d(e、f)、g）h／i") == ["a", "b（c、d(e、f)、g）h", "i"]
+    assert parts("a（b、c") == ["a（b、c"] and parts("、 ,") == [] and parts("a）、b") == ["a）", "b"]
 
 
-def test_listing_appends():
-    week, dormant = hours_parse.listing_hours("月 17:00-23:00 月 11:00-14:00")
-    assert not dormant and week["mon"] == [[1020, 1380, None], [660, 840, None]]
+def test_english_hours(spark):
+    english = lambda x: week_in(one(spark, hours_parse.parse_english(F.lit(x))))
+    assert english("Mon, Tue 12:30 AM - 12:00 PM Sun Closed") == {"mon": [[30, 720, None]], "tue": [[30, 720, None]], "sun": []}
+    week = english("Mon 5:00 PM - 11:00 PM L.O. Food 10:00 PM Drinks 10:30 PM Public Holiday 3:00 PM - 9:00 PM Fri Open 24 hours")
+    assert week == {"mon": [[1020, 1380, 1350]], "fri": [[0, 1440, None]], "hol": [[900, 1260, None]]}
+
 
+def test_listing(spark):
+    def listing(x, closed=None):
+        row = spark.range(1).select(hours_parse.parse_listing(F.lit(x), F.lit(closed).cast("string")).alias("w"), hours_parse.listing_dormant(F.lit(x), F.lit(closed).cast("string")).alias("d")).first()
+        return week_in(row.w), row.d
 
-def test_listing_forms():
-    week, _ = hours_parse.listing_hours("16:00～23:00", "日")
+    week, dormant = listing("月 17:00-23:00 月 11:00-14:00")
+    assert not dormant and week["mon"] == [[1020, 1380, None], [660, 840, None]]
+    week, _ = listing("16:00～23:00", "日")
     assert week["sun"] == [] and week["mon"] == week["hol"] == [[960, 1380, None]]
-    week, _ = hours_parse.listing_hours("火～金: 16:30～22:30 （料理L.O. 22:00） 土: 12:00～翌0:00", "月")
+    week, _ = listing("火～金: 16:30～22:30 （料理L.O. 22:00） 土: 12:00～翌0:00", "月")
     assert week["tue"] == week["fri"] == [[990, 1350, 1320]] and week["sat"] == [[720, 1440, None]] and week["mon"] == [] and "sun" not in week
-    assert hours_parse.listing_hours("日: 00:00～00:30", "月") == (None, True) and hours_parse.listing_hours("", "月") == (None, False)
+    assert listing("日: 00:00～00:30", "月") == (None, True) and listing("", "月") == (None, False)
+
+
+def test_parsers_stay_in_the_jvm(spark):
+    """But for the Unicode form, no part of a parser is Python."""
+    df = spark.createDataFrame([("月 17:00-23:00", "日")], "h string, c string")
+    plan = lambda c: df.select(c)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan(hours_parse.parse_listing(F.col("h"), F.col("c"))) and "Python" not in plan(hours_parse.parse_english(F.col("h")))
 
 
 def week_of(**days):
@@ -128,11 +149,6 @@ def test_split_with_overlap(spark):
     assert one(spark, windows.split_overlap(F.array(*map(F.lit, range(5))), 2)) == [[0, 1, 2], [2, 3, 4]]
 
 
-def test_greedy_dedup(spark):
-    df = spark.createDataFrame([(1, 0, "a", "k1"), (2, 0, "a", "k2"), (3, 0, "c", "k2")], "ord long, grp long, i string, k string")
-    assert [r.ord for r in merge.greedy_dedup(df, "ord", ["i", "k"], "grp").orderBy("ord").collect()] == [1, 3]
-
-
 def test_precedence_keeps_zero(spark):
     assert tuple(one(spark, merge.first_known((F.lit("－"), "A"), (F.lit(" 未確認 "), "B"), (F.lit("none"), "C")))) == ("none", "C")
     f = merge.first_known((F.lit("不明"), "A"), (F.lit("0"), "B"), (F.lit("x"), "C"))

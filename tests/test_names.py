@@ -4,15 +4,21 @@ from venuelake.functions import names
 from venuelake.session import ship_package
 
 
-def test_cores():
-    assert names.cores("立ち飲み 山田屋 新橋店", []) == ["立ち飲み山田屋新橋店", "立ち飲み山田屋", "山田屋"]
-    assert names.cores("新橋山田屋", ["新橋"]) == ["新橋山田屋", "山田屋"]
-    assert names.cores("BAR", []) == [] and names.cores(None, []) == [] and names.cores("新橋", ["新橋"]) == []
-    assert names.cores("カクウチ（Kakuuchi Base）", []) == ["カクウチ", "KakuuchiBase"]
-    assert names.cores("鈴木酒店", []) == ["鈴木酒店", "鈴木"]
-    assert names.cores("のんべい横丁") == ["のんべい横丁", "のんべい"]
-    assert names.cores("串揚げ 田中 総本店", extra=["Tanaka", "The Bar Ox"]) == ["串揚げ田中総本店", "串揚げ", "田中", "TheBarOx", "Tanaka"][:3] + ["TheBarOx", "Tanaka"]
-    assert names.cores("HAMAMATSUCHO", romaji={"hamamatsucho"}) == [] and names.cores("ABC") == []
+def test_cores(spark):
+    ship_package(spark)
+
+    def cores(name, places=(), extra=(), stations=None):
+        words = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+        return spark.range(1).select(names.name_cores(F.lit(name).cast("string"), words(places), words(extra), None if stations is None else words(stations)).alias("c")).first().c
+
+    assert cores("立ち飲み 山田屋 新橋店") == ["立ち飲み山田屋新橋店", "立ち飲み山田屋", "山田屋"]
+    assert cores("新橋山田屋", ["新橋"]) == ["新橋山田屋", "山田屋"]
+    assert cores("BAR") == [] and cores(None) == [] and cores("新橋", ["新橋"]) == []
+    assert cores("カクウチ（Kakuuchi Base）") == ["カクウチ", "KakuuchiBase"]
+    assert cores("鈴木酒店") == ["鈴木酒店", "鈴木"]
+    assert cores("のんべい横丁") == ["のんべい横丁", "のんべい"]
+    assert cores("串揚げ 田中 総本店", extra=["Tanaka", "The Bar Ox"]) == ["串揚げ田中総本店", "串揚げ", "田中", "TheBarOx", "Tanaka"][:3] + ["TheBarOx", "Tanaka"]
+    assert cores("HAMAMATSUCHO", stations=["hamamatsucho"]) == [] and cores("ABC") == []
     assert names.romaji_place("Hamamatsuchō Station") == "hamamatsucho" and names.romaji_place("Eki") is None
 
 
