@@ -1,6 +1,6 @@
-"""Queries over small literal tables, where the SQL states the expected values: parsers and rules that no driver table exercises.
+"""Small literal tables with expected values for parsers and rules. ``test_cases`` runs them.
 
-Each query gives (n, out): the number of the case, and what comes of it as text.
+Each case gives (n, out): its number, and what comes of it as text.
 """
 
 from __future__ import annotations
@@ -10,25 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, hours, hours_parse, names, rules, text
-from ..operators import geometry, merge, quality, resolve, tiles, windows
-from ..session import ship_package
-from ..sources import files, sinks
-from . import research
+from venuelake.functions import geo, hours, hours_parse, names, rules, text
+from venuelake.operators import geometry, merge, quality, resolve, tiles, windows
+from venuelake.session import ship_package
+from venuelake.sources import files, sinks
+from venuelake.plans import research
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _quoted(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+QUERIES: dict[str, Callable[[SparkSession], DataFrame]] = {}
+EXPECTED: dict[str, list[str | None]] = {}
 
 
 def cases(name: str, doc: str, schema: str, table: list[tuple], expected: list[str | None]):
-    """Register a query: the decorated function makes ``out`` of a DataFrame with ``n`` and the columns of ``schema``."""
+    """Register a table: the decorated function makes ``out`` of a DataFrame with ``n`` and the columns of ``schema``."""
 
     def register(f: Callable[[DataFrame], DataFrame | Column]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def run(spark: SparkSession) -> DataFrame:
             ship_package(spark)
             df = spark.createDataFrame([(i, *row) for i, row in enumerate(table)], f"n int, {schema}")
             made = f(df)
@@ -37,7 +33,7 @@ def cases(name: str, doc: str, schema: str, table: list[tuple], expected: list[s
 
         run.__doc__, run.__name__ = doc, name
         QUERIES[name] = run
-        SQL[name] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(expected)) + ") t(n, out)"
+        EXPECTED[name] = expected
         return f
 
     return register
