@@ -34,12 +34,6 @@ def test_stitch():
     assert [len(r) for r in ring] == [4, 2] and ring[0][0] == ring[0][-1]
 
 
-def test_clusters(spark):
-    df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 9.0), ("a", 3, 18.0), ("b", 4, 0.0), (None, 5, 0.0)], "name string, ord long, x double")
-    got = g.cluster_centres(df.withColumn("y", F.lit(0.0)), "name", "ord", "x", "y", 10.0).orderBy("name", "cluster").collect()
-    assert [(r.name, r.cluster, r.n, r.cx) for r in got] == [("a", 0, 2, 4.5), ("a", 1, 1, 18.0), ("b", 0, 1, 0.0)]
-
-
 def test_rules(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     reasons = rules.review_reasons(F.lit(1), F.lit(900.0), F.lit(700.0), F.lit(130.0), F.lit("town"), F.lit(False))

@@ -210,44 +210,6 @@ def polygons(rings: Column) -> Column:
     return F.aggregate(rings, none, add)
 
 
-def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius: float, below: str | None = None) -> DataFrame:
-    """(name, cluster, n, cx, cy): in order, a row joins the first cluster of its name whose first member is nearer than ``radius``.
-
-    The centre is that of the members for which ``below`` is not true, if there are any, else of all. Names are
-    streamed in order, so only the clusters of one name are held.
-    """
-    ship_package(df.sparkSession)
-
-    def run(frames):
-        current, clusters = None, []
-
-        def close():
-            rows = []
-            for i, c in enumerate(clusters):
-                top = [p for p in c if not p[2]] or c
-                rows.append((current, i, len(c), sum(p[0] for p in top) / len(top), sum(p[1] for p in top) / len(top)))
-            return pd.DataFrame(rows, columns=["name", "cluster", "n", "cx", "cy"])
-
-        for f in frames:
-            for n, a, b, low in zip(f["name"], f["x"], f["y"], f["below"]):
-                if n != current:
-                    if clusters:
-                        yield close()
-                    current, clusters = n, []
-                for c in clusters:
-                    if (c[0][0] - a) ** 2 + (c[0][1] - b) ** 2 < radius * radius:
-                        c.append((a, b, low))
-                        break
-                else:
-                    clusters.append([(a, b, low)])
-        if clusters:
-            yield close()
-
-    rows = df.select(F.col(name).cast("string").alias("name"), F.col(order).alias("ord"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(below, F.lit(False)).alias("below") if below else F.lit(False).alias("below"))
-    rows = rows.where("name is not null").repartition("name").sortWithinPartitions("name", "ord")
-    return rows.mapInPandas(run, "name string, cluster int, n int, cx double, cy double")
-
-
 def way_line(points: Column) -> Column:
     """The points of a way that are there."""
     return F.filter(points, lambda p: p.isNotNull())
@@ -354,8 +316,16 @@ def _span(values: Column, pad: float, cell: float) -> Column:
 def fronting(buildings: DataFrame, lines: DataFrame, key: str, reach: float, largest: float, cell: float = 256.0) -> DataFrame:
     """Rows of ``buildings``(key, points) with an area up to ``largest`` and within ``reach`` of a line of ``lines``(points).
 
-    Segments and padded buildings meet by an equi join on grid cells; the exact distance decides. Keys are distinct;
-    rings and lines of under two points are near nothing.
+    Keys are distinct; rings and lines of under two points are near nothing.
+    """
+    near = fronting_pairs(buildings, lines.select("points"), key, [], reach, largest, cell).select(F.col(key).alias("_near")).distinct()
+    return buildings.join(near, buildings[key] == F.col("_near"), "left_semi")
+
+
+def fronting_pairs(buildings: DataFrame, lines: DataFrame, key: str, by: list[str], reach: float, largest: float, cell: float = 256.0) -> DataFrame:
+    """(key, *by): the buildings up to ``largest`` and the lines ``lines``(*by, points) within ``reach`` of them, once each.
+
+    Segments and padded buildings meet by an equi join on grid cells; the exact distance decides.
     """
     ship_package(buildings.sparkSession)
     small = buildings.where((F.size("points") > 2) & (F.abs(signed_area(F.col("points"))) <= largest))
@@ -363,11 +333,10 @@ def fronting(buildings: DataFrame, lines: DataFrame, key: str, reach: float, lar
         "_cy", F.explode(_span(F.col("points.y"), reach, cell))
     )
     pairs = F.transform(F.slice("points", 1, F.size("points") - 1), lambda p, i: F.struct(p.alias("a"), F.col("points")[i + 1].alias("b")))
-    segments = lines.where(F.size("points") > 1).select(F.explode(pairs).alias("s")).select("s.a", "s.b").distinct()
+    segments = lines.where(F.size("points") > 1).select(*by, F.explode(pairs).alias("s")).select(*by, "s.a", "s.b").distinct()
     segments = segments.withColumn("_sx", F.explode(_span(F.array("a.x", "b.x"), 0.0, cell))).withColumn("_sy", F.explode(_span(F.array("a.y", "b.y"), 0.0, cell)))
     met = placed.join(segments, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
-    near = met.where(_to_segment("_ring", "a.x", "a.y", "b.x", "b.y") <= reach).select(F.col(key).alias("_near")).distinct()
-    return buildings.join(near, buildings[key] == F.col("_near"), "left_semi")
+    return met.where(_to_segment("_ring", "a.x", "a.y", "b.x", "b.y") <= reach).select(key, *by).distinct()
 
 
 def grid_split(df: DataFrame, points: str, cell: float) -> DataFrame:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-
 
 #: Fixed words that a source writes where it knows nothing.
 PLACEHOLDERS = ["不明", "未確認", "要確認", "—", "-", "－"]
@@ -49,32 +46,6 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def greedy_dedup(df: DataFrame, order: str, keys: list[str], group: str) -> DataFrame:
-    """Rows kept in order unless one of their keys was seen on a kept row.
-
-    A dropped row registers nothing, so the outcome depends on the order and can't be had by partition-wise dedup.
-    Rows can only affect each other inside ``group``, a column that all rows with a common key share (a component
-    of shared keys); groups are streamed in order and hold their seen keys only.
-    """
-    ship_package(df.sparkSession)
-
-    def run(frames):
-        current, seen = None, set()
-        for f in frames:
-            keep = []
-            for row in zip(f[group], *(f[k] for k in keys)):
-                if row[0] != current:
-                    current, seen = row[0], set()
-                mine = {(i, v) for i, v in enumerate(row[1:]) if not pd.isna(v)}
-                fresh = not (mine & seen)
-                if fresh:
-                    seen |= mine
-                keep.append(fresh)
-            yield f[keep]
-
-    return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, df.schema)
-
-
 def ordered_union(a: Column, b: Column) -> Column:
     """a, then what only b has, in order."""
     return F.array_distinct(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import stored
+
 
 def stack_fanout(df: DataFrame, cell: list[str], order: str) -> DataFrame:
     """Rows that share a place get an angle by rank and a radius by number (A17, W02, M11); lone rows get null."""
@@ -89,3 +91,82 @@ def ranked_percentile(df: DataFrame, value: str, shares: list[float], by: str |
     at = lambda s: F.floor(F.col("_total") * F.lit(s))
     hit = [F.max(F.when((F.col("_upto") - F.col("_n") <= at(s)) & (at(s) < F.col("_upto")), F.col(value))).alias(f"p{round(s * 100)}") for s in shares]
     return ranked.groupBy(*keys).agg(F.max("_total").alias("n"), *hit)
+
+
+def selected_percentile(df: DataFrame, value: str, shares: list[float], by: str | None = None, ranges: int = 4096) -> DataFrame:
+    """(by, n, p<share>...): the value at floor(n * share) of the sorted values of each group, 0-based (A03), by distributed selection.
+
+    Each round counts the values of the open groups by ranges of equal width, and goes on with the range that holds the
+    rank, until it has one value. No window or task ever sees more than ``ranges`` rows of a group. Numbers only; nulls
+    don't count, and groups without any value are left out.
+    """
+    keys = [by] if by else []
+    given = df.select(*keys, F.col(value).alias("v")) if by else df.select(F.lit(1).alias("_all"), F.col(value).alias("v"))
+    key = by or "_all"
+    counts = stored(given.where(F.col("v").isNotNull()).groupBy(key, "v").agg(F.count(F.lit(1)).alias("c")), "counts")
+    whole = stored(counts.groupBy(key).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "whole")
+    share = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("n") * F.lit(s)).alias("at")) for i, s in enumerate(shares)]))
+    aims = whole.withColumn("s", share).select(key, "s.i", "s.at", F.lit(0).cast("long").alias("below"), "lo", "hi")
+    aims = stored(aims, "aims")
+    found = None
+    while True:
+        done = aims.where("lo = hi").select(key, "i", F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        rest = aims.where("lo < hi")
+        if rest.isEmpty():
+            break
+        aim = rest.select(F.col(key).alias("_k"), "i", "at", "below", "lo", "hi")
+        inside = counts.join(aim, F.col(key).eqNullSafe(F.col("_k")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        wide = F.col("hi").cast("double") - F.col("lo").cast("double")
+        place = F.least(F.floor((F.col("v").cast("double") - F.col("lo").cast("double")) / wide * ranges), F.lit(ranges - 1))
+        # the ends have ranges of their own, so that each round has fewer values
+        place = F.when(F.col("v") == F.col("hi"), ranges).otherwise(place)
+        held = inside.groupBy("_k", "i", "at", "below", place.alias("place")).agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.col("below") + F.sum("c").over(Window.partitionBy("_k", "i").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        hit = held.withColumn("upto", upto).where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c")))
+        aims = stored(hit.select(F.col("_k").alias(key), "i", "at", (F.col("upto") - F.col("c")).alias("below"), "lo", "hi"), "aims")
+    values = [F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"p{round(s * 100)}") for i, s in enumerate(shares)]
+    per = found.groupBy(F.col(key).alias("_k")).agg(*values)
+    names = [f"p{round(s * 100)}" for s in shares]
+    return whole.join(per, F.col(key).eqNullSafe(F.col("_k")), "left").select(*keys, "n", *names)
+
+
+def segmented(df: DataFrame, by: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_part``, in order across and written: a key of any size is dealt to many parts by its sort columns."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, by, *order).withColumn("_part", F.spark_partition_id()), "segmented")
+
+
+def _carried(placed: DataFrame, by: str, order: list[str], value: Column) -> DataFrame:
+    """``placed`` with ``_m``, the last ``value`` that is not null at or before each row: inside its part, else from the parts before."""
+    inside = Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumn("_v2", value)
+    ends = own.where(F.col("_v2").isNotNull()).groupBy(by, "_part").agg(F.max_by(F.struct(F.col("_v2").alias("v")), F.struct(*order)).alias("_e"))
+    every = placed.select(by, "_part").distinct().join(ends.withColumnRenamed(by, "_b").withColumnRenamed("_part", "_p"), F.col(by).eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")), "left")
+    # a row for each part of a key
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.select(F.col(by).alias("_b"), F.col("_part").alias("_p"), F.last("_e", ignorenulls=True).over(before).alias("_c"))
+    scanned = own.withColumn("_last", F.last("_v2", ignorenulls=True).over(inside))
+    joined = scanned.join(stored(carry, "carry"), F.col(by).eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_m", F.coalesce("_last", F.col("_c.v"))).drop("_v2", "_last", "_b", "_p", "_c")
+
+
+def as_of_segmented(left: DataFrame, right: DataFrame, by: str, ts: str, take: list[str], order: str, parts: int | None = None) -> DataFrame:
+    """``as_of`` for keys of any size (J23): a segmented scan, whose tasks hold a part of a key each."""
+    r = right.select(by, ts, F.lit(0).alias("_side"), F.col(order).alias("_o"), F.struct(*take).alias("_v"))
+    keep = [c for c in left.columns if c not in (by, ts)]
+    l = left.select(by, ts, F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)[order]).alias("_o"), F.struct(*keep).alias("_row"))  # noqa: E741
+    placed = segmented(r.unionByName(l, allowMissingColumns=True), by, [ts, "_side", "_o"], parts)
+    return _carried(placed, by, [ts, "_side", "_o"], F.col("_v")).where("_side = 1").select(by, ts, "_row.*", "_m.*")
+
+
+def null_gap_runs_segmented(df: DataFrame, by: str, order: list[str], value: str, parts: int | None = None) -> DataFrame:
+    """``null_gap_runs`` for keys of any size (W06): gaps are counted inside parts, and a prefix sum over parts is added."""
+    placed = segmented(df, by, order, parts)
+    gap = F.col(value).isNull().cast("int")
+    totals = placed.groupBy(by, "_part").agg(F.sum(gap).alias("_g"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = stored(totals.select(F.col(by).alias("_b"), F.col("_part").alias("_p"), F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_s")), "shift")
+    inside = F.sum(gap).over(Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("_r", inside).join(shift, F.col(by).eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("run", F.col("_r") + F.col("_s")).where(F.col(value).isNotNull()).drop("_r", "_s", "_b", "_p", "_part")

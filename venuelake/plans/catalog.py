@@ -363,13 +363,6 @@ def first_wins(spark, sf):
     return merge.first_wins(table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang", "source"], [F.col("doc_id")])
 
 
-@query()
-def greedy_dedup(spark, sf):
-    """Two keys inside groups of customers; order decides, so SQL would need recursion."""
-    v = table(spark, sf, "customer").selectExpr("c_custkey AS ord", "c_nationkey AS grp", "CAST(c_custkey%97 AS STRING) AS k1", "concat(c_mktsegment, CAST(c_custkey%13 AS STRING)) AS k2")
-    return merge.greedy_dedup(v, "ord", ["k1", "k2"], "grp")
-
-
 @query("SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN 'unknown parent' END AS reason FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0 WHERE c_custkey IS NULL")
 def fk_violations(spark, sf):
     parents = table(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey")
@@ -710,15 +703,6 @@ def outline_gap(spark, sf):
     return found.select("id", F.round("at.gap").cast("long").alias("gap"), F.round(moved).cast("long").alias("x"))
 
 
-@query()
-def greedy_clusters(spark, sf):
-    """Order decides which cluster a station joins; no SQL."""
-    from ..operators import geometry
-
-    s = stations(spark, sf).withColumn("p", geo.proj(F.col("slng"), F.col("slat"))).select("sid", "station", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    return geometry.cluster_centres(s, "station", "sid", "x", "y", 13000.0).select("name", "cluster", "n")
-
-
 @query("SELECT o_orderkey AS id, CASE o_orderkey%4 WHEN 0 THEN 20 WHEN 1 THEN 122 WHEN 2 THEN 25 END AS cls, CASE o_orderkey%4 WHEN 0 THEN 12 WHEN 1 THEN 11 WHEN 2 THEN 15 END AS minz FROM orders")
 def road_classes(spark, sf):
     from ..functions import rules
