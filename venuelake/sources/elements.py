@@ -29,9 +29,10 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
-    """The elements of all responses that did not fail; an element that several files have comes once."""
-    found = responses(spark, path).where(~F.col("failed")).select(F.explode("elements").alias("e")).select("e.*")
-    return found.groupBy("type", "id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in found.columns if c not in ("type", "id")])
+    """The elements of all responses that did not fail; of an element that several files have the whole row of the first file."""
+    found = responses(spark, path).where(~F.col("failed")).select("file", F.posexplode("elements").alias("place", "e"))
+    one = found.groupBy(F.col("e.type").alias("type"), F.col("e.id").alias("id")).agg(F.min_by("e", F.struct("file", "place")).alias("e"))
+    return one.select("type", "id", *[f"e.{c}" for c in found.schema["e"].dataType.names if c not in ("type", "id")])
 
 
 def place(lat: str = "lat", lon: str = "lon") -> Column:
