@@ -96,7 +96,7 @@ def test_buffers(spark):
     comb = ring((0, 0), (30, 0), (30, 20), (17, 20), (17, 5), (13, 5), (13, 20), (0, 20))
     df = spark.createDataFrame([(1, comb)], f"id int, ring {POINTS}")
     out = planar.buffered(planar.dissolved(df, ["id"], "ring", 16), ["id"], 3.0, 16)
-    back = planar.area(planar.buffered(out, ["id"], -3.0, 16), ["id"]).first()
+    back = planar.area(planar.buffered(out, ["id"], 3.0, 16, inwards=True), ["id"]).first()
     assert abs(back.area - 600) < 1e-6
     spike = spark.createDataFrame([(1, ring((0, 0), (1000, 0), (0, 1)))], f"id int, points {POINTS}")
     made = planar.area(planar.dissolved(planar.line_strips(spike, ["id"], "points", 10.0), ["id"], "ring", 256), ["id"]).first()

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..stored import released, stored
 
 
-def ranked(arcs: DataFrame) -> DataFrame:
+def ranked(arcs: DataFrame, places: bool = True) -> DataFrame:
     """(id, chain, steps, ring) of ``arcs``(id, next): whole numbers, each id once and named as ``next`` at most once.
 
     ``steps`` counts the arcs that follow in the chain, whose name is its last arc. Arcs that run in a ring are cut in
-    front of the smallest, which names the ring. Each round joins every arc with the one twice as far along as in the
+    front of the smallest, which names the ring; without ``places`` the steps of rings are null. Each round joins every arc with the one twice as far along as in the
     round before, so a chain of n arcs takes log2(n) rounds, and no row ever holds a chain.
     """
     given = stored(arcs.select("id", "next"), "arcs")
@@ -20,10 +20,12 @@ def ranked(arcs: DataFrame) -> DataFrame:
     rings = found.where("next is not null").select("id", "low")
     if rings.isEmpty():
         return found.select("id", "chain", "steps", F.lit(False).alias("ring"))
+    paths = found.where("next is null").select("id", "chain", "steps", F.lit(False).alias("ring"))
+    if not places:
+        return paths.unionByName(rings.select("id", F.col("low").alias("chain"), F.lit(None).cast("long").alias("steps"), F.lit(True).alias("ring")))
     rings = stored(rings, "rings")
     cut = given.join(rings, "id").select("id", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next"))
     open_rings = _doubled(stored(cut, "cut")).select("id", "steps").join(rings, "id")
-    paths = found.where("next is null").select("id", "chain", "steps", F.lit(False).alias("ring"))
     return paths.unionByName(open_rings.select("id", F.col("low").alias("chain"), "steps", F.lit(True).alias("ring")))
 
 
@@ -31,19 +33,27 @@ def _doubled(arcs: DataFrame) -> DataFrame:
     """(id, next, chain, steps, low): next is null where the end was found; elsewhere low is the least id of the ring."""
     ends = F.col("next").isNull()
     current = stored(arcs.select("id", "next", F.when(ends, F.col("id")).alias("chain"), F.when(ends, 0).otherwise(1).cast("long").alias("steps"), F.col("id").alias("low")), "doubled")
-    reach, longest = 1, None
-    while True:
-        live = current.where("next is not null").count()
-        longest = live if longest is None else longest
-        if live == 0 or reach > longest:  # no chain is longer than all arcs that have a next one
-            return current
+    live = current.where("next is not null").count()
+    while live:
         there = current.select(F.col("id").alias("_id"), F.col("next").alias("_next"), F.col("chain").alias("_chain"), F.col("steps").alias("_steps"), F.col("low").alias("_low"))
         further = current.where("next is not null").join(there, F.col("next") == F.col("_id")).select(
-            "id", F.col("_next").alias("next"), F.col("_chain").alias("chain"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("low", "_low").alias("low")
+            "id", F.col("_next").alias("next"), F.col("_chain").alias("chain"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")
         )
-        before, current = current, stored(current.where("next is null").unionByName(further), "doubled")
+        before, current = current, stored(current.where("next is null").withColumn("moved", F.lit(False)).unionByName(further), "doubled")
         released(before)
-        reach *= 2
+        had, (live, moved) = live, current.agg(F.count_if(F.col("next").isNotNull()), F.count_if(F.col("moved"))).first()
+        current = _renamed(current)
+        if live == had and not moved:
+            # an arc of a chain that goes on would have reached the end, and a ring that was not gone around a smaller id
+            break
+    return current
+
+
+def _renamed(current: DataFrame) -> DataFrame:
+    """Without the mark of the round, but still known as what was stored."""
+    out = current.drop("moved")
+    out._venuelake_stored = current._venuelake_stored
+    return out
 
 
 def merged_lines(df: DataFrame, by: list[str], points: str, across: bool = False) -> DataFrame:

@@ -95,7 +95,6 @@ def overlay(edges: DataFrame, by: list[str], cell: int, keep: str = "union") ->
     """
     ship_package(edges.sparkSession)
     pieces, crossings = _meeting(edges, by, cell)
-    crossings = stored(crossings, "crossings")
     pieces = stored(pieces, "pieces")
     cells = pieces.select(*by, "cx", "cy", F.lit(0).cast("long").alias("w0"), F.lit(0).cast("long").alias("w1")).distinct().unionByName(crossings.drop("x"))
     cells = cells.groupBy(*by, "cx", "cy").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
@@ -306,10 +305,12 @@ def followed(edges: DataFrame, by: list[str]) -> DataFrame:
     return placed.join(links, "_edge", "left")
 
 
-def rings(edges: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, x1, y1, x2, y2, ring, place): boundary edges with the ring that they are part of, and their place in it from 0."""
+def rings(edges: DataFrame, by: list[str], places: bool = True) -> DataFrame:
+    """(*by, x1, y1, x2, y2, ring, place): boundary edges with the ring that they are part of, and, with ``places``, their place in it from 0."""
     linked = stored(followed(edges, by), "followed")
-    named = ranked(linked.select(F.col("_edge").alias("id"), F.col("_next").alias("next"))).toDF("_edge", "_ring", "_steps", "_closed")
+    named = ranked(linked.select(F.col("_edge").alias("id"), F.col("_next").alias("next")), places).toDF("_edge", "_ring", "_steps", "_closed")
+    if not places:
+        return linked.join(named, "_edge").select(*by, "x1", "y1", "x2", "y2", F.col("_ring").alias("ring"), F.lit(None).cast("long").alias("place"))
     placed = stored(linked.join(named, "_edge"), "ringed")
     most = placed.groupBy("_ring").agg(F.max("_steps").alias("_most"))
     return placed.join(most, "_ring").select(*by, "x1", "y1", "x2", "y2", F.col("_ring").alias("ring"), (F.col("_most") - F.col("_steps")).alias("place"))
@@ -327,7 +328,7 @@ def ring_points(found: DataFrame, by: list[str], scale: float = 1.0) -> DataFram
     return found.groupBy(*by, "ring").agg(F.transform(points, lambda p: F.struct(p["x"], p["y"])).alias("points"))
 
 
-def _normal(a: Column, b: Column, distance: float) -> tuple[Column, Column]:
+def _normal(a: Column, b: Column, distance: float | Column) -> tuple[Column, Column]:
     """The vector of length ``distance`` to the left of a to b."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     length = F.hypot(dx, dy)
@@ -338,28 +339,31 @@ def _moved(p: Column, x: Column, y: Column) -> Column:
     return F.struct((p["x"] + x).alias("x"), (p["y"] + y).alias("y"))
 
 
-def _strip(a: Column, b: Column, distance: float) -> Column:
+def _strip(a: Column, b: Column, distance: float | Column) -> Column:
     """What lies beside a segment, up to its flat ends."""
     x, y = _normal(a, b, distance)
     return F.array(_moved(a, -x, -y), _moved(b, -x, -y), _moved(b, x, y), _moved(a, x, y))
 
 
-def _joint(a: Column, b: Column, c: Column, distance: float) -> Column:
+def _joint(a: Column, b: Column, c: Column, distance: float | Column) -> Column:
     """The mitre on the outer side of the corner b; the plain corner where it would be too long. Null where the way goes straight on or back."""
     x1, y1 = _normal(a, b, distance)
     x2, y2 = _normal(b, c, distance)
     turn = x1 * y2 - y1 * x2
     side = F.when(turn > 0, -1.0).otherwise(1.0)
-    share = 1 + (x1 * x2 + y1 * y2) / distance**2
+    share = 1 + (x1 * x2 + y1 * y2) / (distance * distance)
     first, second = _moved(b, side * x1, side * y1), _moved(b, side * x2, side * y2)
     tip = _moved(b, side * (x1 + x2) / share, side * (y1 + y2) / share)
     near, far = F.when(turn > 0, first).otherwise(second), F.when(turn > 0, second).otherwise(first)
     shape = F.when(2 / share <= MITRE_LIMIT**2, F.array(b, near, tip, far)).otherwise(F.array(b, near, far))
-    return F.when((F.abs(turn) > 1e-12 * distance**2) & (share > 1e-9), shape)
+    return F.when((F.abs(turn) > 1e-12 * (distance * distance)) & (share > 1e-9), shape)
 
 
-def line_strips(df: DataFrame, by: list[str], points: str, distance: float) -> DataFrame:
-    """(*by, ring): pieces whose union is the buffer of a line, with flat ends and mitres (G09). Points that repeat are one."""
+def line_strips(df: DataFrame, by: list[str], points: str, distance: float | Column) -> DataFrame:
+    """(*by, ring): pieces whose union is the buffer of a line, with flat ends and mitres (G09). Points that repeat are one.
+
+    ``distance``: a number, or a column made of ``by``.
+    """
     line = F.filter(F.transform(points, lambda p, i: F.when((i == 0) | (p != F.get(F.col(points), i - 1)), p)), lambda p: p.isNotNull())
     clean = df.select(*by, line.alias("_l")).where(F.size("_l") >= 2)
     n = F.size("_l")
@@ -368,7 +372,7 @@ def line_strips(df: DataFrame, by: list[str], points: str, distance: float) -> D
     return clean.select(*by, F.explode(F.array_compact(F.concat(strips, joints))).alias("ring"))
 
 
-def border_strips(edges: DataFrame, by: list[str], distance: float) -> DataFrame:
+def border_strips(edges: DataFrame, by: list[str], distance: float | Column) -> DataFrame:
     """(*by, ring): pieces whose union is the buffer of a boundary, with mitres at its corners."""
     linked = stored(followed(edges, by), "followed")
     after = linked.select(F.col("_edge").alias("_after"), end_point(2).alias("_c"))
@@ -393,7 +397,7 @@ def outlines(alleys: DataFrame, shapes: DataFrame, by: str, width: float, scale:
     rows = strips.unionByName(shapes.select(by, F.col("points").alias("ring")))
     union = dissolved(rows, [by], "ring", cell, scale)
     wide = buffered(union, [by], out * scale, cell)
-    closed = stored(rings(buffered(wide, [by], -back * scale, cell), [by]), "outlines")
+    closed = stored(rings(buffered(wide, [by], back * scale, cell, inwards=True), [by], places=False), "outlines")
     sizes = stored(ring_areas(closed, [by], scale).where(F.abs("area") > least), "sizes")
     return sizes.select(by, "ring", "area", "points")
 
@@ -408,18 +412,17 @@ def place_shapes(hits: DataFrame, by: str, cell: int, scale: float = 1.0, least:
     ring = geometry.way_ring(F.col("points"))
     shaped = hits.withColumn("_ring", F.when((F.col("area") | F.col("itself")) & ~F.col("street"), ring))
     areas = stored(shaped.where("_ring is not null").select(by, F.col("_ring").alias("ring")), "areas")
-    found = rings(dissolved(areas, [by], "ring", cell, scale), [by])
+    found = rings(dissolved(areas, [by], "ring", cell, scale), [by], places=False)
     kept = ring_areas(found, [by], scale).where(F.abs("area") > least).select(by, "ring", "area", "points")
     lines = hits.where("street").where(F.size("points") >= 2).join(areas.select(by).distinct(), by, "left_anti").select(by, "points")
     return kept, lines
 
 
-def buffered(edges: DataFrame, by: list[str], distance: float, cell: int) -> DataFrame:
-    """A boundary moved outwards by ``distance``, inwards where it is negative, with mitres."""
+def buffered(edges: DataFrame, by: list[str], distance: float | Column, cell: int, inwards: bool = False) -> DataFrame:
+    """A boundary moved outwards by ``distance``, or ``inwards``, with mitres (G09). ``distance``: a number, or a column made of ``by``."""
     edges = stored(edges, "unbuffered")
-    strips = border_strips(edges, by, abs(distance))
-    around = ring_edges(strips, by, "ring", layer=0 if distance > 0 else 1)
-    return overlay(_weighted(edges, by).unionByName(around), by, cell, "union" if distance > 0 else "difference")
+    around = ring_edges(border_strips(edges, by, distance), by, "ring", layer=1 if inwards else 0)
+    return overlay(_weighted(edges, by).unionByName(around), by, cell, "difference" if inwards else "union")
 
 
 def simplified_borders(edges: DataFrame, area_id: str, tolerance: float) -> DataFrame:

@@ -28,7 +28,7 @@ def _squares(spark, sf):
 
 
 def _measured(edges):
-    found = planar.ring_areas(planar.rings(edges, ["g"]), ["g"])
+    found = planar.ring_areas(planar.rings(edges, ["g"], places=False), ["g"])
     rings = found.groupBy("g").agg(F.sum(F.when(F.col("area") > 0, 1).otherwise(-1)).alias("rings"))
     size = planar.area(edges, ["g"]).select("g", F.round("area").cast("long").alias("area"), F.round("perimeter").cast("long").alias("border"))
     return size.join(rings, "g")
@@ -105,17 +105,14 @@ def buffers(spark, sf):
     zero = F.lit(0)
     street = c.withColumn("points", F.array(at(zero, zero), at(F.col("a"), zero), at(F.col("a"), F.col("b"))))
     box = c.withColumn("points", F.array(at(zero, zero), at(F.col("a"), zero), at(F.col("a"), F.col("b")), at(zero, F.col("b"))))
-    strips, closed = None, None
-    for w in (1, 2, 3):  # the distance is a parameter of the plan
-        made = planar.dissolved(planar.line_strips(street.where(F.col("w") == w), ["id"], "points", float(w)), ["id"], "ring", 64)
-        moved = planar.buffered(planar.buffered(planar.dissolved(box.where(F.col("w") == w), ["id"], "points", 64), ["id"], 5.0, 64), ["id"], -float(w), 64)
-        strips = made if strips is None else strips.unionByName(made)
-        closed = moved if closed is None else closed.unionByName(moved)
+    by, w = ["id", "w"], F.col("w").cast("double")
+    strips = planar.dissolved(planar.line_strips(street, by, "points", w), by, "ring", 64)
+    closed = planar.buffered(planar.buffered(planar.dissolved(box, by, "points", 64), by, 5.0, 64), by, w, 64, inwards=True)
     area = lambda e, name: planar.area(e, ["id"]).select("id", F.round(F.col("area") * 1000).cast("long").alias(name))
     return area(strips, "strip").join(area(closed, "closed"), "id")
 
 
-_COAST = "SELECT s_suppkey AS k, 20 + s_acctbal % 60 AS y FROM supplier"
+_COAST = "SELECT s_suppkey AS k, 20 + abs(s_acctbal) % 60 AS y FROM supplier"
 
 
 @query(f"""WITH s AS ({_COAST}), e AS (SELECT max(k) AS top FROM s),
@@ -123,7 +120,7 @@ t AS (SELECT sum((a.y + b.y) / 2) AS land FROM s a JOIN s b ON b.k = a.k + 1)
 SELECT CAST(round(land + (SELECT count(*) FROM s WHERE k % 10 = 5) * 4.0) AS BIGINT) AS land, CAST(round(top * 120 - land - (SELECT count(*) FROM s WHERE k % 10 = 5) * 4.0) AS BIGINT) AS sea FROM t, e""")
 def land_and_sea(spark, sf):
     """A coast from supplier to supplier with the land below, and islands north of it; land and sea fill the box."""
-    s = table(spark, sf, "supplier").selectExpr("s_suppkey AS k", "20 + s_acctbal % 60 AS y")
+    s = table(spark, sf, "supplier").selectExpr("s_suppkey AS k", "20 + abs(s_acctbal) % 60 AS y")
     after = s.selectExpr("k - 1 AS k", "y AS y2")
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     # the land is on the left where the coast runs from right to left
