@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 
 from venuelake.plans import catalog, flows, shapes
+from venuelake.plans import rows as more_rows
 
 SF = "/root/testdata/sf0.001"
-assert shapes and flows  # their queries are in the catalogue
+assert shapes and flows and more_rows  # their queries are in the catalogue
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

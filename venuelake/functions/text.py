@@ -196,8 +196,11 @@ def map_pin(page: Column) -> Column:
 
 
 def anchor_ids(page: Column, pattern: str) -> Column:
-    """Distinct ids of links with text, in order (S13). ``pattern`` has one group."""
-    return F.array_distinct(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)))
+    """Distinct ids of links with text, in order (S13). ``pattern`` has one group, and lies inside the tag."""
+    link = rf"(?is)<a\b[^>]*?{pattern}[^>]*>(.*?)</a>"
+    found = F.arrays_zip(F.regexp_extract_all(page, F.lit(link), F.lit(1)).alias("id"), F.regexp_extract_all(page, F.lit(link), F.lit(2)).alias("text"))
+    said = F.filter(found, lambda m: F.regexp_replace(m["text"], "(?s)<[^>]*>|&nbsp;", "").rlike(r"(?U)\S"))
+    return F.array_distinct(F.transform(said, lambda m: m["id"]))
 
 
 def yen_range(c: Column) -> Column:

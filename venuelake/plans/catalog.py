@@ -476,7 +476,11 @@ def html_to_text_entities(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("t"))
 
 
-@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))), ' ') AS links FROM pages")
+_LINK = '(?is)<a\\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+
+
+@query(f"""SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_zip(regexp_extract_all(html, '{_LINK}', 1), regexp_extract_all(html, '{_LINK}', 2)),
+  lambda m: regexp_matches(regexp_replace(m[2], '(?s)<[^>]*>|&nbsp;', '', 'g'), '\\S')), lambda m: m[1]))), ' ') AS links FROM pages""")
 def anchor_ids(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(text.anchor_ids(F.col("html"), r'href="([^"]*)"')), " ").alias("links"))
 
