@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from venuelake.operators import greedy, windows
 
@@ -76,4 +75,9 @@ def test_one_key_in_many_tasks(spark):
     parts = windows.segmented(df, "k", ["ts", "id"], 9).groupBy("_part").count().collect()
     assert len(parts) >= 8 and max(r["count"] for r in parts) < 1000
     assert windows.as_of_segmented(left.limit(0), right, "k", "ts", ["v"], "key_id", 4).count() == 0
-    assert F
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i * 7 % 1000, "x") for i in range(1000)], "v long, _i string").drop("_i")
+    assert [(r.v, r.n) for r in windows.numbered(df, ["v"], "n", 7).orderBy("v").collect()] == [(v, v + 1) for v in range(1000)]
+    assert windows.numbered(df.limit(0), ["v"], "n").count() == 0

@@ -170,3 +170,16 @@ def null_gap_runs_segmented(df: DataFrame, by: str, order: list[str], value: str
     inside = F.sum(gap).over(Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     joined = placed.withColumn("_r", inside).join(shift, F.col(by).eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
     return joined.withColumn("run", F.col("_r") + F.col("_s")).where(F.col(value).isNotNull()).drop("_r", "_s", "_b", "_p", "_part")
+
+
+def numbered(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with a number from 1 in order (A15): places inside ranges of the order, and the rows of the ranges before.
+
+    Only a row for each range is ever in one task. Ties are numbered in any order.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_i", inside).join(sizes, F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_i", "_p", "_before")

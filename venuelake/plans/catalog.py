@@ -214,8 +214,8 @@ def conditional_distinct(spark, sf):
 
 @query("WITH r AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS r FROM events), f AS (SELECT event_type, min(r) AS k FROM r GROUP BY 1) SELECT event_type, dense_rank() OVER (ORDER BY k) AS code FROM f")
 def first_use_dictionary(spark, sf):
-    first = table(spark, sf, "events").groupBy("event_type").agg(F.min(F.struct("ts", "event_id")).alias("k"))
-    return first.withColumn("code", F.dense_rank().over(Window.orderBy("k")).cast("long")).drop("k")
+    first = table(spark, sf, "events").groupBy("event_type").agg(F.min(F.struct("ts", "event_id")).alias("k")).select("event_type", "k.ts", "k.event_id")
+    return windows.numbered(first, ["ts", "event_id"], "code").select("event_type", "code")
 
 
 @query(f"WITH {_V} SELECT CAST(t AS INT) AS t, count(*) AS n FROM venues JOIN (SELECT unnest(range(900,1441,10)) AS t) ON (o <= t AND t < c) WHERE off_dow <> 4 GROUP BY 1")
@@ -338,10 +338,10 @@ def priority_coalesce_lineage(spark, sf):
     return s.select("id", f["value"].alias("v"), f["source"].alias("src"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey%7=0 THEN NULL WHEN o_orderkey%7=1 THEN 'X' ELSE o_orderstatus END AS st, CASE WHEN o_orderkey%7=1 THEN 'P' ELSE o_orderpriority END AS pr FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '2-HIGH' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS st, CASE WHEN o_orderpriority = '1-URGENT' THEN 'P' ELSE o_orderpriority END AS pr FROM orders")
 def patch_overrides(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
-    p = o.where("id%7 <= 1").selectExpr("id", "CASE WHEN id%7=1 THEN 'X' END AS st", "CASE WHEN id%7=1 THEN 'P' END AS pr", "CASE WHEN id%7=1 THEN array('st','pr') ELSE array('st') END AS present")
+    p = o.where("pr IN ('1-URGENT', '2-HIGH')").selectExpr("id", "pr = '1-URGENT' AS urgent").selectExpr("id", "if(urgent, 'X', null) AS st", "if(urgent, 'P', null) AS pr", "if(urgent, array('st', 'pr'), array('st')) AS present")
     return merge.patched(o, p, "id", ["st", "pr"]).select("id", "st", "pr")
 
 
@@ -421,8 +421,8 @@ def route_colour_argmin(spark, sf):
 
 @query("SELECT l_partkey AS way, max(l_linenumber) AS cls FROM lineitem GROUP BY 1")
 def member_max_class(spark, sf):
-    rel = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_linenumber")).alias("members"))
-    return rel.select(F.explode("members").alias("m")).groupBy(F.col("m.l_partkey").alias("way")).agg(F.max("m.l_linenumber").alias("cls"))
+    """Each way takes the highest class of the routes that it is part of."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("way")).agg(F.max("l_linenumber").alias("cls"))
 
 
 @query("WITH l AS (SELECT * FROM events WHERE event_type = 'click'), r AS (SELECT user_id, ts, max(event_id) AS key_id FROM events WHERE event_type <> 'click' GROUP BY ALL) SELECT l.event_id, r.key_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts")
@@ -692,17 +692,17 @@ def ring_polygons(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(made, lambda p: F.size(p).cast("string")), ",").alias("rings"))
 
 
-@query("SELECT p_partkey AS id, CAST(greatest(p_partkey%20-5, 0) AS BIGINT) AS gap, CAST(p_size*2 + CASE WHEN p_partkey%20-5 > 8 THEN 0 ELSE p_partkey%20-5 END AS BIGINT) AS x FROM part WHERE p_size*2 > 5")
+@query("SELECT p_partkey AS id, CAST(greatest(p_partkey%20-5, 0) AS BIGINT) AS gap, CAST(p_size*2 + 4 + CASE WHEN p_partkey%20-5 > 8 THEN 0 ELSE p_partkey%20-5 END AS BIGINT) AS x FROM part")
 def outline_gap(spark, sf):
     """A pin over eight metres outside the outline moves to it."""
     from ..operators import geometry
 
     ship_package(spark)
-    side, z = F.col("p_size") * F.lit(2.0), F.lit(0.0)
+    side, z = F.col("p_size") * F.lit(2.0) + 4, F.lit(0.0)
     pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     ring = F.array(pt(z, z), pt(side, z), pt(side, side), pt(z, side))
     x = side + (F.col("p_partkey") % 20 - 5)
-    found = table(spark, sf, "part").where("p_size * 2 > 5").select(F.col("p_partkey").alias("id"), x.alias("x"), geometry.pin_gap(ring, x, side / 2).alias("at"))
+    found = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), x.alias("x"), geometry.pin_gap(ring, x, side / 2).alias("at"))
     moved = F.when(F.col("at.gap") > 8, F.col("at.x")).otherwise(F.col("x"))
     return found.select("id", F.round("at.gap").cast("long").alias("gap"), F.round(moved).cast("long").alias("x"))
 
@@ -775,7 +775,7 @@ def hours_cascade(spark, sf):
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey%2=0 THEN o_custkey END AS a, CASE WHEN o_orderkey%3=0 THEN o_orderkey%150 END AS b FROM orders)
-SELECT o.id, coalesce(c_nationkey, s_nationkey) AS pin FROM o LEFT JOIN (SELECT * FROM customer WHERE c_custkey%4>0) ON c_custkey = a LEFT JOIN supplier ON s_suppkey = b""")
+SELECT o.id, coalesce(c_nationkey, s_nationkey) AS pin FROM o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON c_custkey = a LEFT JOIN supplier ON s_suppkey = b""")
 def pin_cross_check(spark, sf):
     """The pin of the first listing a row links to, else of the second."""
     from ..functions import listing
@@ -783,26 +783,26 @@ def pin_cross_check(spark, sf):
     k = F.col("o_orderkey")
     links = F.array_compact(F.array(F.lit("https://other.example/7"), F.when(k % 2 == 0, F.concat(F.lit("https://one.example/"), "o_custkey")), F.when(k % 3 == 0, F.concat(F.lit("https://two.example/s"), k % 150))))
     rows = table(spark, sf, "orders").select(k.alias("id"), listing.source_id(links, r"one\.example/(\d+)").cast("long").alias("a"), listing.source_id(links, r"two\.example/s(\d+)").cast("long").alias("b"))
-    one = table(spark, sf, "customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("pin"))
+    one = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("pin"))
     two = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("pin"))
     return resolve.cross_check(rows, one, two, "a", "b", ["pin"]).select("id", "pin")
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 AND c_acctbal>=0 THEN c_acctbal ELSE CAST(c_nationkey AS DOUBLE) END AS v FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal>=0 THEN c_acctbal ELSE CAST(c_nationkey AS DOUBLE) END AS v FROM customer")
 def repair_join(spark, sf):
     """Read again by key; a row that comes back without a value keeps the old one."""
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("v"))
-    fresh = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
+    fresh = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
     return resolve.repaired(base, fresh, "id", ["v"])
 
 
 @query("""WITH h AS (SELECT l_orderkey AS k, l_partkey AS store, l_linenumber-1 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r
   FROM lineitem WHERE l_linenumber <= 4 AND l_quantity > 25)
-SELECT o_orderkey AS id, CASE WHEN o_orderkey%5=0 THEN o_custkey ELSE h.store END AS store FROM orders LEFT JOIN h ON k = o_orderkey AND r = 1
-WHERE o_orderkey%5=0 OR h.store IS NOT NULL""")
+SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE h.store END AS store FROM orders LEFT JOIN h ON k = o_orderkey AND r = 1
+WHERE o_orderpriority = '1-URGENT' OR h.store IS NOT NULL""")
 def direct_or_search(spark, sf):
     """A store that the row names, else the first of four hits that agrees."""
-    direct = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("store"))
+    direct = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("store"))
     hits = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(
         F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("store"), F.lit(0).alias("query"), (F.col("l_linenumber") - 1).alias("place"), "l_quantity"
     )
