@@ -66,3 +66,9 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, n): rows in which each column is known."""
     one = df.agg(*[F.count_if(known(F.col(c)).isNotNull()).alias(c) for c in columns])
     return one.unpivot([], columns, "field", "n")
+
+
+def coverage_in_order(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, n, place): the same with the most known field first, equal ones by name."""
+    order = Window.orderBy(F.desc("n"), "field")  # a row for each column
+    return coverage(df, columns).withColumn("place", F.row_number().over(order).cast("long"))

@@ -50,7 +50,10 @@ GATES = {"number": 150.0, "block": 300.0}
 GATE_ELSE = 700.0
 
 
-def gate(level: Column) -> Column:
+def gate(level: Column, is_area: Column | None = None) -> Column:
+    """How far a match may lie from an address of a level; areas and alleys may lie as far as the coarsest."""
+    if is_area is not None:
+        return F.when(F.coalesce(is_area, F.lit(False)), GATE_ELSE).otherwise(gate(level))
     return F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in GATES.items()], F.lit(GATE_ELSE))
 
 

@@ -220,3 +220,128 @@ def places_of_nations(spark, sf):
     words = names.place_words(F.col("n_name"), F.lit(""), ward, F.lit("JR新橋駅・A"), F.lit("東京都港区赤羽三丁目２-1"))
     area = names.canon_area(F.concat("n_name", F.lit("（東口）")), {a: "AREA" for a in africa})
     return n.select(F.col("n_nationkey").alias("id"), names.romaji_places(F.concat("n_name", F.lit(" Station"))).alias("romaji"), names.station_name(station).alias("station"), area.alias("area"), F.array_join(words, "|").alias("words"))
+
+
+# --- files, marks and tags --------------------------------------------------------------------------------------
+
+
+@query("""SELECT n_nationkey AS id, n_name AS name, r_name AS region, 'nations' AS stem, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS place FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey <> 4""")
+def nations_from_files(spark, sf):
+    """A file with an array for each region, read together: rows keep their place, a private file is left out, its region is looked up."""
+    folder = new_folder(spark, "arrays")
+    n = table(spark, sf, "nation")
+    rows = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))), lambda r: r))
+    for r in table(spark, sf, "region").collect():  # a file is named by its region
+        own = n.where(F.col("n_regionkey") == r.r_regionkey).agg(rows.alias("value"))
+        name = "_hidden" if r.r_regionkey == 4 else f"nations{r.r_regionkey}"
+        own.coalesce(1).write.text(f"{folder}/{name}")
+    found = None
+    for r in table(spark, sf, "region").collect():
+        path = f"{folder}/nations{r.r_regionkey}"
+        if r.r_regionkey != 4:
+            one = files.json_rows(spark, path, "id int, name string").select("id", "name", F.lit(f"nations{r.r_regionkey}").alias("stem"), F.col("ord.pos").alias("place"))
+            found = one if found is None else found.unionByName(one)
+    lookup = {f"nations{r.r_regionkey}": r.r_name for r in table(spark, sf, "region").collect()}
+    return found.select("id", "name", files.stem_lookup(F.col("stem"), lookup, "?").alias("region"), F.lit("nations").alias("stem"), "place")
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, 'array' AS kind FROM supplier WHERE s_nationkey >= 12 UNION ALL SELECT s_suppkey, s_name, 'map' FROM supplier WHERE s_nationkey < 12 UNION ALL SELECT -1, 'one', 'optional'""")
+def records_of_any_shape(spark, sf):
+    """Arrays of records, records in a map by id, one optional object, and a file that is not there."""
+    folder = new_folder(spark, "shapes")
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.struct(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name")).alias("r"), "s_nationkey")
+    s.where("s_nationkey >= 12").agg(F.to_json(F.collect_list("r")).alias("value")).coalesce(1).write.text(f"{folder}/array")
+    s.where("s_nationkey < 12").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "r")))).alias("value")).coalesce(1).write.text(f"{folder}/map")
+    spark.range(1).select(F.lit('{"id": "s-1", "name": "one"}').alias("value")).coalesce(1).write.text(f"{folder}/optional")
+    name = F.try_variant_get("record", "$.name", "string").alias("name")
+    array = files.json_any(spark, f"{folder}/array", "id", text.slug).select("id", name, F.lit("array").alias("kind"))
+    keyed = files.json_map(spark, f"{folder}/map").select("id", name, F.lit("map").alias("kind"))
+    one = files.optional_json(spark, f"{folder}/optional", "id string, name string").withColumn("kind", F.lit("optional"))
+    none = files.optional_json(spark, f"{folder}/missing", "id string, name string").withColumn("kind", F.lit("missing"))
+    return array.unionByName(keyed).unionByName(one).unionByName(none).select(F.substring("id", 2, 20).cast("long").alias("id"), "name", "kind")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN c_acctbal >= 0 THEN c_name END AS answer, c_custkey IS NULL AS pending FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'BUILDING'""")
+def answers_and_pending(spark, sf):
+    """Lookups that a stored cache answers, empty answers too, and those that are pending, through a log of tab-separated values."""
+    folder = new_folder(spark, "cache")
+    files.write_tsv(table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("key"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("answer")), folder)
+    cache = files.tsv(spark, folder, "key long, answer string")
+    done, pending = files.cached_lookup(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key")), cache, "key")
+    return done.select("id", "answer", F.lit(False).alias("pending")).unionByName(pending.select("id", F.lit(None).cast("string").alias("answer"), F.lit(True).alias("pending")))
+
+
+@query("""SELECT page_id AS id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+CASE WHEN page_id % 2 = 0 THEN 'page ' || page_id END AS original, page_id % 30 < 24 AS stale, page_id % 3 = 0 AS loose FROM pages""")
+def marks_of_pages(spark, sf):
+    """Escaped links, originals of translated notes, stale notes, names with gaps (ST23, ST16, F17, ST10)."""
+    k = F.col("page_id")
+    note = F.when(k % 2 == 0, F.concat(F.lit("Original text page "), k, F.lit(" Translated seite"))).otherwise("nothing")
+    said = F.concat(F.lit("2019年と"), k % 30 + 2000, F.lit("年の記事"))
+    stale = text.stale_note(F.concat(k % 30 + 2000, F.lit("年の記事")), 2024)
+    gaps = F.when(k % 3 == 0, "山・田 屋").otherwise("山と田屋")
+    return table(spark, sf, "pages").select(k.alias("id"), text.escape_html(F.col("url")).alias("escaped"), names.original_text(note).alias("original"), (stale & said.isNotNull()).alias("stale"), gaps.rlike(names.loose("山田屋")).alias("loose"))
+
+
+@query("""SELECT s_suppkey AS id, '03-' || (1000 + s_suppkey % 9000) || '-5678' AS phone, CASE WHEN s_suppkey % 2 = 0 THEN 3.0 + s_suppkey % 10 / 10.0 END AS rating, 'https://shop' || s_suppkey || '.example' AS web FROM supplier""")
+def contacts_of_suppliers(spark, sf):
+    """Phone, rating and the first link that leads elsewhere (ST19)."""
+    k = F.col("s_suppkey")
+    rating = F.when(k % 2 == 0, F.concat(F.lit("rating: 3."), k % 10)).otherwise("")
+    page = F.concat(rating, F.lit(" tel 03-"), k % 9000 + 1000, F.lit('-5678 <a href="https://own.example/x"><a href="https://shop'), k, F.lit('.example"><a href="https://last.example">'))
+    c = names.contact(page, "own.example")
+    return table(spark, sf, "supplier").select(k.alias("id"), c["phone"].alias("phone"), F.round(c["rating"], 1).alias("rating"), c["web"].alias("web"))
+
+
+@query("""SELECT p_partkey AS id, p_partkey % 6 = 0 AS tunnel, p_partkey % 6 IN (1, 2) AS station, p_partkey % 6 = 3 OR p_partkey % 7 = 0 AS business, p_partkey % 6 = 4 AND p_size > 25 AS both FROM part""")
+def tags_of_parts(spark, sf):
+    """Tunnels, stations, businesses and combined conditions by tags."""
+    from ..sources import elements
+
+    k = F.col("p_partkey")
+    pick = lambda *maps: F.get(F.array(*[F.create_map(*[F.lit(x) for pair in m.items() for x in pair]) for m in maps]), (k % 6).cast("int"))
+    tags = pick({"tunnel": "covered"}, {"railway": "halt"}, {"train": "yes", "tunnel": "no"}, {"shop": "wine"}, {"name": "x", "level": "3"}, {"railway": "station", "building": "yes"})
+    sized = F.map_concat(tags, F.create_map(F.lit("size"), F.col("p_size").cast("string")))
+    both = elements.tagged(sized, {"name": ["x", "y"]}, {"size": "^(2[6-9]|[3-9][0-9])$"}, present=("level",), absent=("railway",))
+    return table(spark, sf, "part").select(k.alias("id"), elements.is_tunnel(tags).alias("tunnel"), elements.is_station(tags, F.lit("A")).alias("station"), elements.is_business(tags, k % 7 == 0).alias("business"), both.alias("both"))
+
+
+@query(f"""WITH {VENUES_SQL}, d AS (SELECT id, id * 13 % 900 AS m, CASE id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'block' WHEN 2 THEN 'town' END AS level, id % 5 = 0 AS is_area FROM venues),
+g AS (SELECT *, CASE WHEN is_area THEN 700 WHEN level = 'number' THEN 150 WHEN level = 'block' THEN 300 ELSE 700 END AS gate FROM d)
+SELECT id, CAST(greatest(1, floor(m / 80.0 + 0.5)) AS BIGINT) AS walk, CAST(gate AS BIGINT) AS gate, m <= gate AS within,
+concat_ws('; ', CASE WHEN NOT is_area AND m > 100 AND m <= gate THEN 'match ' || m || 'm from address' END, CASE WHEN m > gate THEN 'match too far' END, CASE WHEN id % 3 = 0 THEN 'pin 121m' END, CASE WHEN level = 'town' THEN 'address only to town' END) AS reasons FROM g""")
+def reviews_of_positions(spark, sf):
+    """Walking minutes, the gate of a match by the level of its address or for an area, and what a person should look at."""
+    k = F.col("id")
+    level = F.when(k % 4 == 0, "number").when(k % 4 == 1, "block").when(k % 4 == 2, "town")
+    m, is_area = (k * 13 % 900).cast("double"), k % 5 == 0
+    gate = resolve.gate(level, is_area)
+    reasons = rules.review_reasons(F.lit(1), m, gate, F.when(k % 3 == 0, 121.0), level, is_area)
+    return venues(spark, sf).select("id", geo.walk_minutes(m).cast("long").alias("walk"), gate.cast("long").alias("gate"), (m <= gate).alias("within"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+@query("""WITH c AS (SELECT 'name' AS field, count(c_name) AS n FROM customer UNION ALL SELECT 'budget', count(*) FILTER (c_acctbal >= 0) FROM customer UNION ALL SELECT 'segment', count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY')) FROM customer)
+SELECT field, n, row_number() OVER (ORDER BY n DESC, field) AS place FROM c""")
+def statistics_in_order(spark, sf):
+    """How many rows know each field, the most known first."""
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("budget"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_mktsegment")).alias("segment"))
+    return merge.coverage_in_order(c, ["name", "budget", "segment"])
+
+
+@query(f"""WITH {VENUES_SQL}, v AS (SELECT 'outside' AS rule, 'error' AS severity, NOT (lat > 3.551e1 AND lat < 3.58e1) AS hit FROM venues UNION ALL SELECT 'no budget', 'note', budget_max IS NULL FROM venues)
+SELECT severity, count(*) AS n, CAST((SELECT count(*) FROM v WHERE hit AND severity = 'error') AS BIGINT) AS serious FROM v WHERE hit GROUP BY severity""")
+def outcomes_of_rules(spark, sf):
+    """Breaches by severity, and how many there are that should fail a run."""
+    from ..operators import quality
+
+    found = quality.violations(venues(spark, sf), "id", [("outside", "error", ~((F.col("lat") > 35.51) & (F.col("lat") < 35.8))), ("no budget", "note", F.col("budget_max").isNull())])
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).withColumn("serious", F.lit(quality.serious(found)).cast("long"))
+
+
+@query(f"WITH {VENUES_SQL} SELECT id FROM venues WHERE CASE WHEN id % 3 = 0 THEN NULL ELSE social >= 3 END")
+def flagged_venues(spark, sf):
+    """A flag that may be unknown counts as false."""
+    from .query import VenueQuery
+
+    v = venues(spark, sf).withColumn("f", F.when(F.col("id") % 3 != 0, F.col("social") >= 3))
+    return VenueQuery(v).flag("f").df.select("id")
