@@ -358,7 +358,9 @@ def lm_tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), None]
 
 
-def test_kneser_ney(docs, texts, none, monkeypatch):
+@pytest.mark.parametrize("id_bits", [32, 3])
+def test_kneser_ney(docs, texts, none, monkeypatch, id_bits):
+    monkeypatch.setattr(kneser_ney, "ID_BITS", id_bits)  # with 3 bits the keys of bigrams are two numbers
     monkeypatch.setattr(kneser_ney, "PART_BYTES", 20000)  # several cells
     monkeypatch.setattr(kneser_ney, "MAX_PARTS", 4)  # in one file
     monkeypatch.setattr(kneser_ney, "FLUSH_KEYS", 3000)

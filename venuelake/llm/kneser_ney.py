@@ -6,7 +6,7 @@ are summed up and written one by one, so that memory follows neither the keys of
 
 1. words: 64 bits of a cryptographic digest are the key, 64 more prove that equal keys are equal words (else all is
    done again with another salt). The place of a word in all files is its id; the end of text is a word too.
-2. bigrams: (context id, word id) in one integer, scrambled one to one, so that the bigrams of a frequent context are
+2. bigrams: (context id, word id) in one integer, or two for large vocabularies, scrambled one to one, so that the bigrams of a frequent context are
    dealt as evenly as all others.
 3. ids: the total and the counts of counts of each context, and the number of contexts of each word, in arrays by id.
 
@@ -21,7 +21,7 @@ each PART_BYTES of text. A file holds one cell, or several beyond MAX_PARTS of t
 D are the three discounts of each order, from the counts of counts; g gives what they take. V + 1 counts unknown
 words as one. The context of the first token is the start of text. Null texts count as empty and have the end only.
 Rows with a null id are held out. Without training texts, all is uniform over the one unknown word: scores are 0.
-Ids are 32 bits in a bigram; a vocabulary that needs more is refused. Other columns are not used.
+Ids are 32 bits in a bigram's key; a vocabulary that needs more has keys of two numbers. Other columns are not used.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from .common import crc_bucket, new_path
 
 #: Bytes of text for each part of the model, and the most parts; powers of two.
 PART_BYTES, MAX_PARTS = 16 << 20, 4096
+#: Bits of an id in a bigram's key of one number. A vocabulary that needs more has keys of two numbers.
+ID_BITS = 32
 #: Bigrams that occur so often have their counts in a list of their own.
 MOST = (1 << 32) - 1
 #: Distinct keys that a task gathers before it sends them on.
@@ -229,6 +231,7 @@ class Model:
         self.offsets, self.tokens = [0] * (self.parts + 1), 0
         self.d1 = self.d2 = (0.5, 0.5, 0.5)
         self.pairs, self.floor = 0, 1.0
+        self.wide = False
         self.maps: dict[tuple[str, int], np.ndarray] = {}
 
     def __getstate__(self) -> dict:
@@ -274,18 +277,40 @@ class Model:
         back[order] = np.arange(len(order))
         return ids[back], counts[back]
 
+    @property
+    def keyed(self) -> int:
+        """Numbers in the key of a bigram."""
+        return 2 if self.wide else 1
+
+    def pair_keys(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """(n, keyed): keys that are equal exactly for equal bigrams, with the first number spread evenly."""
+        before, ids = before.astype(np.uint64), ids.astype(np.uint64)
+        if self.wide:
+            return np.stack([mix(before ^ mix(ids)), ids], axis=1)
+        return mix(before << np.uint64(32) | ids)[:, None]
+
+    def pair_ids(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bigrams of keys."""
+        if self.wide:
+            return unmix(keys[:, 0]) ^ mix(keys[:, 1]), keys[:, 1]
+        both = unmix(keys[:, 0])
+        return both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+
+    def pair_table(self, part: int) -> np.ndarray:
+        return self.map("pair", part, "u8").reshape(-1, self.keyed)
+
     def times(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct bigram keys."""
         out = np.zeros(len(keys), np.int64)
-        for p, some in self._parts_of(keys):
-            table = self.map("pair", p, "u8")
+        for p, some in self._parts_of(keys[:, 0]):
+            table = self.pair_table(p)
             if len(table):
-                at = np.minimum(np.searchsorted(table, keys[some]), len(table) - 1)
-                c = np.where(table[at] == keys[some], self.map("times", p, "u4")[at], 0).astype(np.int64)
+                at, hit = _locate(table, keys[some])
+                c = np.where(hit, self.map("times", p, "u4")[at], 0).astype(np.int64)
                 if (c == MOST).any():  # those that need more bits are listed apart
-                    over, counts = self.map("over", p, "u8", 2).T
-                    place = np.minimum(np.searchsorted(over, keys[some]), len(over) - 1)
-                    c = np.where(over[place] == keys[some], counts[place].astype(np.int64), c)
+                    over = self.map("over", p, "u8").reshape(-1, self.keyed + 1)
+                    place, listed = _locate(over[:, : self.keyed], keys[some])
+                    c = np.where(listed, over[place, self.keyed].astype(np.int64), c)
                 out[some] = c
         return out
 
@@ -320,8 +345,17 @@ class Model:
         return total, np.where(total > 0, kinds[:, :3] @ np.array(self.d2) / np.maximum(total, 1), 1.0)
 
 
-def _pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
+def _locate(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of keys in a table of sorted rows that is not empty."""
+    at = np.minimum(np.searchsorted(table[:, 0], keys[:, 0]), len(table) - 1)
+    if keys.shape[1] > 1:  # rows with an equal first number follow each other
+        while True:
+            on = np.minimum(at + 1, len(table) - 1)
+            go = (table[at, 0] == keys[:, 0]) & (table[at, 1] != keys[:, 1]) & (table[on, 0] == keys[:, 0]) & (on > at)
+            if not go.any():
+                break
+            at = np.where(go, on, at)
+    return at, (table[at] == keys).all(axis=1)
 
 
 def _before(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
@@ -358,8 +392,7 @@ def train(docs: DataFrame, salt: int = 0) -> Model:
         return train(docs, salt + 1)
     model.offsets = np.concatenate([[0], np.cumsum([sized.get(p, (0, 0, 0))[0] for p in range(model.parts)])]).tolist()
     model.tokens = sum(n for _, n, _ in sized.values())
-    if model.size + 1 >= 1 << 32:
-        raise ValueError(f"{model.size} different words need more than 32 bits")
+    model.wide = model.size + 1 >= 1 << ID_BITS
     if not model.tokens:
         return model
     shared = spark.sparkContext.broadcast(model)
@@ -370,8 +403,12 @@ def train(docs: DataFrame, salt: int = 0) -> Model:
             for batch in slices(whole, "text"):
                 codes, first, digest = _tokens(batch, m.salt)
                 ids = m.find(digest)[0][codes]
-                keys, n = np.unique(_pair_keys(_before(ids, first, m.size), ids), return_counts=True)
-                yield from gather.add(keys[:, None], n[:, None])
+                keys = m.pair_keys(_before(ids, first, m.size), ids)
+                if m.wide:
+                    yield from gather.add(*_sum(keys, np.ones((len(keys), 1), np.int64)))
+                else:
+                    keys, n = np.unique(keys[:, 0], return_counts=True)
+                    yield from gather.add(keys[:, None], n[:, None])
         yield from gather.flush()
 
     def put_pairs(files: _Files, keys: np.ndarray, sums: np.ndarray) -> tuple[int, ...]:
@@ -380,7 +417,7 @@ def train(docs: DataFrame, salt: int = 0) -> Model:
             files.put(over=np.concatenate([keys[many], sums[many].view(np.uint64)], axis=1))
         return len(keys), *_counts_of_counts(sums)
 
-    filled = _written(texts.mapInArrow(count_pairs, _CELLS), model, 1, 1, put_pairs, 5)
+    filled = _written(texts.mapInArrow(count_pairs, _CELLS), model, model.keyed, 1, put_pairs, 5)
     model.pairs, *coc = (sum(x) for x in zip(*filled.values()))
     model.d2 = discounts(*coc)
     top = np.uint64(64 - model.range_bits())
@@ -391,11 +428,11 @@ def train(docs: DataFrame, salt: int = 0) -> Model:
         m, gather = shared.value, _Gather(cells)
         for batch in batches:
             for p in batch.column("id").to_pylist():
-                table = m.map("pair", p, "u8")
+                table = m.pair_table(p)
                 for at in range(0, len(table), FLUSH_KEYS):
                     keys = table[at : at + FLUSH_KEYS]
-                    both, n = unmix(keys), m.times(keys)
-                    ids, place = np.unique(np.concatenate([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)]), return_inverse=True)
+                    n = m.times(keys)
+                    ids, place = np.unique(np.concatenate(m.pair_ids(keys)), return_inverse=True)
                     values = np.zeros((len(ids), 5), np.int64)
                     np.add.at(values[:, 0], place[: len(n)], n)
                     for k, some in enumerate((n == 1, n == 2, n > 2), 1):
@@ -439,8 +476,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 total, weight = (x[place] for x in m.context(distinct))
                 c = np.zeros(len(ids), np.int64)
                 both = (ids >= 0) & (before >= 0)
-                keys, place = np.unique(_pair_keys(before[both], ids[both]), return_inverse=True)
-                c[both] = m.times(keys)[place]
+                keys, place = np.unique(m.pair_keys(before[both], ids[both]), axis=0, return_inverse=True) if m.wide else np.unique(m.pair_keys(before[both], ids[both])[:, 0], return_inverse=True)
+                c[both] = m.times(keys.reshape(-1, m.keyed))[place.ravel()]
                 p = np.maximum(c - taken(c, m.d2), 0) / np.maximum(total, 1) + weight * low
                 sums = [np.add.reduceat(x, first[:-1]) for x in (base, np.log10(p), counts > 0)]
                 yield pa.RecordBatch.from_arrays(
