@@ -52,3 +52,12 @@ def test_joins_with_nulls(spark):
     direct = spark.createDataFrame([(1, "d"), (2, None)], "key long, store string")
     hits = spark.createDataFrame([(1, "h", 0, 0), (2, "late", 1, 0), (2, "far", 0, 4), (2, "good", 0, 3), (3, "third", 2, 0)], "key long, store string, query long, place long")
     assert {tuple(r) for r in resolve.direct_else_search(direct, hits, F.lit(True)).collect()} == {(1, "d"), (2, "good")}
+
+
+def test_japanese_order(spark):
+    """By reading where there is one, else by name; kana in the order of the syllabary, the scripts folded together."""
+    from venuelake.plans.query import japanese_order
+
+    rows = [(1, "さかば", "酒場"), (2, "あさひ", "旭"), (3, "カモメ", "鴎"), (4, "", "いろは"), (5, "うめ", "梅"), (6, "", "アオ")]
+    df = spark.createDataFrame(rows, "id int, kana string, name string")
+    assert [r.id for r in df.orderBy(japanese_order(F.col("kana"), F.col("name")), "id").collect()] == [6, 2, 4, 5, 3, 1]
