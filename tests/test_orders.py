@@ -81,3 +81,16 @@ def test_numbered(spark):
     df = spark.createDataFrame([(i * 7 % 1000, "x") for i in range(1000)], "v long, _i string").drop("_i")
     assert [(r.v, r.n) for r in windows.numbered(df, ["v"], "n", 7).orderBy("v").collect()] == [(v, v + 1) for v in range(1000)]
     assert windows.numbered(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_centres_do_not_depend_on_the_order(spark):
+    """The mean of the members' numbers as written, not of a sum rounded member by member."""
+    from decimal import Decimal
+
+    rng = random.Random(5)
+    rows = [(i, "a", rng.randrange(1, 3000) / 100, rng.randrange(1, 3000) / 100) for i in range(2000)]
+    want = [float(sum(Decimal(str(r[k])) for r in rows)) / len(rows) for k in (2, 3)]
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "o long, name string, x double, y double").repartition(n)
+        got = greedy.cluster_centres(df, "name", "o", "x", "y", 100.0).collect()
+        assert [(r.cluster, r.n, r.cx, r.cy) for r in got] == [(0, 2000, *want)]

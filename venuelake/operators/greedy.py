@@ -45,7 +45,8 @@ def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius
     """(name, cluster, n, cx, cy): in order, a row joins the first cluster of its name whose first member is nearer than ``radius``.
 
     ``cluster`` is the order of the first member. The centre is that of the members for which ``below`` is not true, if
-    there are any, else of all. ``order`` must be distinct. Rows without name, order or place are left out.
+    there are any, else of all, summed to 14 decimals. ``order`` must be distinct. Rows without name, order or place are
+    left out; coordinates are below 10^14.
 
     Rows of one name in one cell exclude each other, so a cell has one candidate a round; it waits if an undecided row
     before it is near. Every row meets the candidates of 25 cells, however many rows a cell has.
@@ -56,7 +57,8 @@ def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius
         (F.coalesce(F.col(below), F.lit(False)) if below else F.lit(False)).alias("below"),
     ).dropna(subset=["name", "o", "x", "y"])
     rows = stored(given.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)}), "placed")
-    near = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) < radius
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    near = F.sqrt(dx * dx + dy * dy) < radius
 
     def met(left: DataFrame, points: DataFrame) -> DataFrame:
         """Pairs of rows and the points of their name that are near."""
@@ -79,5 +81,9 @@ def cluster_centres(df: DataFrame, name: str, order: str, x: str, y: str, radius
         seeds = stored(rows.select("name", "gx", "gy", "o", "x", "y"), "seeds")
     # the first cluster that is near; a first member is nearest to itself, and no earlier one is near it
     joined = met(rows, seeds).groupBy("name", "o", "x", "y", "below").agg(F.min("so").alias("cluster"))
-    top = lambda c: F.avg(F.when(~F.col("below"), F.col(c)))
-    return joined.groupBy("name", "cluster").agg(F.count(F.lit(1)).alias("n"), F.coalesce(top("x"), F.avg("x")).alias("cx"), F.coalesce(top("y"), F.avg("y")).alias("cy"))
+    # sums of exact numbers, so that a centre does not depend on the order in which its members are added
+    exact = lambda c: F.col(c).cast("decimal(28,14)")
+    top = lambda c: F.when(~F.col("below"), exact(c))
+    n, above = F.count(F.lit(1)), F.count_if(~F.col("below"))
+    centre = lambda c: F.coalesce(F.sum(top(c)).cast("double") / F.nullif(above, F.lit(0)), F.sum(exact(c)).cast("double") / n)
+    return joined.groupBy("name", "cluster").agg(n.alias("n"), centre("x").alias("cx"), centre("y").alias("cy"))
