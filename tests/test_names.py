@@ -55,3 +55,13 @@ def test_reconcile(spark):
         1: ("掲載あり", ["a"]), 2: ("閉店掲載", ["b"]), 3: ("参照不一致", ["c"]), 4: ("参照先なし", []), 5: ("参照不一致", ["a"]),
         6: ("候補一致・要確認", ["a", "b"]), 7: ("候補一致・要確認", ["b"]), 8: ("住所候補・要確認", ["a", "b"]), 9: ("一致未確認", []), 10: ("一致未確認", []),
     }
+
+
+def test_each_part_is_computed_once(spark):
+    """The list in order is named once in the plan, not once more for every element, and the fixed words come folded."""
+    ship_package(spark)
+    none = F.array().cast("array<string>")
+    plan = spark.range(1).select(names.name_cores(F.col("id").cast("string"), none, none).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_sort(") == 1
+    words = F.array(*map(F.lit, [*names.GENERIC, *names.SUFFIXES, *names.NO_CORE]))
+    assert spark.range(1).select(F.transform(words, names._folded).alias("w")).first().w == names._TAKEN

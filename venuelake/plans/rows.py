@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, hours, names, rules, text
-from ..operators import geometry, merge, resolve, tiles
+from ..operators import geometry, merge, resolve, spatial, tiles
 from ..session import ship_package
 from ..sources import files, sinks
-from ..stored import new_folder
+from ..stored import new_folder, stored
 from . import research
 from .catalog import query
 from .views import VENUES_SQL, table, venues
@@ -62,8 +62,10 @@ def cores_of_parts(spark, sf):
     """What of a part's name tells it apart (ST07, ST08)."""
     ship_package(spark)
     none = F.array().cast("array<string>")
-    found = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(names.name_cores("p_name", none, none), ",").alias("cores"))
-    return found.where("cores != ''")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    # parts of one name have the same cores; written, else the filter on cores would be asked of every part
+    found = stored(spatial.spread(parts.select("p_name").distinct()), "names").select("p_name", F.array_join(names.name_cores("p_name", none, none), ",").alias("cores"))
+    return parts.join(found.where("cores != ''"), "p_name").select("id", "cores")
 
 
 @query("""SELECT o_orderkey AS id, substr(regexp_replace('注文' || o_orderpriority || '（税込）' || o_orderstatus, '（.*?）', '', 'g'), 1, 16) AS label,
