@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import signed_area
 from ..session import ship_package
-from ..stored import stored
+from ..stored import released, stored
 from . import geometry
 from .chains import merged_lines, ranked, whole_lines
 
@@ -431,6 +431,7 @@ def simplified_borders(edges: DataFrame, area_id: str, tolerance: float) -> Data
     Boundaries are cut into arcs where more than two edges meet or another area begins; each arc is simplified once,
     and all areas beside it take the same result. ``edges``(area_id, x1, y1, x2, y2): inside on the left, as
     ``dissolved`` gives them, with equal points on both sides of a border. An arc that is a whole ring keeps three points.
+    Arcs that would share an edge once they are simplified keep all their points.
     """
     ship_package(edges.sparkSession)
     forward = end_point(1) < end_point(2)
@@ -452,7 +453,16 @@ def simplified_borders(edges: DataFrame, area_id: str, tolerance: float) -> Data
     halves = F.when(F.col("ring") & (n > 4), F.array(F.slice("points", F.lit(1), half), F.slice("points", half, n - half + 1))).otherwise(F.array("points"))
     cut = arcs.select("line", F.posexplode(halves).alias("k", "part"), F.col("ring"), n.alias("n"))
     small = F.col("ring") & (F.col("n") <= 4)
-    thin = cut.select("line", F.when(small, F.col("part")).otherwise(geometry.simplified(F.col("part"), tolerance)).alias("part"))
+    thin = stored(cut.select("line", "k", F.when(small, F.col("part")).otherwise(geometry.simplified(F.col("part"), tolerance)).alias("part"), F.col("part").alias("full")), "thin")
+    while True:
+        # arcs that came to lie on one another would leave nothing between them: they keep their points
+        ways = thin.select("line", "k", (F.size("part") < F.size("full")).alias("less"), F.explode(F.transform(F.slice("part", F.lit(1), F.size("part") - 1), lambda p, i: F.struct(F.least(p, F.get("part", i + 1)).alias("a"), F.greatest(p, F.get("part", i + 1)).alias("b")))).alias("s"))
+        twice = ways.groupBy("s").count().where("count > 1").select("s")
+        again = stored(ways.join(twice, "s", "left_semi").where("less").select("line", "k").distinct().withColumn("again", F.lit(True)), "again")
+        if again.isEmpty():
+            break
+        before, thin = thin, stored(thin.join(again, ["line", "k"], "left").select("line", "k", F.when(F.col("again"), F.col("full")).otherwise(F.col("part")).alias("part"), "full"), "thin")
+        released(before, again)
     steps = thin.select("line", F.explode(F.transform(F.slice("part", F.lit(1), F.size("part") - 1), lambda p, i: F.struct(p.alias("a"), F.get("part", i + 1).alias("b")))).alias("e")).join(told, "line")
     beside = steps.select(F.explode(F.array(F.struct(F.col("l").alias("area"), F.col("e.a").alias("a"), F.col("e.b").alias("b")), F.struct(F.col("r").alias("area"), F.col("e.b").alias("a"), F.col("e.a").alias("b")))).alias("s"))
     return beside.select(F.col("s.area").alias(area_id), F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2")).where(F.col(area_id).isNotNull())
