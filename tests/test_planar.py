@@ -123,3 +123,27 @@ def test_coast_without_a_coast_and_with_an_island(spark):
     assert abs(size(island, False).area + 9) < 1e-9
     crossing = spark.createDataFrame([(ring((12, 4), (-2, 4)),), (ring((-2, 8), (12, 8)),)], f"points {POINTS}")
     assert abs(size(crossing, True).area - (40 + 20)) < 1e-9 and abs(size(crossing, False).area - 40) < 1e-9
+
+
+def test_simplified_borders_stay_apart(spark, tmp_path):
+    """A block between two nations: the borders around it would both become its diagonal."""
+    from venuelake.plans import catalog, shapes
+
+    assert shapes
+    rows = [(k, 1 + (k % 30 + k // 30 > 16)) for k in range(90)]  # two nations with a border in steps
+    rows = [(k, 3 if k == 30 + 15 else n) for k, n in rows]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    assert tuple(catalog.QUERIES["shared_borders"](spark, str(tmp_path)).first()) == (32 * 5, 0, True)
+
+
+def test_equal_shapes_are_buffered_once(spark, tmp_path, monkeypatch):
+    from venuelake.operators import planar
+    from venuelake.plans import catalog, shapes
+
+    assert shapes
+    seen, strips = [], planar.line_strips
+    monkeypatch.setattr(planar, "line_strips", lambda df, *a: seen.append(df.count()) or strips(df, *a))
+    spark.range(5).selectExpr("explode(array(id, id + 2040, id + 4080)) AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.id: (r.strip, r.closed) for r in catalog.QUERIES["buffers"](spark, str(tmp_path)).collect()}
+    size = lambda k: (20 + k % 40, 20 + k % 17, 1 + k % 3)
+    assert seen == [5] and got == {k: (2 * w * (a + b) * 1000, (a + 10 - 2 * w) * (b + 10 - 2 * w) * 1000) for i in range(5) for k in (i, i + 2040, i + 4080) for a, b, w in [size(k)]}

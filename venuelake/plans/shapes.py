@@ -100,16 +100,17 @@ def shared_borders(spark, sf):
 @query("SELECT c_custkey AS id, CAST(2 * w * (a + b) * 1000 AS BIGINT) AS strip, CAST((a + 2 * 5 - 2 * w) * (b + 2 * 5 - 2 * w) * 1000 AS BIGINT) AS closed FROM (SELECT c_custkey, 20 + c_custkey % 40 AS a, 20 + c_custkey % 17 AS b, 1 + c_custkey % 3 AS w FROM customer)")
 def buffers(spark, sf):
     """Strips along L-shaped streets, flat at their ends and mitred at the corner, and rectangles moved out and back in."""
-    c = table(spark, sf, "customer").selectExpr("c_custkey AS id", "CAST(20 + c_custkey % 40 AS DOUBLE) AS a", "CAST(20 + c_custkey % 17 AS DOUBLE) AS b", "1 + c_custkey % 3 AS w")
+    c = table(spark, sf, "customer").selectExpr("c_custkey AS id", "CAST(20 + c_custkey % 40 AS DOUBLE) AS wide", "CAST(20 + c_custkey % 17 AS DOUBLE) AS tall", "1 + c_custkey % 3 AS w")
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    zero = F.lit(0)
-    street = c.withColumn("points", F.array(at(zero, zero), at(F.col("a"), zero), at(F.col("a"), F.col("b"))))
-    box = c.withColumn("points", F.array(at(zero, zero), at(F.col("a"), zero), at(F.col("a"), F.col("b")), at(zero, F.col("b"))))
-    by, w = ["id", "w"], F.col("w").cast("double")
+    zero, by, w = F.lit(0), ["wide", "tall", "w"], F.col("w").cast("double")
+    # equal streets and rectangles have equal buffers
+    shapes = c.select(*by).distinct()
+    street = shapes.withColumn("points", F.array(at(zero, zero), at(F.col("wide"), zero), at(F.col("wide"), F.col("tall"))))
+    box = shapes.withColumn("points", F.array(at(zero, zero), at(F.col("wide"), zero), at(F.col("wide"), F.col("tall")), at(zero, F.col("tall"))))
     strips = planar.dissolved(planar.line_strips(street, by, "points", w), by, "ring", 64)
     closed = planar.buffered(planar.buffered(planar.dissolved(box, by, "points", 64), by, 5.0, 64), by, w, 64, inwards=True)
-    area = lambda e, name: planar.area(e, ["id"]).select("id", F.round(F.col("area") * 1000).cast("long").alias(name))
-    return area(strips, "strip").join(area(closed, "closed"), "id")
+    area = lambda e, name: planar.area(e, by).select(*by, F.round(F.col("area") * 1000).cast("long").alias(name))
+    return c.join(area(strips, "strip").join(area(closed, "closed"), by), by).select("id", "strip", "closed")
 
 
 _COAST = "SELECT s_suppkey AS k, 20 + abs(s_acctbal) % 60 AS y FROM supplier"
