@@ -93,3 +93,52 @@ def test_sketch_distance_is_a_lower_bound():
         x, y = parity_join.dense_sketch(a), parity_join.dense_sketch(b)
         for size in (len(x), len(x) // 2, len(x) // 8):
             assert np.bitwise_count(parity_join.fold(x, size) ^ parity_join.fold(y, size)).sum() <= apart
+
+
+@pytest.mark.parametrize("short, few", [(64, 8), (64, 0), (1024, 0)])
+def test_false_pairs_of_short_sketches(spark, rows, short, few, monkeypatch):
+    """Sketches that let much through, with all their pairs verified or a forest and then the tokens."""
+    monkeypatch.setattr(parity_join, "SHORT", short)
+    monkeypatch.setattr(parity_join, "FEW", few)
+    df = spark.createDataFrame([(d, t, "x", "c", "r", 1, 2, 3, 4) for d, t in rows], SCHEMA).repartition(3)
+    got = sorted((tuple(r) for r in parity_join.ngram_join(df).collect()), key=repr)
+    assert got == components(rows, 4)
+
+
+def test_only_compared_texts_move(spark):
+    """Shuffles write less than the texts have, though there are links and open buckets."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(1000)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:9]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    df = spark.read.schema(df.schema).parquet(parity_join.materialize(df, "test")._venuelake_path)
+    before = written()
+    got = parity_join.ngram_join(df).collect()
+    assert written() - before < sum(map(len, texts))
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i if i < 300 else i - 300) for i in range(309)]
+
+
+def test_tokens_are_compared_only_where_sketches_allow(monkeypatch):
+    rng = np.random.default_rng(6)
+    bucket, asked = parity_join._Bucket(True), []
+    base = np.unique(rng.integers(0, 2**63, 200)).astype(np.uint64)
+    for i in range(60):
+        own = base if i > 57 else np.unique(rng.integers(0, 2**63, 200)).astype(np.uint64)
+        bucket.add(i, i, len(own), True, np.sort(own).tobytes())
+    monkeypatch.setattr(np, "intersect1d", lambda *a, f=np.intersect1d, **b: asked.append(1) or f(*a, **b))
+    assert bucket.pairs(False)[0] == [(58, 59)] and len(asked) == 1
+
+
+@pytest.mark.parametrize("bits", [3, 16, 25])
+def test_bitmap_loses_no_row(spark, bits, monkeypatch):
+    monkeypatch.setattr(parity_join, "BITMAP_BITS", bits)
+    marked = parity_join._marked(spark.range(3000).withColumnRenamed("id", "rid"), spark.range(0, 3000, 50).withColumnRenamed("id", "rid"))
+    found = {r.rid for r in marked.where("maybe").collect()}
+    assert found >= set(range(0, 3000, 50)) and marked.where("maybe is null").count() == 0
+    assert bits < 25 or len(found) < 100
