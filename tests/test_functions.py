@@ -1,11 +1,13 @@
 import datetime
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from venuelake.functions import geo, hours, hours_parse, text
 from venuelake.operators import merge, tiles, windows
+from venuelake.plans import catalog
 from venuelake.plans.query import VenueQuery
 
 
@@ -139,6 +141,18 @@ def test_texts(spark):
     assert one(spark, text.split_top(F.lit("a、b（c、d）、e"))) == ["a", "b（c、d）", "e"]
 
 
+def test_references_of_the_sql(spark, tmp_path):
+    """A page that is cut inside a reference: the query leaves what its SQL leaves, the operator by itself reads it."""
+    pages = ["<p>a&quot", "&quot b&quot;&amp &amp;&am", "&amp;lt;&lt&lt;&gt&gt;", "&nbsp;&#65;&copy&copy;&middot&middot;&ampmiddot;", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(db.execute(catalog.SQL["html_to_text_entities"]).fetchall())
+    assert dict(map(tuple, catalog.QUERIES["html_to_text_entities"](spark, str(tmp_path)).collect())) == want and want[0] == "a&quot"
+    assert one(spark, text.html_to_text(F.lit("<p>a&quot"))) == 'a"' and one(spark, text.html_to_text(F.lit("&#65;&eacute; &lt"), entities=False)) == "&#65;&eacute; &lt"
+    assert one(spark, text.html_to_text(F.lit("&#65;&eacute; &lt"))) == "Aé <"
+
+
 def test_percentile_by_index(spark):
     df = spark.range(1, 11)
     assert df.agg(windows.index_percentile(F.col("id"), 0.5).alias("m"), windows.index_percentile(F.col("id"), 0.9).alias("p")).first() == (6, 10)

@@ -168,10 +168,18 @@ def address_key(c: Column) -> Column:
     return F.when(part(3) != "", key)
 
 
-def html_to_text(c: Column, entities: bool = True) -> Column:
-    """Tags become blanks, references characters, blanks collapse (ST15)."""
+def html_to_text(c: Column, entities: bool | dict[str, str] = True) -> Column:
+    """Tags become blanks, references characters, blanks collapse (ST15).
+
+    ``entities``: all references, none, or those given as patterns with what they become, in this order.
+    """
     bare = F.regexp_replace(c, "<[^>]*>", " ")
-    return F.trim(F.regexp_replace(unescape_html(bare) if entities else bare, r"\s+", " "))
+    if isinstance(entities, dict):
+        for pattern, character in entities.items():
+            bare = F.regexp_replace(bare, pattern, character)
+    elif entities:
+        bare = unescape_html(bare)
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def header_cells(page: Column, keep_first: bool = True) -> Column:
