@@ -136,6 +136,51 @@ def test_simplified_borders_stay_apart(spark, tmp_path):
     assert tuple(catalog.QUERIES["shared_borders"](spark, str(tmp_path)).first()) == (32 * 5, 0, True)
 
 
+def test_corners_are_met_where_they_lie(spark):
+    """Edges of any length on one line; 60,000 on it took 3.6 billion comparisons before, too many for the time."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    edges = []
+    for _ in range(300):
+        a, b, on = rng.randrange(-60, 60) / 4, rng.choice([0.25, 0.75, 1, 3, 4, 8, 20, 64.5]), rng.randrange(3)
+        ends = [(a, float(on)), (a + b, float(on))] if rng.random() < 0.5 else [(float(on), a), (float(on), a + b)]
+        edges.append((rng.randrange(4), *(ends[0] + ends[1] if rng.random() < 0.5 else ends[1] + ends[0])))
+    corners = {p for e in edges for p in (e[1:3], e[3:5])}
+    want = []
+    for g, x1, y1, x2, y2 in edges:
+        on = sorted(p for p in corners if min(x1, x2) <= p[0] <= max(x1, x2) and min(y1, y2) <= p[1] <= max(y1, y2))
+        on = on if (x1, y1) < (x2, y2) else on[::-1]
+        want += [(g, *p, *q) for p, q in zip(on, on[1:])]
+    schema = "g int, x1 double, y1 double, x2 double, y2 double"
+    assert sorted(map(tuple, planar.cut_alike(spark.createDataFrame(edges, schema), ["g"]).collect())) == sorted(want)
+    assert planar.cut_alike(spark.createDataFrame([], schema), ["g"]).count() == 0
+    row = spark.range(60_000).selectExpr("1 AS g", "CAST(id AS DOUBLE) AS x1", "0D AS y1", "CAST(id + 1 AS DOUBLE) AS x2", "0D AS y2")
+    began = time.time()
+    assert planar.cut_alike(row, ["g"]).count() == 60_000 and time.time() - began < 40
+
+
+def test_finished_arcs_leave_the_rounds(spark, monkeypatch):
+    """Many short chains and rings beside a long chain: each round writes what it still needs, and the places stay right."""
+    sizes, real = [], chains.stored
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes.extend([out.count()] if label == "doubled" else [])
+        return out
+
+    monkeypatch.setattr(chains, "stored", counted)
+    short = [(10_000 + 3 * i + k, 10_000 + 3 * i + k + 1 if k < 2 else None) for i in range(1000) for k in range(3)]
+    long = [(i, i + 1 if i < 199 else None) for i in range(200)]
+    ring = [(500 + i, 500 + (i + 1) % 7) for i in range(7)]
+    got = {r.id: (r.chain, r.steps, r.ring) for r in chains.ranked(spark.createDataFrame(short + long + ring, "id long, next long")).collect()}
+    want = {i: (199, 199 - i, False) for i, _ in long} | {i: (500, 506 - i, True) for i, _ in ring}
+    assert got == want | {10_000 + 3 * i + k: (10_000 + 3 * i + 2, 2 - k, False) for i in range(1000) for k in range(3)}
+    # all rows until the short chains are done, then the long one's and the rings' only
+    assert sum(n > 1000 for n in sizes) <= 3
+
+
 def test_equal_shapes_are_buffered_once(spark, tmp_path, monkeypatch):
     from venuelake.operators import planar
     from venuelake.plans import catalog, shapes

@@ -30,22 +30,35 @@ def ranked(arcs: DataFrame, places: bool = True) -> DataFrame:
 
 
 def _doubled(arcs: DataFrame) -> DataFrame:
-    """(id, next, chain, steps, low): next is null where the end was found; elsewhere low is the least id of the ring."""
+    """(id, next, chain, steps, low): next is null where the end was found; elsewhere low is the least id of the ring.
+
+    An arc that found its end and is no other's next will not be one later, when all reach further. Such arcs leave the
+    rounds as soon as the open ones are few beside them, so that a few long chains don't carry all short ones along.
+    """
     ends = F.col("next").isNull()
     current = stored(arcs.select("id", "next", F.when(ends, F.col("id")).alias("chain"), F.when(ends, 0).otherwise(1).cast("long").alias("steps"), F.col("id").alias("low")), "doubled")
-    live = current.where("next is not null").count()
+    live, carried = current.agg(F.count("next"), F.count(F.lit(1))).first()
+    done = []
     while live:
+        if carried > 4 * live:
+            asked = current.where("next is not null").select(F.col("next").alias("_asked"))
+            found = current.where(ends)
+            done.append(stored(found.join(asked, F.col("id") == F.col("_asked"), "left_anti"), "done"))
+            before, current = current, stored(current.where("next is not null").unionByName(found.join(asked, F.col("id") == F.col("_asked"), "left_semi")), "doubled")
+            released(before)
         there = current.select(F.col("id").alias("_id"), F.col("next").alias("_next"), F.col("chain").alias("_chain"), F.col("steps").alias("_steps"), F.col("low").alias("_low"))
         further = current.where("next is not null").join(there, F.col("next") == F.col("_id")).select(
             "id", F.col("_next").alias("next"), F.col("_chain").alias("chain"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")
         )
         before, current = current, stored(current.where("next is null").withColumn("moved", F.lit(False)).unionByName(further), "doubled")
         released(before)
-        had, (live, moved) = live, current.agg(F.count_if(F.col("next").isNotNull()), F.count_if(F.col("moved"))).first()
+        had, (live, moved, carried) = live, current.agg(F.count("next"), F.count_if(F.col("moved")), F.count(F.lit(1))).first()
         current = _renamed(current)
         if live == had and not moved:
             # an arc of a chain that goes on would have reached the end, and a ring that was not gone around a smaller id
             break
+    for part in done:
+        current = current.unionByName(part)
     return current
 
 

@@ -249,13 +249,17 @@ def _arranged(batches: Iterator[pa.RecordBatch], names: list[str], keys: int, ke
         held = table if held is None else pa.concat_tables([held, table])
         borders = _borders(held, names)
         if len(borders) > 1:  # the last cell may go on
-            for a, b in zip(borders[:-1], borders[1:]):
-                yield from _cell(held.slice(a, b - a), names[:keys], keep)
+            yield from _cells(held, borders, names[:keys], keep)
             held = held.slice(borders[-1])
     if held is not None and held.num_rows:
-        borders = [*_borders(held, names), held.num_rows]
-        for a, b in zip(borders[:-1], borders[1:]):
-            yield from _cell(held.slice(a, b - a), names[:keys], keep)
+        yield from _cells(held, [*_borders(held, names), held.num_rows], names[:keys], keep)
+
+
+def _cells(table: pa.Table, borders: list[int], by: list[str], keep: str) -> Iterator[pa.RecordBatch]:
+    """The cells between the borders, in one batch: a cell has few rows, which would cost more as batches of their own."""
+    found = [batch for a, b in zip(borders[:-1], borders[1:]) for batch in _cell(table.slice(a, b - a), by, keep)]
+    if found:
+        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
 
 def _borders(table: pa.Table, names: list[str]) -> list[int]:
@@ -470,13 +474,20 @@ def simplified_borders(edges: DataFrame, area_id: str, tolerance: float) -> Data
 
 def cut_alike(edges: DataFrame, by: list[str]) -> DataFrame:
     """Axis-parallel boundaries cut at each other's corners, so that both sides of a shared border have equal points."""
-    corners = edges.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("p.*").distinct()
     upright = F.col("x1") == F.col("x2")
     on = F.when(upright, F.col("x1")).otherwise(F.col("y1"))
     low, high = (F.when(upright, f("y1", "y2")).otherwise(f("x1", "x2")) for f in (F.least, F.greatest))
-    given = stored(edges.withColumns({"_row": F.monotonically_increasing_id(), "up": upright, "on": on, "low": low, "high": high}), "given")
+    # an edge meets the corners of at most three stretches of its line, which are as long as the next power of two
+    level = F.ceil(F.log2(high - low)).cast("int")
+    given = stored(edges.withColumns({"_row": F.monotonically_increasing_id(), "up": upright, "on": on, "low": low, "high": high, "level": level}), "given")
+    corners = given.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("p.*").distinct()
+    stretch = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("level")))
+    # lengths have few powers, whatever the number of edges
+    levels = [r.level for r in given.where("level is not null").select("level").distinct().collect()]
     marks = corners.select(F.explode(F.array(F.struct(F.lit(True).alias("up"), F.col("x").alias("on"), F.col("y").alias("at")), F.struct(F.lit(False).alias("up"), F.col("y").alias("on"), F.col("x").alias("at")))).alias("m")).select("m.*")
-    inside = given.select("_row", "up", "on", "low", "high").join(marks, ["up", "on"]).where("low < at and at < high").groupBy("_row").agg(F.array_sort(F.collect_set("at")).alias("cuts"))
+    marks = marks.withColumn("level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("stretch", stretch("at"))
+    reach = given.select("_row", "up", "on", "low", "high", "level", F.explode(F.sequence(stretch("low"), stretch("high"))).alias("stretch"))
+    inside = reach.join(marks, ["up", "on", "level", "stretch"]).where("low < at and at < high").groupBy("_row").agg(F.array_sort(F.collect_set("at")).alias("cuts"))
     rows = given.join(inside, "_row", "left").withColumn("ends", F.concat(F.array("low"), F.coalesce("cuts", F.array().cast("array<double>")), F.array("high")))
     forward = F.when(F.col("up"), F.col("y1") < F.col("y2")).otherwise(F.col("x1") < F.col("x2"))
     steps = rows.select(*by, "up", "on", forward.alias("forward"), F.explode(F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), lambda a, i: F.struct(a.alias("a"), F.get("ends", i + 1).alias("b")))).alias("s"))
