@@ -158,7 +158,7 @@ def test_corners_are_met_where_they_lie(spark):
     assert planar.cut_alike(spark.createDataFrame([], schema), ["g"]).count() == 0
     row = spark.range(60_000).selectExpr("1 AS g", "CAST(id AS DOUBLE) AS x1", "0D AS y1", "CAST(id + 1 AS DOUBLE) AS x2", "0D AS y2")
     began = time.time()
-    assert planar.cut_alike(row, ["g"]).count() == 60_000 and time.time() - began < 40
+    assert planar.cut_alike(row, ["g"]).count() == 60_000 and time.time() - began < 25
 
 
 def test_finished_arcs_leave_the_rounds(spark, monkeypatch):
